@@ -2,7 +2,9 @@
 
 Both public BPE files split a text before a blank that is followed by a visible character, so a text's
 ids are its units' ids joined. Units are therefore looked up in a bounded cache and only unknown ones
-reach the tokenizers library.
+reach the tokenizers library. Most unknown units are plain words with punctuation or a line end between:
+their words, which the pre-tokenizers split off anyhow, have a cache of their own and go straight to the
+library's BPE model.
 """
 
 from __future__ import annotations
@@ -14,9 +16,14 @@ import re
 import numpy as np
 
 END_ID = 2
-CACHE_UNITS = 700_000
+CACHE_UNITS = 1_000_000
 SLICE_CHARS = 2_000_000
 _ODD = re.compile(r" (?=\s|$)")
+_WORD = r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)"
+_PLAIN = re.compile(rf"{_WORD}(?:\n{_WORD})?")
+# the byte-level alphabet: visible Latin-1 characters stand for themselves, the other bytes for U+0100 and on
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_ALPHABET = {b: b for b in _SHOWN} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in set(_SHOWN))}
 _encoders: dict[str, "UnitEncoder"] = {}
 
 
@@ -30,6 +37,9 @@ class UnitEncoder:
         with open(path, encoding="utf-8") as f:
             # a byte-level vocabulary keeps the blank before a word as part of it
             self.lead = " " if json.load(f)["pre_tokenizer"]["type"] == "ByteLevel" else ""
+        self.model = self.tokenizer.model
+        self.line_end = np.array(self.tokenizer.encode("\n", add_special_tokens=False).ids, "<u4").tobytes()
+        self.pieces: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = {} if self.lead else self.first
 
@@ -48,7 +58,8 @@ class UnitEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.first) + len(self.rest) > CACHE_UNITS:
+        if len(self.first) + len(self.rest) + len(self.pieces) > CACHE_UNITS:
+            self.pieces.clear()
             self.first.clear()
             self.rest.clear()
         split = [self.units(x) for x in texts]
@@ -58,12 +69,32 @@ class UnitEncoder:
         return [first[x[0]] + b"".join([rest[u] for u in x[1:]]) for x in split]
 
     def _learn(self, cache: dict[str, bytes], units: set[str], lead: str) -> None:
-        new = [u for u in units if u not in cache]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
+        odd, piece = [], self._piece
+        for u in units:
+            if u not in cache:
+                if m := _PLAIN.fullmatch(u):
+                    a, b, c, d = m.groups()
+                    ids = piece(lead + a) + piece(b) if b else piece(lead + a)
+                    if c:
+                        ids += (self.line_end + piece(c) + piece(d)) if d else self.line_end + piece(c)
+                    cache[u] = ids
+                else:
+                    odd.append(u)
+        for at in range(0, len(odd), 20_000):
+            part = odd[at : at + 20_000]
             for u, e in zip(part, self.tokenizer.encode_batch_fast([lead + u for u in part], add_special_tokens=False)):
                 cache[u] = np.array(e.ids, "<u4").tobytes()
 
+    def _piece(self, x: str) -> bytes:
+        """The ids of one pre-token of Latin-1 letters or ASCII signs."""
+        if not self.lead:
+            x = x.lower()
+        ids = self.pieces.get(x)
+        if ids is None:
+            ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(x.encode().decode("latin-1").translate(_ALPHABET))])
+            self.pieces[x] = ids
+        return ids
+
 
 def encoder(path: str) -> UnitEncoder:
     if path not in _encoders:
