@@ -77,11 +77,11 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _placed(rows: DataFrame, metadata: DataFrame) -> DataFrame:
-    # one row per file: a file's first id comes after all ids of the files before it
+    # one row per file, which is what is broadcast: a file's first id comes after all ids of the files before it
     sums = metadata.groupBy("part").agg(F.sum("n_tokens").alias("part_tokens"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("part", F.coalesce(F.sum("part_tokens").over(before), F.lit(0)).alias("base"))
-    return rows.join(bases, "part").withColumn("start", F.col("base") + F.col("local_start")).drop("base")
+    return rows.join(F.broadcast(bases), "part").withColumn("start", F.col("base") + F.col("local_start")).drop("base")
 
 
 def token_digest(spark: SparkSession, path: str) -> DataFrame:
