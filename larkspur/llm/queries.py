@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import language_id, packing, shared, token_output, url_rules
+from larkspur.llm import language_id, merkle, packing, sharding, shared, token_output, url_rules
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -38,10 +38,30 @@ def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), labels)
 
 
+def op9_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+def op2_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents arrive in six parts, are compacted, and are read back from the last manifest."""
+    store = sharding.ShardedTable(spark, shared.new_path(spark, "shards"))
+    docs = table(spark, sf_dir, "documents")
+    part = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(6))
+    for i in range(6):
+        store.append(docs.filter(part == i))
+    store.compact()
+    store.vacuum()
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_size_tiered_shards": op2_size_tiered_shards,
     "op5_url_rules": op5_url_rules,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_language_id": op8_language_id,
+    "op9_merkle_fingerprints": op9_merkle_fingerprints,
     "op10_token_output": op10_token_output,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_size_tiered_shards": "select doc_id, lang, source, n_chars, md5(text) as text_md5 from documents",
+}
