@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import language_id, merkle, packing, sharding, shared, token_output, url_rules
+from larkspur.llm import language_id, merkle, near_dedup, packing, sharding, shared, token_output, url_rules
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -54,8 +54,13 @@ def op2_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read().select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_size_tiered_shards": op2_size_tiered_shards,
+    "op4_near_dedup": op4_near_dedup,
     "op5_url_rules": op5_url_rules,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_language_id": op8_language_id,
