@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import decontamination, language_id, merkle, near_dedup, packing, sharding, shared, suffix_dedup, token_output, url_rules
+from larkspur.llm import decontamination, language_id, merkle, near_dedup, packing, quality, sharding, shared, suffix_dedup, token_output, url_rules
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -32,6 +32,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -69,6 +73,7 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_size_tiered_shards": op2_size_tiered_shards,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_near_dedup": op4_near_dedup,
     "op5_url_rules": op5_url_rules,
     "op6_decontamination": op6_decontamination,
