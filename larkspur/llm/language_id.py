@@ -31,11 +31,6 @@ UNKNOWN = "und"
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
-@lru_cache(maxsize=200_000)
-def _is_letter(code: int) -> bool:
-    return chr(code).isalpha()
-
-
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
     return np.frompyfunc(lambda c: chr(c).isalpha(), 1, 1)(np.arange(0x110000)).astype(bool)
@@ -109,48 +104,77 @@ def learn(docs: DataFrame, profile: int = PROFILE) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < profile).select("lang", "gram", "rank")
 
 
-def predict(docs: DataFrame, profiles: list[tuple[str, np.ndarray]], profile: int = PROFILE) -> DataFrame:
-    """doc_id, held_out, lang_pred, score. profiles: (lang, its n-grams in rank order), at most `profile` each."""
+def judgement(profiles: list[tuple[str, np.ndarray]], profile: int = PROFILE):
+    """A function of columns of texts that yields their languages, and with scores=True languages and scores."""
     names = [x for x, _ in profiles]
     grams = np.unique(np.concatenate([np.zeros(0, np.int64), *(g for _, g in profiles)]).view(np.uint64))
     places = np.full((len(names), len(grams) + 1), -1, np.int32)  # the last column: in no profile
     for i, (_, g) in enumerate(profiles):
         places[i, np.searchsorted(grams, g.view(np.uint64))] = np.arange(len(g))
 
-    def judge(batches):
-        for rows, texts in _slices(batches, 2, 500_000):
-            keys, owner = ngrams(texts)
-            bounds = np.searchsorted(owner_sorted := np.sort(owner, kind="stable"), np.arange(len(texts) + 1))
-            keys = keys[np.argsort(owner, kind="stable")]
-            del owner_sorted
-            pred, score = [], []
-            for i in range(len(texts)):
-                own, n = np.unique(keys[bounds[i] : bounds[i + 1]], return_counts=True)
-                if not len(own) or not names:
-                    pred.append(UNKNOWN)
-                    score.append(0.0)
-                    continue
-                if len(own) > profile:  # only those that can be among the most frequent are ordered
-                    least = np.partition(n, len(n) - profile)[len(n) - profile]
-                    own, n = own[n >= least], n[n >= least]
-                own = own[np.argsort(-n, kind="stable")[:profile]]
-                at = np.searchsorted(grams, own)
-                at[at == len(grams)] = 0
-                at[grams[at] != own] = len(grams)
-                place = places[:, at]
-                away = np.where(place < 0, profile, np.abs(place - np.arange(len(own), dtype=np.int32))).sum(axis=1)
-                best = int(np.argmin(away))
-                pred.append(names[best])
-                score.append(max(0.0, 1.0 - float(away[best]) / (profile * len(own))))
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
-
-    return plain(docs, "doc_id", "held_out", "text").mapInArrow(judge, SCHEMA)
+    def one(keys: np.ndarray) -> tuple[str, float]:
+        own, n = np.unique(keys, return_counts=True)
+        if not len(own) or not names:
+            return UNKNOWN, 0.0
+        if len(own) > profile:  # only those that can be among the most frequent are ordered
+            least = np.partition(n, len(n) - profile)[len(n) - profile]
+            own, n = own[n >= least], n[n >= least]
+        own = own[np.argsort(-n, kind="stable")[:profile]]
+        at = np.searchsorted(grams, own)
+        at[at == len(grams)] = 0
+        at[grams[at] != own] = len(grams)
+        place = places[:, at]
+        away = np.where(place < 0, profile, np.abs(place - np.arange(len(own), dtype=np.int32))).sum(axis=1)
+        best = int(np.argmin(away))
+        return names[best], max(0.0, 1.0 - float(away[best]) / (profile * len(own)))
+
+    def judge(columns, scores: bool = False):
+        for column in columns:
+            batch = pa.RecordBatch.from_arrays([column], names=["text"])
+            for _, texts in _slices([batch], 0, 500_000):
+                keys, owner = ngrams(texts)
+                keys = keys[np.argsort(owner, kind="stable")]
+                bounds = np.searchsorted(np.sort(owner), np.arange(len(texts) + 1))
+                found = [one(keys[bounds[i] : bounds[i + 1]]) for i in range(len(texts))]
+                yield found if scores else [x for x, _ in found]
+
+    return judge
+
+
+def predict(docs: DataFrame, profiles: list[tuple[str, np.ndarray]], profile: int = PROFILE) -> DataFrame:
+    """doc_id, held_out, lang_pred, score. profiles: (lang, its n-grams in rank order), at most `profile` each."""
+    judge = judgement(profiles, profile)
+
+    def run(batches):
+        for b in batches:
+            found = [x for part in judge([b.column(2)], True) for x in part]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+
+    return plain(docs, "doc_id", "held_out", "text").mapInArrow(run, SCHEMA)
+
+
+def _learned(docs: DataFrame, profile: int) -> list[tuple[str, np.ndarray]]:
+    rows = learn(docs, profile).orderBy("lang", "rank").collect()  # languages x profile rows
+    return [(lang, np.array([r["gram"] for r in rows if r["lang"] == lang], np.int64)) for lang in sorted({r["lang"] for r in rows})]
 
 
 def identify(docs: DataFrame, profile: int = PROFILE) -> DataFrame:
     """Learn from the documents that are not held out (crc32 of doc_id modulo 4) and predict all."""
     share = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
     marked = plain(docs, "doc_id", "text", "lang").select(F.col("doc_id").cast("long"), "text", "lang", share.alias("share"))
-    rows = learn(marked.filter(F.col("share") != HELD_OUT), profile).orderBy("lang", "rank").collect()  # languages x profile rows
-    profiles = [(lang, np.array([r["gram"] for r in rows if r["lang"] == lang], np.int64)) for lang in sorted({r["lang"] for r in rows})]
+    profiles = _learned(marked.filter(F.col("share") != HELD_OUT), profile)
     return predict(marked.withColumn("held_out", F.coalesce(F.col("share") == HELD_OUT, F.lit(False))), profiles, profile)
+
+
+def identified(docs: DataFrame, profile: int = PROFILE) -> DataFrame:
+    """The documents, with all their columns, whose language can be told; those that predict() calls `und` go."""
+    share = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    judge = judgement(_learned(docs.filter(share != HELD_OUT), profile), profile)
+    text = docs.columns.index("text")
+
+    def keep(batches):
+        for b in batches:
+            known = [x != UNKNOWN for part in judge([b.column(text)]) for x in part]
+            yield b.filter(pa.array(known, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

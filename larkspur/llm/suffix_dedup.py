@@ -75,7 +75,7 @@ class Block:
     def __init__(self, table: pa.Table):
         ids, texts = table.column("doc_id").to_pylist(), table.column("text").to_pylist()
         texts = [(x or "").encode("utf-8", "surrogatepass") for x in texts]
-        order = sorted(range(len(ids)), key=lambda i: (NO_ID if ids[i] is None else ids[i], texts[i]))
+        self.order = order = sorted(range(len(ids)), key=lambda i: (NO_ID if ids[i] is None else ids[i], texts[i]))
         self.ids = [ids[i] for i in order]
         self.keys = np.array([NO_ID if x is None else x for x in self.ids], np.int64)
         self.bounds = np.cumsum([0] + [len(texts[i]) for i in order])
@@ -385,7 +385,7 @@ def _meet_strings(length: int):
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _take_out(with_text: bool):
+def _take_out(with_text: bool, carried: bool):
     def run(key, texts, told):
         block = Block(texts)
         change = np.zeros(len(block.data) + 1, np.int32)
@@ -419,18 +419,24 @@ def _take_out(with_text: bool):
             out.append((doc_id, int(y - x), int(y - x) - len(left), spans, hashlib.sha256(left).hexdigest()) + ((left.decode("utf-8", "ignore"),) if with_text else ()))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names[: len(out[0])]) if out else pa.table({n: pa.array([], t) for n, t in list(zip(names, kinds))[: 5 + with_text]})
+        width = 5 + with_text
+        columns = [pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * width, kinds)]
+        if carried:
+            columns.append(texts.column("carried").take(pa.array(block.order, pa.int64())).combine_chunks())
+        return pa.Table.from_arrays(columns, names=names[:width] + ["carried"] * carried)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = True, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, problem: int = PROBLEM) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = True, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, problem: int = PROBLEM, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept_text (without cut characters).
 
+    carry: columns of docs that come along, in a struct named `carried`.
+
     Every byte goes that lies in a string of `length` bytes which also starts in a document of smaller doc_id.
     """
     spark = docs.sparkSession
-    docs = plain(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
+    docs = docs.select(F.col("doc_id").cast("long"), "text", *([F.struct(*carry).alias("carried")] if carry else []))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = partitions(spark)
     blocks = max(n, -(-total // block_bytes))
@@ -444,4 +450,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = True
     segments = by_block.cogroup(judged.groupBy("dest")).applyInArrow(_send_segments(length, gram, buckets), PASSED)
     sorted_ = segments.groupBy("dest").applyInArrow(_sort_segments(length, buckets), PASSED)
     told = sorted_.groupBy("dest").applyInArrow(_meet_strings(length), PASSED)
-    return by_block.cogroup(told.groupBy("dest")).applyInArrow(_take_out(with_text), RESULT + (", kept_text string" if with_text else ""))
+    schema = RESULT + ", kept_text string" * with_text
+    if carry:
+        schema += f", carried {docs.schema['carried'].dataType.simpleString()}"
+    return by_block.cogroup(told.groupBy("dest")).applyInArrow(_take_out(with_text, bool(carry)), schema)
