@@ -35,9 +35,9 @@ from larkspur.llm.suffix_array import suffix_arrays
 
 LENGTH = 50
 GRAM = 20
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 PIECE = 1 << 18
-BUCKET_ANCHORS = 1_000_000
+BUCKET_ANCHORS = 250_000
 PROBLEM = 64
 BATCH = 1 << 19
 NO_ID = np.iinfo(np.int64).max
@@ -350,10 +350,11 @@ def _sort_segments(length: int, buckets: int):
         s, a = seg[first], at[first]
         if len(s):
             start = begin[s] + a
-            name = run_hash(prefix(BYTE[data]), start, start + length)
-            check = np.zeros(len(s), np.uint64)
-            for k in range(0, length, 5):
-                check = mix(check + data[start + k].astype(np.uint64) + data[start + min(k + 2, length - 1)].astype(np.uint64) * np.uint64(256) + name)
+            name, check = np.zeros(len(s), np.uint64), np.zeros(len(s), np.uint64)
+            for k in range(length):
+                byte = BYTE[data[start + k]]
+                name, check = name * ODD[4] + byte, mix(check + byte)
+            name = mix(name)
             to = (name % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(to, kind="stable")
             cuts = np.searchsorted(to[by], np.arange(buckets + 1))
