@@ -27,11 +27,11 @@ from larkspur.llm.components import components
 from larkspur.llm.hashing import ODD, mix, shingle_hashes, slices
 from larkspur.llm.shared import materialize, plain, release
 
-SLOTS = 128
-ROWS = 4
+SLOTS = 360
+ROWS = 6
 WIDTH = 5
 PERCENT = 75
-CHUNK = 20_000
+CHUNK = 6_000
 STAR_ROUNDS = 3
 
 
@@ -47,16 +47,14 @@ def superminhash(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
 
 def _offer(elements: np.ndarray, owner: np.ndarray, out: np.ndarray, slots: int) -> None:
     flat = out.reshape(-1)
-    order = np.tile(np.arange(slots, dtype=np.uint8), (len(elements), 1))
-    row = np.arange(len(elements))
+    order = np.tile(np.arange(slots, dtype=np.uint16), (len(elements), 1))
+    row, low, high = np.arange(len(elements)), owner[0], owner[-1] + 1
     for j in range(slots):
-        if j:  # a signature whose slots are all below j can't improve
-            docs = np.unique(owner[row])
-            open_docs = np.zeros(len(out), bool)
-            open_docs[docs] = out[docs].max(axis=1) >= np.uint64(j << 53)
-            row = row[open_docs[owner[row]]]
-            if not len(row):
-                return
+        # a signature whose slots are all below j can't improve
+        open_docs = out[low:high].max(axis=1) >= np.uint64(j << 53)
+        row = row[open_docs[owner[row] - low]]
+        if not len(row):
+            return
         x = mix(elements[row] + np.uint64(j * int(ODD[10]) % (1 << 64)))
         k = j + ((x >> np.uint64(40)) % np.uint64(slots - j)).astype(np.int64)
         slot = order[row, k]
