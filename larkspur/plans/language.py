@@ -1,0 +1,251 @@
+"""The piped query language, turned into calls of the operators.
+
+`error service:api -user_id:8 | stats count, avg(value) by host | where count > 5 | sort -count | head 10`
+
+What stands before the first `|` is a filter: words, "phrases", field:value, field:>=number, AND (or nothing), OR,
+NOT or `-`, and parentheses. One stats, timechart, top or rare must follow the first `|`; then any of where, fields,
+rename, sort, head and tail. Spark plans and runs the result like any DataFrame.
+"""
+
+from __future__ import annotations
+
+import re
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from larkspur.functions.values import as_number, default_span, interval_ms
+from larkspur.operators import search
+from larkspur.operators.fields import View
+from larkspur.operators.stats import GROUP_CAP, Agg, Table, aggregates, stats, timechart, top
+
+_QUOTED = r'"(?:\\.|[^"\\])*"'
+_TOKEN = re.compile(rf'\s*(?:(?P<quoted>{_QUOTED})|(?P<sign>[()-])|(?P<word>[^\s()"]+))', re.S)
+_COMPARE = re.compile(r"(>=|<=|>|<)(.*)", re.S)
+
+
+def _unquote(text: str) -> str:
+    return re.sub(r"\\(.)", r"\1", text[1:-1], flags=re.S)
+
+
+@dataclass
+class Filter:
+    """A parsed filter: index patterns, words to highlight, and the predicate for a view."""
+
+    text: str
+    indexes: list[str] = field(default_factory=list)
+    highlights: list[str] = field(default_factory=list)
+
+    def __post_init__(self):
+        rest, self._tokens = self.text.strip(), []
+        while rest:
+            m = _TOKEN.match(rest)
+            if not m:
+                raise ValueError("unterminated quote")
+            kind = m.lastgroup
+            self._tokens.append((kind, m[kind]))
+            rest = rest[m.end() :].lstrip()
+        self._at = 0
+        everything = not self._tokens or [t[1] for t in self._tokens] == ["*"]
+        self._make = (lambda view: F.lit(True)) if everything else self._either(False)
+        if not everything and self._at < len(self._tokens):
+            raise ValueError(f"unexpected {self._tokens[self._at][1]!r}")
+
+    def predicate(self, view: View) -> Column:
+        """index: terms don't filter rows; they choose partitions, through `indexes`."""
+        return self._make(view)
+
+    def _next_word(self) -> str | None:
+        if self._at < len(self._tokens):
+            kind, text = self._tokens[self._at]
+            return text.lower() if kind == "word" and text in ("AND", "and", "OR", "or", "NOT", "not") else text if kind == "sign" else ""
+        return None
+
+    def _either(self, negated: bool):
+        parts = [self._both(negated)]
+        while self._next_word() == "or":
+            self._at += 1
+            parts.append(self._both(negated))
+        return parts[0] if len(parts) == 1 else lambda view: _fold(parts, view, lambda a, b: a | b)
+
+    def _both(self, negated: bool):
+        parts = [self._maybe_not(negated)]
+        while self._next_word() not in (None, ")", "or"):
+            if self._next_word() == "and":
+                self._at += 1
+            parts.append(self._maybe_not(negated))
+        return parts[0] if len(parts) == 1 else lambda view: _fold(parts, view, lambda a, b: a & b)
+
+    def _maybe_not(self, negated: bool):
+        if self._next_word() in ("not", "-"):
+            self._at += 1
+            inner = self._atom(True)
+            return lambda view: ~inner(view)
+        return self._atom(negated)
+
+    def _atom(self, negated: bool):
+        if self._at >= len(self._tokens):
+            raise ValueError("unexpected end of query")
+        word = self._next_word()
+        kind, text = self._tokens[self._at]
+        self._at += 1
+        if word == "(":
+            inner = self._either(negated)
+            if self._next_word() != ")":
+                raise ValueError("missing closing )")
+            self._at += 1
+            return inner
+        if kind == "quoted":
+            return self._term(None, _unquote(text), True, negated)
+        if word:
+            raise ValueError(f"unexpected {text!r}")
+        name, colon, value = text.partition(":")
+        if colon and name:
+            if not value and self._at < len(self._tokens) and self._tokens[self._at][0] == "quoted":
+                self._at += 1
+                return self._term(name.lower(), _unquote(self._tokens[self._at - 1][1]), True, negated)
+            if m := _COMPARE.match(value):
+                return lambda view: search.compare(view, name, m[1], m[2])
+            if value:
+                return self._term(name.lower(), value, False, negated)
+        return self._term(None, text, False, negated)
+
+    def _term(self, name: str | None, value: str, quoted: bool, negated: bool):
+        if name == "index":
+            self.indexes.append(value)
+            return lambda view: F.lit(True)
+        shown = value.lower().strip("*?")
+        if not negated and name != "source" and shown and not _has_wildcard(shown) and shown not in self.highlights:
+            self.highlights.append(shown)
+        return lambda view: search.term(view, value, name, quoted)
+
+
+def _has_wildcard(text: str) -> bool:
+    return "*" in text or "?" in text
+
+
+def _fold(parts, view, join):
+    out = parts[0](view)
+    for p in parts[1:]:
+        out = join(out, p(view))
+    return out
+
+
+def split_stages(query: str) -> list[str]:
+    """The parts between top-level pipes; those in quotes or parentheses don't count."""
+    parts, depth, last = [], 0, 0
+    for m in re.finditer(rf"{_QUOTED}|\\.|[()|]", query, re.S):
+        if m[0] == "(":
+            depth += 1
+        elif m[0] == ")":
+            depth = max(0, depth - 1)
+        elif m[0] == "|" and not depth:
+            parts.append(query[last : m.start()].strip())
+            last = m.end()
+    return parts + [query[last:].strip()]
+
+
+def is_piped(query: str) -> bool:
+    return len(split_stages(query)) > 1
+
+
+def _names(text: str) -> list[str]:
+    return [x for x in re.split(r"[,\s]+", text.strip()) if x]
+
+
+def _by(text: str) -> tuple[str, list[str]]:
+    m = re.match(r"(.*?)(?:^|\s)by\s+(.+)$", text, re.S | re.I)
+    return (m[1], _names(m[2])) if m else (text, [])
+
+
+def _count(text: str, default: int) -> int:
+    return int(text) if re.fullmatch(r"\d+", text.strip()) else default
+
+
+def _first(name: str, rest: str, view: View, start_ms: int | None, end_ms: int | None) -> Table:
+    if name == "stats":
+        what, by = _by(rest)
+        aggs = aggregates(what)
+        if not aggs:
+            raise ValueError("stats needs an aggregate")
+        return stats(view, aggs, by)
+    if name == "timechart":
+        m = re.match(r"\s*span\s*=\s*(\S+)\s*(.*)$", rest, re.S)
+        span = interval_ms(m[1]) if m else default_span(start_ms, end_ms)
+        what, by = _by(m[2] if m else rest)
+        return timechart(view, span, aggregates(what) or [Agg("count")], by, GROUP_CAP)
+    words = _names(rest)
+    if not words:
+        raise ValueError(f"{name} needs a field")
+    return top(view, words[-1], _count(words[0], 10) if len(words) > 1 else 10, rare=name == "rare")
+
+
+def _then(name: str, rest: str, table: Table) -> Table:
+    if name == "where":
+        m = re.match(r"(.*?)\s*(==|!=|>=|<=|=|>|<)\s*(.*)$", rest, re.S)
+        if not m or not m[1] or not m[3]:
+            raise ValueError("where needs a comparison")
+        value = _unquote(m[3]) if re.fullmatch(_QUOTED, m[3], re.S) else as_number(m[3])
+        return table.where(m[1].strip(), m[2], m[3] if value is None else value)
+    if name == "fields":
+        less = re.match(r"-\s*", rest)
+        return table.drop(_names(rest[less.end() :])) if less else table.keep(_names(rest))
+    if name == "rename":
+        pairs = [re.fullmatch(r"\s*(.+?)\s+as\s+(.+?)\s*", x, re.S | re.I) for x in rest.split(",")]
+        if not all(pairs):
+            raise ValueError("rename needs `a as b`")
+        return table.rename([(m[1], m[2]) for m in pairs])
+    if name == "sort":
+        column = rest.strip()
+        return table.sort(column.lstrip("+-").strip(), column.startswith("-"))
+    if name == "head":
+        return table.head(_count(rest, 50))
+    return table.tail(_count(rest, 50))
+
+
+FIRST, THEN = ("stats", "timechart", "top", "rare"), ("where", "fields", "rename", "sort", "head", "tail")
+
+
+def stages(query: str) -> list[tuple[str, str]]:
+    """(command, rest) of each stage, checked: one aggregation, which comes first."""
+    out = []
+    for part in split_stages(query)[1:]:
+        name, _, rest = part.partition(" ")
+        if name.lower() not in FIRST + THEN:
+            raise ValueError(f"unknown command {name!r}")
+        out.append((name.lower(), rest.strip()))
+    if out and (out[0][0] not in FIRST or any(n in FIRST for n, _ in out[1:])):
+        raise ValueError("exactly one stats, timechart, top or rare, right after the search")
+    return out
+
+
+def scope(view: View, parsed: Filter, start_ms: int | None = None, end_ms: int | None = None, env: str | None = None, index: str | None = None, **rest) -> View:
+    """The rows a query may see: partition predicates (which prune), the time window and the filter."""
+    patterns = parsed.indexes or ([index] if index else [])
+    planned = search.partitions_in_scope(env, patterns, start_ms, end_ms, **rest)
+    return view.where(planned & search.in_window(start_ms, end_ms)).where(parsed.predicate(view))
+
+
+def run(view: View, query: str, start_ms: int | None = None, end_ms: int | None = None, **scope_of) -> Table | View:
+    """A Table for a piped query, else the view of the rows found, for search.page(), histogram() and terms()."""
+    steps = stages(query)
+    found = scope(view, Filter(split_stages(query)[0]), start_ms, end_ms, **scope_of)
+    if not steps:
+        return found
+    table = _first(*steps[0], found, start_ms, end_ms)
+    for name, rest in steps[1:]:
+        table = _then(name, rest, table)
+    return table
+
+
+def echo(query: str) -> list[str]:
+    """Each stage in plain words, with top and rare spelled out."""
+    out = [f"search {split_stages(query)[0] or '*'}"]
+    for name, rest in stages(query):
+        if name in ("top", "rare"):
+            words = _names(rest)
+            out += [f"stats count by {words[-1]}", f"sort {'-' if name == 'top' else ''}count", f"head {_count(words[0], 10) if len(words) > 1 else 10}"]
+        else:
+            out.append(f"{name} {rest}".strip())
+    return out
