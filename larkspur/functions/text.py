@@ -40,19 +40,21 @@ def sure(predicate: Column) -> Column:
 
 
 def has_tokens(text: Column, value: str) -> Column:
-    words = tokenize(value)
+    words = list(dict.fromkeys(tokenize(value)))
     if not words:
         return F.lit(False)
-    return sure(F.forall(F.array(*map(F.lit, dict.fromkeys(words))), lambda w: F.array_contains(tokens(text), w)) if len(words) > 1 else F.array_contains(tokens(text), words[0]))
+    if len(words) == 1:
+        return sure(F.array_contains(tokens(text), words[0]))
+    return sure(F.size(F.array_intersect(tokens(text), F.array(*map(F.lit, words)))) == len(words))
 
 
 def has_phrase(text: Column, value: str) -> Column:
+    """The value's tokens one after another: a run of lines in the tokens written line by line."""
     words = tokenize(value)
     if len(words) < 2:
         return has_tokens(text, value)
-    found, want = tokens(text), F.array(*map(F.lit, words))
-    starts = F.sequence(F.lit(1), F.greatest(F.size(found) - len(words) + 1, F.lit(1)))
-    return sure(F.exists(starts, lambda i: F.slice(found, i, len(words)) == want))
+    lines = F.concat(F.lit("\n"), F.array_join(tokens(text), "\n"), F.lit("\n"))
+    return sure(F.contains(lines, F.lit("\n" + "\n".join(words) + "\n")))
 
 
 def is_glob(value: str) -> bool:
