@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import TOKEN
 from larkspur.operators import discovery, monitors, search
+from larkspur.operators.fields import LeafFields
 from larkspur.operators.stats import timechart_pivot
 from larkspur.plans import language
-from larkspur.sources import views
+from larkspur.sources import events as shredded
+from larkspur.sources import formats, store, views
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -162,3 +165,50 @@ add("allow_list_denied", lambda s, d: views_count(language.scope(views.events(s,
 
 def views_count(view: views.View) -> DataFrame:
     return view.df.agg(F.count("*").alias("n"))
+
+
+def ingested(spark: SparkSession, sf_dir: str) -> views.View:
+    """The events as JSON lines, shredded into rows with leaves."""
+    df = spark.read.parquet(f"{sf_dir}/events.parquet")
+    stamp = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    fields = F.struct(stamp.alias("timestamp"), F.col("event_type").alias("source"), "event_type", "user_id", "value", F.from_json("props", "k long").alias("props"))
+    return views.View(shredded.rows(df.select(F.to_json(fields).alias("event")), T0, template="events"), LeafFields())
+
+
+table("ingest_stats", "* | stats count, sum(value) by event_type", f"select event_type, count(*) as count, {r4('sum(value)')} as sum_value from events group by 1", ingested)
+table("ingest_leaf", "k:69 value:>=100 | stats count by event_type", f"select event_type, count(*) as count from {EV} where k = 69 and value >= 100 group by 1", ingested)
+table("ingest_timechart", "source:view | timechart span=1d count by props.k", f"select {iso_s.format(f'ms - ms % {DAY}')} as _time, coalesce(cast(k as varchar), '—') as props_k, count(*) as count from {EV} where event_type = 'view' group by 1, 2", ingested)
+
+
+def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of the days when a week is kept on 2024-01-31."""
+    first = store.expired(date(2024, 1, 31), 7)
+    return views_count_by_day(events_view(spark, sf_dir).where(F.col("day") >= F.lit(first)))
+
+
+def views_count_by_day(view: views.View) -> DataFrame:
+    return view.df.groupBy(F.col("day").cast("string").alias("day")).agg(F.count("*").alias("n"))
+
+
+add("retention", retention, f"select day, count(*) as n from {_day} where day >= '2024-01-24' group by 1")
+
+
+def grok_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages' urls taken apart by a grok expression."""
+    lines = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("url").alias("value"))
+    parsed = formats.grok(lines, "%{WORD:scheme}://%{NOTSPACE:rest}")
+    return parsed.select(F.get_json_object("event", "$.scheme").alias("scheme")).groupBy("scheme").agg(F.count("*").alias("n"))
+
+
+add("grok_lines", grok_lines, "select regexp_extract(url, '^(\\w+)://', 1) as scheme, count(*) as n from pages group by 1")
+
+
+def logfmt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written as key=value lines and read back."""
+    df = spark.read.parquet(f"{sf_dir}/events.parquet")
+    line = F.concat(F.lit("level="), F.col("event_type"), F.lit(' msg="user '), F.col("user_id").cast("string"), F.lit(' did it" n='), F.col("event_id").cast("string"))
+    e = formats.logfmt(df.select(line.alias("value")))
+    return e.select(F.get_json_object("event", "$.level").alias("level"), F.get_json_object("event", "$.msg").alias("msg")).groupBy("level", "msg").agg(F.count("*").alias("n"))
+
+
+add("logfmt_lines", logfmt_lines, "select event_type as level, 'user ' || user_id || ' did it' as msg, count(*) as n from events group by 1, 2")
