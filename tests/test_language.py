@@ -1,0 +1,63 @@
+import pytest
+
+from larkspur.functions.text import tokenize
+from larkspur.functions.values import default_span, interval_ms, time_bound
+from larkspur.operators.stats import aggregates
+from larkspur.plans.language import Filter, echo, is_piped, split_stages, stages
+
+
+def test_tokens():
+    assert tokenize("GET /api/v1 10.0.0.1") == ["get", "api", "v1", "10.0.0.1", "10", "0", "0", "1"]
+    assert tokenize("payment-gateway timeout") == ["payment-gateway", "payment", "gateway", "timeout"]
+    assert tokenize("a.b v1.2") == ["a", "b", "v1.2", "v1", "2"]
+    assert tokenize("-x_ --") == ["-x_", "x", "--"]
+    assert tokenize("") == []
+
+
+def test_split_keeps_quotes_and_parentheses():
+    assert split_stages('a "b|c" (d|e) | stats count') == ['a "b|c" (d|e)', "stats count"]
+    assert is_piped("a | head") and not is_piped('"a|b"')
+
+
+@pytest.mark.parametrize("bad", ['"open', "(a", "a)", "NOT NOT x", "--x", "a AND", "OR a"])
+def test_bad_filters(bad):
+    with pytest.raises(ValueError):
+        Filter(bad)
+
+
+@pytest.mark.parametrize("bad", ["* | head 5", "* | stats count | stats count", "* | nonsense", "* | where x > 1 | stats count"])
+def test_bad_pipelines(bad):
+    with pytest.raises(ValueError):
+        stages(bad)
+
+
+def test_index_terms_choose_partitions():
+    f = Filter("index:web* -index:api error")
+    assert f.indexes == ["web*", "api"] and f.highlights == ["error"]
+
+
+def test_highlights():
+    f = Filter('error* NOT debug service:api status:>5 source:x "two words" a*b')
+    assert f.highlights == ["error", "api", "two words"]
+
+
+def test_aggregates():
+    names = [a.name for a in aggregates("count, sum(x), mean(y) median(z), count(*), count()")]
+    assert names == ["count", "sum(x)", "avg(y)", "p50(z)"]
+    with pytest.raises(ValueError):
+        aggregates("earliest(x)")
+    with pytest.raises(ValueError):
+        aggregates("stdev(x)")
+
+
+def test_times():
+    assert interval_ms("5m") == 300_000 and interval_ms("250", bare=True) == 250
+    with pytest.raises(ValueError):
+        interval_ms("5")
+    assert time_bound("now", 7) == 7 and time_bound("-1h", 3_600_000) == 0 and time_bound("1970-01-01T00:00:01Z", 0) == 1000
+    assert time_bound("yesterday", 0) is None
+    assert default_span(None, 5) == 3_600_000 and default_span(0, 3_600_000) == 60_000
+
+
+def test_echo():
+    assert echo("error | top 5 host | head 2") == ["search error", "stats count by host", "sort -count", "head 5", "head 2"]
