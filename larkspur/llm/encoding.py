@@ -15,6 +15,8 @@ import re
 
 import numpy as np
 
+from larkspur.llm.shared import clears
+
 END_ID = 2
 CACHE_UNITS = 1_000_000
 SLICE_CHARS = 2_000_000
@@ -25,6 +27,7 @@ _PLAIN = re.compile(rf"{_WORD}(?:\n{_WORD})?")
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _ALPHABET = {b: b for b in _SHOWN} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in set(_SHOWN))}
 _encoders: dict[str, "UnitEncoder"] = {}
+clears(_encoders.clear)
 
 
 class UnitEncoder:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.shared import plain
+from larkspur.llm.shared import plain, worker_for
 
 PROFILE = 400
 HELD_OUT = 2
@@ -39,6 +39,8 @@ def _letters() -> np.ndarray:
 def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Packed n-grams of the texts, in no order, and the number of the text each comes from."""
     codes = np.frombuffer("\0".join(texts).lower().replace("\0", "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+    if not len(codes):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
     sizes = [len(x.lower()) + 1 for x in texts]
     owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)[: len(codes)]
     c = np.where(_letters()[codes], codes.astype(np.uint64) + np.uint64(1), np.uint64(1))
@@ -79,6 +81,7 @@ def learn(docs: DataFrame, profile: int = PROFILE) -> DataFrame:
     """lang, gram, rank: the profiles of the languages of docs (text, lang)."""
 
     def count(batches):
+        worker_for("language_id")
         sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
         def flush():
@@ -146,6 +149,7 @@ def predict(docs: DataFrame, profiles: list[tuple[str, np.ndarray]], profile: in
     judge = judgement(profiles, profile)
 
     def run(batches):
+        worker_for("language_id")
         for b in batches:
             found = [x for part in judge([b.column(2)], True) for x in part]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
@@ -173,6 +177,7 @@ def identified(docs: DataFrame, profile: int = PROFILE) -> DataFrame:
     text = docs.columns.index("text")
 
     def keep(batches):
+        worker_for("language_id")
         for b in batches:
             known = [x != UNKNOWN for part in judge([b.column(text)]) for x in part]
             yield b.filter(pa.array(known, pa.bool_()))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.shared import partitions, plain
+from larkspur.llm.shared import partitions, plain, worker_for
 
 LONG = 48
 _SENTENCE = re.compile(r"(?<=[.!?|]) ")
@@ -131,6 +131,7 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     dealt = dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "head", F.desc("key"), "tie")
 
     def run(batches):
+        worker_for("merkle")
         previous, out = None, []  # previous: bucket, doc_id, text, fingerprint
         for b in batches:
             for bucket_no, head, doc_id, text in zip(*(b.column(i).to_pylist() for i in (0, 1, 4, 5))):

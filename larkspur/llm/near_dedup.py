@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.components import components
 from larkspur.llm.hashing import ODD, mix, shingle_hashes, slices
-from larkspur.llm.shared import materialize, plain, release
+from larkspur.llm.shared import materialize, plain, release, worker_for
 
 SLOTS = 360
 ROWS = 6
@@ -67,6 +67,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, set_hash, bands."""
 
     def run(batches):
+        worker_for("near_dedup")
         for b in batches:
             texts = b.column(1).to_pylist()
             for x, y in slices(texts):
@@ -90,6 +91,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     """doc_id and its set as a list of 64-bit hashes."""
 
     def run(batches):
+        worker_for("near_dedup")
         for b in batches:
             texts = b.column(1).to_pylist()
             for x, y in slices(texts):

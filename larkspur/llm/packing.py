@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.encoding import END_ID, encoded
-from larkspur.llm.shared import materialize, plain
+from larkspur.llm.shared import materialize, plain, worker_for
 
 CAPACITY = 1024
 GROUPS = 256
@@ -38,6 +38,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     end = END_ID.to_bytes(4, "little")
 
     def cut(batches):
+        worker_for("tokens")
         seen, part = np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_worker: dict[str, str] = {}
+_caches: list[Callable[[], None]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,3 +54,21 @@ def plain(df: DataFrame, *columns: str) -> DataFrame:
 
 def partitions(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def clears(cache: Callable[[], None]) -> Callable[[], None]:
+    """Register a function that empties a cache of this Python worker."""
+    _caches.append(cache)
+    return cache
+
+
+def worker_for(operator: str) -> None:
+    """Spark uses its Python workers again: one that turns to another operator gives the former one's memory back."""
+    if _worker.setdefault("operator", operator) != operator:
+        _worker["operator"] = operator
+        for clear in _caches:
+            clear()
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc; elsewhere the allocator decides
+        if trim:
+            trim(0)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.hashing import BYTE, ODD, mix, prefix, run_hash
-from larkspur.llm.shared import partitions, plain
+from larkspur.llm.shared import partitions, plain, worker_for
 from larkspur.llm.suffix_array import suffix_arrays
 
 LENGTH = 50
@@ -155,6 +155,7 @@ class _Anchors:
 
 def _send_anchors(length: int, gram: int, buckets: int):
     def run(key, table):
+        worker_for("suffix_dedup")
         own = _Anchors(Block(table), length, gram)
         anchor = own.anchor[own.first]
         kinds = np.minimum(own.kinds, 65535).astype("<u2")
@@ -173,6 +174,7 @@ def _judge_anchors(problem: int):
     """For each block and anchor that another block has too: 1 the one segment's first holder is here, 2 it is elsewhere, 2 + n dealt to n problems."""
 
     def run(key, table):
+        worker_for("suffix_dedup")
         parts = [_unpack(x) for x in table.column("payload").to_pylist()]
         sizes = [len(p[0]) for p in parts]
         anchor, content, least, kinds = (np.concatenate(c) for c in zip(*parts))
@@ -219,6 +221,7 @@ def _merged(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndar
 
 def _send_segments(length: int, gram: int, buckets: int):
     def run(key, texts, replies):
+        worker_for("suffix_dedup")
         if not texts.num_rows:
             return _rows([])
         block = Block(texts)
@@ -312,6 +315,7 @@ def _reply(source: np.ndarray, entry: np.ndarray, start: np.ndarray, end: np.nda
 
 def _sort_segments(length: int, buckets: int):
     def run(key, table):
+        worker_for("suffix_dedup")
         me = key[0].as_py()
         if me >= 0:  # a block's own spans pass through
             return table
@@ -369,6 +373,7 @@ def _sort_segments(length: int, buckets: int):
 
 def _meet_strings(length: int):
     def run(key, table):
+        worker_for("suffix_dedup")
         me = key[0].as_py()
         if me >= 0:
             return table
@@ -388,6 +393,7 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 def _take_out(with_text: bool, carried: bool):
     def run(key, texts, told):
+        worker_for("suffix_dedup")
         block = Block(texts)
         change = np.zeros(len(block.data) + 1, np.int32)
         entry = row = start = np.zeros(0, np.int64)

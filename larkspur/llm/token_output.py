@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.encoding import END_ID, encoded
-from larkspur.llm.shared import partitions, plain
+from larkspur.llm.shared import partitions, plain, worker_for
 
 FORMAT = {
     "compression": "zstd",
@@ -40,6 +40,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, files: int | None =
     end = END_ID.to_bytes(4, "little")
 
     def encode(batches):
+        worker_for("tokens")
         start, part = 0, TaskContext.get().partitionId()
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
