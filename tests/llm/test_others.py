@@ -1,0 +1,270 @@
+import hashlib
+import json
+import random
+import uuid
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from larkspur.llm import decontamination, language_id, merkle, packing, quality, sharding, shared, token_output, url_rules
+from larkspur.llm.encoding import encoder
+
+SF = "/root/testdata/sf0.001"
+BYTE, WORD = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "word_bpe_49k.json"))
+DOC = "doc_id long, text string"
+
+
+def docs(spark, sf=SF):
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_cached_units_equal_whole_texts(path):
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    random.seed(3)
+    odd = ["", " ", "  a \n b\nc ", "it's 's we'll\n't", "a\x1c b", "ΣΑΣ x", "日本 語", "<|endoftext|> x", "a b c　d", "é ́e á"]
+    odd += ["".join(random.choice("ab A.'é\n \t,s_1#²İ") for _ in range(random.randint(1, 40))) for _ in range(1500)]
+    for text, ids in zip(odd, encoder(path).encode(odd)):
+        assert ids == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
+def test_token_files_round_trip(spark):
+    rows = [(3, "b c"), (1, None), (2, ""), (2, "x"), (None, "last"), (7, "long " * 50_000)]
+    df = spark.createDataFrame([(*r, 9) for r in rows], DOC + ", start long")
+    path = shared.new_path(spark, "t")
+    token_output.write_tokens(df, path, WORD, 3)
+    t = Tokenizer.from_file(WORD)
+    got = token_output.token_digest(spark, path).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [1, 2, 2, 3, 7, None]
+    start = 0
+    for r in got:
+        texts = [x or "" for i, x in rows if i == r["doc_id"]]
+        ids = [[*t.encode(x, add_special_tokens=False).ids, 2] for x in texts]
+        assert r["start"] == start and (r["n_tokens"], r["ids_crc32"]) in [(len(i), zlib.crc32(np.array(i, "<u4").tobytes())) for i in ids]
+        start += r["n_tokens"]
+    assert token_output.read_index(spark, path).count() == 6
+    plan = token_output.read_index(spark, path)._jdf.queryExecution().toString()
+    assert "ReadSchema: struct<doc_id:bigint,n_tokens:bigint,local_start:bigint,part:int>" in plan
+    token_output.write_tokens(df.limit(0), path + "e", WORD, 2)
+    assert token_output.token_digest(spark, path + "e").count() == 0
+
+
+def test_packing(spark):
+    df = docs(spark).select("doc_id", "text").unionAll(spark.createDataFrame([(1000, None), (1001, "x " * 5000), (1001, "x")], DOC))
+    got = packing.pack(df, BYTE).collect()
+    t = Tokenizer.from_file(BYTE)
+    want = Counter()
+    for r in df.collect():
+        ids = [*t.encode(r["text"] or "", add_special_tokens=False).ids, 2]
+        first = len(ids) % 1024 or 1024
+        cuts = [0, *range(first, len(ids) + 1, 1024)]
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            want[r["doc_id"], k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())] += 1
+    assert Counter(tuple(r)[:5] for r in got) == want
+    sequences = {}
+    for r in got:
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    assert len(sequences) <= 1.03 * sum(r["length"] for r in got) / 1024 + 1
+    assert packing.pack(df.limit(0), BYTE).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_plans_cover_every_piece(seed):
+    random.seed(seed)
+    lengths = [min(1024, int(random.expovariate(1 / random.choice([20, 300, 900]))) + 1) for _ in range(4000)]
+    histogram = Counter(lengths)
+    rows, n = packing.plan(dict(histogram))
+    covered, room = Counter(), Counter()
+    for length, rank, count, sequence, _ in rows:
+        for i in range(count):
+            covered[length, rank + i] += 1
+            room[sequence + i] += length
+    assert all(v == 1 for v in covered.values()) and Counter(x for x, _ in covered) == histogram
+    assert len(room) == n and max(room.values()) <= 1024 and n <= 1.03 * sum(lengths) / 1024 + 1
+
+
+def test_language_held_out_accuracy(spark):
+    df = docs(spark, "/root/testdata/sf0.01")
+    rows = language_id.identify(df).join(df.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    assert len(rows) > 150 and sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.98 * len(rows)
+    assert all(0 < r["score"] <= 1 for r in rows)
+
+
+def test_language_odd_rows(spark):
+    rows = [(1, "the cat and the dog", "en"), (2, "le chat et le chien", "fr"), (3, None, "en"), (4, "", "fr"), (5, "12 34 !?", "fr"), (6, "the dog", None), (None, "chat", None), (6, "the dog", None), (4, "İ" * 30_000, None)]
+    df = spark.createDataFrame([(*r, True, 0.5) for r in rows], DOC + ", lang string, held_out boolean, score double")
+    got = [tuple(r) for r in language_id.identify(df).collect()]
+    assert len(got) == 9 and {p for i, _, p, _ in got if i in (3, 5)} == {"und"} and {p for i, _, p, _ in got if i == 6} == {"en"}
+    assert all(h == (i is not None and zlib.crc32(str(i).encode()) % 4 == 2) for i, h, _, _ in got)
+    kept = language_id.identified(df)
+    assert kept.schema == df.schema and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 4, 6, 6]
+    assert [r[2] for r in language_id.identify(df.withColumn("lang", df.lang.substr(99, 1)).filter("doc_id = 1").selectExpr("doc_id", "text", "cast(null as string) lang")).collect()] == ["und"]
+    assert language_id.identify(df.limit(0)).count() == 0
+
+
+def test_merkle(spark):
+    df = docs(spark).select("doc_id", "text").unionAll(spark.createDataFrame([(900, None), (901, "é. b\nc\n\nd"), (901, "x")], DOC))
+    rows = sorted(((r["doc_id"], r["text"] or "") for r in df.collect()), key=lambda r: -r[0])
+    got = {}
+    for r in merkle.compare_with_next(df).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    for i, (doc_id, text) in enumerate(rows):
+        if doc_id in (902, 901, 900) or rows[(i + 1) % len(rows)][0] == 901:
+            continue  # ties and their neighbours stand in the order of hashes
+        changed = merkle.edited(text, rows[(i + 1) % len(rows)][1])
+        (r,) = got[doc_id]
+        assert (r["n_chars"], r["edited_sha256"], r["fingerprint"]) == (len(text), hashlib.sha256(changed.encode()).hexdigest(), merkle.fingerprint(text))
+        assert r["near_edited"] == merkle.likeness(r["fingerprint"], r["edited_fingerprint"])
+    assert sum(map(len, got.values())) == len(rows)
+    one = merkle.compare_with_next(spark.createDataFrame([(1, "abcdef")], DOC)).collect()[0]
+    assert one["near_next"] == 1.0 and one["edited_sha256"] == hashlib.sha256(b"abcdab").hexdigest()
+    assert merkle.compare_with_next(df.limit(0)).count() == 0
+
+
+def test_merkle_likeness_and_differences():
+    a = "\n".join(f"This is line {i}. It goes on for a while." for i in range(40))
+    b = a.replace("line 20", "line twenty")
+    fa, fb = merkle.fingerprint(a), merkle.fingerprint(b)
+    assert 0.9 < merkle.likeness(fa, fb) < 1 and merkle.likeness(fa, fa) == 1 and len(merkle.differing(fa, fb)) <= 3
+    assert merkle.likeness(fa, merkle.fingerprint("")) == 0 and merkle.likeness(merkle.fingerprint(""), merkle.fingerprint("")) == 1
+    assert merkle.likeness(fa, merkle.fingerprint("other words")) == 0
+
+
+def test_sharding(spark):
+    table = sharding.ShardedTable(spark, shared.new_path(spark, "s"), target_bytes=400_000, small_bytes=20_000)
+    df = docs(spark).selectExpr("*", "cast(null as string) as path")
+    for i in range(5):
+        table.append(df.filter(f"doc_id % 5 = {i}"))
+    table.append(df.limit(0))
+    before = table.manifest()
+    after = table.compact()
+    assert after["version"] > before["version"] and len(after["shards"]) < len(before["shards"])
+    assert table.read(before["version"]).exceptAll(df).count() == 0 and table.read().exceptAll(df).count() == 0 and table.read().count() == 200
+    assert table.vacuum() > 0 and table.versions() == [after["version"]] and table.read().count() == 200
+    with pytest.raises(Exception, match="(?i)exist"):  # a second writer from the same version has to try again
+        table._commit({"version": after["version"] - 1}, after["schema"], [])
+    empty = sharding.ShardedTable(spark, shared.new_path(spark, "s"))
+    empty.append(df.limit(0))
+    assert empty.compact()["shards"] == [] or empty.read().count() == 0
+
+
+def test_decontamination_equals_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    items = [r["text"].split() for r in bench.filter("item_id < 4").orderBy("item_id").collect()]
+    planted = [
+        (9001, "x y z " * 20 + " ".join(items[0]).upper() + " q" * 30),
+        (9002, " ".join(["changed", *items[1][1:]])),
+        (9003, " ".join(items[2][: len(items[2]) // 2])),
+        (9004, " ".join([*items[3][:1], "inserted", *items[3][1:]])),
+        (9005, None), (9006, ""), (9001, "twice"),
+    ]
+    df = docs(spark, sf).select("doc_id", "text").unionAll(spark.createDataFrame(planted, DOC))
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(df.selectExpr("*", "1 as n", "2 as start"), bench).collect()}
+
+    def shingles(text):
+        w = (text or "").lower().split()
+        return [tuple(w[i : i + 5]) for i in range(len(w) - 4)] if len(w) >= 5 else [tuple(w)] if w else []
+
+    bags = {r["item_id"]: shingles(r["text"]) for r in bench.collect()}
+    want = set()
+    for r in df.collect():
+        s = shingles(r["text"])
+        have = set(s)
+        for item, bag in bags.items():
+            if not have.isdisjoint(bag):
+                n, c = len(bag), Counter(bag)
+                for at in range(max(1, len(s) - n + 1)):
+                    both = sum((Counter(s[at : at + n]) & c).values())
+                    if both / (len(s[at : at + n]) + n - both) >= 0.75:
+                        want.add((r["doc_id"], item))
+                        break
+    assert got == want and {(9001, 0), (9002, 1), (9004, 3)} <= got and not any(d == 9003 for d, _ in got)
+    assert decontamination.find_leaks(df.limit(0), bench).count() == 0 and decontamination.find_leaks(df, bench.limit(0)).count() == 0
+
+
+def test_quality(spark):
+    df, labels = docs(spark, "/root/testdata/sf0.01"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    odd = spark.createDataFrame([(5001, None, "en"), (5002, "", None), (5003, "The and of", None), (5003, "The and of", None)], DOC + ", lang string")
+    rows = quality.judge(df.select("doc_id", "text", "lang").unionAll(odd), labels).collect()
+    assert len(rows) == 1004
+    by = {r["doc_id"]: r for r in rows}
+    assert by[5001]["perplexity"] is None and not by[5001]["kept"] and not by[5002]["kept"] and by[5003]["perplexity"] > 0
+    known = {r["doc_id"]: r["quality"] for r in labels.filter("toxic = 0").collect()}
+    good = [by[i]["kept"] for i, q in known.items() if q == 1 and i in by]
+    bad = [by[i]["kept"] for i, q in known.items() if q == 0 and i in by]
+    assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.4 * len(bad)
+    assert quality.judge(df.limit(0), labels).count() == 0 and quality.judge(df.limit(5), labels.limit(0)).count() == 5
+
+
+def test_kneser_ney_probabilities_sum_to_one(spark):
+    df = docs(spark).select("text", "lang").limit(60)
+    models = quality.train(df)
+    assert set(models) >= {"", "en"}
+    for _, logs in models.values():
+        sums = np.exp(logs.astype(float)).reshape(-1, quality.SYMBOLS).sum(axis=1)
+        assert np.allclose(sums, 1, atol=1e-4)
+
+
+def plain_verdict(url):
+    rest = url.split("://", 1)[1] if url and "://" in url else None
+    if rest is None:
+        return "", "", None
+    ends = [i for i, c in enumerate(rest) if c in "/?#"] or [len(rest)]
+    host = "".join(c.lower() if c.isascii() else c for c in rest[: ends[0]])
+    after = rest[ends[0] :]
+    path = after[: min([i for i, c in enumerate(after) if c in "?#"] or [len(after)])]
+    best = None
+    for verdict, rule in url_rules.FIXED:
+        name, _, tail = rule.partition("/")
+        if (host == name or host.endswith("." + name)) and path.startswith("/" + tail) and (best is None or len(rule) > len(best[1])):
+            best = (verdict, rule)
+    return host, path, best
+
+
+def test_url_rules(spark):
+    bad = [f"http://shop{i}.cheap.net/buy/{i}?ref=x" for i in range(30)]
+    good = [f"http://site{i}.net/read/{i}" for i in range(70)]
+    odd = [None, "", "no scheme", "http://", "HTTP://EXAMPLE.ORG/en/12", "http://a.example.org/es/x?y#z", "https://x.com/fr/", "https://x.com/de/a#b", "http://org", "http://org/", "http://notcom/de/", "http://É.COM/fr/é", "a://b?c/d", "http://x\ny.com/de/"]
+    urls = bad + good + odd + [bad[0]]
+    pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")
+    labels = spark.createDataFrame([(i, i < 30) for i in range(100)] + [(0, None), (None, True), (12345, True)], "page_id long, bad boolean")
+    got = {r["page_id"]: r for r in url_rules.judge(pages, labels, support=0.05).collect()}
+    assert len(got) == len(urls)
+    for i, u in enumerate(urls):
+        host, path, rule = plain_verdict(u)
+        assert (got[i]["host"], got[i]["path"], got[i]["rule"]) == (host, path, rule and rule[1]), u
+        mined = u is not None and "cheap.net" in u
+        assert got[i]["verdict"] == (rule[0] if rule else "block" if mined else "allow"), u
+    assert url_rules.judge(pages.limit(0), labels).count() == 0 and url_rules.judge(pages, labels.limit(0)).filter("rule is null and verdict = 'block'").count() == 0
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline
+
+    table = docs(spark)
+    rows = table
+    for name, stage in corpus_pipeline.STAGES:
+        rows = shared.materialize(stage(spark, rows, SF), name)
+        if name != "packing":
+            assert rows.schema.simpleString() == table.schema.simpleString()
+    assert rows.count() == corpus_pipeline.run(spark, SF).count() > 0
+    assert json.dumps(sorted(r["doc_id"] for r in rows.select("doc_id").distinct().collect()))
+
+
+def test_registered(spark):
+    from larkspur.llm.queries import QUERIES
+
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 11)) and "pipeline" in QUERIES
+    assert uuid.uuid4()
