@@ -17,7 +17,7 @@ No group grows with the number of copies: blocks and problems send one entry for
 times. All texts are read whole; long documents are taken in pieces that overlap by length - 1 bytes.
 
 Null texts count as empty. doc_ids that are null count as larger than all others; rows with equal doc_id remove
-nothing from each other. Strings with different bytes are told apart by 112 bits of hashes or byte by byte.
+nothing from each other. Strings with different bytes are told apart by 96 bits of hashes or byte by byte.
 """
 
 from __future__ import annotations
@@ -164,7 +164,7 @@ def _send_anchors(length: int, gram: int, buckets: int):
             x, y = int(bounds[b]), int(bounds[b + 1])
             if x < y:
                 wide = np.ascontiguousarray(anchor[x:y]).astype("<u8")
-                rows.append((-1 - b, key[0].as_py(), x, _pack(wide, own.content[own.first[x:y]], own.least[x:y], kinds[x:y])))
+                rows.append((-1 - b, key[0].as_py(), x, _pack(wide, own.content[own.first[x:y]] >> np.uint64(16), own.least[x:y], kinds[x:y])))
         return _rows(rows)
 
     return run
@@ -365,7 +365,7 @@ def _sort_segments(length: int, buckets: int):
             for b in range(buckets):
                 i = by[cuts[b] : cuts[b + 1]]
                 if len(i):
-                    rows.append((-1 - b, me, STRINGS, _pack(name[i], check[i], id_[s[i]], source[s[i]], entry[s[i]], a[i].astype("<u2"))))
+                    rows.append((-1 - b, me, STRINGS, _pack(name[i], (check[i] >> np.uint64(32)).astype("<u4"), id_[s[i]], source[s[i]], entry[s[i]], a[i].astype("<u2"))))
         return _rows(rows)
 
     return run
@@ -446,8 +446,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = True
     docs = docs.select(F.col("doc_id").cast("long"), "text", *([F.struct(*carry).alias("carried")] if carry else []))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = partitions(spark)
-    blocks = max(n, -(-total // block_bytes))
-    buckets = max(n, total // (16 * BUCKET_ANCHORS))
+    blocks = max(1, -(-total // block_bytes))  # by the data alone: a row goes from each block to each bucket
+    buckets = max(1, -(-total // (16 * BUCKET_ANCHORS)))
     name = F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(blocks))
     texts = docs.withColumn("block", name).repartition(n, "block")
     by_block = texts.groupBy("block")
