@@ -28,7 +28,7 @@ from larkspur.llm.encoding import END_ID, encoded
 from larkspur.llm.shared import materialize, plain, worker_for
 
 CAPACITY = 1024
-GROUPS = 256
+GROUPS = 4096
 ROWS = 256
 _PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("local_rank", pa.int64())])
 
@@ -85,7 +85,7 @@ def _fullest(counts: dict[int, int], capacity: int) -> dict[int, int]:
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small: int | None = None) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """(length, first rank, pieces, first sequence, offset) for runs of pieces, and the number of sequences."""
-    small = capacity // 16 if small is None else small
+    small = capacity // 4 if small is None else small
     lengths = sorted((x for x in histogram if x > small and histogram[x]), reverse=True)
     # runs of equal length in descending order; the rank of a piece among all large ones decides its group
     ends, total = [], 0
