@@ -146,23 +146,41 @@ def stats(view: View, aggs: Sequence[Agg], by: Sequence[str] = (), span_ms: int
     plain = [a for a in aggs if a.kind not in QUANTILES]
     grouped = rows.groupBy(*quoted).agg(F.count("*").alias("__n"), *(column(a) for a in plain)).filter("__n > 0")
     for field in dict.fromkeys(a.field for a in aggs if a.kind in QUANTILES):
-        # nearest rank from counts of distinct values: combined before the shuffle, no list per group
-        counts = rows.filter(F.col(f"`#{field}`").isNotNull()).groupBy(*quoted, F.col(f"`#{field}`").alias("__x")).agg(F.count("*").alias("__c"))
-        group = Window.partitionBy(*quoted) if names else Window.partitionBy(F.lit(0))
-        ranked = counts.withColumn("__upto", F.sum("__c").over(group.orderBy("__x"))).withColumn("__all", F.sum("__c").over(group))
         mine = [a for a in aggs if a.kind in QUANTILES and a.field == field]
-        at = lambda a: F.floor((F.col("__all") - 1) * QUANTILES[a.kind] + 0.5)
-        values = ranked.groupBy(*quoted).agg(*(round4(F.min(F.when(F.col("__upto") > at(a), F.col("__x")))).alias(a.name) for a in mine))
-        if names:
-            joined = values.select(*(F.col(f"`{n}`").alias(f"__k{i}") for i, n in enumerate(names)), *(F.col(f"`{a.name}`") for a in mine))
-            on = [F.col(f"`{n}`") == F.col(f"__k{i}") for i, n in enumerate(names)]
-            grouped = grouped.join(joined, on, "left").drop(*(f"__k{i}" for i in range(len(names))))
-        else:
-            grouped = grouped.join(values.withColumn("__one", F.lit(1)), F.col("__n") > 0, "left").drop("__one")
+        values = rows.select(*(c.alias(f"__k{i}") for i, c in enumerate(quoted)), F.col(f"`#{field}`").alias("__x"))
+        ranks = _nearest_ranks(values, len(names), {a.name: QUANTILES[a.kind] for a in mine})
+        on = [F.col(f"`{n}`") == F.col(f"__k{i}") for i, n in enumerate(names)] or [F.col("__n") > 0]
+        grouped = grouped.join(ranks, on, "left").drop(*(f"__k{i}" for i in range(len(names))))
     columns = (*names, *(a.name for a in aggs))
     return Table(grouped.select(*(F.col(f"`{c}`") for c in columns)), columns, tuple((n, False) for n in names) or ((columns[0], False),))
 
 
+def _bin(x: Column) -> Column:
+    """A coarse order-preserving number of a double: 64 bins for each doubling."""
+    size = F.when(F.abs(x) == float("inf"), 1_000_000).otherwise(F.floor(F.log2(F.abs(x)) * 64) + 100_000)
+    return F.when(F.isnan(x), 2_000_000).when(x == 0, 0).otherwise(F.signum(x) * size).cast("long")
+
+
+def _nearest_ranks(values: DataFrame, keys: int, quantiles: dict[str, float]) -> DataFrame:
+    """Exact nearest ranks of __x by __k0, __k1, ...: counts of bins say in which bin a rank lies, and only its values are ordered.
+
+    Counts combine before the shuffle and no group is ordered as a whole, so one large group isn't one task's work.
+    """
+    names = [f"__k{i}" for i in range(keys)]
+    at = {n: F.floor((F.col("__all") - 1) * q + 0.5) for n, q in quantiles.items()}
+    counts = values.filter("__x is not null").groupBy(*names, "__x").agg(F.count("*").alias("__c")).withColumn("__bin", _bin(F.col("__x")))
+    group = Window.partitionBy(*(names or [F.lit(0)]))
+    bins = counts.groupBy(*names, "__bin").agg(F.sum("__c").alias("__in"))
+    bins = bins.withColumn("__to", F.sum("__in").over(group.orderBy("__bin"))).withColumn("__all", F.sum("__in").over(group))
+    hit = F.lit(False)
+    for t in at.values():
+        hit = hit | ((t < F.col("__to")) & (t >= F.col("__to") - F.col("__in")))
+    chosen = bins.filter(hit).select(*names, "__bin", "__all", (F.col("__to") - F.col("__in")).alias("__before"))
+    inside = Window.partitionBy(*names, "__bin").orderBy("__x")
+    ranked = counts.join(chosen, [*names, "__bin"]).withColumn("__upto", F.col("__before") + F.sum("__c").over(inside))
+    return ranked.groupBy(*names).agg(*(round4(F.min(F.when(F.col("__upto") > t, F.col("__x")))).alias(n) for n, t in at.items()))
+
+
 def timechart(view: View, span_ms: int, aggs: Sequence[Agg] = (Agg("count"),), by: Sequence[str] = (), cap: int | None = None) -> Table:
     """stats() with a time column; buckets without rows aren't filled in. cap: fail beyond so many groups."""
     table = stats(view, aggs, by, span_ms)
