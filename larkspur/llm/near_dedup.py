@@ -4,10 +4,11 @@ A document's set holds the hashes of its distinct five-word shingles. Documents
 known by its smallest doc_id, so copies meet only in one aggregation. SuperMinHash gives each element a random
 permutation of the signature's slots, step j offering j plus a fraction to one slot; a document stops as soon as
 no slot can improve, after a step or two for long ones. Classes that agree in a band (ROWS slots) share a
-bucket. In each bucket every class is first compared with one centre, three times with different centres, and
-what those links join into a component isn't compared again; then all classes of one bucket that are still in
-different components are compared, so that no link between different texts is lost and a large group of near
-copies costs as many comparisons as it has members. All comparisons are of full sets.
+bucket. In each bucket classes are first compared with one centre, and what those links join into a component isn't
+compared again; then all classes of one bucket that are still in different components are compared, but for pairs
+whose distances to the bucket's centre rule a link out (the Jaccard distance is a metric). So no link between
+different texts is lost, and a large group of near copies costs about as many comparisons as it has members. All
+comparisons are of full sets.
 
 Null or blank texts have an empty set, are linked with nothing and kept. Rows without a doc_id are linked with
 nothing: component_id is null and kept is true. Repeated rows are one class with one doc_id and are all kept if
@@ -32,7 +33,7 @@ ROWS = 6
 WIDTH = 5
 PERCENT = 75
 CHUNK = 6_000
-STAR_ROUNDS = 3
+FIRST_BANDS = 4
 
 
 def superminhash(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
@@ -102,13 +103,13 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are alike enough."""
+def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the sizes of their sets' intersection and union."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
     both = pairs.join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("set_a", "set_b"))
-    return both.filter(100 * common >= percent * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
+    return both.select("a", "b", common.alias("common"), (F.size("set_a") + F.size("set_b") - common).alias("all"))
 
 
 def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -117,36 +118,54 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = rows.filter("n_shingles > 0 and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
     classes = materialize(classes, "classes")
     reps = rows.join(classes.select("set_hash", F.col("rep").alias("doc_id")), ["set_hash", "doc_id"], "left_semi")
-    banded = reps.select(F.explode("bands").alias("bucket"), F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"))
+    banded = reps.select(F.posexplode("bands").alias("band", "bucket"), F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"))
     shared = banded.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("bucket")
     members = materialize(banded.join(shared, "bucket"), "members")
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     texts = plain(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi")
     sets = materialize(shingle_sets(texts), "sets")
-    alike = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("a") != F.col("b"))
-
-    links = None
-    joined = members.select("bucket", "rep", "n", F.col("rep").alias("component"))
-    for turn in range(STAR_ROUNDS + 1):
-        # buckets whose members are in several components
-        split = joined.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
-        open_rows = materialize(joined.join(split, "bucket"), "open") if turn else joined
-        if turn < STAR_ROUNDS:
-            rank = F.col("rep") if not turn else F.xxhash64(F.col("rep") + turn)
-            centres = open_rows.groupBy("bucket").agg(F.min(F.struct(rank.alias("k"), "rep", "n", "component")).alias("c"))
-            met = open_rows.join(centres, "bucket").select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c.rep").alias("b"), F.col("c.n").alias("nb"), F.col("component").alias("ca"), F.col("c.component").alias("cb"))
+    alike = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    linked = 100 * F.col("common") >= percent * F.col("all")
+
+    def against_centre(rows: DataFrame, rank) -> DataFrame:
+        """Every row of rows with the centre of its bucket, the row of the least rank."""
+        centres = rows.groupBy("bucket").agg(F.min(F.struct(rank.alias("k"), "rep", "n", "component")).alias("c"))
+        return rows.join(centres, "bucket").select("bucket", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("c.rep").alias("b"), F.col("c.n").alias("nb"), F.col("c.component").alias("cb"))
+
+    labels, distance = None, None
+    joined = members.withColumn("component", F.col("rep"))
+    for turn in range(4):
+        if turn:  # buckets whose members are in several components
+            split = joined.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
+            joined = materialize(joined.join(split, "bucket"), "open")
+            if joined.isEmpty():
+                break
+        if turn == 0:  # a few bands join most of what belongs together
+            met = against_centre(joined.filter(F.col("band") < FIRST_BANDS), F.col("rep")).filter(alike)
+        elif turn == 1:  # one class of each component in a bucket
+            one = joined.groupBy("bucket", "component").agg(F.min(F.struct(F.xxhash64("rep").alias("k"), "rep", "n")).alias("r")).select("bucket", "r.rep", "r.n", "component")
+            met = against_centre(one, F.xxhash64("rep")).filter(alike)
+        elif turn == 2:  # every class in an open bucket, whatever its size: distances serve the last turn
+            centred = materialize(against_centre(joined, F.col("rep")), "centred")
+            met = centred
         else:
-            x = open_rows.select("bucket", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-            y = open_rows.select("bucket", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-            met = x.join(y, "bucket").filter("ca < cb")
-        pairs = met.filter(alike & (F.col("ca") != F.col("cb"))).select("a", "b").distinct()
-        new = materialize(_verified(pairs, sets, percent), "links")
-        links = new if links is None else links.unionByName(new)
-        if turn and new.isEmpty() and turn < STAR_ROUNDS:
-            continue
-        found = components(links)
-        labels = materialize(found, "components")
-        joined = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
+            # distances obey the triangle inequality: two classes can only be linked if theirs to the centre differ little
+            near = centred.select("bucket", F.col("a").alias("rep"), "b").join(distance, (F.col("rep") == F.col("x")) & (F.col("b") == F.col("y")), "left")
+            near = near.select("bucket", "rep", F.when(F.col("rep") == F.col("b"), 0.0).otherwise(F.col("d")).alias("d"))
+            placed = joined.join(near, ["bucket", "rep"])
+            x = placed.select("bucket", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("d").alias("da"))
+            y = placed.select("bucket", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("d").alias("db"))
+            met = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("ca") < F.col("cb")) & alike & F.coalesce(F.abs(F.col("da") - F.col("db")) <= 1 - percent / 100 + 1e-9, F.lit(True)))
+        if turn != 2:
+            met = met.filter(F.col("ca") != F.col("cb"))
+        measured = materialize(_measured(met.filter("a <> b").select("a", "b").distinct(), sets), "measured")
+        if turn == 2:
+            distance = measured.select(F.col("a").alias("x"), F.col("b").alias("y"), (1 - F.col("common") / F.col("all")).alias("d"))
+        links = measured.filter(linked).select("a", "b")
+        if labels is not None:  # what is linked already is a star around each component's smallest member
+            links = links.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        labels = materialize(components(links), "components")
+        joined = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "band", "rep", "n", F.coalesce("component", "rep").alias("component"))
     release(members, sets)
     own = rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_hash")).alias("set_hash"))
     named = own.join(classes, "set_hash", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
