@@ -6,9 +6,10 @@ permutation of the signature's slots, step j offering j plus a fraction to one s
 no slot can improve, after a step or two for long ones. Classes that agree in a band (ROWS slots) share a
 bucket. In each bucket classes are first compared with one centre, and what those links join into a component isn't
 compared again; then all classes of one bucket that are still in different components are compared, but for pairs
-whose distances to the bucket's centre rule a link out (the Jaccard distance is a metric). So no link between
-different texts is lost, and a large group of near copies costs about as many comparisons as it has members. All
-comparisons are of full sets.
+whose counts against the bucket's centre rule a link out: two sets share at most the centre's shingles that neither
+misses and those beside the centre's that other sets hold too, both counted in PARTS parts by hash. So no link
+between different texts is lost, and a large group of near copies costs about as many comparisons as it has members.
+All comparisons are of full sets.
 
 Null or blank texts have an empty set, are linked with nothing and kept. Rows without a doc_id are linked with
 nothing: component_id is null and kept is true. Repeated rows are one class with one doc_id and are all kept if
@@ -21,7 +22,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.components import components
@@ -34,6 +35,7 @@ WIDTH = 5
 PERCENT = 75
 CHUNK = 6_000
 FIRST_BANDS = 4
+PARTS = 8  # a power of two
 
 
 def superminhash(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
@@ -103,13 +105,46 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) with the sizes of their sets' intersection and union."""
+def _by_part(test) -> Column:
+    """An array of test(k) for each part k."""
+    return F.array(*[test(k) for k in range(PARTS)])
+
+
+def _part(e: Column) -> Column:
+    return e.bitwiseAND(F.lit(PARTS - 1))
+
+
+def _counts(shingles: Column) -> Column:
+    """How many of the shingles each part has."""
+    return _by_part(lambda k: F.size(F.filter(shingles, lambda e: _part(e) == k)))
+
+
+def _measured(pairs: DataFrame, sets: DataFrame, parts: bool = False) -> DataFrame:
+    """The pairs (a, b) with the sizes of their sets' intersection and union; with parts also what a has beside b and misses of it."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
     both = pairs.join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("set_a", "set_b"))
-    return both.select("a", "b", common.alias("common"), (F.size("set_a") + F.size("set_b") - common).alias("all"))
+    out = ["a", "b", common.alias("common"), (F.size("set_a") + F.size("set_b") - common).alias("all")]
+    if parts:
+        out += [_counts(F.array_except("set_a", "set_b")).alias("beside"), _counts(F.array_except("set_b", "set_a")).alias("missing")]
+    return both.select(*out)
+
+
+def _placed(members: DataFrame, centred: DataFrame, measured: DataFrame, sets: DataFrame) -> DataFrame:
+    """members with their centre's size (size), what they miss of it (missing) and have beside it that other members may have (beside)."""
+    near = centred.select("bucket", "a", "b", F.col("nb").alias("size")).join(measured.select("a", "b", "beside", "missing"), ["a", "b"], "left")
+    own = members.select(F.col("rep").alias("doc_id")).distinct()
+    single = sets.join(own, "doc_id", "left_semi").select("doc_id", F.explode("shingles").alias("e")).groupBy("e").agg(F.count("*").alias("holders"), F.min("doc_id").alias("rep")).filter("holders = 1")
+    single = single.groupBy("rep").agg(_by_part(lambda k: F.count_if(_part(F.col("e")) == k)).alias("single"))
+    placed = members.join(near.withColumnRenamed("a", "rep"), ["bucket", "rep"]).join(single, "rep", "left")
+    # the centre itself misses nothing and has nothing beside
+    count = lambda name, k: F.coalesce(F.col(name)[k], F.lit(0))
+    return placed.select(
+        "bucket", "rep", "n", "component", "size",
+        _by_part(lambda k: count("missing", k)).alias("missing"),
+        _by_part(lambda k: F.greatest(count("beside", k) - count("single", k), F.lit(0))).alias("beside"),
+    )
 
 
 def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -132,7 +167,7 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         centres = rows.groupBy("bucket").agg(F.min(F.struct(rank.alias("k"), "rep", "n", "component")).alias("c"))
         return rows.join(centres, "bucket").select("bucket", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("c.rep").alias("b"), F.col("c.n").alias("nb"), F.col("c.component").alias("cb"))
 
-    labels, distance = None, None
+    labels = None
     joined = members.withColumn("component", F.col("rep"))
     for turn in range(4):
         if turn:  # buckets whose members are in several components
@@ -145,22 +180,18 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         elif turn == 1:  # one class of each component in a bucket
             one = joined.groupBy("bucket", "component").agg(F.min(F.struct(F.xxhash64("rep").alias("k"), "rep", "n")).alias("r")).select("bucket", "r.rep", "r.n", "component")
             met = against_centre(one, F.xxhash64("rep")).filter(alike)
-        elif turn == 2:  # every class in an open bucket, whatever its size: distances serve the last turn
+        elif turn == 2:  # every class in an open bucket, whatever its size: the counts serve the last turn
             centred = materialize(against_centre(joined, F.col("rep")), "centred")
             met = centred
         else:
-            # distances obey the triangle inequality: two classes can only be linked if theirs to the centre differ little
-            near = centred.select("bucket", F.col("a").alias("rep"), "b").join(distance, (F.col("rep") == F.col("x")) & (F.col("b") == F.col("y")), "left")
-            near = near.select("bucket", "rep", F.when(F.col("rep") == F.col("b"), 0.0).otherwise(F.col("d")).alias("d"))
-            placed = joined.join(near, ["bucket", "rep"])
-            x = placed.select("bucket", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("d").alias("da"))
-            y = placed.select("bucket", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("d").alias("db"))
-            met = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("ca") < F.col("cb")) & alike & F.coalesce(F.abs(F.col("da") - F.col("db")) <= 1 - percent / 100 + 1e-9, F.lit(True)))
+            placed = materialize(_placed(joined, centred, measured, sets), "placed")
+            x = placed.select("bucket", "size", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("missing").alias("missing_a"), F.col("beside").alias("beside_a"))
+            y = placed.select("bucket", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("missing").alias("missing_b"), F.col("beside").alias("beside_b"))
+            most = sum((F.least(F.col("beside_a")[k], F.col("beside_b")[k]) - F.greatest(F.col("missing_a")[k], F.col("missing_b")[k]) for k in range(PARTS)), F.col("size"))
+            met = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("ca") < F.col("cb")) & alike & ((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))))
         if turn != 2:
             met = met.filter(F.col("ca") != F.col("cb"))
-        measured = materialize(_measured(met.filter("a <> b").select("a", "b").distinct(), sets), "measured")
-        if turn == 2:
-            distance = measured.select(F.col("a").alias("x"), F.col("b").alias("y"), (1 - F.col("common") / F.col("all")).alias("d"))
+        measured = materialize(_measured(met.filter("a <> b").select("a", "b").distinct(), sets, parts=turn == 2), "measured")
         links = measured.filter(linked).select("a", "b")
         if labels is not None:  # what is linked already is a star around each component's smallest member
             links = links.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))

@@ -68,6 +68,27 @@ def test_chain_copies_and_odd_rows(spark):
     assert near_dedup.near_groups(df.limit(0)).collect() == []
 
 
+def test_group_of_edited_copies(spark):
+    """Copies of one text with few to many edits: some link with the first, some only with each other, some with none."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(1, " ".join(base))]
+    for i in range(2, 240):
+        words = list(base)
+        for at in rng.choice(150, rng.integers(1, 14), replace=False):
+            words[at] = f"x{i}n{at}"
+        rows.append((i, " ".join(words)))
+        if i % 9 == 0:  # an edited copy of the edited copy
+            words[int(rng.integers(150))] = f"y{i}"
+            rows.append((1000 + i, " ".join(words)))
+    got = {tuple(r) for r in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+    sizes = defaultdict(int)
+    for _, _, component, _ in got:
+        sizes[component] += 1
+    assert sizes[1] > 20 and sum(n == 2 for c, n in sizes.items()) > 3 and sum(n == 1 for n in sizes.values()) > 20
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(20)] + [(50, 40), (40, 45), (45, 50), (7, 7), (None, 3)]
     got = {tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
