@@ -134,11 +134,12 @@ def _measured(pairs: DataFrame, sets: DataFrame, parts: bool = False) -> DataFra
 def _placed(members: DataFrame, centred: DataFrame, measured: DataFrame, sets: DataFrame) -> DataFrame:
     """members with their centre's size (size), what they miss of it (missing) and have beside it that other members may have (beside)."""
     near = centred.select("bucket", "a", "b", F.col("nb").alias("size")).join(measured.select("a", "b", "beside", "missing"), ["a", "b"], "left")
-    own = members.select(F.col("rep").alias("doc_id")).distinct()
+    placed = members.join(near.withColumnRenamed("a", "rep"), ["bucket", "rep"])
+    # with the centres, so that what only one class and a centre hold isn't single
+    own = placed.select(F.explode(F.array("rep", "b")).alias("doc_id")).distinct()
     single = sets.join(own, "doc_id", "left_semi").select("doc_id", F.explode("shingles").alias("e")).groupBy("e").agg(F.count("*").alias("holders"), F.min("doc_id").alias("rep")).filter("holders = 1")
     single = single.groupBy("rep").agg(_by_part(lambda k: F.count_if(_part(F.col("e")) == k)).alias("single"))
-    placed = members.join(near.withColumnRenamed("a", "rep"), ["bucket", "rep"]).join(single, "rep", "left")
-    # the centre itself misses nothing and has nothing beside
+    placed = placed.join(single, "rep", "left")
     count = lambda name, k: F.coalesce(F.col(name)[k], F.lit(0))
     return placed.select(
         "bucket", "rep", "n", "component", "size",
@@ -170,6 +171,8 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     labels = None
     joined = members.withColumn("component", F.col("rep"))
     for turn in range(4):
+        if turn == 3:  # all pairs with a centre have been measured
+            joined = joined.join(centred.filter("a <> b").select("bucket", F.col("a").alias("rep")), ["bucket", "rep"], "left_semi")
         if turn:  # buckets whose members are in several components
             split = joined.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
             joined = materialize(joined.join(split, "bucket"), "open")
