@@ -1,11 +1,13 @@
 """Benchmark decontamination by SimHash windows, in DataFrame functions alone.
 
 Texts become lists of hashes of their five-word shingles (lower-cased words between blanks; fewer than five
-words: one shingle of all). A window is as many shingles of a document as a benchmark item has. A window that
-is alike enough shares shingles with the item, so windows are laid where a run of shared shingles begins, with
-the run at its place in the item. Each window and item gets a 64-bit SimHash, every shingle voting with its
-number of occurrences. Fingerprints are cut into RADIUS + 1 blocks: two that differ in at most RADIUS bits agree
-in a block, so the join on (size, block, bits) finds all within the radius. What it finds is verified by the
+words: one shingle of all). A window is as many shingles of a document as a benchmark item has. Windows are laid
+so that each ends at a shingle that an item of that size has: a window that ends at another one, moved back by a
+shingle, is at least as alike, so the first of the most alike windows is among these, in whatever order the
+document holds the item's parts. Those with too few such shingles to reach the similarity are left out, which
+loses none. Each window and item gets a 64-bit SimHash, every shingle voting with its number of occurrences.
+Fingerprints are cut into RADIUS + 1 blocks: two that differ in at most RADIUS bits agree in a block, so the
+join on (size, block, bits) finds all within the radius. What it finds is verified by the
 exact similarity of the two bags of shingles: the sum of the smaller counts over the sum of the larger.
 
 A document's matches are told apart by doc_id and text, so repeated rows give one match each item. Null or
@@ -71,20 +73,28 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
     """doc_id, item_id, start_word, n_words, similarity: the most alike window of each document for each item it holds."""
     items = with_shingles(plain(benchmark, "item_id", "text").filter("item_id is not null and text is not null").dropDuplicates(["item_id"]))
     items = items.withColumn("n", F.size("s"))
-    places = items.select("n", F.col("s").alias("item"), F.posexplode_outer("s").alias("at", "h"))
-    seeds = places.select("h", "n", "at", F.when(F.col("at") > 0, F.element_at("item", F.greatest(F.col("at"), F.lit(1)))).alias("before")).distinct().filter("h is not null")
+    seeds = items.select("n", F.explode("s").alias("h")).distinct()
     if seeds.count() <= BROADCAST_ROWS:
         seeds = F.broadcast(seeds)
 
-    read = with_shingles(plain(docs, "doc_id", "text").filter("text is not null").withColumn("text_hash", F.xxhash64("text")))
+    read = plain(docs, "doc_id", "text").filter("text is not null").withColumn("text_hash", F.xxhash64("text"))
     # outer: an inner explode would make Spark filter on `s` first, below the columns it is made of, and compute it anew
-    hits = read.select("doc_id", "text_hash", "s", F.posexplode_outer("s").alias("pos", "h")).join(seeds, "h")
-    # the first shingle of a run that the document and the item share
-    begins = F.col("before").isNull() | (F.col("pos") == 0) | (F.element_at("s", F.greatest(F.col("pos"), F.lit(1))) != F.col("before"))
-    start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.size("s") - F.col("n")))
-    windows = hits.filter(begins).select("doc_id", "text_hash", "n", start.alias("start"), F.slice("s", start + 1, F.col("n")).alias("w"))
-    windows = windows.groupBy("doc_id", "text_hash", "n", "start").agg(F.first("w").alias("w"))
-    windows = materialize(windows, "windows")  # fingerprints and verification both need them, the texts are read once
+    exploded = with_shingles(read).select("doc_id", "text_hash", F.size("s").alias("size"), F.posexplode_outer("s").alias("pos", "h"))
+    shared = exploded.join(seeds, "h").groupBy("doc_id", "text_hash", "n").agg(F.sort_array(F.collect_set("pos")).alias("at"), F.first("size").alias("size"))
+    n, at = F.col("n"), F.col("at")
+    least = F.greatest(F.lit(1), F.ceil((F.least(n, F.col("size")) + n) * (similarity / (1 + similarity)) - 1e-9).cast("int"))
+    ends = F.filter(at, lambda pos, i: F.get(at, i - least + 1) > pos - n)
+    starts = F.array_distinct(F.transform(ends, lambda pos: F.greatest(F.lit(0), pos - n + 1)))
+    laid = shared.select("doc_id", "text_hash", "n", starts.alias("starts")).filter(F.size("starts") > 0)
+    laid = laid.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("n", "starts")).alias("laid"))
+    laid = materialize(laid, "laid").select(F.col("doc_id").alias("laid_id"), F.col("text_hash").alias("laid_hash"), "laid")
+
+    # doc_id may be null, which equals itself here
+    held = read.join(laid, (F.col("text_hash") == F.col("laid_hash")) & F.col("doc_id").eqNullSafe(F.col("laid_id")))
+    held = with_shingles(held.select("doc_id", "text_hash", "text", "laid").dropDuplicates(["doc_id", "text_hash"]))
+    held = held.select("doc_id", "text_hash", "s", F.inline("laid")).select("doc_id", "text_hash", "s", "n", F.explode("starts").alias("start"))
+    windows = held.select("doc_id", "text_hash", "n", "start", F.slice("s", F.col("start") + 1, F.col("n")).alias("w"))
+    windows = materialize(windows, "windows")  # fingerprints and verification both need them
 
     key = ["doc_id", "text_hash", "n", "start"]
     indexed = items.select("item_id", "n", simhash(F.col("s")).alias("item_f")).select("item_id", "n", "item_f", F.inline(blocks(F.col("item_f"), radius)))
@@ -93,7 +103,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
 
     window_bag = windows.select(*key, F.size("w").alias("nw"), F.explode("w").alias("h")).groupBy(*key, "nw", "h").agg(F.count("*").alias("cw"))
     item_bag = items.select("item_id", F.explode("s").alias("h")).groupBy("item_id", "h").agg(F.count("*").alias("ci"))
-    # doc_id may be null, which equals itself here
     a, b = near.alias("a"), window_bag.alias("b")
     same = F.col("a.text_hash") == F.col("b.text_hash")
     for k in ("n", "start"):

@@ -194,6 +194,31 @@ def test_decontamination_equals_brute_force(spark):
     assert decontamination.find_leaks(df.limit(0), bench).count() == 0 and decontamination.find_leaks(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_parts_in_another_order(spark):
+    item = [f"w{i}" for i in range(60)]
+    a, b, other = item[:30], item[30:], [f"o{i}" for i in range(100)]
+    texts = {
+        1: [*other, *b, *a, *other[::-1]],
+        2: [*item[40:], *item[20:40], *item[:20]],
+        3: [*other, *item[:57], "x", "y", "z", *other],
+        4: [*other, *a, *other, *b],
+        5: [*item, *item[::-1], *b, *a],
+    }
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in [*texts.items(), (1, texts[1])]], DOC)
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    shingles = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    bag, want = Counter(shingles(item)), {}
+    for i, w in texts.items():
+        s = shingles(w)
+        both = [(sum((Counter(s[k : k + 56]) & bag).values()), -k) for k in range(max(1, len(s) - 55))]
+        most, first = max(both)
+        nw = len(s[-first : 56 - first])
+        if most / (nw + 56 - most) >= 0.75:
+            want[i] = (-first, nw + 4, pytest.approx(most / (nw + 56 - most)))
+    got = {r["doc_id"]: tuple(r)[2:] for r in decontamination.find_leaks(df, bench).collect()}
+    assert got == want and {1, 3, 5} <= set(want)
+
+
 def test_quality(spark):
     df, labels = docs(spark, "/root/testdata/sf0.01"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     odd = spark.createDataFrame([(5001, None, "en"), (5002, "", None), (5003, "The and of", None), (5003, "The and of", None)], DOC + ", lang string")
