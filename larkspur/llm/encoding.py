@@ -5,6 +5,9 @@ ids are its units' ids joined. Units are therefore looked up in a bounded cache
 reach the tokenizers library. Most unknown units are plain words with punctuation or a line end between:
 their words, which the pre-tokenizers split off anyhow, have a cache of their own and go straight to the
 library's BPE model.
+
+`encoded` gives what the library gives by default: a special token's text within a text becomes that token, and
+what stands before and after it is encoded as texts of their own. `UnitEncoder` takes such a text literally.
 """
 
 from __future__ import annotations
@@ -39,7 +42,14 @@ class UnitEncoder:
         self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             # a byte-level vocabulary keeps the blank before a word as part of it
-            self.lead = " " if json.load(f)["pre_tokenizer"]["type"] == "ByteLevel" else ""
+            data = json.load(f)
+        self.lead = " " if data["pre_tokenizer"]["type"] == "ByteLevel" else ""
+        added = data["added_tokens"]
+        if any(a[k] for a in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"{path}: added tokens that look at what stands beside them")
+        self.special = {a["content"]: a["id"].to_bytes(4, "little") for a in added}
+        longest = sorted(self.special, key=len, reverse=True)
+        self.cut = re.compile("(" + ("|".join(map(re.escape, longest)) or "(?!)") + ")")
         self.model = self.tokenizer.model
         self.line_end = np.array(self.tokenizer.encode("\n", add_special_tokens=False).ids, "<u4").tobytes()
         self.pieces: dict[str, bytes] = {}
@@ -112,6 +122,12 @@ def encoded(path: str, texts: list[str | None]) -> "list[bytes]":
         part.append(x or "")
         size += len(part[-1])
         if size > SLICE_CHARS:
-            out += enc.encode(part)
+            out += _with_special(enc, part)
             part, size = [], 0
-    return out + enc.encode(part) if part else out
+    return out + _with_special(enc, part) if part else out
+
+
+def _with_special(enc: UnitEncoder, texts: list[str]) -> list[bytes]:
+    cut = [enc.cut.split(x) for x in texts]  # text, special token, text, ...
+    ids = iter(enc.encode([x for parts in cut for x in parts[::2]]))
+    return [next(ids) + b"".join([enc.special[x] + next(ids) for x in parts[1::2]]) for parts in cut]

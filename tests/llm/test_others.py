@@ -11,7 +11,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from larkspur.llm import decontamination, language_id, merkle, packing, quality, sharding, shared, token_output, url_rules
-from larkspur.llm.encoding import encoder
+from larkspur.llm.encoding import encoded, encoder
 
 SF = "/root/testdata/sf0.001"
 BYTE, WORD = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -33,6 +33,17 @@ def test_cached_units_equal_whole_texts(path):
         assert ids == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_special_tokens_as_the_library_reads_them(path):
+    t = Tokenizer.from_file(path)
+    random.seed(4)
+    special = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>"]
+    texts = ["one <|endoftext|> two", "one  <|endoftext|>  two ", "<|endoftext|>", "a<|endoftext|>'s<|endoftext|><|endoftext|>\n", "<|<|endoftext|>|>", "É́<|startoftext|>́e", ""]
+    texts += ["".join(random.choice([*special, " ", "  ", "\n", "a", "it's", "Éa", "1", "\t"]) for _ in range(random.randint(1, 12))) for _ in range(1500)]
+    for text, ids in zip(texts, encoded(path, texts), strict=True):
+        assert ids == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
 def test_token_files_round_trip(spark):
     rows = [(3, "b c"), (1, None), (2, ""), (2, "x"), (None, "last"), (7, "long " * 50_000)]
     df = spark.createDataFrame([(*r, 9) for r in rows], DOC + ", start long")
