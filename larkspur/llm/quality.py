@@ -6,8 +6,7 @@ other languages. Counts, continuation counts, contexts and the interpolated prob
 aggregations and joins, sharded by language and n-gram. A model has at most SYMBOLS cubed entries whatever it is
 trained on, so it is looked up where the documents are and documents are never shuffled with their n-grams.
 
-Trusted text is a bounded sample: at most TRUSTED documents that are labelled good and not toxic, in the order
-of a hash of their doc_id. Everything else covers all documents: every whole text is scored, and a language's
+Trusted text is all documents that are labelled good and not toxic. Everything else covers all documents: every whole text is scored, and a language's
 threshold is the quantile of the perplexities of all its documents (to 0.1 %) at the level 1 - CAUTION * b, where b
 is the share of bad labels among all labelled documents of the language (of all, where it has none).
 
@@ -27,7 +26,6 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.shared import materialize, plain, worker_for
 
-TRUSTED = 4000
 SYMBOLS = 64
 CAUTION = 0.9
 LEAST_DISCOUNT = 0.1  # small counts of counts could give 0, and unseen trigrams no probability
@@ -178,11 +176,15 @@ def perplexities(docs: DataFrame, models: dict[str, tuple[list[int], np.ndarray]
     return plain(docs, "doc_id", "lang", "text").select(F.col("doc_id").cast("long"), "lang", "text").mapInArrow(score, "doc_id long, lang string, perplexity double")
 
 
-def judge(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED, caution: float = CAUTION) -> DataFrame:
+def labelled_good(known: DataFrame) -> DataFrame:
+    """doc_id of every document that the models learn from; known: one (doc_id, quality, toxic) a document."""
+    return known.filter("quality = 1 and toxic = 0").select("doc_id")
+
+
+def judge(docs: DataFrame, labels: DataFrame, caution: float = CAUTION) -> DataFrame:
     """doc_id, lang, perplexity, threshold, kept for every document; labels: (doc_id, quality, toxic)."""
     known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
-    sample = known.filter("quality = 1 and toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted).select("doc_id")
-    text = plain(docs, "doc_id", "lang", "text").filter("text is not null").join(F.broadcast(sample), "doc_id", "left_semi")  # at most `trusted` ids
+    text = plain(docs, "doc_id", "lang", "text").filter("text is not null").join(labelled_good(known), "doc_id", "left_semi")
     models = train(materialize(text.select("text", F.coalesce("lang", F.lit(ALL)).alias("lang")), "trusted"))
 
     scored = materialize(perplexities(docs, models).withColumn("bin", F.floor(F.log("perplexity") * BINS)), "perplexities")

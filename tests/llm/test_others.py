@@ -244,6 +244,14 @@ def test_quality(spark):
     assert quality.judge(df.limit(0), labels).count() == 0 and quality.judge(df.limit(5), labels.limit(0)).count() == 5
 
 
+def test_quality_learns_from_all_good_labels(spark):
+    ids = spark.range(9000)
+    df = ids.selectExpr("id as doc_id", "if(id < 4500, 'the cat and the dog', 'le chat et le chien') as text", "if(id < 4500, 'en', 'fr') as lang")
+    labels = ids.selectExpr("id as doc_id", "1 as quality", "if(id % 9 = 0, 1, 0) as toxic")
+    assert quality.labelled_good(labels).count() == 8000
+    assert {r["kept"] for r in quality.judge(df, labels).select("kept").distinct().collect()} == {True}
+
+
 def test_kneser_ney_probabilities_sum_to_one(spark):
     df = docs(spark).select("text", "lang").limit(60)
     models = quality.train(df)
