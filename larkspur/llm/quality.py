@@ -1,10 +1,12 @@
 """Quality by perplexity under interpolated modified Kneser-Ney models of trusted text.
 
-Each language's model is a character trigram model over a closed alphabet (its SYMBOLS - 2 most frequent
-characters, one symbol for all others, one for the edges of a text), with one more model of all trusted text for
-other languages. Counts, continuation counts, contexts and the interpolated probabilities are Spark
-aggregations and joins, sharded by language and n-gram. A model has at most SYMBOLS cubed entries whatever it is
-trained on, so it is looked up where the documents are and documents are never shuffled with their n-grams.
+Each language's model is a character trigram model over all characters, with one more model of all trusted text for
+other languages. An n-gram is a number of 21 bits a character. Counts, continuation counts, contexts and the
+interpolated probabilities are Spark aggregations and joins by language and n-gram; none is collected. The
+probabilities of all trigrams that documents hold are made the same way, and each document's trigrams, counted in
+the document, are joined to them and summed by document. That table is broadcast only up to BROADCAST_ROWS of it.
+Logarithms are whole numbers of 1 / SCALE, so sums don't depend on the order. A character no trusted text has
+counts as one more symbol of its model.
 
 Trusted text is all documents that are labelled good and not toxic. Everything else covers all documents: every whole text is scored, and a language's
 threshold is the quantile of the perplexities of all its documents (to 0.1 %) at the level 1 - CAUTION * b, where b
@@ -17,47 +19,42 @@ get equal results. Further columns are not read. Without trusted text every docu
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.shared import materialize, plain, worker_for
 
-SYMBOLS = 64
+BROADCAST_ROWS = 1_000_000
+SCALE = 1_000_000_000
 CAUTION = 0.9
 LEAST_DISCOUNT = 0.1  # small counts of counts could give 0, and unseen trigrams no probability
-EDGE, OTHER = 0, 1
+BITS = 21
+EDGE = 0x110000  # beside the characters: the edges of a text, and what no text has
+UNSEEN = EDGE + 1
+SYMBOLS = 64  # of train()'s view
 ALL = ""
 BINS = 1000  # bins of the logarithm of the perplexity: 0.1 % each
 
 
-def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Trigrams of all texts, each with two edges before and one after, and each text's number of them."""
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    return codes, np.array([len(x) for x in texts], np.int64)
-
-
-def _symbols(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Trigram numbers of all texts, each with two edge symbols before and one after, and each text's share of them."""
-    codes, sizes = _codes(texts)
-    size = int(sizes.sum())
-    out = np.zeros(size + 3 * len(texts), np.int32)
-    out[np.arange(size) + 2 + 3 * np.repeat(np.arange(len(texts)), sizes)] = table[codes]
-    grams = (out[:-2] << 12) | (out[1:-1] << 6) | out[2:]
-    ends = np.cumsum(sizes + 3)
+    sizes = np.array([len(x) for x in texts], np.int64)
+    out = np.full(len(codes) + 3 * len(texts), EDGE, np.int64)
+    out[np.arange(len(codes)) + 2 + 3 * np.repeat(np.arange(len(texts)), sizes)] = codes
+    grams = (out[:-2] << 2 * BITS) | (out[1:-1] << BITS) | out[2:]
     keep = np.ones(len(grams), bool)
+    ends = np.cumsum(sizes + 3)
     for k in (1, 2):  # trigrams that reach into the next text
-        cross = ends[:-1] - k
-        keep[cross] = False
+        keep[ends[:-1] - k] = False
     return grams[keep], sizes + 1
 
 
-def _table(alphabet: list[int]) -> np.ndarray:
-    table = np.full(0x110000, OTHER, np.int32)
-    table[alphabet] = np.arange(2, 2 + len(alphabet))
-    return table
+def _last(g: str, n: int) -> Column:
+    """The last n characters of an n-gram."""
+    return F.col(g).bitwiseAND(F.lit((1 << BITS * n) - 1))
 
 
 def _parts(batch, chars: int = 1_000_000):
@@ -85,95 +82,131 @@ def _discounts(counts: DataFrame) -> DataFrame:
 def _interpolated(counts: DataFrame, lower: DataFrame | None, order: int) -> tuple[DataFrame, DataFrame]:
     """(lang, g, p) and (lang, ctx, gamma) of one order, from its counts (lang, g, c) and the next lower order's (lang, g, p)."""
     kind = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-    rows = counts.join(_discounts(counts), "lang").select("lang", "g", "c", F.shiftright("g", 6).alias("ctx"), kind.alias("d"))
+    rows = counts.join(_discounts(counts), "lang").select("lang", "g", "c", F.shiftright("g", BITS).alias("ctx"), kind.alias("d"))
     contexts = rows.groupBy("lang", "ctx").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("gamma"))
     rows = rows.join(contexts, ["lang", "ctx"])
     if lower is None:
-        rows = rows.withColumn("q", F.lit(1.0 / SYMBOLS))
+        rows = rows.join(counts.groupBy("lang").agg((1.0 / (F.count("*") + 1)).alias("q")), "lang")  # one more: the unseen
     else:
-        below = F.col("g").bitwiseAND(F.lit((1 << 6 * (order - 1)) - 1))
-        rows = rows.withColumn("low", below).join(lower.select("lang", F.col("g").alias("low"), F.col("p").alias("q")), ["lang", "low"])
+        rows = rows.withColumn("low", _last("g", order - 1)).join(lower.select("lang", F.col("g").alias("low"), F.col("p").alias("q")), ["lang", "low"])
     p = (F.col("c") - F.col("d")) / F.col("total") + F.col("gamma") * F.col("q")
     return rows.select("lang", "g", p.alias("p")), contexts.select("lang", "ctx", "gamma")
 
 
 def kneser_ney(trigrams: DataFrame) -> list[tuple[int, DataFrame, DataFrame]]:
     """(order, probabilities of seen n-grams, weights of contexts) for orders 1 to 3, from (lang, g, c)."""
-    pairs = trigrams.groupBy("lang", F.col("g").bitwiseAND(F.lit(4095)).alias("g")).agg(F.count("*").alias("c"))
-    singles = pairs.groupBy("lang", F.col("g").bitwiseAND(F.lit(63)).alias("g")).agg(F.count("*").alias("c"))
+    pairs = trigrams.groupBy("lang", _last("g", 2).alias("g")).agg(F.count("*").alias("c"))
+    singles = pairs.groupBy("lang", _last("g", 1).alias("g")).agg(F.count("*").alias("c"))
     out, lower = [], None
     for order, counts in ((1, singles), (2, pairs), (3, trigrams)):
         lower, contexts = _interpolated(counts, lower, order)
+        lower, contexts = (materialize(x, f"{name}{order}") for name, x in (("seen", lower), ("contexts", contexts)))
         out.append((order, lower, contexts))
     return out
 
 
-def train(trusted: DataFrame) -> dict[str, tuple[list[int], np.ndarray]]:
-    """For each language of trusted (text, lang) and for ALL: its alphabet and the logarithms of all trigram probabilities."""
+def gram_counts(docs: DataFrame) -> DataFrame:
+    """(lang, g, c): every trigram of (lang, text, good) and how often the good texts have it."""
 
-    def characters(batches):
+    def count(batches):
+        worker_for("quality")
         for b in batches:
-            for _, texts, langs in _parts(b):
-                for lang in {*langs, ALL}:
-                    codes, _ = _codes([t for t, x in zip(texts, langs) if lang in (x, ALL)])
-                    found, n = np.unique(codes, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found.astype(np.int32)), pa.array(n)], names=["lang", "code", "n"])
-
-    by_count = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
-    chars = trusted.mapInArrow(characters, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    top = chars.withColumn("rank", F.row_number().over(by_count)).filter(F.col("rank") <= SYMBOLS - 2).collect()  # languages x alphabet
+            good = np.array(b.column("good").to_pylist(), bool)
+            for at, texts, langs in _parts(b):
+                for lang in set(langs):
+                    rows = [i for i, x in enumerate(langs) if x == lang and texts[i]]
+                    if not rows:
+                        continue
+                    grams, sizes = _trigrams([texts[i] for i in rows])
+                    learnt = np.repeat(good[[at + i for i in rows]], sizes)
+                    for part, times in ((grams[learnt], 1), (grams[~learnt], 0)):
+                        found, n = np.unique(part, return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found), pa.array(n.astype(np.int64) * times)], names=["lang", "g", "c"])
+
+    rows = docs.select("lang", "text", "good").mapInArrow(count, "lang string, g long, c long")
+    return materialize(rows.groupBy("lang", "g").agg(F.sum("c").alias("c")), "grams")
+
+
+def learn(grams: DataFrame) -> list[tuple[int, DataFrame, DataFrame]]:
+    """The models of each language and of ALL, from gram_counts()."""
+    seen = grams.filter("c > 0")
+    whole = seen.groupBy("g").agg(F.sum("c").alias("c")).select(F.lit(ALL).alias("lang"), "g", "c")
+    return kneser_ney(materialize(seen.filter(F.col("lang") != ALL).unionByName(whole), "trigrams"))
+
+
+def log_probabilities(grams: DataFrame, models: list[tuple[int, DataFrame, DataFrame]]) -> DataFrame:
+    """Adds `lp`, SCALE times the logarithm of each trigram's probability, to (lang, g); languages without a model take ALL's."""
+    single, whole = models[0][1], models[0][2]
+    rest = single.groupBy(F.col("lang").alias("m")).agg(F.count("*").alias("v")).join(whole.select(F.col("lang").alias("m"), "gamma"), "m")
+    rest = rest.select("m", (F.col("gamma") / (F.col("v") + 1)).alias("rest"))  # one row a language
+    rows = grams.join(F.broadcast(rest.select(F.col("m").alias("lang"), F.col("m").alias("own"))), "lang", "left").withColumn("m", F.coalesce("own", F.lit(ALL)))
+    rows = rows.join(F.broadcast(rest), "m", "left").withColumn("p", F.coalesce("rest", F.lit(1.0 / UNSEEN)))
+    for order, seen, contexts in models:
+        rows = rows.withColumn("k", _last("g", order)).withColumn("ctx", F.shiftright("k", BITS))
+        if order > 1:
+            rows = rows.join(contexts.withColumnRenamed("lang", "m"), ["m", "ctx"], "left").withColumn("p", F.col("p") * F.coalesce("gamma", F.lit(1.0))).drop("gamma")
+        rows = rows.join(seen.select(F.col("lang").alias("m"), F.col("g").alias("k"), F.col("p").alias("known")), ["m", "k"], "left")
+        rows = rows.withColumn("p", F.coalesce("known", "p")).drop("known", "k", "ctx")
+    return rows.withColumn("lp", F.round(F.log("p") * SCALE).cast("long")).drop("m", "own", "rest", "p")
+
+
+def train(trusted: DataFrame) -> dict[str, tuple[list[int], np.ndarray]]:
+    """A dense view of small models, for inspection and tests only: each language's most frequent characters and the
+    logarithms of the probabilities of SYMBOLS outcomes (these, the edge, all others added up) after each two of them."""
+    grams = gram_counts(trusted.select("text", F.coalesce("lang", F.lit(ALL)).alias("lang"), F.lit(True).alias("good")))
+    models = learn(grams)
+    by_p = Window.partitionBy("lang").orderBy(F.desc("p"), "g")
+    chars = models[0][1].filter(F.col("g") != EDGE).withColumn("rank", F.row_number().over(by_p))
     alphabets: dict[str, list[int]] = {}
-    for r in sorted(top, key=lambda r: (r["lang"], r["rank"])):
-        alphabets.setdefault(r["lang"], []).append(r["code"])
+    for r in chars.filter(F.col("rank") <= SYMBOLS - 2).orderBy("lang", "rank").collect():
+        alphabets.setdefault(r["lang"], []).append(r["g"])
+    symbols = [(lang, x, i) for lang, top in alphabets.items() for i, x in enumerate([UNSEEN, EDGE, *top])]
+    symbols = trusted.sparkSession.createDataFrame(symbols, "lang string, x long, i int")
+    outcomes = models[0][1].select("lang", F.col("g").alias("x")).unionByName(symbols.filter("i = 0").select("lang", "x"))
+    outcomes = outcomes.join(symbols, ["lang", "x"], "left").select("lang", F.col("x").alias("z"), F.coalesce("i", F.lit(0)).alias("zi"))
+    wanted = symbols.select("lang", F.col("x").alias("a"), F.col("i").alias("ai")).join(symbols.select("lang", F.col("x").alias("b"), F.col("i").alias("bi")), "lang").join(outcomes, "lang")
+    g = F.shiftleft("a", 2 * BITS).bitwiseOR(F.shiftleft("b", BITS)).bitwiseOR(F.col("z"))
+    sums = log_probabilities(wanted.select("lang", g.alias("g"), "ai", "bi", "zi"), models).groupBy("lang", "ai", "bi", "zi").agg(F.sum(F.exp(F.col("lp") / SCALE)).alias("p")).toArrow()
+    names = np.array(sums.column("lang").to_pylist())
+    a, b, k, p = (sums.column(x).to_numpy() for x in ("ai", "bi", "zi", "p"))
+    out = {}
+    for lang, top in alphabets.items():
+        size, mine = len(top) + 2, names == lang
+        full = np.zeros((size, size, SYMBOLS))
+        full[a[mine], b[mine], k[mine]] = p[mine]
+        with np.errstate(divide="ignore"):
+            out[lang] = (top, np.log(full).reshape(-1).astype(np.float32))
+    return out
+
+
+def perplexities(docs: DataFrame, table: DataFrame) -> DataFrame:
+    """doc_id, lang, perplexity of every document; table: (lang, g, lp)."""
+    gram = pa.struct([("g", pa.int64()), ("n", pa.int32())])
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("lang", pa.string()), ("grams", pa.list_(gram))])
 
     def count(batches):
-        for b in batches:
-            for _, texts, langs in _parts(b):
-                for lang in {*langs, ALL}:
-                    grams, _ = _symbols([t for t, x in zip(texts, langs) if lang in (x, ALL)], _table(alphabets.get(lang, [])))
-                    found, n = np.unique(grams, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found.astype(np.int32)), pa.array(n)], names=["lang", "g", "c"])
-
-    trigrams = materialize(trusted.mapInArrow(count, "lang string, g int, c long").groupBy("lang", "g").agg(F.sum("c").alias("c")), "trigrams")
-    # dense tables: what was not seen takes the lower order's probability, by its context's weight
-    dense: dict[str, np.ndarray] = {}
-    for order, seen, contexts in kneser_ney(trigrams):
-        full: dict[str, np.ndarray] = {}
-        weights = {lang: np.ones(SYMBOLS ** (order - 1)) for lang in alphabets}
-        for r in contexts.collect():  # at most SYMBOLS ** 2 a language, and below SYMBOLS ** 3
-            weights[r["lang"]][r["ctx"]] = r["gamma"]
-        for lang in alphabets:
-            low = dense[lang] if order > 1 else np.full(1, 1.0 / SYMBOLS)
-            full[lang] = (weights[lang].reshape(SYMBOLS if order > 1 else 1, -1, 1) * low.reshape(1, -1, SYMBOLS if order > 1 else 1)).reshape(-1)
-            if order == 1:
-                full[lang] = np.full(SYMBOLS, full[lang][0])
-        for r in seen.collect():
-            full[r["lang"]][r["g"]] = r["p"]
-        dense = full
-    return {lang: (alphabets[lang], np.log(dense[lang]).astype(np.float32)) for lang in alphabets}
-
-
-def perplexities(docs: DataFrame, models: dict[str, tuple[list[int], np.ndarray]]) -> DataFrame:
-    """doc_id, lang, perplexity of every document."""
-    models = models or {ALL: ([], np.full(SYMBOLS**3, -math.log(SYMBOLS), np.float32))}
-    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("perplexity", pa.float64())])
-
-    def score(batches):
         worker_for("quality")
-        tables = {lang: _table(a) for lang, (a, _) in models.items()}
         for b in batches:
             for at, texts, langs in _parts(b):
-                out = np.full(len(texts), np.nan)
-                name = [x if x in models else ALL for x in langs]
-                for lang in set(name):
-                    rows = [i for i, x in enumerate(name) if x == lang and texts[i]]
-                    if rows:
-                        grams, sizes = _symbols([texts[i] for i in rows], tables[lang])
-                        sums = np.add.reduceat(models[lang][1][grams].astype(np.float64), np.cumsum(sizes) - sizes)
-                        out[rows] = np.exp(-sums / sizes)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), pa.array(langs, pa.string()), pa.array(out, from_pandas=True)], schema=schema)
-
-    return plain(docs, "doc_id", "lang", "text").select(F.col("doc_id").cast("long"), "lang", "text").mapInArrow(score, "doc_id long, lang string, perplexity double")
+                found, n, ends = [], [], [0]
+                filled = [x for x in texts if x]
+                grams, sizes = _trigrams(filled) if filled else (np.empty(0, np.int64), np.empty(0, np.int64))
+                cuts = iter(np.split(grams, np.cumsum(sizes)[:-1]) if filled else [])
+                for x in texts:
+                    if x:
+                        one, times = np.unique(next(cuts), return_counts=True)
+                        found.append(one)
+                        n.append(times)
+                    ends.append(ends[-1] + (len(found[-1]) if x else 0))
+                flat = [pa.array(np.concatenate(x) if x else np.empty(0), t) for x, t in ((found, pa.int64()), ([y.astype(np.int32) for y in n], pa.int32()))]
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(flat, fields=list(gram)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), b.column(1).slice(at, len(texts)), pa.array(langs, pa.string()), lists], schema=schema)
+
+    rows = plain(docs, "doc_id", "lang", "text").select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "lang", "text")
+    rows = rows.mapInArrow(count, "row long, doc_id long, lang string, grams array<struct<g:long,n:int>>")
+    rows = rows.select("row", "doc_id", F.col("lang").alias("own"), F.coalesce("lang", F.lit(ALL)).alias("lang"), F.inline_outer("grams"))
+    sums = rows.join(table, ["lang", "g"], "left").groupBy("row", "doc_id", "own").agg((F.sum(F.col("lp") * F.col("n")) / F.sum("n") / SCALE).alias("mean"))
+    return sums.select("doc_id", F.col("own").alias("lang"), F.exp(-F.col("mean")).alias("perplexity"))
 
 
 def labelled_good(known: DataFrame) -> DataFrame:
@@ -184,10 +217,14 @@ def labelled_good(known: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, labels: DataFrame, caution: float = CAUTION) -> DataFrame:
     """doc_id, lang, perplexity, threshold, kept for every document; labels: (doc_id, quality, toxic)."""
     known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
-    text = plain(docs, "doc_id", "lang", "text").filter("text is not null").join(labelled_good(known), "doc_id", "left_semi")
-    models = train(materialize(text.select("text", F.coalesce("lang", F.lit(ALL)).alias("lang")), "trusted"))
-
-    scored = materialize(perplexities(docs, models).withColumn("bin", F.floor(F.log("perplexity") * BINS)), "perplexities")
+    good = labelled_good(known).select("doc_id", F.lit(True).alias("good"))
+    text = plain(docs, "doc_id", "lang", "text").filter("text is not null").join(good, "doc_id", "left")
+    grams = gram_counts(text.select("text", F.coalesce("lang", F.lit(ALL)).alias("lang"), F.coalesce("good", F.lit(False)).alias("good")))
+    table = materialize(log_probabilities(grams.select("lang", "g"), learn(grams)), "probabilities")
+    if table.count() <= BROADCAST_ROWS:
+        table = F.broadcast(table)
+
+    scored = materialize(perplexities(docs, table).withColumn("bin", F.floor(F.log("perplexity") * BINS)), "perplexities")
     bad = scored.select("doc_id", "lang").join(known, "doc_id").groupBy("lang").agg(F.sum(1 - F.col("quality")).alias("bad"), F.count("*").alias("n"))
     bad = materialize(bad, "labels")
     overall = bad.agg(F.sum("bad") / F.sum("n")).first()[0] or 0.0

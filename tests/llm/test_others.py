@@ -252,6 +252,17 @@ def test_quality_learns_from_all_good_labels(spark):
     assert {r["kept"] for r in quality.judge(df, labels).select("kept").distinct().collect()} == {True}
 
 
+def test_quality_tells_characters_apart_whatever_their_number(spark):
+    random.seed(5)
+    clean = [" ".join("".join(chr(0x4E00 + random.randrange(40) * 10 + k) for k in range(10)) for _ in range(20)) for _ in range(150)]
+    junk = ["".join(chr(0x4E00 + random.randrange(400)) for _ in range(220)) for _ in range(20)]
+    df = spark.createDataFrame([(i, x, "zh") for i, x in enumerate(clean + junk)], DOC + ", lang string")
+    labels = df.selectExpr("doc_id", "int(doc_id < 150) as quality", "0 as toxic")
+    by = {r["doc_id"]: r for r in quality.judge(df, labels).collect()}
+    assert max(by[i]["perplexity"] for i in range(150)) * 2 < min(by[i]["perplexity"] for i in range(150, 170))
+    assert sum(by[i]["kept"] for i in range(150)) >= 145 and not all(by[i]["kept"] for i in range(150, 170))
+
+
 def test_kneser_ney_probabilities_sum_to_one(spark):
     df = docs(spark).select("text", "lang").limit(60)
     models = quality.train(df)
