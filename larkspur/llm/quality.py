@@ -218,7 +218,10 @@ def judge(docs: DataFrame, labels: DataFrame, caution: float = CAUTION) -> DataF
     """doc_id, lang, perplexity, threshold, kept for every document; labels: (doc_id, quality, toxic)."""
     known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
     good = labelled_good(known).select("doc_id", F.lit(True).alias("good"))
-    text = plain(docs, "doc_id", "lang", "text").filter("text is not null").join(good, "doc_id", "left")
+    # labels grow with the corpus, so they are never broadcast; rows without doc_id have no label and are dealt by their text
+    text = plain(docs, "doc_id", "lang", "text").filter("text is not null")
+    text = text.withColumn("deal", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(0))
+    text = text.join(good.withColumn("deal", F.lit(0).cast("long")).hint("shuffle_hash"), ["doc_id", "deal"], "left")
     grams = gram_counts(text.select("text", F.coalesce("lang", F.lit(ALL)).alias("lang"), F.coalesce("good", F.lit(False)).alias("good")))
     table = materialize(log_probabilities(grams.select("lang", "g"), learn(grams)), "probabilities")
     if table.count() <= BROADCAST_ROWS:
