@@ -1,12 +1,14 @@
 """Best-fit packing of documents into sequences by linear grouping.
 
 Tokenised documents become pieces of at most `capacity` tokens. `plan` sees only how many pieces there are of
-each length (at most `capacity` numbers, whatever the corpus holds) and works in four steps: pieces longer than
-`small` are put in descending order into groups of equal cardinality, whose lengths are rounded up to the
-group's largest; sequences of few such sizes are optimised, each time the fullest that holds the largest
-remaining size, as often as the counts allow; the groups' actual pieces are substituted, which gives back the
-rounding; then pieces of up to `small` tokens go, longest first, where the least room is left. The plan says
-for each run of equally long pieces which run of sequences it goes to, so each executor places its own pieces.
+each length (at most `capacity` numbers, whatever the corpus holds). Full pieces are sequences of their own; the
+others go in four steps: pieces longer than `small` are put in descending order into groups of equal
+cardinality, whose lengths are rounded up to the group's largest; sequences of few such sizes are optimised, each
+time the fullest that holds the largest remaining size, as often as the counts allow; the groups' actual pieces are
+substituted, which gives back the rounding; then pieces of up to `small` tokens go, longest first, where the least
+room is left. Several numbers of groups and shares of the capacity that count as small are tried, and the plan of
+fewest sequences stays. It says for each run of equally long pieces which run of sequences it goes to, so each executor places its
+own pieces.
 
 Null texts count as empty (one piece that holds the end id). Repeated doc_ids are separate documents. An empty
 table gives no pieces. Further columns of the input are not read.
@@ -28,9 +30,14 @@ from larkspur.llm.encoding import END_ID, encoded
 from larkspur.llm.shared import materialize, plain, worker_for
 
 CAPACITY = 1024
-GROUPS = 4096
+GROUPS = (32, 256)
+SMALL_SHARES = (0.25, 0.375, 0.5)
 ROWS = 256
-_PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("local_rank", pa.int64())])
+PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
+_PIECE = pa.schema(
+    [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
+    + [("part", pa.int32()), ("local_rank", pa.int64())]
+)
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
@@ -50,15 +57,15 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
                     start, k = 0, 0
                     length = n % capacity or capacity
                     while start < n:
-                        out.append((doc_id, k, start, length, zlib.crc32(data[4 * start : 4 * (start + length)]), part, int(seen[length])))
+                        crc = zlib.crc32(data[4 * start : 4 * (start + length)])
+                        out.append((doc_id, k, start, length, crc, part, int(seen[length])))
                         seen[length] += 1
                         start, k, length = start + length, k + 1, capacity
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _PIECE)], schema=_PIECE)
 
-    return plain(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        cut, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local_rank long"
-    )
+    rows = plain(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
+    return rows.mapInArrow(cut, PIECE + ", part int, local_rank long")
 
 
 def _fullest(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -83,24 +90,33 @@ def _fullest(counts: dict[int, int], capacity: int) -> dict[int, int]:
     return used
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small: int | None = None) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """(length, first rank, pieces, first sequence, offset) for runs of pieces, and the number of sequences."""
-    small = capacity // 4 if small is None else small
-    lengths = sorted((x for x in histogram if x > small and histogram[x]), reverse=True)
+Run = tuple[int, int, int, int, int]
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[Run], int]:
+    """(length, first rank, pieces, first sequence, offset) for runs of pieces, and the number of sequences: the best grouped()."""
+    plans = [grouped(histogram, capacity, groups, int(share * capacity)) for share in SMALL_SHARES for groups in GROUPS]
+    return min(plans, key=lambda p: p[1])
+
+
+def grouped(histogram: dict[int, int], capacity: int, groups: int, small: int) -> tuple[list[Run], int]:
+    """plan() with so many groups of pieces that are longer than small."""
+    lengths = sorted((x for x in histogram if small < x < capacity and histogram[x]), reverse=True)
     # runs of equal length in descending order; the rank of a piece among all large ones decides its group
     ends, total = [], 0
     for x in lengths:
         total += histogram[x]
         ends.append(total)
-    per = -(-total // groups) if total else 1
-    sizes, counts, at, g = {}, defaultdict(int), {}, 0
+    firsts = [0, *ends[:-1]] if len(ends) <= groups else list(range(0, total, -(-total // groups)))  # few lengths: no rounding
+    counts: dict[int, int] = defaultdict(int)
     by_size: dict[int, list[list[int]]] = defaultdict(list)  # rounded size: runs of ranks [from, to)
-    for first in range(0, total, per):
+    for first, last in zip(firsts, [*firsts[1:], total]) if total else ():
         size = lengths[int(np.searchsorted(ends, first, side="right"))]
-        last = min(first + per, total)
         counts[size] += last - first
         by_size[size].append([first, last])
     blocks: list[tuple[int, list[tuple[int, int]]]] = []  # (sequences, [(length, first rank within its length)])
+    if full := histogram.get(capacity):
+        blocks.append((full, [(capacity, 0)]))
 
     def take(size: int, n: int) -> list[tuple[int, int]]:
         """The next n pieces of a rounded size as runs (first rank, pieces)."""
@@ -150,7 +166,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
     room: dict[int, list[tuple[int, list[tuple[int, int]]]]] = defaultdict(list)
     for block in blocks:
         room[capacity - sum(x for x, _ in block[1])].append(block)
-    for length in sorted((x for x in histogram if x <= small and histogram[x]), reverse=True):
+    for length in sorted((x for x in histogram if x <= min(small, capacity - 1) and histogram[x]), reverse=True):
         left, rank = histogram[length], 0
         gaps = [x for x in room if x >= length and room[x]]
         heapq.heapify(gaps)
@@ -185,18 +201,19 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
     return rows, sequence
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: where each piece of each document goes."""
     cut = materialize(pieces(docs, tokenizer, capacity), "pieces")
     counts = cut.groupBy("part", "length").count()
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
-    rows, _ = plan(histogram, capacity, groups)
+    rows, _ = plan(histogram, capacity)
     rows = np.array(sorted(rows), np.int64).reshape(-1, 5)
     keys = rows[:, 0] << 44 | rows[:, 1]  # (length, first rank), ascending
 
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("part", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    ranked = cut.join(bases, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("local_rank")).alias("rank"))
+    rank = (F.col("base") + F.col("local_rank")).alias("rank")
+    ranked = cut.join(bases, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", rank)
 
     def place(batches):
         for b in batches:
@@ -207,4 +224,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, groups: int
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
             )
 
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(place, PIECE + ", sequence_id long, offset long")

@@ -19,7 +19,9 @@ def docs(spark, sf=SF):
 
 
 def test_packing(spark):
-    df = docs(spark).select("doc_id", "text").unionAll(spark.createDataFrame([(1000, None), (1001, "x " * 5000), (1001, "x")], DOC))
+    odd = [(1000, None), (1001, "x " * 5000), (1001, "x"), (None, "no id"), (1002, "y <|endoftext|> z" + " w" * 300_000)]
+    df = docs(spark).select("doc_id", "text").unionAll(spark.createDataFrame(odd, DOC))
+    df = df.selectExpr("*", "1 as piece", "2 as length", "'s' as sequence_id", "0 as part")  # names of its own columns
     got = packing.pack(df, BYTE).collect()
     t = Tokenizer.from_file(BYTE)
     want = Counter()
@@ -56,3 +58,10 @@ def test_plans_cover_every_piece(seed):
             room[sequence + i] += length
     assert all(v == 1 for v in covered.values()) and Counter(x for x, _ in covered) == histogram
     assert len(room) == n and max(room.values()) <= 1024 and n <= 1.01 * sum(lengths) / 1024 + 1
+
+
+def test_full_and_few_lengths():
+    assert packing.plan({1024: 7}) == ([(1024, 0, 7, 0, 0)], 7)
+    assert packing.plan({}) == ([], 0)
+    assert packing.plan({512: 10, 300: 4, 200: 4, 12: 4})[1] == 5 + 2
+    assert packing.plan({700: 50, 324: 50})[1] == 50
