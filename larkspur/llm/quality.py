@@ -8,9 +8,10 @@ the document, are joined to them and summed by document. That table is broadcast
 Logarithms are whole numbers of 1 / SCALE, so sums don't depend on the order. A character no trusted text has
 counts as one more symbol of its model.
 
-Trusted text is all documents that are labelled good and not toxic. Everything else covers all documents: every whole text is scored, and a language's
-threshold is the quantile of the perplexities of all its documents (to 0.1 %) at the level 1 - CAUTION * b, where b
-is the share of bad labels among all labelled documents of the language (of all, where it has none).
+Trusted text is all documents that are labelled good and not toxic. Everything else covers all documents: every
+whole text is scored, and a language's threshold is the quantile of the perplexities of all its documents (to 0.1 %)
+at the level 1 - CAUTION * b, where b is the share of bad labels among all labelled documents of the language (of
+all, where it has none).
 
 Null and empty texts have no perplexity and are not kept. Documents without a lang form a language of their own.
 Labels that are repeated count once and as bad if any is; those of unknown documents don't count. Repeated rows
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.shared import materialize, plain, worker_for
+from larkspur.llm.shared import materialize, plain, release, worker_for
 
 BROADCAST_ROWS = 1_000_000
 SCALE = 1_000_000_000
@@ -33,7 +34,7 @@ LEAST_DISCOUNT = 0.1  # small counts of counts could give 0, and unseen trigrams
 BITS = 21
 EDGE = 0x110000  # beside the characters: the edges of a text, and what no text has
 UNSEEN = EDGE + 1
-SYMBOLS = 64  # of train()'s view
+LANGUAGES = 100_000  # one row a language is broadcast up to so many
 ALL = ""
 BINS = 1000  # bins of the logarithm of the perplexity: 0.1 % each
 
@@ -57,6 +58,11 @@ def _last(g: str, n: int) -> Column:
     return F.col(g).bitwiseAND(F.lit((1 << BITS * n) - 1))
 
 
+def _a_language(df: DataFrame) -> DataFrame:
+    """A table of one row a language, broadcast where it is small."""
+    return F.broadcast(df) if df.limit(LANGUAGES + 1).count() <= LANGUAGES else df
+
+
 def _parts(batch, chars: int = 1_000_000):
     texts = batch.column("text").to_pylist()
     langs = batch.column("lang").to_pylist()
@@ -75,20 +81,27 @@ def _discounts(counts: DataFrame) -> DataFrame:
     n = counts.groupBy("lang").agg(*(F.count(F.when(F.col("c") == i, 1)).alias(f"n{i}") for i in range(1, 5)))
     y = F.when(F.col("n1") + 2 * F.col("n2") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(F.lit(0.5))
     n = n.withColumn("y", y)
-    d = [F.when(F.col(f"n{i}") > 0, F.greatest(F.lit(LEAST_DISCOUNT), F.lit(float(i)) - (i + 1) * F.col("y") * F.col(f"n{i + 1}") / F.col(f"n{i}"))).otherwise(F.col("y") * i) for i in (1, 2, 3)]
-    return n.select("lang", *(x.alias(f"d{i}") for i, x in enumerate(d, 1)))
+
+    def discount(i: int) -> Column:
+        d = F.lit(float(i)) - (i + 1) * F.col("y") * F.col(f"n{i + 1}") / F.col(f"n{i}")
+        return F.when(F.col(f"n{i}") > 0, F.greatest(F.lit(LEAST_DISCOUNT), d)).otherwise(F.col("y") * i)
+
+    return n.select("lang", *(discount(i).alias(f"d{i}") for i in (1, 2, 3)))
 
 
 def _interpolated(counts: DataFrame, lower: DataFrame | None, order: int) -> tuple[DataFrame, DataFrame]:
     """(lang, g, p) and (lang, ctx, gamma) of one order, from its counts (lang, g, c) and the next lower order's (lang, g, p)."""
     kind = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-    rows = counts.join(_discounts(counts), "lang").select("lang", "g", "c", F.shiftright("g", BITS).alias("ctx"), kind.alias("d"))
+    rows = counts.join(_a_language(_discounts(counts)), "lang")
+    rows = rows.select("lang", "g", "c", F.shiftright("g", BITS).alias("ctx"), kind.alias("d"))
     contexts = rows.groupBy("lang", "ctx").agg(F.sum("c").alias("total"), (F.sum("d") / F.sum("c")).alias("gamma"))
     rows = rows.join(contexts, ["lang", "ctx"])
     if lower is None:
-        rows = rows.join(counts.groupBy("lang").agg((1.0 / (F.count("*") + 1)).alias("q")), "lang")  # one more: the unseen
+        uniform = counts.groupBy("lang").agg((1.0 / (F.count("*") + 1)).alias("q"))  # one more: the unseen
+        rows = rows.join(_a_language(uniform), "lang")
     else:
-        rows = rows.withColumn("low", _last("g", order - 1)).join(lower.select("lang", F.col("g").alias("low"), F.col("p").alias("q")), ["lang", "low"])
+        lower = lower.select("lang", F.col("g").alias("low"), F.col("p").alias("q"))
+        rows = rows.withColumn("low", _last("g", order - 1)).join(lower, ["lang", "low"])
     p = (F.col("c") - F.col("d")) / F.col("total") + F.col("gamma") * F.col("q")
     return rows.select("lang", "g", p.alias("p")), contexts.select("lang", "ctx", "gamma")
 
@@ -121,7 +134,8 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                     learnt = np.repeat(good[[at + i for i in rows]], sizes)
                     for part, times in ((grams[learnt], 1), (grams[~learnt], 0)):
                         found, n = np.unique(part, return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found), pa.array(n.astype(np.int64) * times)], names=["lang", "g", "c"])
+                        columns = [pa.array([lang] * len(found), pa.string()), pa.array(found), pa.array(n.astype(np.int64) * times)]
+                        yield pa.RecordBatch.from_arrays(columns, names=["lang", "g", "c"])
 
     rows = docs.select("lang", "text", "good").mapInArrow(count, "lang string, g long, c long")
     return materialize(rows.groupBy("lang", "g").agg(F.sum("c").alias("c")), "grams")
@@ -137,48 +151,21 @@ def learn(grams: DataFrame) -> list[tuple[int, DataFrame, DataFrame]]:
 def log_probabilities(grams: DataFrame, models: list[tuple[int, DataFrame, DataFrame]]) -> DataFrame:
     """Adds `lp`, SCALE times the logarithm of each trigram's probability, to (lang, g); languages without a model take ALL's."""
     single, whole = models[0][1], models[0][2]
-    rest = single.groupBy(F.col("lang").alias("m")).agg(F.count("*").alias("v")).join(whole.select(F.col("lang").alias("m"), "gamma"), "m")
-    rest = rest.select("m", (F.col("gamma") / (F.col("v") + 1)).alias("rest"))  # one row a language
-    rows = grams.join(F.broadcast(rest.select(F.col("m").alias("lang"), F.col("m").alias("own"))), "lang", "left").withColumn("m", F.coalesce("own", F.lit(ALL)))
-    rows = rows.join(F.broadcast(rest), "m", "left").withColumn("p", F.coalesce("rest", F.lit(1.0 / UNSEEN)))
+    rest = single.groupBy("lang").agg(F.count("*").alias("v")).join(whole.select("lang", "gamma"), "lang")
+    rest = materialize(rest.select(F.col("lang").alias("m"), (F.col("gamma") / (F.col("v") + 1)).alias("rest")), "rest")
+    own = _a_language(rest.select(F.col("m").alias("lang"), F.col("m").alias("own")))
+    rows = grams.join(own, "lang", "left").withColumn("m", F.coalesce("own", F.lit(ALL)))
+    rows = rows.join(_a_language(rest), "m", "left").withColumn("p", F.coalesce("rest", F.lit(1.0 / UNSEEN)))
     for order, seen, contexts in models:
         rows = rows.withColumn("k", _last("g", order)).withColumn("ctx", F.shiftright("k", BITS))
         if order > 1:
-            rows = rows.join(contexts.withColumnRenamed("lang", "m"), ["m", "ctx"], "left").withColumn("p", F.col("p") * F.coalesce("gamma", F.lit(1.0))).drop("gamma")
+            rows = rows.join(contexts.withColumnRenamed("lang", "m"), ["m", "ctx"], "left")
+            rows = rows.withColumn("p", F.col("p") * F.coalesce("gamma", F.lit(1.0))).drop("gamma")
         rows = rows.join(seen.select(F.col("lang").alias("m"), F.col("g").alias("k"), F.col("p").alias("known")), ["m", "k"], "left")
         rows = rows.withColumn("p", F.coalesce("known", "p")).drop("known", "k", "ctx")
     return rows.withColumn("lp", F.round(F.log("p") * SCALE).cast("long")).drop("m", "own", "rest", "p")
 
 
-def train(trusted: DataFrame) -> dict[str, tuple[list[int], np.ndarray]]:
-    """A dense view of small models, for inspection and tests only: each language's most frequent characters and the
-    logarithms of the probabilities of SYMBOLS outcomes (these, the edge, all others added up) after each two of them."""
-    grams = gram_counts(trusted.select("text", F.coalesce("lang", F.lit(ALL)).alias("lang"), F.lit(True).alias("good")))
-    models = learn(grams)
-    by_p = Window.partitionBy("lang").orderBy(F.desc("p"), "g")
-    chars = models[0][1].filter(F.col("g") != EDGE).withColumn("rank", F.row_number().over(by_p))
-    alphabets: dict[str, list[int]] = {}
-    for r in chars.filter(F.col("rank") <= SYMBOLS - 2).orderBy("lang", "rank").collect():
-        alphabets.setdefault(r["lang"], []).append(r["g"])
-    symbols = [(lang, x, i) for lang, top in alphabets.items() for i, x in enumerate([UNSEEN, EDGE, *top])]
-    symbols = trusted.sparkSession.createDataFrame(symbols, "lang string, x long, i int")
-    outcomes = models[0][1].select("lang", F.col("g").alias("x")).unionByName(symbols.filter("i = 0").select("lang", "x"))
-    outcomes = outcomes.join(symbols, ["lang", "x"], "left").select("lang", F.col("x").alias("z"), F.coalesce("i", F.lit(0)).alias("zi"))
-    wanted = symbols.select("lang", F.col("x").alias("a"), F.col("i").alias("ai")).join(symbols.select("lang", F.col("x").alias("b"), F.col("i").alias("bi")), "lang").join(outcomes, "lang")
-    g = F.shiftleft("a", 2 * BITS).bitwiseOR(F.shiftleft("b", BITS)).bitwiseOR(F.col("z"))
-    sums = log_probabilities(wanted.select("lang", g.alias("g"), "ai", "bi", "zi"), models).groupBy("lang", "ai", "bi", "zi").agg(F.sum(F.exp(F.col("lp") / SCALE)).alias("p")).toArrow()
-    names = np.array(sums.column("lang").to_pylist())
-    a, b, k, p = (sums.column(x).to_numpy() for x in ("ai", "bi", "zi", "p"))
-    out = {}
-    for lang, top in alphabets.items():
-        size, mine = len(top) + 2, names == lang
-        full = np.zeros((size, size, SYMBOLS))
-        full[a[mine], b[mine], k[mine]] = p[mine]
-        with np.errstate(divide="ignore"):
-            out[lang] = (top, np.log(full).reshape(-1).astype(np.float32))
-    return out
-
-
 def perplexities(docs: DataFrame, table: DataFrame) -> DataFrame:
     """doc_id, lang, perplexity of every document; table: (lang, g, lp)."""
     gram = pa.struct([("g", pa.int64()), ("n", pa.int32())])
@@ -198,14 +185,18 @@ def perplexities(docs: DataFrame, table: DataFrame) -> DataFrame:
                         found.append(one)
                         n.append(times)
                     ends.append(ends[-1] + (len(found[-1]) if x else 0))
-                flat = [pa.array(np.concatenate(x) if x else np.empty(0), t) for x, t in ((found, pa.int64()), ([y.astype(np.int32) for y in n], pa.int32()))]
+                counted = ((found, pa.int64()), ([y.astype(np.int32) for y in n], pa.int32()))
+                flat = [pa.array(np.concatenate(x) if x else np.empty(0), t) for x, t in counted]
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(flat, fields=list(gram)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), b.column(1).slice(at, len(texts)), pa.array(langs, pa.string()), lists], schema=schema)
+                own = [b.column(i).slice(at, len(texts)) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(langs, pa.string()), lists], schema=schema)
 
-    rows = plain(docs, "doc_id", "lang", "text").select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "lang", "text")
+    row = F.monotonically_increasing_id().alias("row")
+    rows = plain(docs, "doc_id", "lang", "text").select(row, F.col("doc_id").cast("long"), "lang", "text")
     rows = rows.mapInArrow(count, "row long, doc_id long, lang string, grams array<struct<g:long,n:int>>")
     rows = rows.select("row", "doc_id", F.col("lang").alias("own"), F.coalesce("lang", F.lit(ALL)).alias("lang"), F.inline_outer("grams"))
-    sums = rows.join(table, ["lang", "g"], "left").groupBy("row", "doc_id", "own").agg((F.sum(F.col("lp") * F.col("n")) / F.sum("n") / SCALE).alias("mean"))
+    mean = (F.sum(F.col("lp") * F.col("n")) / F.sum("n") / SCALE).alias("mean")
+    sums = rows.join(table, ["lang", "g"], "left").groupBy("row", "doc_id", "own").agg(mean)
     return sums.select("doc_id", F.col("own").alias("lang"), F.exp(-F.col("mean")).alias("perplexity"))
 
 
@@ -216,28 +207,36 @@ def labelled_good(known: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame, labels: DataFrame, caution: float = CAUTION) -> DataFrame:
     """doc_id, lang, perplexity, threshold, kept for every document; labels: (doc_id, quality, toxic)."""
-    known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
+    known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id")
+    known = known.agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
     good = labelled_good(known).select("doc_id", F.lit(True).alias("good"))
     # labels grow with the corpus, so they are never broadcast; rows without doc_id have no label and are dealt by their text
     text = plain(docs, "doc_id", "lang", "text").filter("text is not null")
     text = text.withColumn("deal", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(0))
     text = text.join(good.withColumn("deal", F.lit(0).cast("long")).hint("shuffle_hash"), ["doc_id", "deal"], "left")
-    grams = gram_counts(text.select("text", F.coalesce("lang", F.lit(ALL)).alias("lang"), F.coalesce("good", F.lit(False)).alias("good")))
-    table = materialize(log_probabilities(grams.select("lang", "g"), learn(grams)), "probabilities")
+    text = text.select("text", F.coalesce("lang", F.lit(ALL)).alias("lang"), F.coalesce("good", F.lit(False)).alias("good"))
+    grams = gram_counts(text)
+    models = learn(grams)
+    table = materialize(log_probabilities(grams.select("lang", "g"), models), "probabilities")
+    release(grams, *(t for _, seen, contexts in models for t in (seen, contexts)))
     if table.count() <= BROADCAST_ROWS:
         table = F.broadcast(table)
 
     scored = materialize(perplexities(docs, table).withColumn("bin", F.floor(F.log("perplexity") * BINS)), "perplexities")
-    bad = scored.select("doc_id", "lang").join(known, "doc_id").groupBy("lang").agg(F.sum(1 - F.col("quality")).alias("bad"), F.count("*").alias("n"))
-    bad = materialize(bad, "labels")
+    bad = scored.select("doc_id", "lang").join(known, "doc_id").groupBy("lang")
+    bad = materialize(bad.agg(F.sum(1 - F.col("quality")).alias("bad"), F.count("*").alias("n")), "labels")
     overall = bad.agg(F.sum("bad") / F.sum("n")).first()[0] or 0.0
     bins = scored.filter("bin is not null").groupBy("lang", "bin").count()
     up = Window.partitionBy("lang").orderBy("bin")
     whole = Window.partitionBy("lang")
     share = bad.select(F.col("lang").alias("known_lang"), (F.col("bad") / F.col("n")).alias("share"))
     ranked = bins.withColumn("below", F.sum("count").over(up)).withColumn("all", F.sum("count").over(whole))
-    ranked = ranked.join(F.broadcast(share), F.col("lang").eqNullSafe(F.col("known_lang")), "left")  # one row a language
+    ranked = ranked.join(_a_language(share), F.col("lang").eqNullSafe(F.col("known_lang")), "left")
     level = 1 - caution * F.coalesce("share", F.lit(overall))
-    limit = ranked.filter(F.col("below") >= level * F.col("all") - 1e-9).groupBy("lang").agg(F.min("bin").alias("limit")).withColumnRenamed("lang", "limit_lang")
-    out = scored.join(F.broadcast(limit), F.col("lang").eqNullSafe(F.col("limit_lang")), "left")
-    return out.select("doc_id", "lang", "perplexity", F.exp((F.col("limit") + 1) / BINS).alias("threshold"), F.coalesce(F.col("bin") <= F.col("limit"), F.lit(False)).alias("kept"))
+    within = F.col("below") >= level * F.col("all") - 1e-9
+    limit = ranked.filter(within).groupBy(F.col("lang").alias("limit_lang")).agg(F.min("bin").alias("limit"))
+    limit = materialize(limit, "limits")
+    out = scored.join(_a_language(limit), F.col("lang").eqNullSafe(F.col("limit_lang")), "left")
+    threshold = F.exp((F.col("limit") + 1) / BINS).alias("threshold")
+    kept = F.coalesce(F.col("bin") <= F.col("limit"), F.lit(False)).alias("kept")
+    return out.select("doc_id", "lang", "perplexity", threshold, kept)
