@@ -4,32 +4,52 @@
 into tiers (powers of FANOUT of their size), joins similarly sized ones of a tier into runs of up to the target
 and writes each run as one new shard, until no tier holds FANOUT shards. Every change is a new manifest: the
 complete list of live shards under the next version number, put in place by a rename that fails if the version
-exists, so readers see one version or the next and of two writers one has to try again. Files are never
-changed; `vacuum` deletes those that the kept versions don't list.
-
-Only file names and sizes pass the driver. Rows are taken as they are: nulls, repeated rows and any further
-columns are kept; an empty arrival adds a version without shards. Shards are read and written by Spark alone.
+exists, so readers see one version or the next and of two writers one has to try again. That needs a file system
+whose rename is atomic and never replaces (HDFS, local disks); plain object stores need a lock beside it. Files are
+never changed; `vacuum` deletes those that no kept version lists, also what failed or beaten writers left behind.
+
+Only file names and sizes pass the driver. Rows are taken as they are: nulls and repeated rows are kept; an empty
+arrival adds a version without shards. An arrival may lack columns or bring new ones, which are null in the other
+rows; one whose column has another type, or a name that differs in case only, is refused before anything is written.
+Shards are read and written by Spark alone.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 TARGET_BYTES = 128 << 20
 SMALL_BYTES = 8 << 20
 FANOUT = 4
 RUNS_A_JOB = 200
+ABANDONED_S = 86_400.0  # shards and drafts of this age that no version lists belong to no running writer
+
+
+def widened(have: StructType | None, new: StructType) -> StructType:
+    """The columns of both, all nullable; raises where they can't be read as one."""
+    out = {f.name: f for f in (have.fields if have else ())}
+    for f in new.fields:
+        old = out.setdefault(f.name, StructField(f.name, f.dataType, True, f.metadata))
+        if old.dataType != f.dataType:
+            raise ValueError(f"column {f.name!r} is {old.dataType.simpleString()} in the table and {f.dataType.simpleString()} here")
+    if len({n.lower() for n in out}) < len(out):
+        raise ValueError("columns whose names differ in case only")
+    return StructType([StructField(f.name, f.dataType, True, f.metadata) for f in out.values()])
 
 
 class ShardedTable:
-    def __init__(self, spark: SparkSession, path: str, target_bytes: int = TARGET_BYTES, small_bytes: int = SMALL_BYTES, fanout: int = FANOUT):
-        self.spark, self.path, self.target, self.small, self.fanout = spark, path.rstrip("/"), target_bytes, small_bytes, fanout
+    def __init__(
+        self, spark: SparkSession, path: str, target_bytes: int = TARGET_BYTES, small_bytes: int = SMALL_BYTES, fanout: int = FANOUT
+    ):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.target, self.small, self.fanout = target_bytes, small_bytes, fanout
         self._jvm = spark._jvm
         self._conf = spark._jsparkSession.sessionState().newHadoopConf()
         self._fs = self._path("").getFileSystem(self._conf)
@@ -69,7 +89,12 @@ class ShardedTable:
         never_replace = self.spark.sparkContext._gateway.new_array(rename, 1)
         never_replace[0] = rename.NONE
         context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf)
-        context.rename(self._fs.makeQualified(draft), self._fs.makeQualified(self._path(f"manifests/v{new['version']:010d}.json")), never_replace)
+        place = self._path(f"manifests/v{new['version']:010d}.json")
+        try:
+            context.rename(self._fs.makeQualified(draft), self._fs.makeQualified(place), never_replace)
+        except Exception:
+            self._fs.delete(draft, False)
+            raise
         return new
 
     # shards
@@ -86,15 +111,17 @@ class ShardedTable:
     def append(self, arrival: DataFrame, shards: int | None = None) -> dict:
         """Add the rows of an arrival; shards: into how many files, by default one for each of its partitions."""
         base = self.manifest()
+        schema = widened(base["schema"] and StructType.fromJson(json.loads(base["schema"])), arrival.schema)
         new = self._write(arrival.coalesce(shards) if shards else arrival)
-        return self._commit(base, base["schema"] or arrival.schema.json(), base["shards"] + new)
+        return self._commit(base, schema.json(), base["shards"] + new)
 
     def _runs(self, shards: list[dict]) -> list[list[dict]]:
         """Shards to be joined: similarly sized ones, up to the target each."""
         tiers: dict[int, list[dict]] = {}
         for s in shards:
             if s["bytes"] < self.target // 2:
-                tiers.setdefault(max(0, math.ceil(math.log(max(s["bytes"], 1) / self.small, self.fanout))), []).append(s)
+                tier = math.ceil(math.log(max(s["bytes"], 1) / self.small, self.fanout))
+                tiers.setdefault(max(0, tier), []).append(s)
         runs = []
         for _, tier in sorted(tiers.items()):
             if len(tier) < self.fanout:
@@ -116,21 +143,41 @@ class ShardedTable:
             schema = StructType.fromJson(json.loads(now["schema"]))
             joined = reduce(DataFrame.unionAll, [self._read(run, schema).coalesce(1) for run in runs])  # one task and one file a run
             gone = {s["file"] for run in runs for s in run}
-            now = self._commit(now, now["schema"], [s for s in now["shards"] if s["file"] not in gone] + self._write(joined))
+            rest = [s for s in now["shards"] if s["file"] not in gone]
+            now = self._commit(now, now["schema"], rest + self._write(joined))
         return now
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Delete all versions but the last `keep`, and the shards only they list; returns how many shards went."""
+    def vacuum(self, keep: int = 1, abandoned_s: float = ABANDONED_S) -> int:
+        """Delete all versions but the last `keep`, the shards only they list, and shards and drafts of that age which
+        no version lists; returns how many shards went."""
         have = self.versions()
         kept, old = have[-keep:], have[:-keep]
         live = {s["file"] for v in kept for s in self.manifest(v)["shards"]}
         dead = {s["file"] for v in old for s in self.manifest(v)["shards"]} - live
         for v in old:
             self._fs.delete(self._path(f"manifests/v{v:010d}.json"), False)
-        for f in dead:
-            self._fs.delete(self._path(f), False)
+        before = (time.time() - abandoned_s) * 1000
+        for folder in self._list("shards"):
+            name = f"shards/{folder.getPath().getName()}"
+            files = {f"{name}/{f.getPath().getName()}": f.getModificationTime() for f in self._list(name)}
+            shards = {f for f in files if f.endswith(".parquet")}
+            lost = {f for f in shards - live - dead if files[f] < before}
+            dead |= lost
+            stale = max([folder.getModificationTime(), *files.values()]) < before
+            if not shards - dead and (shards or stale):
+                self._fs.delete(self._path(name), True)
+            else:
+                for f in shards & dead:
+                    self._fs.delete(self._path(f), False)
+        for draft in self._list("drafts"):
+            if draft.getModificationTime() < before:
+                self._fs.delete(draft.getPath(), False)
         return len(dead)
 
+    def _list(self, name: str) -> list:
+        at = self._path(name)
+        return list(self._fs.listStatus(at)) if self._fs.exists(at) else []
+
     def read(self, version: int | None = None) -> DataFrame:
         m = self.manifest(version)
         schema = StructType.fromJson(json.loads(m["schema"]))

@@ -3,6 +3,7 @@ import pytest
 from larkspur.llm import sharding, shared
 
 SF = "/root/testdata/sf0.001"
+DOC = "doc_id long, text string"
 
 
 def docs(spark, sf=SF):
@@ -25,3 +26,34 @@ def test_sharding(spark):
     empty = sharding.ShardedTable(spark, shared.new_path(spark, "s"))
     empty.append(df.limit(0))
     assert empty.compact()["shards"] == [] or empty.read().count() == 0
+
+
+def test_arrivals_with_other_columns(spark):
+    table = sharding.ShardedTable(spark, shared.new_path(spark, "s"), fanout=2)
+    table.append(spark.createDataFrame([(1, "a")], DOC))
+    table.append(spark.createDataFrame([("x", 2)], "more string, doc_id long"))
+    table.append(spark.createDataFrame([(3, "c", None)], DOC + ", more string"))
+    want = [(1, "a", None), (2, None, "x"), (3, "c", None)]
+    assert sorted(tuple(r) for r in table.read().collect()) == want
+    before = table.versions()
+    for other in ("doc_id string", "doc_id long, TEXT string"):
+        with pytest.raises(ValueError):
+            table.append(spark.createDataFrame([], other))
+    assert table.versions() == before
+    table.compact()
+    table.vacuum()
+    assert sorted(tuple(r) for r in table.read().collect()) == want
+
+
+def test_what_beaten_writers_left(spark):
+    path = shared.new_path(spark, "s")
+    table, other = sharding.ShardedTable(spark, path), sharding.ShardedTable(spark, path)
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (None, None)], DOC)
+    table.append(df)
+    base = other.manifest()
+    table.append(df)
+    lost = other._write(df)
+    with pytest.raises(Exception, match="(?i)exist"):
+        other._commit(base, base["schema"], base["shards"] + lost)
+    assert table.vacuum() == 0 and table.read().count() == 6  # the writer might still be at work
+    assert table.vacuum(abandoned_s=-60) == len(lost) and table.read().count() == 6
