@@ -15,12 +15,14 @@ of 3, so a radius of 19 finds 99.7 % of those at the threshold and more of all o
 
 A document's matches are told apart by doc_id and text, so repeated rows give one match each item. Null or
 blank texts and items match nothing; items without item_id are ignored; further columns are not read. A
-document that is shorter than an item is one window. Only the benchmark's shingles are broadcast, and only up to
-BROADCAST_ROWS of them; beyond that Spark joins them as it joins any table.
+document that is shorter than an item is one window. Only the benchmark's shingles and index are broadcast, and only
+up to BROADCAST_ROWS of each; beyond that they are joined as any table.
 """
 
 from __future__ import annotations
 
+from math import comb
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,6 +77,11 @@ def blocks(fingerprint: Column, near: int = 0, n: int = BLOCKS) -> Column:
     return F.concat(*(block(i) for i in range(n)))
 
 
+def values(near: int, n: int = BLOCKS) -> int:
+    """How many (block, bits) blocks() gives."""
+    return sum(comb(64 // n + (i < 64 % n), k) for i in range(n) for k in range(near + 1))
+
+
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, n_blocks: int = BLOCKS
 ) -> DataFrame:
@@ -110,6 +117,9 @@ def find_leaks(
     key = ["doc_id", "text_hash", "n", "start"]
     listed = items.select("item_id", "n", simhash(F.col("s")).alias("item_f"))
     indexed = listed.select("item_id", "n", "item_f", F.inline(blocks(F.col("item_f"), radius // n_blocks, n_blocks)))
+    # Spark's estimate doesn't see how many rows an item becomes, so it isn't left to choose
+    few = items.count() * values(radius // n_blocks, n_blocks) <= BROADCAST_ROWS
+    indexed = F.broadcast(indexed) if few else indexed.hint("merge")
     hashed = windows.select(*key, simhash(F.col("w")).alias("f"))
     met = hashed.select(*key, "f", F.inline(blocks(F.col("f"), n=n_blocks))).join(indexed, ["n", "block", "bits"])
     near = met.filter(F.bit_count(F.col("f").bitwiseXOR(F.col("item_f"))) <= radius).select(*key, "item_id").distinct()
