@@ -9,7 +9,8 @@ compared again; then all classes of one bucket that are still in different compo
 whose counts against the bucket's centre rule a link out: two sets share at most the centre's shingles that neither
 misses and those beside the centre's that other sets hold too, both counted in PARTS parts by hash. So no link
 between different texts is lost, and a large group of near copies costs about as many comparisons as it has members.
-All comparisons are of full sets.
+All comparisons are of full sets. Where many pairs share a bucket or a member, they are dealt to several tasks, and
+the other side of the join goes to each of these.
 
 Null or blank texts have an empty set, are linked with nothing and kept. Rows without a doc_id are linked with
 nothing: component_id is null and kept is true. Repeated rows are one class with one doc_id and are all kept if
@@ -36,6 +37,7 @@ PERCENT = 75
 CHUNK = 6_000
 FIRST_BANDS = 4
 PARTS = 8  # a power of two
+SPLIT = 256  # rows of one join key that one task takes; more are dealt out
 
 
 def superminhash(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
@@ -67,7 +69,8 @@ def _offer(elements: np.ndarray, owner: np.ndarray, out: np.ndarray, slots: int)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_hash, bands."""
+    """doc_id, text_hash, n_shingles, set_hash, bands."""
+    per = SLOTS // ROWS
 
     def run(batches):
         worker_for("near_dedup")
@@ -76,18 +79,19 @@ def signatures(docs: DataFrame) -> DataFrame:
             for x, y in slices(texts):
                 sets = [np.unique(s) for s in shingle_hashes([t or "" for t in texts[x:y]], WIDTH)]
                 sig = superminhash(sets)
-                bands = np.zeros((len(sets), SLOTS // ROWS), np.uint64)
+                bands = np.zeros((len(sets), per), np.uint64)
                 for r in range(ROWS):
                     bands += mix(sig[:, r::ROWS] + ODD[20 + r]) * ODD[30 + r]
-                bands = mix(bands + np.arange(SLOTS // ROWS, dtype=np.uint64) * ODD[40]).view(np.int64)
+                bands = mix(bands + np.arange(per, dtype=np.uint64) * ODD[40]).view(np.int64)
                 full = np.array([len(s) > 0 for s in sets])
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(full * bands.shape[1])]), pa.int32()), pa.array(bands[full].reshape(-1)))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(x, y - x), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), lists],
-                    names=["doc_id", "n_shingles", "set_hash", "bands"],
-                )
+                ends = pa.array(np.concatenate([[0], np.cumsum(full * per)]), pa.int32())
+                hashes = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+                columns = [b.column(0).slice(x, y - x), b.column(2).slice(x, y - x), pa.array([len(s) for s in sets], pa.int64())]
+                columns += [pa.array(hashes, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(bands[full].reshape(-1)))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n_shingles", "set_hash", "bands"])
 
-    return plain(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, bands array<long>")
+    read = plain(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
+    return read.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_hash binary, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -100,7 +104,8 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
             for x, y in slices(texts):
                 sets = [np.unique(s).view(np.int64) for s in shingle_hashes([t or "" for t in texts[x:y]], WIDTH)]
                 offsets = pa.array(np.cumsum([0] + [len(s) for s in sets]), pa.int32())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(x, y - x), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets)))], names=["doc_id", "shingles"])
+                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(x, y - x), lists], names=["doc_id", "shingles"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
 
@@ -119,25 +124,39 @@ def _counts(shingles: Column) -> Column:
     return _by_part(lambda k: F.size(F.filter(shingles, lambda e: _part(e) == k)))
 
 
+def _dealt(x: DataFrame, y: DataFrame, key: str, by: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join on `key` with a further key `deal`: x's rows of a frequent key go to several values by the
+    column `by`, y's row or rows to each of these."""
+    tasks = x.groupBy(key).agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("tasks")).filter("tasks > 1")
+    one = F.coalesce("tasks", F.lit(1))
+    x = x.join(tasks, key, "left").withColumn("deal", F.pmod(F.xxhash64(by), one).cast("int")).drop("tasks")
+    y = y.join(tasks, key, "left").withColumn("deal", F.explode(F.sequence(F.lit(0), one - 1))).drop("tasks")
+    return x, y
+
+
 def _measured(pairs: DataFrame, sets: DataFrame, parts: bool = False) -> DataFrame:
     """The pairs (a, b) with the sizes of their sets' intersection and union; with parts also what a has beside b and misses of it."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
-    both = pairs.join(left, "a").join(right, "b")
+    pairs, right = _dealt(pairs, right, "b", "a")
+    both = pairs.join(left, "a").join(right, ["b", "deal"])
     common = F.size(F.array_intersect("set_a", "set_b"))
     out = ["a", "b", common.alias("common"), (F.size("set_a") + F.size("set_b") - common).alias("all")]
     if parts:
-        out += [_counts(F.array_except("set_a", "set_b")).alias("beside"), _counts(F.array_except("set_b", "set_a")).alias("missing")]
+        beside, missing = F.array_except("set_a", "set_b"), F.array_except("set_b", "set_a")
+        out += [_counts(beside).alias("beside"), _counts(missing).alias("missing")]
     return both.select(*out)
 
 
 def _placed(members: DataFrame, centred: DataFrame, measured: DataFrame, sets: DataFrame) -> DataFrame:
     """members with their centre's size (size), what they miss of it (missing) and have beside it that other members may have (beside)."""
-    near = centred.select("bucket", "a", "b", F.col("nb").alias("size")).join(measured.select("a", "b", "beside", "missing"), ["a", "b"], "left")
+    near = centred.select("bucket", "a", "b", F.col("nb").alias("size"))
+    near = near.join(measured.select("a", "b", "beside", "missing"), ["a", "b"], "left")
     placed = members.join(near.withColumnRenamed("a", "rep"), ["bucket", "rep"])
     # with the centres, so that what only one class and a centre hold isn't single
     own = placed.select(F.explode(F.array("rep", "b")).alias("doc_id")).distinct()
-    single = sets.join(own, "doc_id", "left_semi").select("doc_id", F.explode("shingles").alias("e")).groupBy("e").agg(F.count("*").alias("holders"), F.min("doc_id").alias("rep")).filter("holders = 1")
+    held = sets.join(own, "doc_id", "left_semi").select("doc_id", F.explode("shingles").alias("e"))
+    single = held.groupBy("e").agg(F.count("*").alias("holders"), F.min("doc_id").alias("rep")).filter("holders = 1")
     single = single.groupBy("rep").agg(_by_part(lambda k: F.count_if(_part(F.col("e")) == k)).alias("single"))
     placed = placed.join(single, "rep", "left")
     count = lambda name, k: F.coalesce(F.col(name)[k], F.lit(0))
@@ -148,8 +167,34 @@ def _placed(members: DataFrame, centred: DataFrame, measured: DataFrame, sets: D
     )
 
 
+def _against_centre(rows: DataFrame, rank: Column) -> DataFrame:
+    """Every row of rows with the centre of its bucket, the row of the least rank."""
+    centres = rows.groupBy("bucket").agg(F.min(F.struct(rank.alias("k"), "rep", "n", "component")).alias("c"))
+    own = [F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")]
+    centre = [F.col("c.rep").alias("b"), F.col("c.n").alias("nb"), F.col("c.component").alias("cb")]
+    return rows.join(centres, "bucket").select("bucket", *own, *centre)
+
+
+def _alike(percent: int) -> Column:
+    """The sizes alone don't rule a link out."""
+    return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+
+
+def _not_ruled_out(placed: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one bucket in different components whose counts against the bucket's centre allow a link."""
+    of = lambda *names: [F.col(n).alias(x) for n, x in zip(("rep", "n", "component", "missing", "beside"), names)]
+    x = placed.select("bucket", "size", *of("a", "na", "ca", "missing_a", "beside_a"))
+    y = placed.select("bucket", *of("b", "nb", "cb", "missing_b", "beside_b"))
+    x, y = _dealt(x, y, "bucket", "a")
+    least = lambda k: F.least(F.col("beside_a")[k], F.col("beside_b")[k])
+    most = lambda k: F.greatest(F.col("missing_a")[k], F.col("missing_b")[k])
+    common = sum((least(k) - most(k) for k in range(PARTS)), F.col("size"))
+    allowed = (100 + percent) * common >= percent * (F.col("na") + F.col("nb"))
+    return x.join(y, ["bucket", "deal"]).filter((F.col("ca") < F.col("cb")) & _alike(percent) & allowed)
+
+
 def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every document."""
+    """doc_id, n_shingles, component_id, kept and text_hash (xxhash64 of the text) for every document."""
     rows = materialize(signatures(docs), "signatures")
     classes = rows.filter("n_shingles > 0 and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
     classes = materialize(classes, "classes")
@@ -160,48 +205,46 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     texts = plain(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi")
     sets = materialize(shingle_sets(texts), "sets")
-    alike = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
     linked = 100 * F.col("common") >= percent * F.col("all")
 
-    def against_centre(rows: DataFrame, rank) -> DataFrame:
-        """Every row of rows with the centre of its bucket, the row of the least rank."""
-        centres = rows.groupBy("bucket").agg(F.min(F.struct(rank.alias("k"), "rep", "n", "component")).alias("c"))
-        return rows.join(centres, "bucket").select("bucket", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("c.rep").alias("b"), F.col("c.n").alias("nb"), F.col("c.component").alias("cb"))
-
-    labels = None
+    labels, old = None, [members, sets]
     joined = members.withColumn("component", F.col("rep"))
     for turn in range(4):
         if turn == 3:  # all pairs with a centre have been measured
-            joined = joined.join(centred.filter("a <> b").select("bucket", F.col("a").alias("rep")), ["bucket", "rep"], "left_semi")
+            beside = centred.filter("a <> b").select("bucket", F.col("a").alias("rep"))
+            joined = joined.join(beside, ["bucket", "rep"], "left_semi")
         if turn:  # buckets whose members are in several components
-            split = joined.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
-            joined = materialize(joined.join(split, "bucket"), "open")
+            split = joined.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+            joined = materialize(joined.join(split.filter("lo < hi").select("bucket"), "bucket"), "open")
+            old.append(joined)
             if joined.isEmpty():
                 break
         if turn == 0:  # a few bands join most of what belongs together
-            met = against_centre(joined.filter(F.col("band") < FIRST_BANDS), F.col("rep")).filter(alike)
+            met = _against_centre(joined.filter(F.col("band") < FIRST_BANDS), F.col("rep")).filter(_alike(percent))
         elif turn == 1:  # one class of each component in a bucket
-            one = joined.groupBy("bucket", "component").agg(F.min(F.struct(F.xxhash64("rep").alias("k"), "rep", "n")).alias("r")).select("bucket", "r.rep", "r.n", "component")
-            met = against_centre(one, F.xxhash64("rep")).filter(alike)
+            one = F.min(F.struct(F.xxhash64("rep").alias("k"), "rep", "n")).alias("r")
+            one = joined.groupBy("bucket", "component").agg(one).select("bucket", "r.rep", "r.n", "component")
+            met = _against_centre(one, F.xxhash64("rep")).filter(_alike(percent))
         elif turn == 2:  # every class in an open bucket, whatever its size: the counts serve the last turn
-            centred = materialize(against_centre(joined, F.col("rep")), "centred")
-            met = centred
+            met = centred = materialize(_against_centre(joined, F.col("rep")), "centred")
         else:
             placed = materialize(_placed(joined, centred, measured, sets), "placed")
-            x = placed.select("bucket", "size", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("missing").alias("missing_a"), F.col("beside").alias("beside_a"))
-            y = placed.select("bucket", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("missing").alias("missing_b"), F.col("beside").alias("beside_b"))
-            most = sum((F.least(F.col("beside_a")[k], F.col("beside_b")[k]) - F.greatest(F.col("missing_a")[k], F.col("missing_b")[k]) for k in range(PARTS)), F.col("size"))
-            met = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("ca") < F.col("cb")) & alike & ((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))))
+            old += [centred, placed]
+            met = _not_ruled_out(placed, percent)
         if turn != 2:
             met = met.filter(F.col("ca") != F.col("cb"))
         measured = materialize(_measured(met.filter("a <> b").select("a", "b").distinct(), sets, parts=turn == 2), "measured")
+        old.append(measured)
         links = measured.filter(linked).select("a", "b")
         if labels is not None:  # what is linked already is a star around each component's smallest member
             links = links.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        labels = materialize(components(links), "components")
-        joined = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "band", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    release(members, sets)
-    own = rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_hash")).alias("set_hash"))
+            old.append(labels)
+        labels = components(links)
+        named = labels.withColumnRenamed("node", "rep")
+        joined = members.join(named, "rep", "left").select("bucket", "band", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    release(*old)
+    own = rows.select("doc_id", "n_shingles", "text_hash", F.when(F.col("n_shingles") > 0, F.col("set_hash")).alias("set_hash"))
     named = own.join(classes, "set_hash", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
-    return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
+    return named.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "text_hash")
