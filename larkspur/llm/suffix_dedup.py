@@ -14,7 +14,8 @@ bytes of consecutive strings with one anchor, and only segments with equal ancho
 4. Each block takes the decided strings out of its documents.
 
 No group grows with the number of copies: blocks and problems send one entry for whatever they hold several
-times. All texts are read whole; long documents are taken in pieces that overlap by length - 1 bytes.
+times. A row goes from a block to each bucket that it has anchors for, so there are never more rows than anchors. All
+texts are read whole; long documents are taken in pieces that overlap by length - 1 bytes.
 
 Null texts count as empty. doc_ids that are null count as larger than all others; rows with equal doc_id remove
 nothing from each other. Strings with different bytes are told apart by 96 bits of hashes or byte by byte.
@@ -39,6 +40,7 @@ BLOCK_BYTES = 2 << 20
 PIECE = 1 << 18
 BUCKET_ANCHORS = 250_000
 PROBLEM = 64
+TASK_BYTES = 32 << 20
 BATCH = 1 << 19
 NO_ID = np.iinfo(np.int64).max
 PASSED = "dest long, src long, kind int, payload binary"
@@ -66,7 +68,8 @@ def _unpack(data: bytes) -> list[np.ndarray]:
 
 
 def _rows(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PASSED)] if rows else [pa.array([], f.type) for f in _PASSED], schema=_PASSED)
+    columns = list(zip(*rows)) if rows else [()] * len(_PASSED)
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PASSED)], schema=_PASSED)
 
 
 class Block:
@@ -83,22 +86,27 @@ class Block:
 
     def segments(self, length: int, gram: int) -> list[np.ndarray]:
         """anchor, segment hash, document row, start in the block, bytes, of each segment."""
-        found = [_segments(self.data, self.bounds, a, min(a + PIECE, len(self.data)), length, gram) for a in range(0, len(self.data), PIECE)]
-        return [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0, k) for k in (np.uint64, np.uint64, np.int64, np.int64, np.int64)]
+        size = len(self.data)
+        found = [_segments(self.data, self.bounds, a, min(a + PIECE, size), length, gram) for a in range(0, size, PIECE)]
+        return [np.concatenate(c) for c in zip(*found)] if found else _no_segments()
+
+
+def _no_segments() -> list[np.ndarray]:
+    return [np.zeros(0, k) for k in (np.uint64, np.uint64, np.int64, np.int64, np.int64)]
 
 
 def _segments(data: np.ndarray, bounds: np.ndarray, first: int, last: int, length: int, gram: int):
     """Segments of the strings that start in [first, last)."""
     raw = data[first : last + length - 1]
-    none = [np.zeros(0, k) for k in (np.uint64, np.uint64, np.int64, np.int64, np.int64)]
     if len(raw) < length:
-        return none
+        return _no_segments()
     values = BYTE[raw]
     # hashes of runs of 1, 2, 4, ... bytes, put together to `gram` bytes
     h, have, run, step, bit = None, 0, values, 1, gram
     while True:
         if bit & 1:
-            h = run if h is None else h[: len(raw) - have - step + 1] * ODD[2 + step.bit_length()] + run[have : len(raw) - step + 1]
+            more = run[have : len(raw) - step + 1]
+            h = more if h is None else h[: len(raw) - have - step + 1] * ODD[2 + step.bit_length()] + more
             have += step
         bit >>= 1
         if not bit:
@@ -119,7 +127,7 @@ def _segments(data: np.ndarray, bounds: np.ndarray, first: int, last: int, lengt
     whole = start + first + length <= bounds[row + 1]
     start, at, row = start[whole], at[whole], row[whole]
     if not len(start):
-        return none
+        return _no_segments()
     new = np.ones(len(start), bool)
     new[1:] = (at[1:] != at[:-1]) | (row[1:] != row[:-1])
     a = np.flatnonzero(new)
@@ -128,6 +136,12 @@ def _segments(data: np.ndarray, bounds: np.ndarray, first: int, last: int, lengt
     return [h[at] >> np.uint64(16), content, row, begin + first, end - begin]
 
 
+def _runs(sorted_: np.ndarray) -> list[tuple[int, int, int]]:
+    """(value, from, to) of each run of equal values."""
+    first = _firsts(sorted_)
+    return list(zip(sorted_[first].tolist(), first.tolist(), np.append(first[1:], len(sorted_)).tolist()))
+
+
 def _firsts(*keys: np.ndarray) -> np.ndarray:
     """Where sorted keys change."""
     new = np.ones(len(keys[0]), bool)
@@ -153,25 +167,30 @@ class _Anchors:
         self.most = np.maximum.reduceat(self.key, self.first) if len(self.first) else self.key
 
 
+def _scaled(x: np.ndarray, n: int) -> np.ndarray:
+    """Which of n equal ranges of 48-bit numbers each lies in, in whole numbers."""
+    high, low = x >> np.uint64(24), x & np.uint64((1 << 24) - 1)
+    return ((high * np.uint64(n) + (low * np.uint64(n) >> np.uint64(24))) >> np.uint64(24)).astype(np.int64)
+
+
 def _send_anchors(length: int, gram: int, buckets: int):
     def run(key, table):
         worker_for("suffix_dedup")
         own = _Anchors(Block(table), length, gram)
         anchor = own.anchor[own.first]
         kinds = np.minimum(own.kinds, 65535).astype("<u2")
-        rows, bounds = [], np.searchsorted(anchor, [(b << 48) // buckets for b in range(buckets + 1)])
-        for b in range(buckets):
-            x, y = int(bounds[b]), int(bounds[b + 1])
-            if x < y:
-                wide = np.ascontiguousarray(anchor[x:y]).astype("<u8")
-                rows.append((-1 - b, key[0].as_py(), x, _pack(wide, own.content[own.first[x:y]] >> np.uint64(16), own.least[x:y], kinds[x:y])))
+        content = own.content[own.first] >> np.uint64(16)
+        rows, me = [], key[0].as_py()
+        for b, x, y in _runs(_scaled(anchor, buckets)):
+            rows.append((-1 - b, me, x, _pack(anchor[x:y].astype("<u8"), content[x:y], own.least[x:y], kinds[x:y])))
         return _rows(rows)
 
     return run
 
 
 def _judge_anchors(problem: int):
-    """For each block and anchor that another block has too: 1 the one segment's first holder is here, 2 it is elsewhere, 2 + n dealt to n problems."""
+    """For each block and anchor that another block has too: 1 the one segment's first holder is here, 2 it is elsewhere,
+    2 + n dealt to n problems."""
 
     def run(key, table):
         worker_for("suffix_dedup")
@@ -189,7 +208,8 @@ def _judge_anchors(problem: int):
             return _rows([])
         first = np.cumsum(count) - count
         low = np.repeat(np.minimum.reduceat(least[by], first), count)
-        same = (np.minimum.reduceat(content[by], first) == np.maximum.reduceat(content[by], first)) & (np.maximum.reduceat(kinds[by], first) == 1)
+        one = np.maximum.reduceat(kinds[by], first) == 1
+        same = one & (np.minimum.reduceat(content[by], first) == np.maximum.reduceat(content[by], first))
         problems = -(-np.add.reduceat(kinds[by].astype(np.int64), first) // problem)
         code = np.where(np.repeat(same, count), np.where(least[by] == low, 1, 2), 2 + np.repeat(problems, count))
         src = table.column("src").to_pylist()
@@ -240,29 +260,32 @@ def _send_segments(length: int, gram: int, buckets: int):
         entry = np.searchsorted(kind_open, own.of_kind[open_])
         gone_spans = _merged(own.row[gone], own.start[gone], own.start[gone] + own.size[gone])
         me = key[0].as_py()
-        rows = [(me, me, LOCAL, np.array([len(a := _pack(*gone_spans))], "<u4").tobytes() + a + _pack(entry.astype("<u4"), own.row[open_].astype("<u4"), own.start[open_].astype("<i8")))]
+        spans = _pack(*gone_spans)
+        waiting = _pack(entry.astype("<u4"), own.row[open_].astype("<u4"), own.start[open_].astype("<i8"))
+        rows = [(me, me, LOCAL, np.array([len(spans)], "<u4").tobytes() + spans + waiting)]
         head = own.kind_first[kind_open]
         salt = own.content[head] % (code[own.of[head]] - 2).astype(np.uint64)
         problem = mix(own.anchor[head] + salt * ODD[3])
         split = (code[own.of[head]] > 3).astype("<u1")
         bucket = (problem % np.uint64(buckets)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
-        for b in range(buckets):
-            i = by[cuts[b] : cuts[b + 1]]
-            if len(i):
-                h = head[i]
-                size = own.size[h]
-                at = np.repeat(own.start[h] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-                numbers = _pack(problem[i], own.content[h], own.key[h], i.astype("<u4"), size.astype("<u2"), split[i])
-                rows.append((-1 - b, me, SEGMENTS, np.array([len(numbers)], "<u4").tobytes() + numbers + block.data[at].tobytes()))
+        for b, x, y in _runs(bucket[by]):
+            i = by[x:y]
+            h = head[i]
+            size = own.size[h]
+            at = np.repeat(own.start[h] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+            numbers = _pack(problem[i], own.content[h], own.key[h], i.astype("<u4"), size.astype("<u2"), split[i])
+            rows.append((-1 - b, me, SEGMENTS, np.array([len(numbers)], "<u4").tobytes() + numbers + block.data[at].tobytes()))
         return _rows(rows)
 
     return run
 
 
 def _classes(problem: np.ndarray, data: np.ndarray, begin: np.ndarray, size: np.ndarray, key: np.ndarray, length: int):
-    """For each string of each segment: (segment, place in it, least key among equal strings of its problem). Problems are runs."""
+    """For each string of each segment: (segment, place in it, least key among equal strings of its problem).
+
+    Problems are runs.
+    """
     cut = _firsts(problem)
     out = []
     counts = np.diff(np.append(cut, len(problem)))
@@ -281,7 +304,8 @@ def _classes(problem: np.ndarray, data: np.ndarray, begin: np.ndarray, size: np.
         last = np.zeros(len(seg), bool)
         last[np.cumsum(n) - 1] = True
         symbols = np.where(np.repeat(last, length_of + 1), 0, 1)  # what follows a segment; the rest is written over
-        place = np.repeat(put, length_of) + (inside := np.arange(int(length_of.sum())) - np.repeat(np.cumsum(length_of) - length_of, length_of))
+        inside = np.arange(int(length_of.sum())) - np.repeat(np.cumsum(length_of) - length_of, length_of)
+        place = np.repeat(put, length_of) + inside
         text = data[np.repeat(begin[seg], length_of) + inside]
         symbols[place] = text.astype(np.int64) + 2
         starts = np.append(put[np.concatenate([[0], np.cumsum(n)[:-1]])], len(symbols))
@@ -310,7 +334,8 @@ def _reply(source: np.ndarray, entry: np.ndarray, start: np.ndarray, end: np.nda
     by = np.lexsort((start, entry, source))
     source, entry, start, end = source[by], entry[by], start[by], end[by]
     cuts = _firsts(source)
-    return [(int(source[x]), me, REPLY, _pack(entry[x:y].astype("<u4"), start[x:y].astype("<u2"), end[x:y].astype("<u2"))) for x, y in zip(cuts, np.append(cuts[1:], len(source)))]
+    told = lambda x, y: _pack(entry[x:y].astype("<u4"), start[x:y].astype("<u2"), end[x:y].astype("<u2"))
+    return [(int(source[x]), me, REPLY, told(x, y)) for x, y in zip(cuts, np.append(cuts[1:], len(source)))]
 
 
 def _sort_segments(length: int, buckets: int):
@@ -329,29 +354,43 @@ def _sort_segments(length: int, buckets: int):
         data, source, size = np.concatenate(texts), np.concatenate(sources), size.astype(np.int64)
         begin = np.cumsum(size) - size
         by = np.lexsort((id_, content, problem))
-        problem, content, id_, entry, size, split, source, begin = (x[by] for x in (problem, content, id_, entry, size, split, source, begin))
+        problem, content, id_, entry = problem[by], content[by], id_[by], entry[by]
+        size, split, source, begin = size[by], split[by], source[by], begin[by]
         head = _firsts(problem, content)
-        again = np.ones(len(problem), bool)
-        again[head] = False  # a segment that a smaller document has goes whole
-        rows = _reply(source[again], entry[again], np.zeros(int(again.sum()), np.int64), size[again], me) if again.any() else []
-        problem, id_, entry, size, split, source, begin = (x[head] for x in (problem, id_, entry, size, split, source, begin))
-        cut = _firsts(problem)
-        many = np.repeat(np.diff(np.append(cut, len(problem))) > 1, np.diff(np.append(cut, len(problem)))) | (split > 0)
-        problem, id_, entry, size, split, source, begin = (x[many] for x in (problem, id_, entry, size, split, source, begin))
-        if not len(problem):
+        of = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(by))))
+        again = id_ > id_[head][of]  # a segment that a smaller document has goes whole
+        none = np.zeros(int(again.sum()), np.int64)
+        rows = _reply(source[again], entry[again], none, size[again], me) if again.any() else []
+        # the others of equal ids are one segment below, and what goes there goes from each of them
+        holders = np.flatnonzero(~again)
+        cut = _firsts(problem[head])
+        count = np.diff(np.append(cut, len(head)))
+        many = np.repeat(count > 1, count) | (split[head] > 0)
+        kept = head[many]
+        if not len(kept):
             return _rows(rows)
+        holders = holders[many[of[holders]]]
+        holder_of = (np.cumsum(many) - 1)[of[holders]]
+        problem, id_, size, split, begin = problem[kept], id_[kept], size[kept], split[kept], begin[kept]
         seg, at, least = _classes(problem, data, begin, size, id_, length)
+
+        def held(which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Segment, place in it and holder of the chosen strings, once for each holder, in order."""
+            s, a = seg[which], at[which]
+            order = np.lexsort((a, s))
+            s, a = s[order], a[order]
+            x, y = np.searchsorted(s, holder_of, side="left"), np.searchsorted(s, holder_of, side="right")
+            i = np.repeat(x - np.cumsum(y - x) + (y - x), y - x) + np.arange(int((y - x).sum()))
+            return s[i], a[i], np.repeat(holders, y - x)
+
         gone = id_[seg] > least
-        s, a = seg[gone], at[gone]
-        by = np.lexsort((a, s))
-        s, a = s[by], a[by]
+        s, a, h = held(gone)
         if len(s):
-            runs = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (a[1:] != a[:-1] + 1)]))
+            runs = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (a[1:] != a[:-1] + 1)]))
             ends = a[np.append(runs[1:], len(s)) - 1] + length
-            rows += _reply(source[s[runs]], entry[s[runs]], a[runs], ends, me)
+            rows += _reply(source[h[runs]], entry[h[runs]], a[runs], ends, me)
         # first holders of strings whose anchor was dealt to several problems meet the others by the string's hash
-        first = ~gone & (split[seg] > 0)
-        s, a = seg[first], at[first]
+        s, a, h = held(~gone & (split[seg] > 0))
         if len(s):
             start = begin[s] + a
             name, check = np.zeros(len(s), np.uint64), np.zeros(len(s), np.uint64)
@@ -360,12 +399,11 @@ def _sort_segments(length: int, buckets: int):
                 name, check = name * ODD[4] + byte, mix(check + byte)
             name = mix(name)
             to = (name % np.uint64(buckets)).astype(np.int64)
+            check = (check >> np.uint64(32)).astype("<u4")
             by = np.argsort(to, kind="stable")
-            cuts = np.searchsorted(to[by], np.arange(buckets + 1))
-            for b in range(buckets):
-                i = by[cuts[b] : cuts[b + 1]]
-                if len(i):
-                    rows.append((-1 - b, me, STRINGS, _pack(name[i], (check[i] >> np.uint64(32)).astype("<u4"), id_[s[i]], source[s[i]], entry[s[i]], a[i].astype("<u2"))))
+            for b, x, y in _runs(to[by]):
+                i = by[x:y]
+                rows.append((-1 - b, me, STRINGS, _pack(name[i], check[i], id_[s[i]], source[h[i]], entry[h[i]], a[i].astype("<u2"))))
         return _rows(rows)
 
     return run
@@ -377,7 +415,8 @@ def _meet_strings(length: int):
         me = key[0].as_py()
         if me >= 0:
             return table
-        name, check, id_, source, entry, at = (np.concatenate(c) for c in zip(*(_unpack(x) for x in table.column("payload").to_pylist())))
+        parts = [_unpack(x) for x in table.column("payload").to_pylist()]
+        name, check, id_, source, entry, at = (np.concatenate(c) for c in zip(*parts))
         by = np.lexsort((id_, check, name))
         first = _firsts(name[by], check[by])
         least = np.repeat(id_[by][first], np.diff(np.append(first, len(by))))
@@ -423,7 +462,8 @@ def _take_out(with_text: bool, carried: bool):
             k = keep[x:y]
             left = block.data[x:y][k].tobytes()
             spans = int((~k[:1]).sum() + (k[:-1] & ~k[1:]).sum())
-            out.append((doc_id, int(y - x), int(y - x) - len(left), spans, hashlib.sha256(left).hexdigest()) + ((left.decode("utf-8", "ignore"),) if with_text else ()))
+            row = (doc_id, int(y - x), int(y - x) - len(left), spans, hashlib.sha256(left).hexdigest())
+            out.append(row + ((left.decode("utf-8", "ignore"),) if with_text else ()))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
         width = 5 + with_text
@@ -435,7 +475,15 @@ def _take_out(with_text: bool, carried: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = True, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, problem: int = PROBLEM, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame,
+    length: int = LENGTH,
+    with_text: bool = True,
+    gram: int = GRAM,
+    block_bytes: int = BLOCK_BYTES,
+    problem: int = PROBLEM,
+    carry: tuple[str, ...] = (),
+) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept_text (without cut characters).
 
     carry: columns of docs that come along, in a struct named `carried`.
@@ -449,15 +497,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = True
     blocks = max(1, -(-total // block_bytes))  # by the data alone: a row goes from each block to each bucket
     buckets = max(1, -(-total // (16 * BUCKET_ANCHORS)))
     name = F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(blocks))
+    n = max(n, -(-total // TASK_BYTES))  # a task's share stays the same, however large the input
     texts = docs.withColumn("block", name).repartition(n, "block")
     by_block = texts.groupBy("block")
 
+    def dealt(rows: DataFrame):
+        return rows.repartition(n, "dest").groupBy("dest")
+
     anchors = by_block.applyInArrow(_send_anchors(length, gram, buckets), PASSED)
-    judged = anchors.groupBy("dest").applyInArrow(_judge_anchors(problem), PASSED)
-    segments = by_block.cogroup(judged.groupBy("dest")).applyInArrow(_send_segments(length, gram, buckets), PASSED)
-    sorted_ = segments.groupBy("dest").applyInArrow(_sort_segments(length, buckets), PASSED)
-    told = sorted_.groupBy("dest").applyInArrow(_meet_strings(length), PASSED)
+    judged = dealt(anchors).applyInArrow(_judge_anchors(problem), PASSED)
+    segments = by_block.cogroup(dealt(judged)).applyInArrow(_send_segments(length, gram, buckets), PASSED)
+    sorted_ = dealt(segments).applyInArrow(_sort_segments(length, buckets), PASSED)
+    told = dealt(sorted_).applyInArrow(_meet_strings(length), PASSED)
     schema = RESULT + ", kept_text string" * with_text
     if carry:
         schema += f", carried {docs.schema['carried'].dataType.simpleString()}"
-    return by_block.cogroup(told.groupBy("dest")).applyInArrow(_take_out(with_text, bool(carry)), schema)
+    return by_block.cogroup(dealt(told)).applyInArrow(_take_out(with_text, bool(carry)), schema)

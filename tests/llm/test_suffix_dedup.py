@@ -80,3 +80,14 @@ def test_long_document_is_read_whole(spark):
     df = spark.createDataFrame([(1, long), (2, "<" + long[suffix_dedup.PIECE - 30 : suffix_dedup.PIECE + 70] + ">"), (3, long[-60:])], SCHEMA)
     got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.remove_repeats(df, with_text=False).collect()}
     assert got == {1: 0, 2: 100, 3: 60}
+
+
+def test_rows_without_id_keep_what_others_without_id_have(spark):
+    """In several blocks: equal and overlapping texts of rows whose ids are null or equal remove nothing from each other."""
+    random.seed(6)
+    base = "".join(random.choice("abcdefgh ") for _ in range(2000))
+    rows = [(None, base[o : o + 150]) for o in (0, 0, 0, 100, 100, 40, 900, 900, 950)] + [(3, base[60:140]), (4, base[900:960] + base[0:70])]
+    rows += [(9, base[1200:1400])] * 3 + [(9, base[1250:1450])] * 2 + [(8, base[1300:1360]), (10, base[1200:1400])]
+    rows += [(100 + i, "".join(random.choice("xyz") for _ in range(200))) for i in range(40)]
+    for options in ({"block_bytes": 300}, {"block_bytes": 300, "problem": 1}, {}):
+        compare(spark.createDataFrame(rows, SCHEMA), **options)
