@@ -13,8 +13,8 @@ All comparisons are of full sets. Where many pairs share a bucket or a member, t
 the other side of the join goes to each of these.
 
 Null or blank texts have an empty set, are linked with nothing and kept. Rows without a doc_id are linked with
-nothing: component_id is null and kept is true. Repeated rows are one class with one doc_id and are all kept if
-one is. Further columns of the input are not read; an empty table gives no rows.
+nothing: component_id is null and kept is true. Rows with equal doc_id are one document: what any of their texts is
+linked with is one component, and all of them are kept if one is. Further columns of the input are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -69,7 +69,7 @@ def _offer(elements: np.ndarray, owner: np.ndarray, out: np.ndarray, slots: int)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n_shingles, set_hash, bands."""
+    """doc_id, n_shingles, set_hash, bands."""
     per = SLOTS // ROWS
 
     def run(batches):
@@ -86,12 +86,12 @@ def signatures(docs: DataFrame) -> DataFrame:
                 full = np.array([len(s) > 0 for s in sets])
                 ends = pa.array(np.concatenate([[0], np.cumsum(full * per)]), pa.int32())
                 hashes = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-                columns = [b.column(0).slice(x, y - x), b.column(2).slice(x, y - x), pa.array([len(s) for s in sets], pa.int64())]
-                columns += [pa.array(hashes, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(bands[full].reshape(-1)))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n_shingles", "set_hash", "bands"])
+                lists = pa.ListArray.from_arrays(ends, pa.array(bands[full].reshape(-1)))
+                columns = [b.column(0).slice(x, y - x), pa.array([len(s) for s in sets], pa.int64()), pa.array(hashes, pa.binary()), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_hash", "bands"])
 
-    read = plain(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
-    return read.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, set_hash binary, bands array<long>")
+    read = plain(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
+    return read.mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -194,7 +194,7 @@ def _not_ruled_out(placed: DataFrame, percent: int) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept and text_hash (xxhash64 of the text) for every document."""
+    """doc_id, n_shingles, component_id, kept for every document."""
     rows = materialize(signatures(docs), "signatures")
     classes = rows.filter("n_shingles > 0 and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
     classes = materialize(classes, "classes")
@@ -243,8 +243,8 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         named = labels.withColumnRenamed("node", "rep")
         joined = members.join(named, "rep", "left").select("bucket", "band", "rep", "n", F.coalesce("component", "rep").alias("component"))
     release(*old)
-    own = rows.select("doc_id", "n_shingles", "text_hash", F.when(F.col("n_shingles") > 0, F.col("set_hash")).alias("set_hash"))
+    own = rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_hash")).alias("set_hash"))
     named = own.join(classes, "set_hash", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
-    return named.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "text_hash")
+    return named.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))

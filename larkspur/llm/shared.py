@@ -13,13 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 _own: dict[str, str] = {}
 _worker: dict[str, str] = {}
 _caches: list[Callable[[], None]] = []
+_written: list[DataFrame | None] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir` of the session; a temporary folder only where it is unset (tests, one machine)."""
+    """`spark.checkpoint.dir` of the session. Where it is unset, a temporary folder serves a local session; a cluster needs it."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "dir" not in _own:
         _own["dir"] = tempfile.mkdtemp(prefix="larkspur-")
     return _own["dir"]
@@ -35,9 +38,30 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     df.write.options(**{"compression": "zstd", **options}).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._larkspur_path = path
+    if _written:
+        _written.append(out)
     return out
 
 
+class Temporary:
+    """Tables that materialize() writes inside `with Temporary() as t` are deleted at its end, but for those in t.keep()."""
+
+    def __enter__(self) -> Temporary:
+        self.kept: set[str] = set()
+        self.first = len(_written)
+        _written.append(None)  # from here on tables are noted down
+        return self
+
+    def keep(self, table: DataFrame) -> DataFrame:
+        self.kept.add(table._larkspur_path)
+        return table
+
+    def __exit__(self, *_) -> None:
+        inside = _written[self.first + 1 :]
+        del _written[self.first :]
+        release(*(t for t in inside if t is not None and t._larkspur_path not in self.kept))
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables of materialize() that nothing reads any more."""
     for t in tables:

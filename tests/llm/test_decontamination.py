@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.llm import decontamination
+from plain_versions import leaks
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string"
@@ -28,23 +29,8 @@ def test_decontamination_equals_brute_force(spark):
     df = docs(spark, sf).select("doc_id", "text").unionAll(spark.createDataFrame(planted, DOC))
     got = {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(df.selectExpr("*", "1 as n", "2 as start"), bench).collect()}
 
-    def shingles(text):
-        w = (text or "").lower().split()
-        return [tuple(w[i : i + 5]) for i in range(len(w) - 4)] if len(w) >= 5 else [tuple(w)] if w else []
-
-    bags = {r["item_id"]: shingles(r["text"]) for r in bench.collect()}
-    want = set()
-    for r in df.collect():
-        s = shingles(r["text"])
-        have = set(s)
-        for item, bag in bags.items():
-            if not have.isdisjoint(bag):
-                n, c = len(bag), Counter(bag)
-                for at in range(max(1, len(s) - n + 1)):
-                    both = sum((Counter(s[at : at + n]) & c).values())
-                    if both / (len(s[at : at + n]) + n - both) >= 0.75:
-                        want.add((r["doc_id"], item))
-                        break
+    rows, items = ([tuple(r) for r in t.collect()] for t in (df.select("doc_id", "text"), bench.select("item_id", "text")))
+    want = leaks(rows, items)
     assert got == want and {(9001, 0), (9002, 1), (9004, 3)} <= got and not any(d == 9003 for d, _ in got)
     assert decontamination.find_leaks(df.limit(0), bench).count() == 0 and decontamination.find_leaks(df, bench.limit(0)).count() == 0
 
