@@ -39,13 +39,21 @@ def sure(predicate: Column) -> Column:
     return F.coalesce(predicate, F.lit(False))
 
 
+def _holds(text: Column, words: list[str]) -> Column:
+    """What a text with these tokens must hold as it stands; cheap, so that few texts are taken apart."""
+    out = F.lit(True)
+    for w in words:
+        out = out & F.contains(F.lower(text), F.lit(w))
+    return out
+
+
 def has_tokens(text: Column, value: str) -> Column:
     words = list(dict.fromkeys(tokenize(value)))
     if not words:
         return F.lit(False)
     if len(words) == 1:
-        return sure(F.array_contains(tokens(text), words[0]))
-    return sure(F.size(F.array_intersect(tokens(text), F.array(*map(F.lit, words)))) == len(words))
+        return sure(_holds(text, words) & F.array_contains(tokens(text), words[0]))
+    return sure(_holds(text, words) & (F.size(F.array_intersect(tokens(text), F.array(*map(F.lit, words)))) == len(words)))
 
 
 def has_phrase(text: Column, value: str) -> Column:
@@ -54,7 +62,7 @@ def has_phrase(text: Column, value: str) -> Column:
     if len(words) < 2:
         return has_tokens(text, value)
     lines = F.concat(F.lit("\n"), F.array_join(tokens(text), "\n"), F.lit("\n"))
-    return sure(F.contains(lines, F.lit("\n" + "\n".join(words) + "\n")))
+    return sure(_holds(text, list(dict.fromkeys(words))) & F.contains(lines, F.lit("\n" + "\n".join(words) + "\n")))
 
 
 def is_glob(value: str) -> bool:
@@ -67,8 +75,8 @@ def glob_regex(pattern: str) -> str:
 
 def has_glob(text: Column, pattern: str) -> Column:
     """A single token that the pattern fits."""
-    fits = glob_regex(pattern.lower())
-    return sure(F.exists(tokens(text), lambda t: t.rlike(fits)))
+    fits, pieces = glob_regex(pattern.lower()), [x for x in re.split(r"[*?]+", pattern.lower()) if x]
+    return sure(_holds(text, pieces) & F.exists(tokens(text), lambda t: t.rlike(fits)))
 
 
 def whole_value(text: Column, value: str) -> Column:

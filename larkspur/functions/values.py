@@ -20,6 +20,12 @@ def round4(x: Column) -> Column:
     return F.signum(x) * F.floor(F.abs(x) * 10000 + 0.5) / 10000
 
 
+def number_text(x: Column) -> Column:
+    """A number as text, whole ones without decimals."""
+    whole = (x == F.floor(x)) & (F.abs(x) < 1e15)
+    return F.when(whole, x.cast("long").cast("string")).otherwise(x.cast("string"))
+
+
 def number_of_text(text: Column) -> Column:
     return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
@@ -73,5 +79,15 @@ def default_span(start_ms: int | None, end_ms: int | None) -> int:
     return next((s for s in SPANS if s >= (end_ms - start_ms) / 60), SPANS[-1])
 
 
+def auto_interval(start_ms: int | None, end_ms: int | None) -> int:
+    """A histogram's span where none is given, about a sixtieth of the window in whole tens of seconds, minutes or hours;
+    an open window counts as an hour."""
+    window = 3600 if start_ms is None or end_ms is None else max(60, (end_ms - start_ms) // 1000)
+    step = window // 60
+    if step < 60:
+        return 1000 * max(10, (step + 5) // 10 * 10)
+    return UNITS["m"] * (step // 60) if step < 3600 else UNITS["h"] * (step // 3600)
+
+
 def iso(ms: int) -> str:
     return datetime.fromtimestamp(ms / 1000, timezone.utc).isoformat(timespec="milliseconds").replace("+00:00", "Z")

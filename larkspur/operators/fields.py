@@ -8,6 +8,7 @@ types, several values). Searching and aggregating resolve names differently, and
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -17,7 +18,8 @@ from larkspur.functions.text import has_phrase, sure
 from larkspur.functions.values import as_integer, as_number, number_of_text
 
 CORE = ("env", "index", "day", "ts_ms", "message", "source", "raw", "seq")
-COMPARE: dict[str, Callable[[Column, float], Column]] = {">": lambda c, v: c > v, ">=": lambda c, v: c >= v, "<": lambda c, v: c < v, "<=": lambda c, v: c <= v}
+COMPARE: dict[str, Callable[[Column, float], Column]] = {">": operator.gt, ">=": operator.ge, "<": operator.lt, "<=": operator.le}
+LEAF_TYPES = {"i": "long", "d": "double", "b": "boolean", "s": "string"}
 
 
 def _typed_term(column: Column, kind: str, value: str) -> Column:
@@ -62,7 +64,8 @@ class ColumnFields:
         return [p for p in self.columns if p == name or ("." not in name and p.rsplit(".", 1)[-1] == name)]
 
     def term(self, name: str, value: str) -> Column:
-        return _any([_typed_term(F.col(f"`{self.columns[p][0]}`"), self.columns[p][1], value) for p in self.paths(name)])
+        found = [self.columns[p] for p in self.paths(name)]
+        return _any([_typed_term(F.col(f"`{column}`"), kind, value) for column, kind in found])
 
     def compare(self, name: str, op: str, bound: str) -> Column:
         column, kind = self.columns.get(name.lower(), (None, ""))
@@ -79,17 +82,23 @@ class ColumnFields:
         column, kind = self.columns.get(name.lower(), (None, ""))
         if not column:
             return F.lit(None).cast("double")
-        return number_of_text(F.col(f"`{column}`")) if kind == "s" else F.col(f"`{column}`").cast("int").cast("double") if kind == "b" else F.col(f"`{column}`").cast("double")
+        value = F.col(f"`{column}`")
+        return number_of_text(value) if kind == "s" else (value.cast("int") if kind == "b" else value).cast("double")
 
     def leaves(self) -> Column:
         """The fields as an array of leaves, for discovery."""
-        none = {"i": F.lit(None).cast("long"), "d": F.lit(None).cast("double"), "b": F.lit(None).cast("boolean"), "s": F.lit(None).cast("string")}
         each = []
         for path, (column, kind) in self.columns.items():
             value = F.col(f"`{column}`")
-            each.append(F.when(value.isNotNull(), F.struct(F.lit(path).alias("path"), F.lit(0).alias("pos"), *((value.cast({"i": "long", "d": "double", "b": "boolean", "s": "string"}[k]) if k == kind else none[k]).alias(k) for k in "idbs"))))
+            typed = [(value if k == kind else F.lit(None)).cast(t).alias(k) for k, t in LEAF_TYPES.items()]
+            each.append(F.when(value.isNotNull(), F.struct(F.lit(path).alias("path"), F.lit(0).alias("pos"), *typed)))
         return F.filter(F.array(*each), lambda x: x.isNotNull())
 
+    def plain(self, df: DataFrame) -> DataFrame:
+        """The core columns and the fields under their own names, as a table for SQL."""
+        own = [F.col(f"`{c}`").alias(p) for p, (c, _) in self.columns.items() if p not in CORE]
+        return df.select(*(c for c in CORE if c in df.columns), *own)
+
 
 class LeafFields:
     """Dynamic fields in the column `leaves`: array of (path, pos, i, d, b, s); raw is the event's JSON text."""
@@ -107,10 +116,16 @@ class LeafFields:
         return sure(F.exists("leaves", lambda x: first(x) & (sure(COMPARE[op](x.i, v)) | sure(COMPARE[op](x.d, v)))))
 
     def text(self, name: str) -> Column:
+        """The value at a path in the event, names in any case: the whole name at the top, else name by name."""
         if (core := core_text(name)) is not None:
             return core
-        whole = F.get_json_object("raw", "$['" + name + "']")
-        return F.coalesce(whole, F.get_json_object("raw", "$." + name)) if "." in name else whole
+        step = lambda json, key: F.get(
+            F.filter(F.map_entries(F.from_json(json, "map<string,string>")), lambda e: F.lower(e.key) == key.lower()), 0
+        )["value"]
+        at, parts = F.col("raw"), name.split(".")
+        for part in parts:
+            at = step(at, part)
+        return F.coalesce(step(F.col("raw"), name), at) if len(parts) > 1 else at
 
     def number(self, name: str) -> Column:
         flag = F.element_at(F.filter("leaves", lambda x: (x.path == name.lower()) & x.b.isNotNull() & (x.pos == 0)), 1)
@@ -120,12 +135,26 @@ class LeafFields:
     def leaves(self) -> Column:
         return F.col("leaves")
 
+    def plain(self, df: DataFrame) -> DataFrame:
+        """The core columns, and the leaves as they are."""
+        return df.select(*(c for c in CORE if c in df.columns), "leaves")
+
 
 class View:
-    """A log view: a DataFrame with the core columns, and how its fields are found."""
+    """A log view: a DataFrame with the core columns, and how its fields are found.
+
+    ts: a stored timestamp column that ts_ms is made of, so that time windows can skip row groups. partitions: (env,
+    index, day) of all partitions where they are known without reading rows.
+    """
 
-    def __init__(self, df: DataFrame, fields: ColumnFields | LeafFields):
-        self.df, self.fields = df, fields
+    def __init__(
+        self,
+        df: DataFrame,
+        fields: ColumnFields | LeafFields,
+        ts: str | None = None,
+        partitions: list[tuple[str, str, str]] | None = None,
+    ):
+        self.df, self.fields, self.ts, self.partitions = df, fields, ts, partitions
 
     def where(self, predicate: Column) -> View:
-        return View(self.df.filter(predicate), self.fields)
+        return View(self.df.filter(predicate), self.fields, self.ts, self.partitions)

@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import glob_regex, matches, whole_value
-from larkspur.functions.values import bucket, label
+from larkspur.functions.values import bucket, label, number_text
 from larkspur.operators.fields import View
 
 TEXT_FIELDS = ("message", "raw", "timestamp")
+CORE = ("source", "index")
 
 
 def term(view: View, value: str, field: str | None = None, quoted: bool = False) -> Column:
@@ -30,15 +31,33 @@ def term(view: View, value: str, field: str | None = None, quoted: bool = False)
 
 
 def compare(view: View, field: str, op: str, bound: str) -> Column:
-    return F.lit(False) if field.lower() in ("message", "raw", "source", "timestamp", "dynamic") else view.fields.compare(field, op, bound)
+    if field.lower() in ("message", "raw", "source", "timestamp", "dynamic"):
+        return F.lit(False)
+    return view.fields.compare(field, op, bound)
 
 
 def index_fits(pattern: str) -> Column:
     return F.lower("index").rlike(glob_regex(pattern.lower()))
 
 
-def partitions_in_scope(env: str | None = None, index: Sequence[str] = (), start_ms: int | None = None, end_ms: int | None = None, allowed: Iterable[tuple[str, str]] | None = None, explicit: Iterable[tuple[str, str, str]] | None = None) -> Column:
-    """A predicate on the partition columns, which Spark prunes by: environment, index patterns, days, permissions, listed partitions."""
+def listed(partitions: str) -> list[tuple[str, str, str]]:
+    """`env/index/day,env/index/day` as (env, index, day)."""
+    out = [tuple(x.strip().split("/")) for x in partitions.split(",") if x.strip()]
+    if bad := [x for x in out if len(x) != 3]:
+        raise ValueError(f"not env/index/day: {'/'.join(bad[0])}")
+    return out
+
+
+def partitions_in_scope(
+    env: str | None = None,
+    index: Sequence[str] = (),
+    start_ms: int | None = None,
+    end_ms: int | None = None,
+    allowed: Iterable[tuple[str, str]] | None = None,
+    explicit: Iterable[tuple[str, str, str]] | None = None,
+) -> Column:
+    """A predicate on the partition columns, which Spark prunes by: environment, index patterns, days, permissions,
+    listed partitions."""
     out = (F.col("env") == env) if env else ~F.col("env").startswith("_")
     if index:
         out = out & F.array_contains(F.array(*(index_fits(p) for p in index)), True)
@@ -52,16 +71,20 @@ def partitions_in_scope(env: str | None = None, index: Sequence[str] = (), start
             rule = rule | ((F.lit(e == "*") | (F.lower("env") == e.lower())) & index_fits(i))
         out = out & rule
     if explicit is not None:
-        rule = F.lit(False)
-        for e, i, d in explicit:
-            rule = rule | ((F.col("env") == e) & (F.col("index") == i) & (F.col("day") == F.lit(d).cast("date")))
-        out = out & rule
+        out = out & F.concat_ws("/", "env", "index", F.col("day").cast("string")).isin(["/".join(map(str, x)) for x in explicit])
     return out
 
 
-def in_window(start_ms: int | None, end_ms: int | None) -> Column:
-    """Both ends included."""
+def in_window(view: View, start_ms: int | None, end_ms: int | None) -> Column:
+    """Both ends included. A stored timestamp gets a bound of its own, which reaches the scan."""
     out = F.lit(True)
+    if view.ts:
+        kind = dict(view.df.dtypes)[view.ts]
+        at = lambda ms: F.timestamp_millis(F.lit(ms)).cast(kind)
+        if start_ms is not None:
+            out = out & (F.col(view.ts) >= at(start_ms))
+        if end_ms is not None:
+            out = out & (F.col(view.ts) < at(end_ms + 1))
     if start_ms is not None:
         out = out & (F.col("ts_ms") >= start_ms)
     if end_ms is not None:
@@ -73,7 +96,8 @@ def page(view: View, limit: int = 50, offset: int = 0) -> DataFrame:
     """Hits, newest first: timestamp, message, source, partition, raw. A limit of 0 is taken as 1."""
     rows = view.df.orderBy(F.desc("ts_ms"), "seq").offset(offset).limit(max(1, limit))
     stamp = F.date_format(F.timestamp_millis("ts_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS'+00:00'")
-    return rows.select(stamp.alias("timestamp"), "message", "source", F.concat_ws("/", "index", F.col("day").cast("string")).alias("partition"), "raw", "seq", F.lit(0.0).alias("score"))
+    partition = F.concat_ws("/", "index", F.col("day").cast("string")).alias("partition")
+    return rows.select(stamp.alias("timestamp"), "message", "source", partition, "raw", "seq", F.lit(0.0).alias("score"))
 
 
 def partition_list(view: View) -> DataFrame:
@@ -82,7 +106,8 @@ def partition_list(view: View) -> DataFrame:
 
 def histogram(view: View, span_ms: int, start_ms: int | None = None, end_ms: int | None = None) -> DataFrame:
     """Counts per epoch-aligned bucket; with both bounds every bucket of the window has a row."""
-    counts = view.df.filter(in_window(start_ms, end_ms)).groupBy(bucket(F.col("ts_ms"), span_ms).alias("bucket_ms")).agg(F.count("*").alias("n"))
+    rows = view.df.filter(in_window(view, start_ms, end_ms))
+    counts = rows.groupBy(bucket(F.col("ts_ms"), span_ms).alias("bucket_ms")).agg(F.count("*").alias("n"))
     if start_ms is None or end_ms is None:
         return counts.select("bucket_ms", label(F.col("bucket_ms"), span_ms).alias("bucket"), "n")
     spark = view.df.sparkSession
@@ -91,10 +116,24 @@ def histogram(view: View, span_ms: int, start_ms: int | None = None, end_ms: int
     return filled.select("bucket_ms", label(F.col("bucket_ms"), span_ms).alias("bucket"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+def search_histogram(
+    view: View, span_ms: int, start_ms: int | None = None, end_ms: int | None = None, limit: int = 50, offset: int = 0
+) -> tuple[DataFrame, DataFrame]:
+    """page() and histogram() of one search. The counts tell from which bucket on the hits lie, so the rows are read once
+    for the counts and only the newest buckets again for the hits."""
+    counts = histogram(view, span_ms, start_ms, end_ms)
+    newest = Window.partitionBy(F.lit(0)).orderBy(F.desc("bucket_ms"))  # one row a bucket
+    enough = counts.withColumn("upto", F.sum("n").over(newest)).filter(F.col("upto") >= offset + max(1, limit))
+    first = enough.agg(F.max("bucket_ms")).first()[0]
+    found = view.where(in_window(view, start_ms if first is None else first, end_ms))
+    return page(found, limit, offset), counts
+
+
 def series(view: View, span_ms: int, named: dict[str, Column]) -> DataFrame:
     """One histogram per predicate, side by side, from a single pass; 0 where a series has no rows."""
     some = F.array_contains(F.array(*named.values()), True)
-    return view.df.filter(some).groupBy(bucket(F.col("ts_ms"), span_ms).alias("bucket_ms")).agg(*(F.count_if(p).alias(n) for n, p in named.items()))
+    rows = view.df.filter(some).groupBy(bucket(F.col("ts_ms"), span_ms).alias("bucket_ms"))
+    return rows.agg(*(F.count_if(p).alias(n) for n, p in named.items()))
 
 
 def totals(view: View, named: dict[str, Column]) -> DataFrame:
@@ -105,33 +144,36 @@ def _value_labels(view: View, fields: Sequence[str]) -> Column:
     """(field, value) of each row for the given fields; fields of free text are errors, booleans have no values."""
     if bad := [f for f in fields if f in TEXT_FIELDS]:
         raise ValueError(f"no top values of {bad[0]}")
-    leaves = view.fields.leaves()
-    core = [F.when(F.col(f).isNotNull(), F.struct(F.lit(f).alias("field"), F.col(f).alias("value"))) for f in fields if f in ("source", "index")]
-    wanted = [f.lower() for f in fields if f not in ("source", "index")]
-    whole = lambda d: (d == F.floor(d)) & (F.abs(d) < 1e15)
-    of = lambda x: F.coalesce(x.i.cast("string"), F.when(whole(x.d), x.d.cast("long").cast("string")).otherwise(x.d.cast("string")), x.s)
-    dynamic = F.transform(F.filter(leaves, lambda x: x.path.isin(wanted) & (x.pos == 0) & x.b.isNull()), lambda x: F.struct(x.path.alias("field"), of(x).alias("value"))) if wanted else None
-    parts = ([F.filter(F.array(*core), lambda x: x.isNotNull())] if core else []) + ([dynamic] if dynamic is not None else [])
+    core = [F.when(F.col(f).isNotNull(), F.struct(F.lit(f).alias("field"), F.col(f).alias("value"))) for f in fields if f in CORE]
+    wanted = [f.lower() for f in fields if f not in CORE]
+    parts = [F.filter(F.array(*core), lambda x: x.isNotNull())] if core else []
+    if wanted:
+        own = F.filter(view.fields.leaves(), lambda x: x.path.isin(wanted) & (x.pos == 0) & x.b.isNull())
+        value = lambda x: F.coalesce(x.i.cast("string"), number_text(x.d), x.s)
+        parts.append(F.transform(own, lambda x: F.struct(x.path.alias("field"), value(x).alias("value"))))
     return F.concat(*parts)
 
 
 def terms(view: View, fields: Sequence[str], size: int = 10) -> DataFrame:
     """field, value, n: the most frequent values of several fields in one pass; exact, ties by value."""
-    counts = view.df.select(F.explode(_value_labels(view, fields)).alias("x")).groupBy("x.field", "x.value").agg(F.count("*").alias("n"))
+    rows = view.df.select(F.explode(_value_labels(view, fields)).alias("x"))
+    return _most(rows.groupBy("x.field", "x.value").agg(F.count("*").alias("n")), size)
+
+
+def _most(counts: DataFrame, size: int) -> DataFrame:
     best = Window.partitionBy("field").orderBy(F.desc("n"), "value")
     return counts.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= size).select("field", "value", "n")
 
 
 def terms_sampled(view: View, fields: Sequence[str], size: int = 10, max_partitions: int = 96) -> DataFrame:
     """terms() over every n-th partition, newest first, each partition's counts scaled up and rounded."""
-    keys = [tuple(r) for r in partition_list(view).collect()]  # one row a partition
+    keys = view.partitions or [tuple(map(str, r)) for r in partition_list(view).collect()]  # one row a partition
+    keys = sorted(sorted(keys), key=lambda k: k[2], reverse=True)
     if len(keys) <= max_partitions:
         return terms(view, fields, size)
     chosen = keys[:: ceil(len(keys) / max_partitions)]
     scale = len(keys) / len(chosen)
-    scope = partitions_in_scope(explicit=[(e, i, str(d)) for e, i, d in chosen])
-    rows = view.df.filter(scope).select("env", "index", "day", F.explode(_value_labels(view, fields)).alias("x"))
+    rows = view.where(partitions_in_scope(explicit=chosen)).df
+    rows = rows.select("env", "index", "day", F.explode(_value_labels(view, fields)).alias("x"))
     counts = rows.groupBy("env", "index", "day", "x.field", "x.value").agg(F.count("*").alias("c"))
-    scaled = counts.groupBy("field", "value").agg(F.sum(F.floor(F.col("c") * scale + 0.5)).cast("long").alias("n"))
-    best = Window.partitionBy("field").orderBy(F.desc("n"), "value")
-    return scaled.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= size).select("field", "value", "n")
+    return _most(counts.groupBy("field", "value").agg(F.sum(F.floor(F.col("c") * scale + 0.5)).cast("long").alias("n")), size)

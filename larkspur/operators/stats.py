@@ -6,76 +6,76 @@ make it total: Spark's sort isn't stable, so a new sort puts its column before t
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions.values import MISSING, bucket, label, round4
+from larkspur.functions.values import MISSING, bucket, label, number_text, round4
 from larkspur.operators.fields import View
 
 QUANTILES = {"p50": 0.5, "median": 0.5, "p95": 0.95, "p99": 0.99}
 GROUP_CAP = 50_000
 
 
+KINDS = {"mean": "avg", "median": "p50"}
+
+
 @dataclass(frozen=True)
 class Agg:
-    kind: str  # count, sum, avg, min, max, p50, p95, p99, earliest, latest
+    """count (of rows, or of a field's numbers), sum, avg, min, max, p50, p95, p99, or earliest or latest of timestamp."""
+
+    kind: str
     field: str | None = None
     alias: str | None = None
 
+    def __post_init__(self):
+        object.__setattr__(self, "kind", KINDS.get(self.kind, self.kind))
+        if self.kind in ("earliest", "latest"):
+            if (self.field or "").lower() != "timestamp":
+                raise ValueError(f"{self.kind} takes timestamp")
+        elif self.kind not in ("count", "sum", "avg", "min", "max", *QUANTILES) or not (self.field or self.kind == "count"):
+            raise ValueError(f"not an aggregate: {self.kind!r} of {self.field!r}")
+
     @property
     def name(self) -> str:
         return self.alias or (self.kind if self.field is None else f"{self.kind}({self.field})")
 
 
-def aggregates(text: str) -> list[Agg]:
-    """`count, sum(x), p95(y)`: repeated ones count once."""
-    out: list[Agg] = []
-    for part in filter(None, re.split(r"[,\s]+(?![^(]*\))", text.strip())):
-        m = re.fullmatch(r"(\w+)(?:\(\s*(.*?)\s*\))?", part)
-        kind, field = (m[1].lower(), m[2]) if m else ("", None)
-        kind = {"mean": "avg", "median": "p50"}.get(kind, kind)
-        if kind == "count" and field in (None, "", "*"):
-            field = None
-        elif kind in ("earliest", "latest"):
-            if (field or "").lower() != "timestamp":
-                raise ValueError(f"{kind} takes timestamp")
-        elif kind not in ("count", "sum", "avg", "min", "max", *QUANTILES) or not field:
-            raise ValueError(f"not an aggregate: {part!r}")
-        if Agg(kind, field) not in out:
-            out.append(Agg(kind, field))
-    return out
-
-
 @dataclass(frozen=True)
 class Table:
+    """columns: (name, column of df) in order; a name may be given away while its column still orders the rows."""
+
     df: DataFrame
-    columns: tuple[str, ...]
-    order: tuple[tuple[str, bool], ...]  # column, descending
+    columns: tuple[tuple[str, str], ...]
+    order: tuple[tuple[str, bool], ...]  # column of df, descending
 
     def _by(self) -> list[Column]:
         return [F.col(f"`{c}`").desc_nulls_last() if down else F.col(f"`{c}`").asc_nulls_first() for c, down in self.order]
 
+    @property
+    def names(self) -> tuple[str, ...]:
+        return tuple(n for n, _ in self.columns)
+
     def rows(self) -> DataFrame:
         """The table in its order."""
-        return self.df.orderBy(*self._by()).select(*(F.col(f"`{c}`") for c in self.columns))
+        return self.df.orderBy(*self._by()).select(*(F.col(f"`{c}`").alias(n) for n, c in self.columns))
 
-    def _column(self, name: str) -> str:
-        if name not in self.columns:
+    def column(self, name: str) -> str:
+        if name not in self.names:
             raise ValueError(f"no column {name!r}")
-        return name
+        return dict(self.columns)[name]
 
     def where(self, name: str, op: str, value: str | float) -> Table:
         """Numbers only equal numbers, texts compare ignoring case; missing values only differ."""
-        column, kind = F.col(f"`{self._column(name)}`"), dict(self.df.dtypes)[name]
+        at = self.column(name)
+        column, kind = F.col(f"`{at}`"), dict(self.df.dtypes)[at]
         numeric = kind in ("bigint", "int", "double")
         if isinstance(value, str):
             if op not in ("=", "==", "!="):
                 raise ValueError("texts have no order")
-            same = F.lower(column.cast("string")) == value.lower() if not numeric else column.cast("string") == value
+            same = F.lower(column.cast("string")) == value.lower() if not numeric else number_text(column) == value
         elif not numeric:
             same = F.lit(False)
             if op not in ("=", "==", "!="):
@@ -89,35 +89,39 @@ class Table:
         return replace(self, df=self.df.filter(~same if op == "!=" else same))
 
     def keep(self, names: Sequence[str]) -> Table:
-        return replace(self, columns=tuple(n for n in names if n in self.columns))
+        return replace(self, columns=tuple((n, dict(self.columns)[n]) for n in names if n in self.names))
 
     def drop(self, names: Sequence[str]) -> Table:
-        return replace(self, columns=tuple(c for c in self.columns if c not in names))
+        return replace(self, columns=tuple((n, c) for n, c in self.columns if n not in names))
 
-    def rename(self, pairs: Sequence[tuple[str, str]]) -> Table:
-        df, columns = self.df, list(self.columns)
-        for old, new in pairs:
-            if old in columns and new not in df.columns:
-                df = df.withColumn(new, F.col(f"`{old}`"))  # the old one stays for the order
-                columns[columns.index(old)] = new
-        return Table(df, tuple(columns), self.order)
+    def rename(self, **new: str) -> Table:
+        """old=new, all at once, so two columns may swap their names. Names that aren't there change nothing."""
+        return self.renamed(new)
+
+    def renamed(self, new: dict[str, str]) -> Table:
+        columns = tuple((new.get(n, n), c) for n, c in self.columns)
+        if len({n for n, _ in columns}) < len(columns):
+            raise ValueError("two columns of one name")
+        return replace(self, columns=columns)
 
     def sort(self, name: str, descending: bool = False) -> Table:
         """A column that isn't there changes nothing. Missing values come first, as the smallest."""
-        if name not in self.columns:
+        if name not in self.names:
             return self
-        return replace(self, order=((name, descending), *self.order))
+        return replace(self, order=((self.column(name), descending), *self.order))
 
     def head(self, n: int = 50) -> Table:
         return replace(self, df=self.df.orderBy(*self._by()).limit(n))
 
     def tail(self, n: int = 50) -> Table:
         """The last n rows, in the same order."""
-        turned = Table(self.df, self.columns, tuple((c, not down) for c, down in self.order))
+        turned = replace(self, order=tuple((c, not down) for c, down in self.order))
         return replace(self, df=turned.head(n).df)
 
 
-def stats(view: View, aggs: Sequence[Agg], by: Sequence[str] = (), span_ms: int | None = None, scan_cap: int | None = None) -> Table:
+def stats(
+    view: View, aggs: Sequence[Agg] = (Agg("count"),), by: Sequence[str] = (), span_ms: int | None = None, scan_cap: int | None = None
+) -> Table:
     """Groups by the text of fields (missing: an em dash) and, with span_ms, by time; no rows give no groups.
 
     scan_cap: count at most so many of the newest rows of each partition; off by default, as results are then partial.
@@ -126,7 +130,9 @@ def stats(view: View, aggs: Sequence[Agg], by: Sequence[str] = (), span_ms: int
     if scan_cap is not None:
         newest = Window.partitionBy("env", "index", "day").orderBy(F.desc("ts_ms"), "seq")
         df = df.withColumn("__row", F.row_number().over(newest)).filter(F.col("__row") <= scan_cap)
-    keys = ([label(bucket(F.col("ts_ms"), span_ms), span_ms).alias("_time")] if span_ms else []) + [F.coalesce(view.fields.text(f), F.lit(MISSING)).alias(f) for f in by]
+    aggs = list(dict.fromkeys(aggs))
+    keys = [label(bucket(F.col("ts_ms"), span_ms), span_ms).alias("_time")] if span_ms else []
+    keys += [F.coalesce(view.fields.text(f), F.lit(MISSING)).alias(f) for f in by]
     names = (["_time"] if span_ms else []) + list(by)
     fields = list(dict.fromkeys(a.field for a in aggs if a.field and a.kind not in ("earliest", "latest")))
     rows = df.select(*keys, "ts_ms", *(view.fields.number(f).alias(f"#{f}") for f in fields))
@@ -152,7 +158,8 @@ def stats(view: View, aggs: Sequence[Agg], by: Sequence[str] = (), span_ms: int
         on = [F.col(f"`{n}`") == F.col(f"__k{i}") for i, n in enumerate(names)] or [F.col("__n") > 0]
         grouped = grouped.join(ranks, on, "left").drop(*(f"__k{i}" for i in range(len(names))))
     columns = (*names, *(a.name for a in aggs))
-    return Table(grouped.select(*(F.col(f"`{c}`") for c in columns)), columns, tuple((n, False) for n in names) or ((columns[0], False),))
+    order = tuple((n, False) for n in names) or ((columns[0], False),)
+    return Table(grouped.select(*(F.col(f"`{c}`") for c in columns)), tuple((c, c) for c in columns), order)
 
 
 def _bin(x: Column) -> Column:
@@ -162,13 +169,14 @@ def _bin(x: Column) -> Column:
 
 
 def _nearest_ranks(values: DataFrame, keys: int, quantiles: dict[str, float]) -> DataFrame:
-    """Exact nearest ranks of __x by __k0, __k1, ...: counts of bins say in which bin a rank lies, and only its values are ordered.
+    """Exact nearest ranks of __x by __k0, __k1, ...: counts of bins say in which bin a rank lies; only its values are ordered.
 
     Counts combine before the shuffle and no group is ordered as a whole, so one large group isn't one task's work.
     """
     names = [f"__k{i}" for i in range(keys)]
     at = {n: F.floor((F.col("__all") - 1) * q + 0.5) for n, q in quantiles.items()}
-    counts = values.filter("__x is not null").groupBy(*names, "__x").agg(F.count("*").alias("__c")).withColumn("__bin", _bin(F.col("__x")))
+    counts = values.filter("__x is not null").groupBy(*names, "__x").agg(F.count("*").alias("__c"))
+    counts = counts.withColumn("__bin", _bin(F.col("__x")))
     group = Window.partitionBy(*(names or [F.lit(0)]))
     bins = counts.groupBy(*names, "__bin").agg(F.sum("__c").alias("__in"))
     bins = bins.withColumn("__to", F.sum("__in").over(group.orderBy("__bin"))).withColumn("__all", F.sum("__in").over(group))
@@ -181,7 +189,9 @@ def _nearest_ranks(values: DataFrame, keys: int, quantiles: dict[str, float]) ->
     return ranked.groupBy(*names).agg(*(round4(F.min(F.when(F.col("__upto") > t, F.col("__x")))).alias(n) for n, t in at.items()))
 
 
-def timechart(view: View, span_ms: int, aggs: Sequence[Agg] = (Agg("count"),), by: Sequence[str] = (), cap: int | None = None) -> Table:
+def timechart(
+    view: View, span_ms: int, aggs: Sequence[Agg] = (Agg("count"),), by: Sequence[str] = (), cap: int | None = GROUP_CAP
+) -> Table:
     """stats() with a time column; buckets without rows aren't filled in. cap: fail beyond so many groups."""
     table = stats(view, aggs, by, span_ms)
     if cap is not None and table.df.limit(cap + 1).count() > cap:
@@ -199,4 +209,3 @@ def timechart_pivot(table: Table, key: str, value: str = "count", series: int =
     names = [r["k"] for r in totals.orderBy(F.desc("t"), "k").limit(series).collect()]
     wide = table.df.groupBy("_time").pivot(key, names).agg(F.sum(F.col(f"`{value}`")))
     return wide.fillna(0)
-

@@ -1,18 +1,21 @@
 """JSON events as rows: core fields, text and shredded leaves.
 
-Known names of the core fields are taken from the event's top level, in order, the first that is usable; whatever
-is left is shredded into leaves with lower-case dotted paths. Events without a usable time get ts_ms 0 and the
-day they arrive on. Texts that aren't JSON objects are dropped and counted by `bad_lines`.
+Known names of the core fields are taken from the event's top level, in order, the first that is usable; whatever is left
+is shredded into leaves with lower-case dotted paths. Events without a usable time get ts_ms 0 and the day they arrive
+on. No event stops the others: a text that isn't a JSON object, or is nested too deep to read, becomes a row that says so
+in `bad` (`json`), as does an event that can't be shredded (`value`); the store leaves these out and counts them. Times
+beyond the years 1 to 9999 are no times, numbers beyond a double are infinite, halves of surrogate pairs become U+FFFD.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import re
 from datetime import datetime, timezone
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Names of core fields in the order they are tried.
@@ -21,10 +24,21 @@ MESSAGE_NAMES = ("message", "msg", "Body", "body", "event", "Msg", "log.body", "
 SOURCE_NAMES = ("source", "log.source", "_source")
 CONTAINERS = ("Attributes", "Resource", "attributes", "resource")
 DEPTH, ELEMENTS = 16, 1000
-LAYOUTS = ("%d/%b/%Y:%H:%M:%S %z", "%Y-%m-%dT%H:%M:%S.%f", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M:%S.%f", "%Y-%m-%d %H:%M:%S", "%Y-%m-%d %H:%M:%S,%f")
+LAYOUTS = (
+    "%d/%b/%Y:%H:%M:%S %z",
+    "%Y-%m-%dT%H:%M:%S.%f",
+    "%Y-%m-%dT%H:%M:%S",
+    "%Y-%m-%d %H:%M:%S.%f",
+    "%Y-%m-%d %H:%M:%S",
+    "%Y-%m-%d %H:%M:%S,%f",
+)
 
 LEAF = "struct<path:string,pos:int,i:bigint,d:double,b:boolean,s:string>"
-ROW = f"ts_ms bigint, timed boolean, message string, source string, raw string, target string, leaves array<{LEAF}>"
+ROW = f"ts_ms bigint, timed boolean, message string, source string, raw string, target string, bad string, leaves array<{LEAF}>"
+TEXTS = ("message", "source", "raw", "target", "bad")
+_LEAF = [("path", pa.string()), ("pos", pa.int32()), ("i", pa.int64()), ("d", pa.float64()), ("b", pa.bool_()), ("s", pa.string())]
+FIRST_MS, LAST_MS = -62_135_596_800_000, 253_402_300_799_999
+_HALVES = re.compile("[\ud800-\udfff]")
 
 
 def epoch_ms(value: object) -> int | None:
@@ -33,7 +47,10 @@ def epoch_ms(value: object) -> int | None:
         return None
     if isinstance(value, (int, float)):
         size = abs(value)
-        return int(value * 1000 // 1 if size < 1e10 else value if size < 1e13 else value // 1e3 if size < 1e16 else int(value) // 1_000_000)
+        if not size < 1e22:
+            return None
+        ms = value * 1000 // 1 if size < 1e10 else value if size < 1e13 else value // 1e3 if size < 1e16 else int(value) // 1_000_000
+        return int(ms) if FIRST_MS <= ms <= LAST_MS else None
     if not isinstance(value, str):
         return None
     at = None
@@ -54,9 +71,17 @@ def epoch_ms(value: object) -> int | None:
     return (at - datetime(1970, 1, 1, tzinfo=timezone.utc)) // (datetime.resolution * 1000)
 
 
-def leaves(event: dict) -> list[dict]:
-    """Scalars under their lower-case dotted path; elements of a list share one path and are numbered per type."""
-    out: list[dict] = []
+def _double(value: float) -> float:
+    try:
+        return float(value)
+    except OverflowError:
+        return math.inf if value > 0 else -math.inf
+
+
+def leaves(event: dict) -> list[tuple]:
+    """(path, pos, i, d, b, s) of scalars under their lower-case dotted path; elements of a list share one path and are
+    numbered per type."""
+    out: list[tuple] = []
     seen: dict[tuple[str, str], int] = {}
     todo: list[tuple[str, object, int]] = [(k.lower(), v, 1) for k, v in reversed(event.items())]
     while todo:
@@ -68,9 +93,12 @@ def leaves(event: dict) -> list[dict]:
         elif isinstance(value, list):
             todo += [(path, v, depth + 1) for v in reversed(value[:ELEMENTS])]
         elif value is not None:
-            kind = "b" if isinstance(value, bool) else "s" if isinstance(value, str) else "i" if isinstance(value, int) and -(1 << 63) <= value < 1 << 63 else "d"
+            whole = isinstance(value, int) and -(1 << 63) <= value < 1 << 63
+            kind = "b" if isinstance(value, bool) else "s" if isinstance(value, str) else "i" if whole else "d"
             n = seen[path, kind] = seen.get((path, kind), -1) + 1
-            out.append({"path": path, "pos": n, "i": None, "d": None, "b": None, "s": None, kind: float(value) if kind == "d" else value})
+            typed = [None, None, None, None]
+            typed["idbs".index(kind)] = _double(value) if kind == "d" else value
+            out.append((path, n, *typed))
     return out
 
 
@@ -109,31 +137,67 @@ def row(event: dict, default_source: str | None, template: str) -> dict:
     source = next((n for n in SOURCE_NAMES if isinstance(rest.get(n), str) and rest[n]), None)
     return {
         "ts_ms": ts or 0, "timed": ts is not None, "message": rest.pop(message) if message else None,
-        "source": rest.pop(source) if source else default_source, "raw": raw, "target": target, "leaves": leaves(rest),
+        "source": rest.pop(source) if source else default_source, "raw": raw, "target": target, "bad": None, "leaves": leaves(rest),
     }
 
 
-def _object(text: str | None) -> dict | None:
+def _shred(text: str | None, default_source: str | None, template: str) -> dict:
+    """row() of an event's text, or a row that says what is wrong with it."""
+    bad = {"ts_ms": 0, "timed": False, "message": None, "source": None, "raw": text, "target": "", "leaves": []}
     try:
-        value = json.loads(text or "")
-    except ValueError:
-        return None
-    return value if isinstance(value, dict) else None
+        event = json.loads(text or "")
+    except (ValueError, RecursionError):
+        return bad | {"bad": "json"}
+    if not isinstance(event, dict):
+        return bad | {"bad": "json"}
+    try:
+        return row(event, default_source, template)
+    except (ValueError, OverflowError, RecursionError):
+        return bad | {"bad": "value"}
+
 
+def _whole(text: str | None) -> str | None:
+    return _HALVES.sub("\ufffd", text) if text is not None and not text.isascii() else text
 
-def rows(events: DataFrame, arrived_ms: int, default_source: str | None = None, template: str = "main", env: str = "default") -> DataFrame:
-    """Rows of a log view from a column `event` of JSON texts; arrived_ms decides the day of events without a time."""
+
+def _batch(found: list[dict]) -> pa.RecordBatch:
+    columns = [pa.array([r["ts_ms"] for r in found], pa.int64()), pa.array([r["timed"] for r in found], pa.bool_())]
+    columns += [pa.array([_whole(r[t]) for r in found], pa.string()) for t in TEXTS]
+    ends = [0]
+    for r in found:
+        ends.append(ends[-1] + len(r["leaves"]))
+    flat = list(zip(*(x for r in found for x in r["leaves"]))) or [()] * len(_LEAF)
+    flat[0], flat[5] = map(_whole, flat[0]), map(_whole, flat[5])
+    leaf = pa.StructArray.from_arrays([pa.array(list(c), t) for c, (_, t) in zip(flat, _LEAF)], names=[n for n, _ in _LEAF])
+    columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), leaf))
+    return pa.RecordBatch.from_arrays(columns, names=["ts_ms", "timed", *TEXTS, "leaves"])
+
+
+def rows(
+    events: DataFrame, arrived_ms: int | Column, default_source: str | None = None, template: str = "main", env: str = "default"
+) -> DataFrame:
+    """Rows of a log view from a column `event` of JSON texts, and `bad` for those that aren't events.
+
+    arrived_ms decides the day of events without a time; a stream gives each batch its own.
+    """
 
     def shred(batches):
         for batch in batches:
-            found = [row(e, default_source, template) for e in map(_object, batch["event"]) if e is not None]
-            yield pd.DataFrame(found, columns=["ts_ms", "timed", "message", "source", "raw", "target", "leaves"])
+            yield _batch([_shred(e, default_source, template) for e in batch.column(0).to_pylist()])
+
+    out = events.select("event").mapInArrow(shred, ROW)
+    arrived = arrived_ms if isinstance(arrived_ms, Column) else F.lit(arrived_ms)
+    day = F.to_date(F.timestamp_millis(F.when(F.col("timed"), F.col("ts_ms")).otherwise(arrived)))
+    index = F.when(F.col("bad").isNull(), F.col("target")).alias("index")
+    core = [F.lit(env).alias("env"), index, day.alias("day"), "ts_ms", "message", "source", "raw", F.xxhash64("raw").alias("seq")]
+    return out.select(*core, "leaves", "bad")
+
 
-    out = events.select("event").mapInPandas(shred, ROW)
-    day = F.to_date(F.timestamp_millis(F.when(F.col("timed"), F.col("ts_ms")).otherwise(F.lit(arrived_ms))))
-    return out.select(F.lit(env).alias("env"), F.col("target").alias("index"), day.alias("day"), "ts_ms", "message", "source", "raw", F.xxhash64("raw").alias("seq"), "leaves")
+def good(rows_: DataFrame) -> DataFrame:
+    """Only the rows of events, for views without a store between."""
+    return rows_.filter("bad is null").drop("bad")
 
 
-def bad_lines(events: DataFrame) -> DataFrame:
-    """Events that rows() drops: not a JSON object."""
-    return events.filter(F.col("event").isNull() | F.try_parse_json("event").isNull() | ~F.ltrim("event").startswith("{"))
+def bad_lines(rows_: DataFrame) -> DataFrame:
+    """reason, raw of the texts that rows() couldn't take as events."""
+    return rows_.filter("bad is not null").select(F.col("bad").alias("reason"), "raw")

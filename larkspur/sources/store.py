@@ -1,14 +1,24 @@
-"""The event store: Parquet files by environment, index and day, sorted by time within each file.
+"""The event store: Parquet files by environment, index and day, and a log of commits that says which of them count.
 
-Readers give both a partition predicate (which prunes folders) and a time window (which skips row groups by their
-statistics). Files are never changed; compaction writes a partition anew beside the old files and then swaps.
+Every write puts new files in a folder of its own; then one small JSON file in `_log`, renamed into place, makes them
+count, and with a compaction makes the files they replace stop counting. Readers see all of a commit or nothing, a
+writer that dies leaves only files that no commit names, and a commit of a name that exists is skipped, so a batch
+that a stream repeats is stored once. Old files stay for running readers until `clean`. Rows are sorted by time within
+each file; readers give a partition predicate (which prunes files) and a time window (which skips row groups).
+
+One process at a time compacts or expires a store; any number may append and read.
 """
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
+from collections.abc import Iterable
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.operators.fields import LeafFields, View
@@ -19,61 +29,197 @@ SCHEMA = (
     "leaves array<struct<path:string,pos:int,i:bigint,d:double,b:boolean,s:string>>, env string, index string, day date"
 )
 TARGET_BYTES, FLOOR_BYTES = 64 << 20, 5 << 20
+PARTITIONS_A_JOB = 500
+LOG_FILES = 50  # so many commits are put together into one
+GRACE_S = 3600.0
 NAME = "^[A-Za-z0-9_-]+$"
 
 
-def accepted(rows: DataFrame) -> DataFrame:
-    """Rows whose environment and index may be folder names."""
-    return rows.filter(F.col("env").rlike(NAME) & F.col("index").rlike(NAME))
+class Folder:
+    """Files below a path of any Hadoop file system."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.path, self._jvm = path.rstrip("/"), spark._jvm
+        self._conf = spark._jsparkSession.sessionState().newHadoopConf()
+        self._fs = self._at("").getFileSystem(self._conf)
+
+    def _at(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def files(self, name: str, recursive: bool = False) -> list[tuple[str, int, int]]:
+        """(name below the path, bytes, time of change in ms)."""
+        if not self._fs.exists(self._at(name)):
+            return []
+        root, found, out = self._fs.makeQualified(self._at("")).toString(), self._fs.listFiles(self._at(name), recursive), []
+        while found.hasNext():
+            f = found.next()
+            out.append((f.getPath().toString()[len(root) :].lstrip("/"), f.getLen(), f.getModificationTime()))
+        return out
+
+    def read(self, name: str) -> dict:
+        stream = self._fs.open(self._at(name))
+        try:
+            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def put(self, name: str, what: dict) -> bool:
+        """Write a file in one step; False if there is one of this name."""
+        draft = self._at(f"_drafts/{uuid.uuid4().hex}")
+        stream = self._fs.create(draft)
+        stream.write(bytearray(json.dumps(what).encode()))
+        stream.close()
+        self._fs.mkdirs(self._at(name).getParent())
+        done = not self._fs.exists(self._at(name)) and self._fs.rename(draft, self._at(name))
+        if not done:
+            self._fs.delete(draft, False)
+        return done
+
+    def move(self, name: str, to: str) -> None:
+        self._fs.mkdirs(self._at(to).getParent())
+        if not self._fs.rename(self._at(name), self._at(to)):
+            raise OSError(f"can't move {name} to {to}")
+
+    def delete(self, name: str) -> None:
+        self._fs.delete(self._at(name), True)
+
+
+def _commits(at: Folder) -> dict[str, dict]:
+    """The commits that no later one stands for, by name."""
+    found = {name: at.read(name) for name, _, _ in at.files("_log")}
+    replaced = {r for c in found.values() for r in c["replaces"]}
+    return {n: c for n, c in found.items() if n not in replaced}
+
+
+def live_files(spark: SparkSession, path: str) -> dict[str, int]:
+    """Bytes of each file that counts."""
+    commits = _commits(Folder(spark, path)).values()
+    old = {f for c in commits for f in c["old"]}
+    return {f: n for c in commits for f, n in c["new"].items() if f not in old}
+
+
+def _key(file: str) -> tuple[str, str, str]:
+    """Of data/env=E/index=I/day=D/write/file."""
+    return tuple(x.split("=", 1)[1] for x in file.split("/")[1:4])
+
+
+def partition_figures(spark: SparkSession, path: str) -> list[tuple[str, str, str, int, int]]:
+    """(env, index, day, files, bytes) of every partition, from the log alone."""
+    out: dict[tuple[str, str, str], list[int]] = {}
+    for f, n in live_files(spark, path).items():
+        figures = out.setdefault(_key(f), [0, 0])
+        figures[0] += 1
+        figures[1] += n
+    return sorted((*k, *v) for k, v in out.items())
+
+
+def totals(spark: SparkSession, path: str) -> dict[str, int]:
+    """Partitions, files and bytes of the whole store."""
+    figures = partition_figures(spark, path)
+    return {"partitions": len(figures), "files": sum(f[3] for f in figures), "bytes": sum(f[4] for f in figures)}
+
+
+def _write(rows: DataFrame, at: Folder, old: Iterable[str] = (), name: str | None = None) -> bool:
+    """Files of the rows, dealt and sorted by the caller, and the commit that makes them count instead of the old ones."""
+    write = uuid.uuid4().hex
+    staging = f"_staging/{write}"
+    rows.write.option("compression", "zstd").partitionBy(*PARTITION).parquet(f"{at.path}/{staging}")
+    new, folders = {}, set()
+    for f, n, _ in at.files(staging, recursive=True):
+        folder, _, file = f[len(staging) + 1 :].rpartition("/")
+        if folder and file.endswith(".parquet"):
+            new[f"data/{folder}/{write}/{file}"] = n
+            folders.add(folder)
+    for folder in folders:  # one for each partition that has rows
+        at.move(f"{staging}/{folder}", f"data/{folder}/{write}")
+    at.delete(staging)
+    return at.put(f"_log/{name or uuid.uuid4().hex}.json", {"new": new, "old": sorted(old), "replaces": []})
+
+
+def bad_name() -> Column:
+    """Environment or index can't be a folder's name."""
+    return ~F.coalesce(F.col("env").rlike(NAME) & F.col("index").rlike(NAME), F.lit(False))
 
 
-def append(rows: DataFrame, path: str) -> None:
-    """Late rows go to their own day. Each partition's rows meet by day and a few salts, so one busy day isn't one task."""
-    salted = accepted(rows).withColumn("salt", F.pmod("seq", F.lit(8)))
-    dealt = salted.repartition(*PARTITION, "salt").drop("salt").sortWithinPartitions(*PARTITION, "ts_ms")
-    dealt.write.mode("append").option("compression", "zstd").partitionBy(*PARTITION).parquet(path)
+def accepted(rows: DataFrame) -> DataFrame:
+    """Rows that parsed and whose environment and index may be folder names."""
+    parsed = F.col("bad").isNull() if "bad" in rows.columns else F.lit(True)
+    return rows.filter(parsed & ~bad_name()).drop("bad")
+
+
+def rejected(rows: DataFrame) -> DataFrame:
+    """reason, raw of the rows that accepted() leaves out."""
+    reason = F.when(bad_name(), F.lit("name"))
+    reason = F.coalesce("bad", reason) if "bad" in rows.columns else reason
+    return rows.select(reason.alias("reason"), "raw").filter("reason is not null")
+
+
+def append(rows: DataFrame, path: str, commit: str | None = None) -> dict[str, int]:
+    """Store the accepted rows; returns how many were stored, and how many not for each reason.
+
+    Late rows go to their own day. Rows of a partition meet; Spark deals a busy day to several tasks and puts quiet ones
+    together, by their sizes. commit: a name that is stored at most once.
+    """
+    at, seen = Folder(rows.sparkSession, path), Observation()
+    if commit and at.files(f"_log/{commit}.json"):
+        return {"stored": 0}
+    bad = F.col("bad") if "bad" in rows.columns else F.lit(None).cast("string")
+    reason = F.coalesce(bad, F.when(bad_name(), F.lit("name")))
+    counts = [F.count_if(F.coalesce(reason == r, F.lit(False))).alias(r) for r in ("json", "value", "name")]
+    watched = rows.observe(seen, F.count_if(reason.isNull()).alias("stored"), *counts)
+    dealt = accepted(watched).hint("rebalance", *map(F.col, PARTITION)).sortWithinPartitions(*PARTITION, "ts_ms")
+    if not _write(dealt, at, name=commit):
+        return {"stored": 0}
+    try:
+        return {k: v for k, v in seen.get.items() if v or k == "stored"}
+    except Py4JJavaError:  # Spark drops what it is to observe in a plan that it knows to be empty
+        return {"stored": 0}
 
 
 def read(spark: SparkSession, path: str) -> View:
-    return View(spark.read.schema(SCHEMA).option("basePath", path).parquet(path), LeafFields())
-
-
-def _fs(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), spark._jvm.org.apache.hadoop.fs.Path
-
-
-def partitions(spark: SparkSession, path: str) -> list[tuple[str, str, str, int, int]]:
-    """(env, index, day, files, bytes) of every partition, from the folders alone."""
-    fs, at = _fs(spark, path)
-    out = []
-    for status in fs.globStatus(at(f"{path}/env=*/index=*/day=*")) or []:
-        env, index, day = (x.split("=", 1)[1] for x in status.getPath().toString().rsplit("/", 3)[1:])
-        files = [f for f in fs.listStatus(status.getPath()) if f.getPath().getName().endswith(".parquet")]
-        out.append((env, index, day, len(files), sum(f.getLen() for f in files)))
-    return sorted(out)
+    files = sorted(live_files(spark, path))
+    if not files:
+        return View(spark.createDataFrame([], SCHEMA), LeafFields(), partitions=[])
+    df = spark.read.schema(SCHEMA).option("basePath", path).parquet(*(f"{path.rstrip('/')}/{f}" for f in files))
+    return View(df, LeafFields(), partitions=sorted({_key(f) for f in files}))
 
 
 def compact(spark: SparkSession, path: str, target: int = TARGET_BYTES, least_files: int = 2) -> list[tuple[str, str, str]]:
     """Write partitions of several small files as files of about the target size; returns which."""
-    fs, at = _fs(spark, path)
-    done = []
-    for env, index, day, files, size in partitions(spark, path):
-        if files < least_files or size / files >= target / 2:
-            continue
-        folder = f"{path}/env={env}/index={index}/day={day}"
-        new = f"{path}/_compacting/{env}-{index}-{day}"
-        old = [f.getPath() for f in fs.listStatus(at(folder)) if f.getPath().getName().endswith(".parquet")]
-        rows = spark.read.parquet(folder)
-        rows.repartitionByRange(max(1, -(-size // target)), "ts_ms").sortWithinPartitions("ts_ms").write.mode("overwrite").option("compression", "zstd").parquet(new)
-        for f in fs.listStatus(at(new)):
-            if f.getPath().getName().endswith(".parquet"):
-                fs.rename(f.getPath(), at(f"{folder}/{f.getPath().getName()}"))
-        for f in old:
-            fs.delete(f, False)
-        fs.delete(at(new), True)
-        done.append((env, index, day))
-    return done
+    at, files = Folder(spark, path), live_files(spark, path)
+    small: dict[tuple[str, str, str], list[str]] = {}
+    for f in files:
+        small.setdefault(_key(f), []).append(f)
+    size = {k: sum(files[f] for f in fs) for k, fs in small.items()}
+    chosen = sorted(k for k, fs in small.items() if len(fs) >= least_files and size[k] / len(fs) < target / 2)
+    for i in range(0, len(chosen), PARTITIONS_A_JOB):
+        some = chosen[i : i + PARTITIONS_A_JOB]
+        old = [f for k in some for f in small[k]]
+        rows = spark.read.schema(SCHEMA).option("basePath", path).parquet(*(f"{at.path}/{f}" for f in old))
+        parts = F.create_map(*(F.lit(x) for k in some for x in ("/".join(k), -(-size[k] // target))))
+        part = F.pmod(F.xxhash64("seq"), parts[F.concat_ws("/", "env", "index", F.col("day").cast("string"))])
+        dealt = rows.withColumn("part", part).repartition(*PARTITION, "part").drop("part")
+        _write(dealt.sortWithinPartitions(*PARTITION, "ts_ms"), at, old)
+    commits = _commits(at)
+    if len(commits) > LOG_FILES:
+        at.put(f"_log/{uuid.uuid4().hex}.json", {"new": live_files(spark, path), "old": [], "replaces": sorted(commits)})
+    return chosen
+
+
+def clean(spark: SparkSession, path: str, grace_s: float = GRACE_S) -> int:
+    """Delete files of that age which don't count, and commits that others stand for; returns how many files went."""
+    at = Folder(spark, path)
+    before = (time.time() - grace_s) * 1000
+    live, commits = live_files(spark, path), _commits(at)
+    dead = [f for f, _, changed in at.files("data", recursive=True) if f not in live and changed < before]
+    for f in dead:
+        at.delete(f)
+    gone = [f for f, _, changed in at.files("_log") if f not in commits and changed < before]
+    for folder in ("_drafts", "_staging"):
+        gone += [f for f, _, changed in at.files(folder, recursive=True) if changed < before]
+    for f in gone:
+        at.delete(f)
+    return sum(f.endswith(".parquet") for f in dead)
 
 
 def expired(today: date, days: int, overrides: dict[str, int] | None = None, env: str = "default") -> date:
@@ -82,9 +228,9 @@ def expired(today: date, days: int, overrides: dict[str, int] | None = None, env
 
 
 def retain(spark: SparkSession, path: str, today: date, days: int, overrides: dict[str, int] | None = None) -> list[tuple[str, str, str]]:
-    """Delete partitions older than their environment allows; returns which."""
-    fs, at = _fs(spark, path)
-    gone = [(e, i, d) for e, i, d, _, _ in partitions(spark, path) if date.fromisoformat(d) < expired(today, days, overrides, e)]
-    for e, i, d in gone:
-        fs.delete(at(f"{path}/env={e}/index={i}/day={d}"), True)
-    return gone
+    """Partitions older than their environment allows count no longer; returns which. clean() deletes their files."""
+    files = live_files(spark, path)
+    old = [f for f in files if date.fromisoformat(_key(f)[2]) < expired(today, days, overrides, _key(f)[0])]
+    if old:
+        Folder(spark, path).put(f"_log/{uuid.uuid4().hex}.json", {"new": {}, "old": sorted(old), "replaces": []})
+    return sorted({_key(f) for f in old})

@@ -1,8 +1,14 @@
+import gzip
 import json
+from datetime import date
 
 import pytest
+import zstandard
+from pyspark.sql import functions as F
 
-from larkspur.sources import envelopes, events, formats
+from larkspur.plans.filters import find
+from larkspur.sources import envelopes, events, formats, store
+from larkspur.streaming import ingest
 
 
 def parsed(df):
@@ -19,7 +25,9 @@ def files(spark, *values):
 
 def test_ndjson_and_documents(spark):
     df = formats.ndjson(lines(spark, '{"a":1}', "", "not json", '{"b":"x"}', "[1]"))
-    assert events.rows(df, 0).count() == 2 and events.bad_lines(df).count() == 2
+    rows = events.rows(df, 0)
+    assert events.good(rows).count() == 2
+    assert sorted(tuple(x) for x in events.bad_lines(rows).collect()) == [("json", "[1]"), ("json", "not json")]
     assert parsed(formats.json_document(lines(spark, '[{"a":1.0},{"a":2}]', '{"a":3}'))) == [{"a": 1.0}, {"a": 2}, {"a": 3}]
 
 
@@ -49,11 +57,22 @@ def test_delimited(spark, tmp_path):
 
 
 def test_grok(spark):
-    got = parsed(formats.grok(lines(spark, "2024-01-15 10:30:45,123 ERROR [main] com.acme.Svc - db timeout", "other"), "log4j"))
-    assert got == [{"timestamp": "2024-01-15 10:30:45,123", "level": "ERROR", "thread": "main", "logger": "com.acme.Svc", "message": "db timeout"}, {"message": "other"}]
+    got = parsed(formats.grok(lines(spark, "2025-03-08 06:20:11,042 WARN [pool-3] dock.Crane - cable slack", "other"), "log4j"))
+    want = {"timestamp": "2025-03-08 06:20:11,042", "level": "WARN", "thread": "pool-3", "logger": "dock.Crane", "message": "cable slack"}
+    assert got == [want, {"message": "other"}]
     assert parsed(formats.grok(lines(spark, "GET 42ms"), "%{WORD:verb} %{INT:took}ms")) == [{"verb": "GET", "took": "42"}]
-    access = '1.2.3.4 - bob [10/Oct/2024:13:55:36 +0000] "GET /a?b=1 HTTP/1.1" 200 512 "-" "curl"'
-    assert parsed(formats.grok(lines(spark, access), "nginx_access"))[0]["path"] == "/a?b=1"
+    access = '203.0.113.9 - mo [08/Mar/2025:06:20:11 +0000] "PUT /crane?b=1 HTTP/1.1" 304 - "-" "probe"'
+    (got,) = parsed(formats.grok(lines(spark, access), "nginx_access"))
+    assert got == {
+        "clientip": "203.0.113.9", "ident": "-", "auth": "mo", "timestamp": "08/Mar/2025:06:20:11 +0000", "verb": "PUT", "request": "/crane?b=1",
+        "httpversion": "1.1", "response": "304", "referrer": "-", "agent": "probe",
+    }
+    (got,) = parsed(formats.grok(lines(spark, access.split(' "-"')[0].replace(" - ", " x ")), "common_log"))
+    assert got["ident"] == "x" and "bytes" not in got and "agent" not in got
+    line = "2025-03-08T06:20:11.042Z stderr P half a line"
+    assert parsed(formats.grok(lines(spark, line), "containerd"))[0]["logtag"] == "P"
+    for name, text in (("MONTHNUM", "09"), ("HOUR", "23"), ("MINUTE", "59"), ("SECOND", "60"), ("ISO8601_TIMEZONE", "+01:00"), ("QS", r'"a \"b\""')):
+        assert parsed(formats.grok(lines(spark, text), f"^%{{{name}:x}}$")) == [{"x": text}], name
     with pytest.raises(ValueError):
         formats.grok(lines(spark, "x"), "%{NOPE:x}")
 
@@ -68,9 +87,9 @@ def test_cef_and_w3c(spark):
 
 
 def test_bulk(spark):
-    body = '{"index":{"_index":"a"}}\n{"x":1}\n{"delete":{"_id":"1"}}\n{"update":{}}\n{"doc":{"y":2}}\n'
-    got = [(r["index"], json.loads(r["event"])) for r in formats.bulk(files(spark, body), "main").collect()]
-    assert got == [("a", {"x": 1}), ("main", {"y": 2})]
+    body = '{"index":{"_index":"a"}}\n{"create":1,"x":1}\n\n{"delete":{"_id":"1"}}\n{"update":{}}\n{"doc":{"y":2}}\nbroken\n{"create":{}}\n{"index":{"z":1}}\n'
+    got = envelopes.unpack(spark.createDataFrame([(body,)], "body string"), "bulk").collect()
+    assert [(r["index"], json.loads(r["event"])) for r in got] == [("a", {"create": 1, "x": 1}), ("main", {"y": 2}), ("main", {"index": {"z": 1}})]
 
 
 def test_envelopes(spark):
@@ -86,8 +105,112 @@ def test_envelopes(spark):
     assert run("streams", json.dumps(loki)) == [("main", {"app": "x", "timestamp": 1700000000000000000, "a": 1}), ("main", {"m": 2, "app": "x", "timestamp": 1, "message": "text"})]
 
 
-def test_detect():
-    assert [formats.detect(x) for x in ("[1]", '{"a":1}', "<34>x", "a=1 b=2", "hello")] == ["json", "ndjson", "syslog", "logfmt", "text"]
+SAMPLES = {
+    "[1]": "json", '\n {"a":1}': "ndjson", "<34>x": "syslog", "<3456>x": "text", "a=1 b=2": "logfmt", 'm="a b" n=1': "logfmt", "hello": "text",
+    "so a=1 it was b=2 said they all": "text", "": "text", "1=a 2=b": "text",
+}
+
+
+def test_detection(spark):
+    assert {x: formats.detect(x) for x in SAMPLES} == SAMPLES
+    df = spark.createDataFrame([(x,) for x in SAMPLES], "value string")
+    assert {r[0]: r[1] for r in df.select("value", formats.detected(df["value"])).collect()} == SAMPLES
+
+
+def test_formats_of_packed_files(spark, tmp_path):
+    texts = {"a.log": '{"n":1}\n{"n":2}\n', "b": "k=1 l=2\n", "c.gz": '[{"n":3}]', "d.zst": "<13>1 - h - - - - hi", "skip.tmp": "no"}
+    for name, text in texts.items():
+        data = text.encode()
+        data = gzip.compress(data) if name == "b" else zstandard.compress(data) if name in ("a.log", "d.zst") else data
+        (tmp_path / name).write_bytes(data)
+    found = parsed(formats.parse(formats.read_texts(spark, str(tmp_path), but="*.tmp")))
+    assert sorted((e.get("n") or e.get("k") or e.get("message") for e in found), key=str) == [1, "1", 2, 3, "hi"]
+    assert formats.read_texts(spark, str(tmp_path), only="*.tmp").count() == 1
+    with pytest.raises(ValueError):
+        formats.parse(formats.read_texts(spark, str(tmp_path)), "nosuch")
+
+
+def test_whole_csv(spark):
+    texts = files(spark, 'a,b\n1,"x, ""y"""\n,2\n', "", "only\n")
+    assert parsed(formats.parse(texts, "csv")) == [{"a": "1", "b": 'x, "y"'}, {"b": "2"}]
+
+
+BAD = ['{"ts":1e30,"m":1}', '{"n":' + "7" * 400 + "}", "[" * 200_000, '{"a":"\\ud800"}', '{"ts":-1e17}', '{"time":' + "9" * 5000 + "}", "\ud800"[:0]]
+
+
+def test_no_event_stops_the_others(spark, tmp_path):
+    df = spark.createDataFrame([(x,) for x in [*BAD, '{"ts":1741400000,"msg":"fine"}', None]], "event string")
+    rows = events.rows(df, 86_400_000)
+    assert sorted(r["reason"] for r in events.bad_lines(rows).collect()) == ["json"] * 4
+    got = {r["raw"]: r for r in events.good(rows).collect()}
+    assert len(got) == 5 and got['{"a":"\ufffd"}']["leaves"][0]["s"] == "\ufffd"
+    huge = next(r for r in got.values() if '"n":777' in r["raw"])
+    assert huge["leaves"][0]["d"] == float("inf") and str(got['{"m":1,"ts":1e+30}']["day"]) == "1970-01-02"
+    path = str(tmp_path / "store")
+    assert store.append(rows, path) == {"stored": 5, "json": 4} and store.read(spark, path).df.count() == 5
+    named = rows.withColumn("index", F.when(F.col("message") == "fine", "a/b").otherwise(F.col("index")))
+    assert store.append(named, path) == {"stored": 4, "json": 4, "name": 1}
+    assert sorted(r["reason"] for r in store.rejected(named).collect()) == ["json"] * 4 + ["name"]
+
+
+def days(spark, n, name="x"):
+    items = [json.dumps({"ts": 1741400000 + 86_400 * (i % 3), "msg": f"{name}{i}"}) for i in range(n)]
+    return events.rows(spark.createDataFrame([(x,) for x in items], "event string"), 0)
+
+
+def messages(spark, path):
+    return sorted(r["message"] for r in store.read(spark, path).df.collect())
+
+
+def test_store_round_trip_prunes_and_compacts(spark, tmp_path):
+    path = str(tmp_path / "store")
+    assert store.read(spark, path).df.count() == 0 and store.append(days(spark, 0), path) == {"stored": 0}
+    for name in "abc":
+        assert store.append(days(spark, 6, name), path)["stored"] == 6
+    before = messages(spark, path)
+    v = store.read(spark, path)
+    day = 1741400000_000 // 86_400_000 * 86_400_000 + 86_400_000
+    found = find(v, start_ms=day, end_ms=day + 86_399_999)
+    assert found.df.count() == 6 and "PartitionFilters: [isnotnull" in found.df._jdf.queryExecution().toString()
+    assert [d for _, _, d in v.partitions] == ["2025-03-08", "2025-03-09", "2025-03-10"]
+    old = store.live_files(spark, path)
+    assert len(store.compact(spark, path)) == 3 and store.compact(spark, path) == []
+    assert [n for *_, n, _ in store.partition_figures(spark, path)] == [1, 1, 1] and store.totals(spark, path)["files"] == 3
+    assert messages(spark, path) == before and v.df.count() == 18  # who read before still can
+    assert store.clean(spark, path) == 0 and store.clean(spark, path, grace_s=-60) == len(old) and messages(spark, path) == before
+    assert store.retain(spark, path, date(2025, 3, 10), 1) == [("default", "main", "2025-03-08")]
+    assert len(messages(spark, path)) == 12 and store.clean(spark, path, grace_s=-60) == 1
+
+
+def test_what_a_crash_leaves_doesnt_count(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "store")
+    for name in "ab":
+        store.append(days(spark, 6, name), path)
+    before = messages(spark, path)
+
+    def dies(*_):
+        raise OSError("gone")
+
+    monkeypatch.setattr(store.Folder, "put", dies)
+    for work in (lambda: store.append(days(spark, 6, "lost"), path), lambda: store.compact(spark, path)):
+        with pytest.raises(OSError):
+            work()
+        assert messages(spark, path) == before
+    monkeypatch.undo()
+    store.compact(spark, path)
+    assert messages(spark, path) == before and store.clean(spark, path, grace_s=-60) > 6 and messages(spark, path) == before
+
+
+def test_commits_are_put_together(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "store")
+    for name in "abcd":
+        store.append(days(spark, 3, name), path, commit=f"batch-{name}")
+    assert store.append(days(spark, 3, "a"), path, commit="batch-a") == {"stored": 0}
+    monkeypatch.setattr(store, "LOG_FILES", 2)
+    before = messages(spark, path)
+    store.compact(spark, path)
+    store.clean(spark, path, grace_s=-60)
+    assert messages(spark, path) == before and len(list((tmp_path / "store" / "_log").glob("*.json"))) == 1
 
 
 @pytest.mark.parametrize(
@@ -102,26 +225,78 @@ def test_times(value, ms):
 def test_row_rules():
     r = events.row({"Attributes": {"k": 1}, "ts": "soon", "time": 1767225600, "message": "", "msg": "hi", "Deep": {"A": [1, "x", 2.0, None, {"B": True}]}, "log.source": "s"}, "d", "app-{{Deep.none}}-{{msg}}")
     assert (r["ts_ms"], r["message"], r["source"], r["target"]) == (1767225600000, "hi", "s", "app-unknown-hi")
-    got = [(x["path"], x["pos"], x["i"], x["d"], x["b"], x["s"]) for x in r["leaves"]]
+    got = r["leaves"]
     assert ("deep.a", 0, 1, None, None, None) in got and ("deep.a", 0, None, 2.0, None, None) in got and ("deep.a.b", 0, None, None, True, None) in got and ("k", 0, 1, None, None, None) in got
     assert ("ts", 0, None, None, None, "soon") in got and ("message", 0, None, None, None, "") in got
     assert events.row({"a": 1}, "d", "m")["timed"] is False
 
 
-def test_streaming_equals_batch(spark, tmp_path):
-    from larkspur.sources import store
-    from larkspur.streaming import ingest
+NOW = {"availableNow": True}
 
-    src = tmp_path / "in"
+
+def test_streaming_equals_batch(spark, tmp_path):
+    src, out, heard = tmp_path / "in", str(tmp_path / "out"), []
     src.mkdir()
-    (src / "a.ndjson").write_text('{"ts":1767225600,"msg":"a","n":1}\nbad\n{"ts":1767312000,"msg":"b","n":2}\n')
-    out = str(tmp_path / "out")
-    q = ingest.ingest(ingest.text_files(spark, str(src)), out, str(tmp_path / "ck"), 0, trigger={"availableNow": True})
-    q.awaitTermination()
-    got = store.read(spark, out).df.select("message", "index").collect()
-    assert sorted(r["message"] for r in got) == ["a", "b"]
-    (src / "b.ndjson").write_text('{"ts":1767225601,"msg":"late"}\n')
-    ingest.ingest(ingest.text_files(spark, str(src)), out, str(tmp_path / "ck"), 0, trigger={"availableNow": True}).awaitTermination()
-    assert store.read(spark, out).df.count() == 3
+    (src / "a.ndjson").write_text('{"ts":1767225600,"msg":"a","n":1}\nbad\n{"ts":1767312000,"msg":"b","n":2}\n' + "\n".join(x for x in BAD if x))
+    run = lambda: ingest.ingest(
+        ingest.text_files(spark, str(src), only="*.ndjson"), out, str(tmp_path / "ck"), trigger=NOW, counted=lambda n, o: heard.append(o)
+    ).awaitTermination()
+    run()
+    assert heard == [{"stored": 6, "json": 3}]
+    (src / "b.ndjson").write_text('{"ts":1767225601,"msg":"late"}\n{"msg":"untimed"}\n')
+    (src / "c.other").write_text('{"msg":"not asked for"}\n')
+    run()
+    rows = store.read(spark, out).df.filter("message is not null").collect()
+    assert sorted(r["message"] for r in rows) == ["a", "b", "late", "untimed"]
+    assert next(r["day"] for r in rows if r["message"] == "untimed") >= date(2025, 1, 1)  # the day it came, not when the stream began
+    store.append(days(spark, 3), out)
+    store.compact(spark, out)
+    store.clean(spark, out, grace_s=-60)
+    (src / "d.ndjson").write_text('{"ts":1767225602,"msg":"after"}\n')
+    run()
+    assert store.retain(spark, out, date(2026, 1, 1), 400, {"_ops": 1}) != [] and {"late", "after", "x0"} <= {r["message"] for r in store.read(spark, out).df.collect()}
     seen: set = set()
-    assert len(ingest.tail(store.read(spark, out), 0, seen)) == 3 and ingest.tail(store.read(spark, out), 0, seen) == []
+    n = store.read(spark, out).df.count()
+    assert len(ingest.tail(store.read(spark, out), -(1 << 60), seen)) == n and ingest.tail(store.read(spark, out), -(1 << 60), seen) == []
+
+
+def test_a_repeated_batch_is_stored_once(spark, tmp_path):
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    src.mkdir()
+    (src / "a.ndjson").write_text('{"ts":1767225600,"msg":"a"}\n')
+    for _ in range(2):
+        ingest.ingest(ingest.text_files(spark, str(src)), out, str(tmp_path / "ck"), trigger=NOW).awaitTermination()
+        for f in (tmp_path / "ck" / "commits").glob("*"):  # as after a crash between the batch and Spark's own record of it
+            f.unlink()
+    assert messages(spark, out) == ["a"]
+
+
+def test_windows_and_monitor(spark, tmp_path):
+    src, out = tmp_path / "in", str(tmp_path / "alerts")
+    src.mkdir()
+
+    def minutes(name, *at):
+        (src / name).write_text("".join(json.dumps({"ts": 1767225600 + 60 * m, "msg": w}) + "\n" for m, w in at))
+
+    def watch(comparison, folder):
+        rows = events.good(events.rows(formats.ndjson(ingest.text_files(spark, str(src))), 0))
+        hot = lambda v: F.col("message") == "hot"
+        ck = str(tmp_path / f"ck-{comparison}")
+        ingest.monitor(rows, "1 minute", 60_000, comparison, 1, folder, ck, predicate=hot, trigger=NOW).awaitTermination()
+        return sorted(((r["window_ms"] - 1767225600_000) // 60_000, r["n"]) for r in ingest.alerts_of(spark, folder).collect())
+
+    minutes("a", (0, "hot"), (1, "hot"), (1, "cold"), (4, "hot"), (5, "cold"))
+    assert watch("gte", out) == [(0, 1), (4, 1)]  # minutes 2 and 3 are windows of 0 between two breaches
+    assert watch("lt", str(tmp_path / "none")) == [(2, 0)]  # no events is what this one waits for
+    minutes("b", (5, "hot"), (6, "hot"), (9, "cold"), (10, "hot"), (12, "cold"))
+    assert watch("gte", out) == [(0, 1), (4, 1), (10, 1)]  # 5 and 6 go on with 4 after the restart
+    counts = ingest.window_counts(events.good(events.rows(formats.ndjson(ingest.text_files(spark, str(src))), 0)), "5 minutes", "0 seconds")
+    at = str(tmp_path / "windows")
+    counts.writeStream.format("parquet").option("path", at).option("checkpointLocation", at + "-ck").trigger(**NOW).start().awaitTermination()
+    assert sorted(((r[0] - 1767225600_000) // 60_000, r[1]) for r in spark.read.parquet(at).collect()) == [(0, 4), (5, 4)]
+
+
+def test_routing(spark):
+    rules = [("svc", "equals", "a", "one"), ("msg", "contains", "(x)", "two"), ("msg", "regex", "^z+$", "three")]
+    df = spark.createDataFrame([(json.dumps(e),) for e in ({"svc": "a", "msg": "zz"}, {"msg": "q(x)"}, {"msg": "zzz"}, {"svc": "b"}, {})], "event string")
+    assert [r[0] for r in df.select(ingest.routed(rules, "rest")).collect()] == ["one", "two", "three", "rest", "rest"]
