@@ -55,7 +55,8 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     bi = (c[:-1] << np.uint64(21)) | c[1:]
     word = (c[:-1] != one) | (c[1:] != one)
     uni = c != one
-    return np.concatenate([tri[mid], bi[word], c[uni]]), np.concatenate([owner[1:-1][mid], np.where(c[:-1] != one, owner[:-1], owner[1:])[word], owner[uni]])
+    of_bi = np.where(c[:-1] != one, owner[:-1], owner[1:])
+    return np.concatenate([tri[mid], bi[word], c[uni]]), np.concatenate([owner[1:-1][mid], of_bi[word], owner[uni]])
 
 
 def _slices(batches, column: int, chars: int = 1_000_000):
@@ -88,7 +89,8 @@ def learn(docs: DataFrame, profile: int = PROFILE) -> DataFrame:
             for lang, (keys, n) in sums.items():
                 for i in range(0, len(keys), 100_000):
                     k = keys[i : i + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k)), pa.array(k.view(np.int64)), pa.array(n[i : i + 100_000])], names=["lang", "gram", "n"])
+                    columns = [pa.array([lang] * len(k)), pa.array(k.view(np.int64)), pa.array(n[i : i + 100_000])]
+                    yield pa.RecordBatch.from_arrays(columns, names=["lang", "gram", "n"])
             sums.clear()
 
         for rows, texts in _slices(batches, 0):
@@ -152,14 +154,16 @@ def predict(docs: DataFrame, profiles: list[tuple[str, np.ndarray]], profile: in
         worker_for("language_id")
         for b in batches:
             found = [x for part in judge([b.column(2)], True) for x in part]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+            langs, scores = pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), langs, scores], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return plain(docs, "doc_id", "held_out", "text").mapInArrow(run, SCHEMA)
 
 
 def _learned(docs: DataFrame, profile: int) -> list[tuple[str, np.ndarray]]:
     rows = learn(docs, profile).orderBy("lang", "rank").collect()  # languages x profile rows
-    return [(lang, np.array([r["gram"] for r in rows if r["lang"] == lang], np.int64)) for lang in sorted({r["lang"] for r in rows})]
+    names = sorted({r["lang"] for r in rows})
+    return [(lang, np.array([r["gram"] for r in rows if r["lang"] == lang], np.int64)) for lang in names]
 
 
 def identify(docs: DataFrame, profile: int = PROFILE) -> DataFrame:

@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import decontamination, language_id, merkle, near_dedup, packing, quality, sharding, shared, suffix_dedup, token_output, url_rules
+from larkspur.llm import (
+    decontamination,
+    language_id,
+    merkle,
+    near_dedup,
+    packing,
+    quality,
+    sharding,
+    shared,
+    suffix_dedup,
+    token_output,
+    url_rules,
+)
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -45,8 +57,13 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages are labelled bad where the label of the same number is toxic or of low quality."""
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).alias("bad"))
+    """Pages are labelled bad where the label of the same number is toxic or of low quality.
+
+    The tables hold no labels of pages; these are labels of documents, so what is mined here shows the method and says
+    little about the pages.
+    """
+    bad = (F.col("toxic") == 1) | (F.col("quality") == 0)
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
     return url_rules.judge(table(spark, sf_dir, "pages"), labels)
 
 

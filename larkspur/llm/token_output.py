@@ -31,7 +31,9 @@ FORMAT = {
     "parquet.page.row.count.limit": "2000",
 }
 SCHEMA = "doc_id long, n_tokens long, local_start long, part int, ids array<int>"
-_OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("local_start", pa.int64()), ("part", pa.int32()), ("ids", pa.list_(pa.int32()))])
+_OUT = pa.schema(
+    [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("local_start", pa.int64()), ("part", pa.int32()), ("ids", pa.list_(pa.int32()))]
+)
 ROWS = 256
 
 
@@ -52,10 +54,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, files: int | None =
                     starts.append(starts[-1] + n)
                 offsets = pa.array([s - start for s in starts], pa.int32())
                 values = pa.Array.from_buffers(pa.int32(), starts[-1] - start, [None, pa.py_buffer(b"".join(ids))])
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array(sizes, pa.int64()), pa.array(starts[:-1], pa.int64()), pa.array([part] * len(ids), pa.int32()), pa.ListArray.from_arrays(offsets, values)],
-                    schema=_OUT,
-                )
+                columns = [rows.column(0), pa.array(sizes, pa.int64()), pa.array(starts[:-1], pa.int64())]
+                columns += [pa.array([part] * len(ids), pa.int32()), pa.ListArray.from_arrays(offsets, values)]
+                yield pa.RecordBatch.from_arrays(columns, schema=_OUT)
                 start = starts[-1]
 
     n = files or partitions(docs.sparkSession)
@@ -93,6 +94,8 @@ def token_digest(spark: SparkSession, path: str) -> DataFrame:
             ids, offsets = b.column(3), b.column(3).offsets.to_pylist()
             data = memoryview(ids.values.buffers()[1])[4 * ids.values.offset :]
             crc = [zlib.crc32(data[4 * x : 4 * y]) for x, y in zip(offsets, offsets[1:])]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            columns = [b.column(0), b.column(1), b.column(2), pa.array(crc, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return read_tokens(spark, path).select("doc_id", "start", "n_tokens", "ids").mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    rows = read_tokens(spark, path).select("doc_id", "start", "n_tokens", "ids")
+    return rows.mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")

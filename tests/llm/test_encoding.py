@@ -1,8 +1,10 @@
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
@@ -13,6 +15,10 @@ BYTE, WORD = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "word_bpe
 DOC = "doc_id long, text string"
 
 
+def docs(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
 @pytest.mark.parametrize("path", [BYTE, WORD])
 def test_cached_units_equal_whole_texts(path):
     t = Tokenizer.from_file(path)
@@ -54,3 +60,25 @@ def test_token_files_round_trip(spark):
     assert "ReadSchema: struct<doc_id:bigint,n_tokens:bigint,local_start:bigint,part:int>" in plan
     token_output.write_tokens(df.limit(0), path + "e", WORD, 2)
     assert token_output.token_digest(spark, path + "e").count() == 0
+
+
+def test_files_are_delta_packed_and_indexed(spark):
+    df = docs(spark, "/root/testdata/sf0.01").select("doc_id", "text")
+    path = shared.new_path(spark, "t")
+    token_output.write_tokens(df, path, WORD, 2)
+    files = sorted(Path(path.removeprefix("file:")).glob("*.parquet"))
+    assert len(files) == 2
+    for f in files:
+        meta = pq.ParquetFile(f).metadata
+        assert meta.num_row_groups >= 1
+        for g in range(meta.num_row_groups):
+            columns = {meta.row_group(g).column(c).path_in_schema.split(".")[0]: meta.row_group(g).column(c) for c in range(meta.num_columns)}
+            assert "DELTA_BINARY_PACKED" in columns["ids"].encodings and columns["ids"].compression == "ZSTD"
+            assert all(c.has_column_index and c.has_offset_index for c in columns.values())
+            assert columns["ids"].total_uncompressed_size <= 17 << 20 and columns["doc_id"].statistics.has_min_max
+    some = token_output.read_tokens(spark, path).filter("doc_id in (3, 500, 999)")
+    assert "PushedFilters: [In(doc_id" in some._jdf.queryExecution().toString()
+    texts = {r["doc_id"]: r["text"] for r in df.filter("doc_id in (3, 500, 999)").collect()}
+    t = Tokenizer.from_file(WORD)
+    got = {r["doc_id"]: r["ids"] for r in some.collect()}
+    assert got == {i: [*t.encode(x, add_special_tokens=False).ids, 2] for i, x in texts.items()}

@@ -1,4 +1,7 @@
 import zlib
+from collections import Counter
+
+import pytest
 
 from larkspur.llm import language_id
 
@@ -27,3 +30,45 @@ def test_language_odd_rows(spark):
     assert kept.schema == df.schema and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 4, 6, 6]
     assert [r[2] for r in language_id.identify(df.withColumn("lang", df.lang.substr(99, 1)).filter("doc_id = 1").selectExpr("doc_id", "text", "cast(null as string) lang")).collect()] == ["und"]
     assert language_id.identify(df.limit(0)).count() == 0
+
+
+def plain_grams(text):
+    """Counts of 1 to 3 characters of each word between blanks, by the number that orders equal counts."""
+    number = lambda g: sum((1 if c == " " else ord(c) + 1) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+    words = "".join(c if c.isalpha() else " " for c in text.lower()).split(" ")
+    grams = Counter()
+    for w in filter(None, words):
+        grams.update(w)
+        for n in (2, 3):
+            grams.update(f" {w} "[i : i + n] for i in range(len(w) + 3 - n))
+    return [g for g, _ in sorted(grams.items(), key=lambda x: (-x[1], number(x[0])))[: language_id.PROFILE]], grams
+
+
+def test_predictions_equal_brute_force(spark):
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs(spark).collect()]
+    rows += [(7000, "ß ÄÖ İi 日本 語", "xx"), (7001, "tie", None), (7002, "x " * 60_000, None), (7003, "", "en"), (7004, "1-2", "en"), (None, "ab", "en")]
+    texts = {}
+    for i, text, lang in rows:
+        if i is not None and text is not None and lang is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            texts.setdefault(lang, Counter()).update(plain_grams(text)[1])
+    number = lambda g: sum((1 if c == " " else ord(c) + 1) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+    profiles = {}
+    for lang in sorted(texts):
+        best = sorted(texts[lang].items(), key=lambda x: (-x[1], number(x[0])))[: language_id.PROFILE]
+        profiles[lang] = {g: k for k, (g, _) in enumerate(best)}
+
+    def predict(text):
+        own, _ = plain_grams(text or "")
+        if not own:
+            return "und", 0.0
+        far = language_id.PROFILE
+        away = {x: sum(abs(p[g] - k) if g in p else far for k, g in enumerate(own)) for x, p in profiles.items()}
+        best = min(away, key=lambda x: (away[x], x))
+        return best, max(0.0, 1 - away[best] / (far * len(own)))
+
+    df = spark.createDataFrame(rows, DOC + ", lang string")
+    got = {r["doc_id"]: r for r in language_id.identify(df).collect()}
+    assert len(got) == len(rows)
+    for i, text, _ in rows:
+        lang, score = predict(text)
+        assert (got[i]["lang_pred"], got[i]["score"]) == (lang, pytest.approx(score)), i
