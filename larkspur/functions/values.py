@@ -38,6 +38,25 @@ def as_integer(value: str) -> int | None:
     return int(value) if re.fullmatch(r"[+-]?\d+", value) and -(1 << 63) <= int(value) < 1 << 63 else None
 
 
+# Names of levels and what they are called, and the weights of alerts.
+LEVELS = {"WARNING": "WARN", "CRITICAL": "FATAL"} | {x: x for x in ("TRACE", "DEBUG", "INFO", "WARN", "ERROR", "FATAL")}
+WEIGHTS = {"high": "high", "critical": "high", "error": "high", "medium": "medium", "warn": "medium", "warning": "medium"}
+
+
+def _named(key: Column, names: dict[str, str]) -> Column:
+    return F.create_map(*(F.lit(x) for pair in names.items() for x in pair))[key]
+
+
+def level(text: Column) -> Column:
+    """A level's usual name, in any case; null for other texts."""
+    return _named(F.upper(text), LEVELS)
+
+
+def weight(severity: Column) -> Column:
+    """high, medium or low of an alert's severity."""
+    return F.coalesce(_named(F.lower(F.trim(severity)), WEIGHTS), F.lit("low"))
+
+
 def bucket(ts_ms: Column, span_ms: int) -> Column:
     return ts_ms - F.pmod(ts_ms, F.lit(span_ms))
 

@@ -100,6 +100,13 @@ def page(view: View, limit: int = 50, offset: int = 0) -> DataFrame:
     return rows.select(stamp.alias("timestamp"), "message", "source", partition, "raw", "seq", F.lit(0.0).alias("score"))
 
 
+def with_event(hits: DataFrame) -> DataFrame:
+    """page() with the event itself instead of its text; null where that isn't an object."""
+    event = F.try_parse_json("raw")
+    kind = F.schema_of_variant(event)
+    return hits.withColumn("event", F.when(kind.startswith("OBJECT"), event)).drop("raw")
+
+
 def partition_list(view: View) -> DataFrame:
     return view.df.select("env", "index", "day").distinct().orderBy(F.desc("day"), "env", "index")
 

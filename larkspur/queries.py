@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import TOKEN
-from larkspur.functions.values import auto_interval, default_span
+from larkspur.functions.values import auto_interval, default_span, weight
 from larkspur.operators import discovery, monitors, search
 from larkspur.operators.fields import LeafFields, View
 from larkspur.operators.stats import Agg, Table, stats, timechart, timechart_pivot, top
@@ -599,6 +599,26 @@ table(
 )
 
 
+def page_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest errors' events, read out of the hits."""
+    hits = search.with_event(search.page(find(ingested(spark, sf_dir), ERRORS), 20))
+    of = lambda path, name: F.variant_get("event", path, "long").alias(name)
+    return hits.select("timestamp", of("$.user_id", "user_id"), of("$.props.k", "k"))
+
+
+add(
+    "page_events",
+    "select strftime(make_timestamp(ms * 1000), '%Y-%m-%dT%H:%M:%S.%g+00:00') as timestamp, user_id, k "
+    f"from {EV} where event_type = 'error' order by ms desc limit 20",
+    page_events,
+)
+add(
+    "alert_weights",
+    "select case event_type when 'error' then 'high' when 'view' then 'medium' else 'low' end as weight, count(*) as n from events group by 1",
+    lambda s, d: counted(events_table(s, d), weight=weight(F.when(F.col("event_type") == "view", " Warning").otherwise(F.col("event_type")))),
+)
+
+
 def of_any_case(spark: SparkSession, sf_dir: str) -> View:
     """Events with a flag and a nested name in capitals."""
     more = {"ok": F.col("event_id") % 2 == 0, "Place": F.struct(F.col("user_id").alias("Shard"))}

@@ -1,13 +1,16 @@
 import gzip
 import json
+import struct
 from datetime import date
 
 import pytest
 import zstandard
 from pyspark.sql import functions as F
 
+from larkspur.functions import values
+from larkspur.operators import search
 from larkspur.plans.filters import find
-from larkspur.sources import envelopes, events, formats, store
+from larkspur.sources import envelopes, events, formats, samples, store
 from larkspur.streaming import ingest
 
 
@@ -105,6 +108,65 @@ def test_envelopes(spark):
     assert run("streams", json.dumps(loki)) == [("main", {"app": "x", "timestamp": 1700000000000000000, "a": 1}), ("main", {"m": 2, "app": "x", "timestamp": 1, "message": "text"})]
 
 
+def message(*fields):
+    """A protobuf message of (number, value): bytes and texts by length, floats and (8,) bytes fixed, numbers as varints."""
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    out = b""
+    for number, v in fields:
+        if isinstance(v, float):
+            out += varint(number << 3 | 1) + struct.pack("<d", v)
+        elif isinstance(v, tuple):
+            out += varint(number << 3 | 1) + struct.pack("<Q", v[0])
+        elif isinstance(v, int):
+            out += varint(number << 3) + varint(v % (1 << 64))
+        else:
+            v = v.encode() if isinstance(v, str) else v
+            out += varint(number << 3 | 2) + varint(len(v)) + v
+    return out
+
+
+def test_binary_telemetry(spark):
+    pair = lambda k, *value: message((1, k), (2, message(*value)))
+    inner = [pair("i", (3, -5)), pair("d", (4, 0.5)), pair("b", (2, 1)), pair("y", (7, b"\x00\xff")), pair("none")]
+    nested = message((5, message((1, message((1, "x"))), (1, message((3, 300))))))
+    record = message(
+        (1, (0,)), (11, (1741400000000000001,)), (3, "WARN"), (5, message((1, "héllo"))), (9, b"\xab" * 16), (99, "unknown"),
+        *((6, x) for x in inner), (6, message((1, "list"), (2, nested))), (6, pair("svc", (1, "own"))),
+    )
+    body = message((1, message((1, message((1, pair("svc", (1, "app"))), (1, pair("zone", (1, "z"))))), (2, message((1, "scope"), (2, record), (2, b""))))))
+    got = envelopes.unpack(spark.createDataFrame([(body,), (body[:-3],), (b"\xff" * 20,), (None,)], "body binary"), "otlp_binary").collect()
+    assert [json.loads(r["event"]) for r in got] == [
+        {"severity": "WARN", "traceId": "ab" * 16, "svc": "own", "zone": "z", "i": -5, "d": 0.5, "b": True, "y": "AP8=", "none": None,
+         "list": ["x", 300], "message": "héllo", "timestamp": 1741400000000000001},
+        {"svc": "app", "zone": "z"},
+    ]
+
+
+def test_sample_events(spark):
+    made = samples.sample_events(spark, 500, 1_741_400_000_000)
+    assert made.collect() == samples.sample_events(spark, 500, 1_741_400_000_000).collect() and made.select("index").distinct().count() == 5
+    rows = events.rows(made, 0, template="demo")
+    assert events.bad_lines(rows).count() == 0
+    late = rows.filter(F.col("ts_ms") > 1_741_400_000_000 - samples.DAY_MS // 4).count()
+    assert late > 200 and rows.agg(F.max("ts_ms")).first()[0] <= 1_741_400_000_000 < rows.agg(F.min("ts_ms")).first()[0] + samples.DAY_MS + 1
+
+
+def test_levels_and_events_of_hits(spark):
+    df = spark.createDataFrame([("warning", " Error "), ("Critical", "warn"), ("loud", "loud"), (None, None)], "l string, s string")
+    assert [tuple(r) for r in df.select(values.level(F.col("l")), values.weight(F.col("s"))).collect()] == [
+        ("WARN", "high"), ("FATAL", "medium"), (None, "low"), (None, "low"),
+    ]
+    hits = spark.createDataFrame([('{"a":{"b":7}}',), ("[1]",), ("text",), (None,)], "raw string")
+    got = search.with_event(hits).select(F.variant_get("event", "$.a.b", "int")).collect()
+    assert [r[0] for r in got] == [7, None, None, None]
+
+
 SAMPLES = {
     "[1]": "json", '\n {"a":1}': "ndjson", "<34>x": "syslog", "<3456>x": "text", "a=1 b=2": "logfmt", 'm="a b" n=1': "logfmt", "hello": "text",
     "so a=1 it was b=2 said they all": "text", "": "text", "1=a 2=b": "text",
