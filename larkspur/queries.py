@@ -614,8 +614,9 @@ add(
 )
 add(
     "alert_weights",
-    "select case event_type when 'error' then 'high' when 'view' then 'medium' else 'low' end as weight, count(*) as n from events group by 1",
-    lambda s, d: counted(events_table(s, d), weight=weight(F.when(F.col("event_type") == "view", " Warning").otherwise(F.col("event_type")))),
+    "select case event_type when 'error' then 'high' when 'view' then 'medium' else 'low' end as weight, count(*) as n "
+    "from events group by 1",
+    lambda s, d: counted(events_table(s, d), weight=weight(F.replace("event_type", F.lit("view"), F.lit(" Warning")))),
 )
 
 

@@ -18,11 +18,12 @@ def sample_events(spark: SparkSession, n: int, end_ms: int, seed: int = 1) -> Da
     pick = lambda i, of: F.get(F.array(*map(F.lit, of)), draw(i, len(of)).cast("int"))
     back = draw(1, 1_000_001) / 1_000_000
     at = F.timestamp_millis((F.lit(end_ms) - back * back * DAY_MS).cast("long"))
+    path = F.replace(pick(4, PATHS), F.lit("{n}"), draw(5, 100).cast("string"))
     fields = [
         F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("timestamp"),
         pick(2, LEVELS).alias("level"),
         pick(3, SAYINGS).alias("message"),
-        F.struct(F.replace(pick(4, PATHS), F.lit("{n}"), draw(5, 100).cast("string")).alias("path"), draw(6, 900).alias("ms")).alias("http"),
+        F.struct(path.alias("path"), draw(6, 900).alias("ms")).alias("http"),
         F.concat(F.lit("host-"), draw(7, 8).cast("string")).alias("host"),
     ]
     rows = spark.range(n).select(pick(8, SERVICES).alias("index"), F.to_json(F.struct(*fields)).alias("event"))
