@@ -79,7 +79,11 @@ def events_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share; a temporary one in a local session without it."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="larkspur-")
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = tempfile.mkdtemp(prefix="larkspur-")
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
