@@ -133,7 +133,8 @@ def _segments(data: np.ndarray, bounds: np.ndarray, first: int, last: int, lengt
     a = np.flatnonzero(new)
     begin, end, at, row = start[a], start[np.append(a[1:], len(start)) - 1] + length, at[a], row[a]
     content = run_hash(prefix(values), begin, end) + (at - begin).astype(np.uint64) * ODD[1]
-    return [h[at] >> np.uint64(16), content, row, begin + first, end - begin]
+    # least hashes are small numbers: mixed again, they spread evenly over the buckets
+    return [mix(h[at]) >> np.uint64(16), content, row, begin + first, end - begin]
 
 
 def _runs(sorted_: np.ndarray) -> list[tuple[int, int, int]]:
