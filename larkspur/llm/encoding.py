@@ -69,6 +69,11 @@ class UnitEncoder:
                 out.append(x)
         return out
 
+    def pre_tokens(self, unit: str) -> tuple[str, ...]:
+        """What the model sees of a unit, one after another."""
+        normal = self.tokenizer.normalizer
+        return tuple([t for t, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal.normalize_str(unit) if normal else unit)])
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.first) + len(self.rest) + len(self.pieces) > CACHE_UNITS:

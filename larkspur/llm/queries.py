@@ -18,6 +18,7 @@ from larkspur.llm import (
     sharding,
     shared,
     suffix_dedup,
+    token_counts,
     token_output,
     url_rules,
 )
@@ -87,6 +88,10 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -105,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_merkle_fingerprints": op9_merkle_fingerprints,
     "pipeline": pipeline,
     "op10_token_output": op10_token_output,
+    "op12_token_counts": op12_token_counts,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_size_tiered_shards": "select doc_id, lang, source, n_chars, md5(text) as text_md5 from documents",
