@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm import (
     decontamination,
+    filter_audit,
     language_id,
     merkle,
     near_dedup,
@@ -92,6 +93,10 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -111,7 +116,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
     "op10_token_output": op10_token_output,
     "op12_token_counts": op12_token_counts,
+    "op13_filter_audit": op13_filter_audit,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_size_tiered_shards": "select doc_id, lang, source, n_chars, md5(text) as text_md5 from documents",
+    "op13_filter_audit": filter_audit.ORACLE_SQL,
 }
