@@ -29,6 +29,10 @@ _PLAIN = re.compile(rf"{_WORD}(?:\n{_WORD})?")
 # the byte-level alphabet: visible Latin-1 characters stand for themselves, the other bytes for U+0100 and on
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _ALPHABET = {b: b for b in _SHOWN} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in set(_SHOWN))}
+# of a tokenizer that cuts lower-cased words apart with this pattern, and what the pattern finds in plain lower-cased text
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PLAIN_TEXT = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
+_PLAIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t-\ra-zß-öø-ÿ0-9]+")
 _encoders: dict[str, "UnitEncoder"] = {}
 clears(_encoders.clear)
 
@@ -44,6 +48,8 @@ class UnitEncoder:
             # a byte-level vocabulary keeps the blank before a word as part of it
             data = json.load(f)
         self.lead = " " if data["pre_tokenizer"]["type"] == "ByteLevel" else ""
+        cutters = data["pre_tokenizer"].get("pretokenizers") or [{}]
+        self.words = cutters[0].get("pattern", {}).get("Regex") == WORD_PATTERN  # plain_words() knows what it does
         added = data["added_tokens"]
         if any(a[k] for a in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
             raise ValueError(f"{path}: added tokens that look at what stands beside them")
@@ -69,6 +75,15 @@ class UnitEncoder:
                 out.append(x)
         return out
 
+    def plain_words(self, text: str) -> tuple[list[str], list[str]]:
+        """What the model sees of the plain units of a text, and the other units; for a tokenizer with `words`."""
+        odd: list[str] = []
+        if not _PLAIN_TEXT.fullmatch(text):
+            units = text.split(" ")
+            odd = [u for u in units if not _PLAIN_TEXT.fullmatch(u)]
+            text = " ".join([u for u in units if _PLAIN_TEXT.fullmatch(u)])
+        return _PLAIN_WORDS.findall(text.lower()), odd
+
     def pre_tokens(self, unit: str) -> tuple[str, ...]:
         """What the model sees of a unit, one after another."""
         normal = self.tokenizer.normalizer
@@ -109,11 +124,16 @@ class UnitEncoder:
             x = x.lower()
         ids = self.pieces.get(x)
         if ids is None:
-            ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(x.encode().decode("latin-1").translate(_ALPHABET))])
+            ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown(x))])
             self.pieces[x] = ids
         return ids
 
 
+def shown(x: str) -> str:
+    """A text's bytes in the byte-level alphabet."""
+    return x.encode().decode("latin-1").translate(_ALPHABET)
+
+
 def encoder(path: str) -> UnitEncoder:
     if path not in _encoders:
         _encoders[path] = UnitEncoder(path)

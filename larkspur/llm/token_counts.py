@@ -24,17 +24,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.encoding import encoder
+from larkspur.llm.encoding import encoder, shown
 from larkspur.llm.shared import clears, materialize, plain, worker_for
 
 LIMIT = 2048
 HEAD = 50_000
 KEY = 48
 ROWS = 128
-CACHE_UNITS = 500_000
+CACHE_UNITS = 200_000
 SLICE_CHARS = 1_000_000
 FREQUENCIES = "doc_id long, n_bytes long, n_special long, tokens array<string>, times array<long>"
-_TYPES = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_special": pa.int64(), "tokens": pa.list_(pa.string()), "times": pa.list_(pa.int64())}
 _BORDER = re.compile(r" (?=\S)")
 _units: dict[str, dict[str, tuple[str, ...]]] = {}
 clears(_units.clear)
@@ -55,12 +54,20 @@ def pre_tokens(path: str, text: str) -> tuple[Counter, int]:
     if len(known) > CACHE_UNITS:
         known.clear()
     parts = enc.cut.split(text)  # text, special token, text, ...
-    seen, out = Counter(), Counter()
+    seen, out = Counter(), Counter()  # of units, of pre-tokens
     for part in parts[::2]:
         for piece in _slices(part):
-            first, *rest = enc.units(piece)
-            seen[first] += 1
-            seen.update([enc.lead + u for u in rest] if enc.lead else rest)
+            if enc.words:
+                words, odd = enc.plain_words(piece)
+                out.update(words)
+                seen.update(odd)
+            else:
+                first, *rest = enc.units(piece)
+                seen[first] += 1
+                seen.update([enc.lead + u for u in rest] if enc.lead else rest)
+    if not text.isascii():
+        for word in [w for w in out if not w.isascii()]:
+            out[shown(word)] = out.pop(word)
     for unit, times in seen.items():
         found = known.get(unit)
         if found is None:
@@ -78,13 +85,18 @@ def frequencies(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 rows = batch.slice(at, ROWS)
-                columns = [rows.column(0).to_pylist(), [], [], [], []]
+                n_bytes, n_special, tokens, times, ends = [], [], [], [], [0]
                 for text in rows.column(1).to_pylist():
                     found, special = pre_tokens(path, text or "")
-                    own = (len((text or "").encode("utf-8", "surrogatepass")), special, list(found), list(found.values()))
-                    for column, value in zip(columns[1:], own):
-                        column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES.values())], names=list(_TYPES))
+                    n_bytes.append(len((text or "").encode("utf-8", "surrogatepass")))
+                    n_special.append(special)
+                    tokens += found
+                    times += found.values()
+                    ends.append(len(tokens))
+                ends = pa.array(ends, pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x, t)) for x, t in ((tokens, pa.string()), (times, pa.int64()))]
+                counts = [pa.array(x, pa.int64()) for x in (n_bytes, n_special)]
+                yield pa.RecordBatch.from_arrays([rows.column(0), *counts, *lists], names=["doc_id", "n_bytes", "n_special", "tokens", "times"])
 
     return plain(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, FREQUENCIES)
 
