@@ -13,6 +13,7 @@ from larkspur.llm import (
     filter_audit,
     language_id,
     merkle,
+    merkle_manifest,
     near_dedup,
     packing,
     quality,
@@ -89,6 +90,10 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.manifest(table(spark, sf_dir, "documents"))
+
+
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -115,10 +120,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_merkle_fingerprints": op9_merkle_fingerprints,
     "pipeline": pipeline,
     "op10_token_output": op10_token_output,
+    "op11_merkle_manifest": op11_merkle_manifest,
     "op12_token_counts": op12_token_counts,
     "op13_filter_audit": op13_filter_audit,
 }
 ORACLE_SQL: dict[str, str] = {
     "op2_size_tiered_shards": "select doc_id, lang, source, n_chars, md5(text) as text_md5 from documents",
+    "op11_merkle_manifest": merkle_manifest.ORACLE_SQL,
     "op13_filter_audit": filter_audit.ORACLE_SQL,
 }
