@@ -8,6 +8,7 @@ types, several values). Searching and aggregating resolve names differently, and
 
 from __future__ import annotations
 
+import math
 import operator
 from collections.abc import Callable
 
@@ -19,9 +20,15 @@ from larkspur.functions.values import as_integer, as_number, number_of_text
 
 CORE = ("env", "index", "day", "ts_ms", "message", "source", "raw", "seq")
 COMPARE: dict[str, Callable[[Column, float], Column]] = {">": operator.gt, ">=": operator.ge, "<": operator.lt, "<=": operator.le}
+PROMOTED = "struct<t:string,i:bigint,d:double,b:boolean>"
+PROMOTED_N = "promoted"  # how many fields have columns of their own in a row's file; null in files without any
 LEAF_TYPES = {"i": "long", "d": "double", "b": "boolean", "s": "string"}
 
 
+def promoted_column(k: int) -> str:
+    return f"f_{k}"
+
+
 def _typed_term(column: Column, kind: str, value: str) -> Column:
     """kind: i, d, b or s."""
     i, d = as_integer(value), as_number(value)
@@ -36,6 +43,18 @@ def _typed_term(column: Column, kind: str, value: str) -> Column:
     return F.lit(False)
 
 
+def whole_compare(column: Column, op: str, v: float) -> Column:
+    """A comparison of whole numbers with any number, as one with a whole number, which reaches the scan."""
+    if math.isnan(v):
+        return F.lit(False)
+    if abs(v) >= 1 << 63:
+        return F.lit((v > 0) == (op in ("<", "<="))) & column.isNotNull()
+    bound = math.floor(v) if op in (">", "<=") else math.ceil(v)
+    if bound == 1 << 63:  # of numbers just below
+        return F.lit(op in ("<", "<=")) & column.isNotNull()
+    return COMPARE[op](column, F.lit(bound).cast("long"))
+
+
 def _any(parts: list[Column]) -> Column:
     out = F.lit(False)
     for p in parts:
@@ -113,7 +132,7 @@ class LeafFields:
         if v is None:
             return F.lit(False)
         first = lambda x: (x.path == name.lower()) & (x.pos == 0)  # noqa: E731 - further values of a field aren't compared
-        return sure(F.exists("leaves", lambda x: first(x) & (sure(COMPARE[op](x.i, v)) | sure(COMPARE[op](x.d, v)))))
+        return sure(F.exists("leaves", lambda x: first(x) & (sure(whole_compare(x.i, op, v)) | sure(COMPARE[op](x.d, v)))))
 
     def text(self, name: str) -> Column:
         """The value at a path in the event, names in any case: the whole name at the top, else name by name."""
@@ -132,6 +151,11 @@ class LeafFields:
         flag = F.when(F.exists("leaves", lambda x: (x.path == name.lower()) & x.b.isNotNull()), flag.b.cast("int").cast("double"))
         return F.coalesce(flag, number_of_text(self.text(name)))
 
+    def promoted(self, path: str) -> Column:
+        """What a column of its own keeps of a field: its text, and its first whole number, double and flag."""
+        first = lambda k: F.get(F.filter("leaves", lambda x: (x.path == path) & (x.pos == 0) & x[k].isNotNull()), 0)[k]
+        return F.struct(self.text(path).alias("t"), *(first(k).alias(k) for k in "idb"))
+
     def leaves(self) -> Column:
         return F.col("leaves")
 
@@ -140,6 +164,38 @@ class LeafFields:
         return df.select(*(c for c in CORE if c in df.columns), "leaves")
 
 
+class PromotedFields(LeafFields):
+    """Leaves, and columns beside them for some paths: in all files for the first `everywhere` of these, in some for others."""
+
+    def __init__(self, paths: list[str], everywhere: int):
+        self.places, self.everywhere = {p: k for k, p in enumerate(paths)}, everywhere
+
+    def _either(self, name: str, own: Callable[[Column], Column], leaf: Callable[[], Column]) -> Column:
+        k = self.places.get(name.lower())
+        if k is None or core_text(name) is not None:
+            return leaf()
+        column = F.col(promoted_column(k))
+        return own(column) if k < self.everywhere else F.when(F.col(PROMOTED_N) > k, own(column)).otherwise(leaf())
+
+    def compare(self, name: str, op: str, bound: str) -> Column:
+        v, k = as_number(bound), self.places.get(name.lower())
+        if v is None or k is None:
+            return super().compare(name, op, bound)
+        i, d = (F.col(promoted_column(k))[x] for x in "id")
+        own = (i.isNotNull() & whole_compare(i, op, v)) | (d.isNotNull() & COMPARE[op](d, v))  # never null, and reaches the scan
+        if k < self.everywhere:
+            return own
+        n = F.col(PROMOTED_N)
+        return (n.isNotNull() & (n > k) & own) | ((n.isNull() | (n <= k)) & super().compare(name, op, bound))
+
+    def text(self, name: str) -> Column:
+        return self._either(name, lambda c: c.t, lambda: LeafFields.text(self, name))
+
+    def number(self, name: str) -> Column:
+        own = lambda c: F.coalesce(c.b.cast("int").cast("double"), number_of_text(c.t))
+        return self._either(name, own, lambda: LeafFields.number(self, name))
+
+
 class View:
     """A log view: a DataFrame with the core columns, and how its fields are found.
 
