@@ -3,9 +3,11 @@
 `append` adds an arrival as small immutable Parquet shards. `compact` sorts the shards below the target size
 into tiers (powers of FANOUT of their size), joins similarly sized ones of a tier into runs of up to the target
 and writes each run as one new shard, until no tier holds FANOUT shards. Every change is a new manifest: the
-complete list of live shards under the next version number, put in place by a rename that fails if the version
-exists, so readers see one version or the next and of two writers one has to try again. That needs a file system
-whose rename is atomic and never replaces (HDFS, local disks); plain object stores need a lock beside it. Files are
+complete list of live shards under the next version number, a file that exactly one writer creates and that is there as
+a whole or not at all, so readers see one version or the next. Of two writers the second reads the table again: an arrival
+is added to the version it finds, a compaction goes on from there and leaves out what another one has joined. The tests
+race writers on a local disk, where the file is placed by a hard link; elsewhere it takes a file system whose rename never
+replaces, as HDFS promises (not tested here), and plain object stores need a lock beside it. Files are
 never changed; `vacuum` deletes those that no kept version lists, also what failed or beaten writers left behind.
 
 Only file names and sizes pass the driver. Rows are taken as they are: nulls and repeated rows are kept; an empty
@@ -25,6 +27,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructField, StructType
 
+from larkspur.sources.folder import Folder
+
 TARGET_BYTES = 128 << 20
 SMALL_BYTES = 8 << 20
 FANOUT = 4
@@ -44,57 +48,35 @@ def widened(have: StructType | None, new: StructType) -> StructType:
     return StructType([StructField(f.name, f.dataType, True, f.metadata) for f in out.values()])
 
 
+def _schema(manifest: dict) -> StructType | None:
+    return manifest["schema"] and StructType.fromJson(json.loads(manifest["schema"]))
+
+
 class ShardedTable:
     def __init__(
         self, spark: SparkSession, path: str, target_bytes: int = TARGET_BYTES, small_bytes: int = SMALL_BYTES, fanout: int = FANOUT
     ):
         self.spark, self.path = spark, path.rstrip("/")
         self.target, self.small, self.fanout = target_bytes, small_bytes, fanout
-        self._jvm = spark._jvm
-        self._conf = spark._jsparkSession.sessionState().newHadoopConf()
-        self._fs = self._path("").getFileSystem(self._conf)
-
-    def _path(self, name: str):
-        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        self.folder = Folder(spark, path)
 
     # manifests
 
     def versions(self) -> list[int]:
-        at = self._path("manifests")
-        if not self._fs.exists(at):
-            return []
-        return sorted(int(x.getPath().getName()[1:-5]) for x in self._fs.listStatus(at) if x.getPath().getName().endswith(".json"))
+        return sorted(int(name[1:-5]) for name, _ in self.folder.folders("manifests") if name.endswith(".json"))
 
     def manifest(self, version: int | None = None) -> dict:
         """{"version", "schema", "shards": [{"file", "bytes"}]} of a version, by default the latest."""
         have = self.versions()
         if not have:
             return {"version": 0, "schema": None, "shards": []}
-        with_version = have[-1] if version is None else version
-        stream = self._fs.open(self._path(f"manifests/v{with_version:010d}.json"))
-        try:
-            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
+        return self.folder.read(f"manifests/v{have[-1] if version is None else version:010d}.json")
 
     def _commit(self, base: dict, schema: str, shards: list[dict]) -> dict:
-        """Put the next version in place; raises if another writer was first."""
+        """Put the next version in place; raises FileExistsError if another writer was first."""
         new = {"version": base["version"] + 1, "schema": schema, "shards": sorted(shards, key=lambda s: s["file"])}
-        draft = self._path(f"drafts/{uuid.uuid4().hex}")
-        stream = self._fs.create(draft)
-        stream.write(bytearray(json.dumps(new).encode()))
-        stream.close()
-        self._fs.mkdirs(self._path("manifests"))
-        rename = getattr(self._jvm, "org.apache.hadoop.fs.Options$Rename")
-        never_replace = self.spark.sparkContext._gateway.new_array(rename, 1)
-        never_replace[0] = rename.NONE
-        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf)
-        place = self._path(f"manifests/v{new['version']:010d}.json")
-        try:
-            context.rename(self._fs.makeQualified(draft), self._fs.makeQualified(place), never_replace)
-        except Exception:
-            self._fs.delete(draft, False)
-            raise
+        if not self.folder.put(f"manifests/v{new['version']:010d}.json", new):
+            raise FileExistsError(f"version {new['version']} exists")
         return new
 
     # shards
@@ -102,18 +84,22 @@ class ShardedTable:
     def _write(self, df: DataFrame) -> list[dict]:
         name = f"shards/{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(f"{self.path}/{name}")
-        found = [(x.getPath().getName(), x.getLen()) for x in self._fs.listStatus(self._path(name))]
-        return [{"file": f"{name}/{f}", "bytes": n} for f, n in found if f.endswith(".parquet") and n]
+        return [{"file": f, "bytes": n} for f, n, _ in self.folder.files(name) if f.endswith(".parquet") and n]
 
-    def _read(self, shards: list[dict], schema: str) -> DataFrame:
+    def _read(self, shards: list[dict], schema: StructType) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*(f"{self.path}/{s['file']}" for s in shards))
 
     def append(self, arrival: DataFrame, shards: int | None = None) -> dict:
         """Add the rows of an arrival; shards: into how many files, by default one for each of its partitions."""
-        base = self.manifest()
-        schema = widened(base["schema"] and StructType.fromJson(json.loads(base["schema"])), arrival.schema)
+        widened(_schema(self.manifest()), arrival.schema)
         new = self._write(arrival.coalesce(shards) if shards else arrival)
-        return self._commit(base, schema.json(), base["shards"] + new)
+        while True:
+            base = self.manifest()
+            schema = widened(_schema(base), arrival.schema)  # another arrival may have brought columns meanwhile
+            try:
+                return self._commit(base, schema.json(), base["shards"] + new)
+            except FileExistsError:
+                continue
 
     def _runs(self, shards: list[dict]) -> list[list[dict]]:
         """Shards to be joined: similarly sized ones, up to the target each."""
@@ -140,11 +126,15 @@ class ShardedTable:
         """Join runs until no tier has enough shards; one commit for each round of at most RUNS_A_JOB runs."""
         now = self.manifest()
         while runs := self._runs(now["shards"])[:RUNS_A_JOB]:
-            schema = StructType.fromJson(json.loads(now["schema"]))
-            joined = reduce(DataFrame.unionAll, [self._read(run, schema).coalesce(1) for run in runs])  # one task and one file a run
-            gone = {s["file"] for run in runs for s in run}
-            rest = [s for s in now["shards"] if s["file"] not in gone]
-            now = self._commit(now, now["schema"], rest + self._write(joined))
+            joined = reduce(DataFrame.unionAll, [self._read(run, _schema(now)).coalesce(1) for run in runs])  # one task and one file a run
+            gone, new = {s["file"] for run in runs for s in run}, self._write(joined)
+            while gone <= {s["file"] for s in now["shards"]}:
+                rest = [s for s in now["shards"] if s["file"] not in gone]
+                try:
+                    now = self._commit(now, now["schema"], rest + new)
+                    break
+                except FileExistsError:
+                    now = self.manifest()  # with more shards, or without some of these: then they are joined anew
         return now
 
     def vacuum(self, keep: int = 1, abandoned_s: float = ABANDONED_S) -> int:
@@ -155,30 +145,24 @@ class ShardedTable:
         live = {s["file"] for v in kept for s in self.manifest(v)["shards"]}
         dead = {s["file"] for v in old for s in self.manifest(v)["shards"]} - live
         for v in old:
-            self._fs.delete(self._path(f"manifests/v{v:010d}.json"), False)
+            self.folder.delete(f"manifests/v{v:010d}.json")
         before = (time.time() - abandoned_s) * 1000
-        for folder in self._list("shards"):
-            name = f"shards/{folder.getPath().getName()}"
-            files = {f"{name}/{f.getPath().getName()}": f.getModificationTime() for f in self._list(name)}
+        for folder, changed in self.folder.folders("shards"):
+            name = f"shards/{folder}"
+            files = {f: at for f, _, at in self.folder.files(name)}
             shards = {f for f in files if f.endswith(".parquet")}
-            lost = {f for f in shards - live - dead if files[f] < before}
-            dead |= lost
-            stale = max([folder.getModificationTime(), *files.values()]) < before
+            dead |= {f for f in shards - live - dead if files[f] < before}
+            stale = max([changed, *files.values()]) < before
             if not shards - dead and (shards or stale):
-                self._fs.delete(self._path(name), True)
+                self.folder.delete(name)
             else:
                 for f in shards & dead:
-                    self._fs.delete(self._path(f), False)
-        for draft in self._list("drafts"):
-            if draft.getModificationTime() < before:
-                self._fs.delete(draft.getPath(), False)
+                    self.folder.delete(f)
+        for draft, changed in self.folder.folders("_drafts"):
+            if changed < before:
+                self.folder.delete(f"_drafts/{draft}")
         return len(dead)
 
-    def _list(self, name: str) -> list:
-        at = self._path(name)
-        return list(self._fs.listStatus(at)) if self._fs.exists(at) else []
-
     def read(self, version: int | None = None) -> DataFrame:
         m = self.manifest(version)
-        schema = StructType.fromJson(json.loads(m["schema"]))
-        return self._read(m["shards"], schema) if m["shards"] else self.spark.createDataFrame([], schema)
+        return self._read(m["shards"], _schema(m)) if m["shards"] else self.spark.createDataFrame([], _schema(m))
