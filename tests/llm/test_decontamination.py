@@ -106,3 +106,30 @@ def test_very_long_and_repeated_texts(spark):
     bench = spark.createDataFrame([(1, item), (2, item), (None, item), (3, None)], "item_id long, text string")
     got = [(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(df, bench).collect()]
     assert sorted(got, key=str) == [(1, 1), (1, 2), (None, 1), (None, 2)]
+
+
+def test_every_text_of_an_item_is_looked_for(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    bench = spark.createDataFrame([(1, a), (1, b), (1, b), (2, a), (None, a), (3, None)], "item_id long, text string")
+    rows = spark.createDataFrame([(10, "u v " + a), (11, b + " w"), (12, a + " " + b), (13, "clean words only here and there")], DOC)
+    got = sorted((r["doc_id"], r["item_id"], r["similarity"]) for r in decontamination.find_leaks(rows, bench).collect())
+    assert got == [(10, 1, 1.0), (10, 2, 1.0), (11, 1, 1.0), (12, 1, 1.0), (12, 2, 1.0)]
+
+
+def test_few_random_pairs_are_candidates(spark):
+    """Items of one size that share a common opening: windows look up the items that they may be alike, not a fifth of all."""
+    random.seed(8)
+    common = "as an example of this we now look at "
+    texts = [common + " ".join(f"w{random.randrange(10**6)}" for _ in range(51)) for _ in range(200)]
+    bench = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    held = [(i, "before it " + t.replace("example", "instance") + " after it") for i, t in enumerate(texts)]
+    rows = spark.createDataFrame([(i, t, hash(t)) for i, t in held], DOC + ", text_hash long")
+    items, gates = decontamination.indexed_items(bench)
+    windows = decontamination.with_shingles(rows).withColumn("n", F.lit(56))
+    gated = windows.select("doc_id", "text_hash", F.explode("s").alias("h")).join(gates.drop("n"), "h").withColumn("n", F.lit(56))
+    gated = gated.select("doc_id", "text_hash", "n", "item_id", "item_hash").distinct()
+    windows = windows.withColumn("start", F.explode(F.sequence(F.lit(0), F.size("s") - 56))).withColumn("w", F.slice("s", F.col("start") + 1, 56))
+    pairs = decontamination.candidates(windows, items, gated).select("doc_id", "start", "item_id").distinct()
+    assert pairs.filter("doc_id <> item_id").count() <= 0.01 * windows.count() * 200
+    assert {r[0] for r in pairs.filter("doc_id = item_id").select("doc_id").distinct().collect()} == set(range(200))
+    assert decontamination.find_leaks(rows, bench).filter("doc_id = item_id").count() == 200
