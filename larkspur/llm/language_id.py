@@ -106,7 +106,8 @@ def learn(docs: DataFrame, profile: int = PROFILE) -> DataFrame:
     known = plain(docs, "text", "lang").filter("lang is not null and text is not null")
     counts = known.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    return counts.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < profile).select("lang", "gram", "rank")
+    best = counts.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= profile)  # so Spark sees the limit
+    return best.select("lang", "gram", (F.col("place") - 1).alias("rank"))
 
 
 def judgement(profiles: list[tuple[str, np.ndarray]], profile: int = PROFILE):

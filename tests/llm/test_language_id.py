@@ -72,3 +72,8 @@ def test_predictions_equal_brute_force(spark):
     for i, text, _ in rows:
         lang, score = predict(text)
         assert (got[i]["lang_pred"], got[i]["score"]) == (lang, pytest.approx(score)), i
+
+
+def test_profiles_are_limited_before_they_meet(spark):
+    df = spark.createDataFrame([("some text", "en"), ("ein text", "de")], "text string, lang string")
+    assert "WindowGroupLimit" in language_id.learn(df, 5)._jdf.queryExecution().toString()
