@@ -3,10 +3,13 @@
 Each url becomes a set of tokens (labels of its host, words of its path with their level, keys of its query).
 Tokens that exactly the same labelled pages have are one bundle, so a template of many tokens doesn't double the
 combinations with each of them. Spark's FP-growth mines the bundles of labelled pages, each with a token that says if
-the page was bad; a rule is a combination that is frequent enough among labelled pages (SUPPORT) and bad often enough
-(CONFIDENCE), and is dropped if a part of it is already as confident. It names one token of each of its bundles; a
-rule of one bundle is given for each of the bundle's tokens. A page of more than WIDTH frequent bundles is mined by
-its rarest ones, which bounds its combinations; where there is such a page, rules are counted again on all tokens.
+the page was bad; a rule is a combination that enough labelled pages have and are bad with (SUPPORT) and that is bad
+often enough (CONFIDENCE), and is dropped if a part of it is already as confident. It names one token of each of its
+bundles; a rule of one bundle is given for each of the bundle's tokens. A bundle that is always bad is a rule that no
+longer one betters, one that too few bad pages have is in no rule, and one that all pages have changes no count: these are
+left out before combinations are made. Where a page still has more than WIDTH bundles, FP-growth would list up to two to
+the power of their number; there combinations grow by one bundle at a time instead, and one that is always bad or counts
+no fewer pages than a part of it is not grown on, as nothing that holds it could be a rule. Both ways give the same rules.
 Rules are matched through an inverted index: each is listed under its rarest token, and only pages with that token
 compare the whole combination.
 
@@ -20,7 +23,9 @@ from __future__ import annotations
 
 import string
 from collections.abc import Sequence
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,25 +97,24 @@ def bundles(labelled: DataFrame, support: float = SUPPORT) -> DataFrame:
 
 
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, width: int = WIDTH) -> DataFrame:
-    """rule_tokens, support, confidence, from rows of (tokens, bad, row); row tells different pages apart."""
+    """rule_tokens, support, confidence, from rows of (tokens, bad, row); row tells different pages apart.
+
+    width: with more bundles on a page, combinations are grown instead of listed; the rules are the same.
+    """
     labelled = materialize(labelled, "labelled")
+    total = labelled.count()
+    least = max(1.0, support * total) - 1e-9
     found = materialize(bundles(labelled, support), "bundles")
-    names = _small(found.select("bundle", "n", F.explode("tokens").alias("token")), found.count())
-    has = labelled.select("row", "bad", F.explode("tokens").alias("token")).join(names.filter("token = bundle"), "token")
-    rarest = F.array_sort(F.collect_list(F.struct("n", "bundle")))
-    pages = has.groupBy("row", "bad").agg(rarest.alias("b"))
-    pages = pages.select("bad", F.size("b").alias("size"), F.slice("b.bundle", 1, width).alias("b"))
-    pages = materialize(pages, "transactions")
-    items = pages.select(F.when(F.col("bad"), F.concat("b", F.array(F.lit(BAD)))).otherwise(F.col("b")).alias("items"))
-    total, transactions = labelled.count(), pages.count()  # pages without a frequent token are in no transaction
-    least = min(1.0, support * total / max(1, transactions))
-    frequent = FPGrowth(itemsCol="items", minSupport=least, minConfidence=1.0).fit(items).freqItemsets
-    bad = frequent.filter(F.array_contains("items", BAD))
-    bad = bad.select(F.array_sort(F.array_remove("items", BAD)).alias("rule"), F.col("freq").alias("bad_freq"))
-    every = frequent.filter(~F.array_contains("items", BAD)).select(F.array_sort("items").alias("rule"), F.col("freq").alias("all_freq"))
-    rules = bad.filter(F.size("rule") > 0).join(every, "rule")
-    if not pages.filter(F.col("size") > width).isEmpty():
-        rules = _counted(rules.select("rule"), labelled)
+    names = _small(found.select("bundle", F.col("bundle").alias("token")), found.count())
+    has = labelled.select("row", "bad", F.explode("tokens").alias("token")).join(names, "token")
+    alone = has.groupBy("bundle").agg(F.count_if("bad").alias("bad_freq"), F.count("*").alias("all_freq"))
+    alone = materialize(alone.filter(F.col("bad_freq") >= least), "alone")
+    grown = alone.filter((F.col("bad_freq") < F.col("all_freq")) & (F.col("all_freq") < total))
+    pages = has.join(_small(grown.select("bundle"), found.count()), "bundle").groupBy("row", "bad")
+    pages = materialize(pages.agg(F.array_sort(F.collect_list("bundle")).alias("b")).filter(F.size("b") > 1), "transactions")
+    combine = _listed_sets if pages.filter(F.size("b") > width).isEmpty() else _grown_sets
+    several = combine(pages, grown.select("bundle", "all_freq"), least)
+    rules = alone.select(F.array("bundle").alias("rule"), "bad_freq", "all_freq").unionByName(several)
     rules = rules.select("rule", F.col("bad_freq").alias("support"), (F.col("bad_freq") / F.col("all_freq")).alias("confidence"))
     rules = materialize(rules.filter(F.col("confidence") >= confidence), "confident")
     # a rule is redundant if one of its parts, a bundle shorter, is as confident
@@ -118,14 +122,77 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     parts = rules.select("rule", "confidence", F.explode(F.transform("rule", lambda t: F.array_remove("rule", t))).alias("part"))
     redundant = parts.join(shorter, "part").filter(F.col("part_confidence") >= F.col("confidence")).select("rule").distinct()
     rules = rules.join(redundant, "rule", "left_anti")
-    alone = rules.filter(F.size("rule") == 1).withColumn("bundle", F.col("rule")[0]).join(found.select("bundle", "tokens"), "bundle")
-    alone = alone.select(F.explode(F.transform("tokens", lambda t: F.array(t))).alias("rule_tokens"), "support", "confidence")
+    single = rules.filter(F.size("rule") == 1).withColumn("bundle", F.col("rule")[0]).join(found.select("bundle", "tokens"), "bundle")
+    single = single.select(F.explode(F.transform("tokens", lambda t: F.array(t))).alias("rule_tokens"), "support", "confidence")
     several = rules.filter(F.size("rule") > 1).select(F.col("rule").alias("rule_tokens"), "support", "confidence")
-    out = materialize(alone.unionByName(several), "rules")
-    release(labelled, found, pages, rules)
+    out = materialize(single.unionByName(several), "rules")
+    release(labelled, found, alone, pages, rules)
     return out
 
 
+SETS = "rule array<string>, bad_freq long, all_freq long"
+
+
+def _listed_sets(pages: DataFrame, grown: DataFrame, least: float) -> DataFrame:
+    """rule, bad_freq, all_freq of all combinations of two bundles and more that enough bad pages have, by FP-growth."""
+    n = pages.count()
+    if not n:
+        return pages.sparkSession.createDataFrame([], SETS)
+    items = pages.select(F.when(F.col("bad"), F.concat("b", F.array(F.lit(BAD)))).otherwise(F.col("b")).alias("items"))
+    frequent = FPGrowth(itemsCol="items", minSupport=min(1.0, least / n), minConfidence=1.0).fit(items).freqItemsets
+    labelled = F.array_contains("items", BAD)
+    bad = frequent.filter(labelled).select(F.array_sort(F.array_remove("items", BAD)).alias("rule"), F.col("freq").alias("bad_freq"))
+    every = frequent.filter(~labelled).select(F.array_sort("items").alias("rule"), F.col("freq").alias("all_freq"))
+    return bad.filter(F.size("rule") > 1).join(every, "rule")
+
+
+def _joined(batches):
+    """Of a page's combinations of one size those of the next, all of whose parts are among them: (id, n, bad, rule, fewest)."""
+    for batch in batches:
+        out: list[list] = [[], [], [], [], []]
+        for page, n, bad, sets in zip(*(c.to_pylist() for c in batch.columns)):
+            counts = {tuple(s["rule"]): s["all_freq"] for s in sets}
+            by_start: dict[tuple, list[str]] = {}
+            for s in sorted(counts):
+                by_start.setdefault(s[:-1], []).append(s[-1])
+            for start, ends in by_start.items():
+                for i, x in enumerate(ends):
+                    for y in ends[i + 1 :]:
+                        one = (*start, x, y)
+                        parts = [counts.get(one[:k] + one[k + 1 :]) for k in range(len(one))]
+                        if None not in parts:
+                            for column, value in zip(out, (page, n, bad, list(one), min(parts))):
+                                column.append(value)
+                if len(out[0]) > 50_000:
+                    yield _batch(out)
+                    out = [[], [], [], [], []]
+        yield _batch(out)
+
+
+def _batch(columns: list[list]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["id", "n", "bad", "rule", "fewest"])
+
+
+def _grown_sets(pages: DataFrame, grown: DataFrame, least: float) -> DataFrame:
+    """As _listed_sets(), but only combinations that may be rules or parts of rules: they grow by a bundle at a time."""
+    alike = pages.groupBy("b").agg(F.count("*").alias("n"), F.count_if("bad").alias("bad"))
+    alike = materialize(alike.withColumn("id", F.monotonically_increasing_id()), "alike")
+    sets = alike.select("id", "n", "bad", F.explode("b").alias("bundle")).join(_small(grown, grown.count()), "bundle")
+    sets = sets.select("id", "n", "bad", F.struct(F.array("bundle").alias("rule"), "all_freq").alias("s"))
+    out = []
+    while True:
+        sets = sets.groupBy("id", "n", "bad").agg(F.collect_list("s").alias("sets")).filter(F.size("sets") > 1)
+        longer = materialize(sets.mapInArrow(_joined, "id long, n long, bad long, rule array<string>, fewest long"), "longer")
+        counts = longer.groupBy("rule").agg(F.sum("bad").alias("bad_freq"), F.sum("n").alias("all_freq"), F.min("fewest").alias("fewest"))
+        counts = materialize(counts.filter((F.col("bad_freq") >= least) & (F.col("all_freq") < F.col("fewest"))).drop("fewest"), "sets")
+        out.append(counts)
+        further = counts.filter(F.col("bad_freq") < F.col("all_freq")).select("rule", "all_freq")
+        if (n := further.count()) < 2:
+            return reduce(DataFrame.unionByName, out)
+        sets = longer.join(_small(further, n), "rule").select("id", "n", "bad", F.struct("rule", "all_freq").alias("s"))
+
+
 def _listed(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """Each rule under its rarest token among urls: (token, rule_tokens) and the rule's other columns."""
     uses = rules.select(F.explode("rule_tokens").alias("token")).distinct()
@@ -143,12 +210,6 @@ def _fitting(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return posted.filter(F.size(F.array_except("rule_tokens", "tokens")) == 0)
 
 
-def _counted(rules: DataFrame, labelled: DataFrame) -> DataFrame:
-    """rule, bad_freq, all_freq on all tokens of the labelled rows."""
-    found = _fitting(labelled, rules.select(F.col("rule").alias("rule_tokens")))
-    return found.groupBy(F.col("rule_tokens").alias("rule")).agg(F.count_if("bad").alias("bad_freq"), F.count("*").alias("all_freq"))
-
-
 def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """url, confidence: the most confident mined rule of each url that any fits; urls has (url, tokens), distinct."""
     found = _fitting(urls, rules.select("rule_tokens", "confidence"))

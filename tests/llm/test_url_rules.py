@@ -59,13 +59,55 @@ def test_mined_rules_equal_brute_force(spark):
         t = {x for x in "abcdefg" if random.random() < 0.45}
         rows.append((sorted(t), random.random() < (0.9 if {"a", "b"} <= t else 0.95 if "c" in t and "d" not in t else 0.2)))
     df = spark.createDataFrame([(t, b, str(i)) for i, (t, b) in enumerate(rows)], "tokens array<string>, bad boolean, row string")
-    for width in (12, 3):
+    want = brute_rules(rows, 0.02, 0.7)
+    for width in (12, 3):  # listed, and grown
         got = {tuple(r["rule_tokens"]): r["confidence"] for r in url_rules.mine(df, 0.02, 0.7, width).collect()}
-        want = brute_rules(rows, 0.02, 0.7)
-        if width == 12:
-            assert got == pytest.approx(want) and any(len(c) > 1 for c in got)
-        else:  # fewer combinations are seen, but what is given is exact
-            assert got and all(got[c] == pytest.approx(brute_rules([(t, b) for t, b in rows], 0.02, 0.7).get(c, got[c])) for c in got)
+        assert got == pytest.approx(want) and any(len(c) > 1 for c in got)
+
+
+def frequent_rules(rows, support, confidence):
+    """brute_rules() for many tokens: combinations that enough bad pages have, one by one."""
+    rows, least = [(set(t), b) for t, b in rows], support * len(rows) - 1e-9
+    names = sorted({x for t, _ in rows for x in t})
+    good, todo = {}, [()]
+    while todo:
+        c = todo.pop()
+        some = [b for t, b in rows if t.issuperset(c)]
+        if sum(some) < least:
+            continue
+        if c and sum(some) / len(some) >= confidence:
+            good[c] = sum(some) / len(some)
+        todo += [(*c, x) for x in names if not c or x > c[-1]]
+    return {c: p for c, p in good.items() if not any(good.get(c[:i] + c[i + 1 :], -1) >= p for i in range(len(c)))}
+
+
+def test_rules_of_pages_with_many_tokens(spark):
+    """Twenty bundles a page: the rule of the two most frequent tokens, which are a page's last by rarity, is found."""
+    random.seed(11)
+    rows = []
+    for _ in range(800):
+        t = {x for x in "AB" if random.random() < 0.55} | {f"t{k:02}" for k in range(40) if random.random() < 0.5}
+        rows.append((sorted(t), {"A", "B"} <= t or random.random() < 0.1))
+    df = spark.createDataFrame([(t, b, str(i)) for i, (t, b) in enumerate(rows)], "tokens array<string>, bad boolean, row string")
+    for support in (0.2, 0.1):
+        got = {tuple(r["rule_tokens"]): r["confidence"] for r in url_rules.mine(df, support, 0.8).collect()}
+        assert got == pytest.approx(frequent_rules(rows, support, 0.8)) and got["A", "B"] == 1.0
+
+
+def test_nested_templates(spark):
+    """Tokens that imply each other, neither always together nor always bad, would be 2^25 combinations."""
+    rows = [([f"t{k:02}" for k in range(1 + i % 25)], i % 3 > 0 or i % 25 > 20) for i in range(500)]
+    df = spark.createDataFrame([(t, b, str(i)) for i, (t, b) in enumerate(rows)], "tokens array<string>, bad boolean, row string")
+    got = {tuple(r["rule_tokens"]) for r in url_rules.mine(df, 0.01, 0.75).collect()}
+    bad = lambda k: [b for t, b in rows if len(t) > k]
+    assert got == {(f"t{k:02}",) for k in range(25) if sum(bad(k)) / len(bad(k)) >= 0.75} and got
+
+
+def test_very_long_urls(spark):
+    long = "http://a.net/" + "/".join(f"p{i}" for i in range(3000)) + "?" + "&".join(f"k{i}=1" for i in range(3000))
+    pages = spark.createDataFrame([(1, long), (2, "http://b.net/x"), (3, "http://" + "z" * 1_000_000)], "page_id long, url string")
+    labels = spark.createDataFrame([(1, True), (2, False), (3, True)], "page_id long, bad boolean")
+    assert sorted((r["page_id"], r["verdict"]) for r in url_rules.judge(pages, labels).collect()) == [(1, "block"), (2, "allow"), (3, "block")]
 
 
 def test_templates_of_many_tokens(spark):
