@@ -83,10 +83,14 @@ def _json(fields: dict[str, Column]) -> Column:
 
 
 def _map_json(names: Column, values: Column) -> Column:
-    """A JSON object of texts; of a repeated name the last counts, empty values are left out."""
+    """A JSON object of texts; of a repeated name the last counts, empty values are left out.
+
+    Names are unlike as a rule, which one pass tells; only where some are alike is each pair held against the later ones.
+    """
     pairs = F.filter(F.arrays_zip(names.alias("k"), values.alias("v")), lambda p: p.v.isNotNull() & (p.v != ""))
     fresh = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q.k == p.k))
-    return F.to_json(F.map_from_entries(fresh))
+    unlike = F.size(F.array_distinct(F.transform(pairs, lambda p: p.k))) == F.size(pairs)
+    return F.to_json(F.map_from_entries(F.when(unlike, pairs).otherwise(fresh)))
 
 
 def lines(df: DataFrame) -> DataFrame:
@@ -178,10 +182,11 @@ def ndjson(df: DataFrame) -> DataFrame:
 
 
 def json_document(texts: DataFrame) -> DataFrame:
-    """An array of objects or one object per text; elements keep their own JSON text."""
+    """An array of objects or one object per text; elements keep their own JSON text. A text that is neither is one event,
+    which events.rows() then calls bad."""
     one = F.ltrim("value").startswith("{")
-    elements = F.when(one, F.array("value")).otherwise(F.from_json("value", "array<string>"))
-    return texts.select(F.explode(elements).alias("event"))
+    elements = F.when(one, F.array("value")).otherwise(F.coalesce(F.from_json("value", "array<string>"), F.array("value")))
+    return texts.filter(F.trim("value") != "").select(F.explode(elements).alias("event"))
 
 
 def text(df: DataFrame) -> DataFrame:
@@ -200,11 +205,14 @@ def multiline(texts: DataFrame, start: str, max_lines: int = MAX_LINES) -> DataF
     return pieces.select(_json({"message": F.col("m")}).alias("event"))
 
 
+_LEVEL = r"(?=\d{1,3}>)0*(?:\d{1,2}|1[0-8]\d|19[01])"  # 0 to 191
+
+
 def syslog(df: DataFrame, year: int) -> DataFrame:
     """RFC 5424, else RFC 3164 with the given year, else the line as message."""
     v = F.col("value")
-    new = r"^<(\d{1,3})>\d+ (\S+) (\S+) (\S+) (\S+) (\S+) ?(?:-|(?:\[(?:[^\]\\]|\\.)*\])+)? ?(.*)$"
-    old = r"^<(\d{1,3})>(\w{3} +\d{1,2} \d{2}:\d{2}:\d{2}) (\S+) (?:([^\s:\[]+)(?:\[(\d+)\])?: ?)?(.*)$"
+    new = rf"^<({_LEVEL})>\d+ (\S+) (\S+) (\S+) (\S+) (\S+) ?(?:-|(?:\[(?:[^\]\\\"]|\\.|\"(?:[^\"\\]|\\.)*\")*\])+)? ?(.*)$"
+    old = rf"^<({_LEVEL})>(\w{{3}} +\d{{1,2}} \d{{2}}:\d{{2}}:\d{{2}}) (\S+) (?:([^\s:\[]+)(?:\[(\d+)\])?: ?)?(.*)$"
     g = lambda p, i: F.regexp_extract(v, p, i)
     said = lambda x: F.when((x != "-") & (x != ""), x)
     pri = lambda p: g(p, 1).try_cast("int")

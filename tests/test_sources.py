@@ -362,3 +362,32 @@ def test_routing(spark):
     rules = [("svc", "equals", "a", "one"), ("msg", "contains", "(x)", "two"), ("msg", "regex", "^z+$", "three")]
     df = spark.createDataFrame([(json.dumps(e),) for e in ({"svc": "a", "msg": "zz"}, {"msg": "q(x)"}, {"msg": "zzz"}, {"svc": "b"}, {})], "event string")
     assert [r[0] for r in df.select(ingest.routed(rules, "rest")).collect()] == ["one", "two", "three", "rest", "rest"]
+
+
+def test_a_spoilt_record_leaves_the_others(spark):
+    def run(kind, body):
+        df = spark.createDataFrame([(body,)], "body string")
+        return [(r["bad"], json.loads(r["event"]) if r["bad"] is None else r["event"]) for r in envelopes.unpacked(df, kind).collect()]
+
+    good = {"body": {"stringValue": "m"}}
+    groups = [{"scopeLogs": [{"logRecords": [good, 5, {"attributes": 7}, good]}, "x"]}, {"resource": 3, "scopeLogs": []}, {"scopeLogs": 4}, {}]
+    want = [(None, {"message": "m"}), ("record", "5"), ("record", '{"attributes": 7}'), (None, {"message": "m"}), ("record", '"x"')]
+    want += [("record", '{"resource": 3, "scopeLogs": []}'), ("record", "4")]
+    assert run("otlp", json.dumps({"resourceLogs": groups})) == want
+    streams = [{"stream": {"a": "b"}, "values": [["1", "x"], 7, []]}, 7, {"values": [["2", "y"]]}, {"values": "z"}]
+    want = [(None, {"a": "b", "timestamp": 1, "message": "x"}), ("record", "7"), (None, {"a": "b"}), ("record", "7")]
+    assert run("streams", json.dumps({"streams": streams})) == [*want, (None, {"timestamp": 2, "message": "y"}), ("record", '"z"')]
+    assert run("collector", '{"a":1} 7 {"b":2} {"c":') == [(None, {"a": 1}), ("record", "7"), (None, {"b": 2}), ("record", '{"c":')]
+    bulk = '{"index":{}}\n{"a":1}\nbroken\n{"nosuch":{}}\n{"delete":{}}\n{"index":{}}\n[1]\n{"create":{}}\n{"b":2}'
+    assert run("bulk", bulk) == [(None, {"a": 1}), ("record", "broken"), ("record", '{"nosuch":{}}'), ("record", "[1]"), (None, {"b": 2})]
+    for kind in ("otlp", "streams"):
+        assert run(kind, "[1") == [("body", "[1")] and run(kind, "") == run(kind, "{}") == [] and run(kind, "[]") == [("body", "[]")]
+    rows = events.rows(formats.json_document(lines(spark, '[{"a":1},2]', '[{"a":1},', "", " ", '{"b":2}', "7", "[]")), 0)
+    assert events.good(rows).count() == 2 and sorted(r["raw"] for r in events.bad_lines(rows).collect()) == ["2", "7", '[{"a":1},']
+
+
+def test_syslog_quotes_and_levels(spark):
+    some = (r'<165>1 - h a - - [x@1 k="v]w" l="\"]"][y z="]"] hello', "<192>1 - h a - - - m", "<191>1 - h a - - - m", "<007>1 - h a - - - m")
+    got = parsed(formats.syslog(lines(spark, *some), 2025))
+    assert got[0]["message"] == "hello" and got[0]["priority"] == 165 and got[1] == {"message": "<192>1 - h a - - - m"}
+    assert (got[2]["priority"], got[2]["severity"]) == (191, 7) and got[3]["priority"] == 7
