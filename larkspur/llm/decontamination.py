@@ -129,9 +129,10 @@ def find_leaks(
     read = plain(docs, "doc_id", "text").filter("text is not null").withColumn("text_hash", F.xxhash64("text"))
     # outer: an inner explode would make Spark filter on `s` first, below the columns it is made of, and compute it anew
     exploded = with_shingles(read).select("doc_id", "text_hash", F.size("s").alias("size"), F.posexplode_outer("s").alias("pos", "h"))
-    gated = exploded.join(gates, "h").select("doc_id", "text_hash", "n", *ITEM).distinct()
+    hits = materialize(exploded.join(seeds, "h"), "hits")  # what the documents share with the benchmark
+    gated = hits.join(gates, ["h", "n"]).select("doc_id", "text_hash", "n", *ITEM).distinct()
     places = [F.sort_array(F.collect_set("pos")).alias("at"), F.first("size").alias("size")]
-    shared = exploded.join(seeds, "h").groupBy("doc_id", "text_hash", "n").agg(*places)
+    shared = hits.groupBy("doc_id", "text_hash", "n").agg(*places)
     n, at = F.col("n"), F.col("at")
     least = F.greatest(F.lit(1), F.ceil((F.least(n, F.col("size")) + n) * (similarity / (1 + similarity)) - 1e-9).cast("int"))
     ends = F.filter(at, lambda pos, i: F.get(at, i - least + 1) > pos - n)
