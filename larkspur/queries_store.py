@@ -12,12 +12,12 @@ from larkspur.operators.stats import Agg, stats
 from larkspur.plans.filters import Filter, compare, find, newest_page, word
 from larkspur.queries import (
     BY_LANG, COUNT, DAY, DEAR, DOCS, ERRORS, EV, T0, _by_type, add, bodies, counted, day_of, files_of, get,
-    json_events, json_line, r4, record, entry, stored, table, typed, what, work_path,
+    json_events, json_line, r4, record, entry, stored, stream_rows, table, typed, what, work_path,
 )
 from larkspur.sources import envelopes, formats, store, telemetry
 from larkspur.sources import events as shredded
 from larkspur.sources.folder import Folder
-from larkspur.streaming import ingest, tailing
+from larkspur.streaming import ingest, tailing, watch
 
 # pages and words
 
@@ -331,3 +331,23 @@ def stream_growing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 add("stream_growing", _by_type, stream_growing)
+
+
+def stream_group_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users with at least two errors in a day after a day with fewer, by a stream with a state for each user."""
+    path, progress = work_path(spark, "alerts"), work_path(spark, "progress")
+    by = {"user_id": lambda v: v.fields.text("user_id")}
+    found = watch.group_alerts(stream_rows(spark, sf_dir), by, DAY, "gte", 2, predicate=ERRORS.predicate)
+    watch.monitor_groups(found, path, progress, {"availableNow": True}).awaitTermination()
+    return watch.alerts_of(spark, path, ["user_id"])
+
+
+add(
+    "stream_group_monitor",
+    f"with e as (select user_id, ms - ms % {DAY} as w, count(*) filter (event_type = 'error') as n from {EV} group by 1, 2), "
+    f"g as (select user_id, unnest(range(min(w), max(w) + 1, {DAY})) as w from e group by 1), "
+    "c as (select user_id, w, coalesce(n, 0) as n from g left join e using (user_id, w)), "
+    "a as (select *, n >= 2 and not coalesce(lag(n >= 2) over (partition by user_id order by w), false) as alert from c) "
+    f"select cast(user_id as varchar) as user_id, w as window_ms, n from a where alert and w + {DAY} <= (select max(ms) from {EV})",
+    stream_group_monitor,
+)
