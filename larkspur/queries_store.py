@@ -3,21 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.functions.values import interval_ms, time_bound
+from larkspur.operators import monitors, search
 from larkspur.operators.fields import View
-from larkspur.operators.stats import Agg, stats
-from larkspur.plans.filters import Filter, compare, find, newest_page, word
+from larkspur.operators.stats import Agg, stats, timechart
+from larkspur.plans.filters import Filter, compare, find, newest_page, phrase, word
 from larkspur.queries import (
-    BY_LANG, COUNT, DAY, DEAR, DOCS, ERRORS, EV, T0, _by_type, add, bodies, counted, day_of, files_of, get,
-    json_events, json_line, r4, record, entry, stored, stream_rows, table, typed, what, work_path,
+    BY_LANG, COUNT, DAY, DEAR, DOCS, ERRORS, EV, HOUR, T0, T1, _by_type, add, bodies, counted, day_of, files_of, get,
+    json_events, json_line, lines_folder, r4, record, entry, stored, stream_rows, table, typed, what, work_path,
 )
-from larkspur.sources import envelopes, formats, store, telemetry
+from larkspur.sources import envelopes, formats, store, telemetry, views
 from larkspur.sources import events as shredded
 from larkspur.sources.folder import Folder
-from larkspur.streaming import ingest, tailing, watch
+from larkspur.streaming import ingest, live, tailing, watch
 
 # pages and words
 
@@ -351,3 +354,125 @@ add(
     f"select cast(user_id as varchar) as user_id, w as window_ms, n from a where alert and w + {DAY} <= (select max(ms) from {EV})",
     stream_group_monitor,
 )
+
+
+def stream_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors by hour from files that come in no order of time: each batch corrects the windows of those before."""
+    path, progress = work_path(spark, "windows"), work_path(spark, "progress")
+    lines = ingest.text_files(spark, lines_folder(spark, sf_dir), files_a_trigger=1)
+    rows = shredded.good(shredded.rows(formats.ndjson(lines), T0))
+    live.corrected_windows(rows, HOUR, 400 * DAY, path, progress, ERRORS.predicate, {"availableNow": True}).awaitTermination()
+    return live.windows_of(spark, path).select("window_ms", "n")
+
+
+add(
+    "stream_corrections",
+    f"select ms - ms % {HOUR} as window_ms, count(*) as n from {EV} where event_type = 'error' group by 1",
+    stream_corrections,
+)
+
+
+def live_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest 100 errors after half of the events were stored and all of them came by a stream."""
+    tail, half = live.LiveTail(100), F.get_json_object("event", "$.user_id").cast("long") % 2 == 0
+    tail.backfill(store.read(spark, stored(spark, json_events(spark, sf_dir).filter(half))), ERRORS)
+    tail.follow(stream_rows(spark, sf_dir), work_path(spark, "progress"), ERRORS, "400 days", {"availableNow": True}).awaitTermination()
+    rows = spark.createDataFrame([(r["ts_ms"], r["raw"]) for r in tail.rows()], "ms long, raw string")
+    return rows.select("ms", F.get_json_object("raw", "$.user_id").cast("long").alias("user_id"))
+
+
+add("live_tail", f"select ms, user_id from {EV} where event_type = 'error' order by ms desc limit 100", live_tail)
+
+# searches: highlights, intervals, time bounds, monitors
+
+
+def highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many hits have each word that is to be highlighted in them."""
+    search_ = (word("licensed", "message") | phrase("apache license", "message")) & ~word("thatble", "message") & ~word("en", "lang")
+    hits = find(views.documents(spark, sf_dir), search_).df.select(F.lower("message").alias("m"))
+    named = F.array(*(F.when(F.contains("m", F.lit(h)), F.lit(h)) for h in search_.highlights))
+    return hits.select(F.explode(F.array_compact(named)).alias("highlight")).groupBy("highlight").agg(F.count("*").alias("n"))
+
+
+_hits = (
+    f"(select lower(text) as m from {DOCS} join (select doc_id, text from documents) using (doc_id) where lang <> 'en' and not list_contains(t, 'thatble') "
+    "and (list_contains(t, 'licensed') or len(list_filter(range(1, len(t)), lambda i: t[i] = 'apache' and t[i + 1] = 'license')) > 0))"
+)
+add(
+    "highlights",
+    f"select h as highlight, count(*) as n from {_hits}, (select unnest(['licensed', 'apache license']) as h) where contains(m, h) group by 1",
+    highlights,
+)
+add(
+    "histogram_interval",
+    f"select ms - ms % 5400000 as bucket_ms, count(*) as n from {EV} where ms between {T0 + 4 * DAY} and {T1 - 2 * DAY} group by 1",
+    lambda s, d: search.histogram(
+        find(views.events(s, d), None, time_bound("2024-01-05T01:00:00+01:00", T1), time_bound("-2d", T1)), interval_ms("90m")
+    ).drop("bucket"),
+)
+add(
+    "fields_without_terms",
+    "select count(*) as count from events having count(*) > 0",
+    lambda s, d: stats(find(views.events(s, d), ~word("2024*", "timestamp") & ~word("1", "dynamic") & ~compare("timestamp", ">", 0))).rows(),
+)
+add(
+    "timechart_capped",
+    f"select ms - ms % {DAY} as day_ms, cast(user_id as varchar) as user_id, count(*) as count from {EV} group by 1, 2",
+    lambda s, d: timechart(views.events(s, d), DAY, [COUNT], ["user_id"])
+    .rows()
+    .withColumn("day_ms", F.unix_millis(F.to_timestamp("_time")))
+    .drop("_time"),
+)
+
+
+def compressed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines in files packed in two ways, told apart by their first bytes."""
+    path = work_path(spark, "packed")
+    lines = files_of(spark, sf_dir, json_line(), tail="\n").select("value")
+    for codec, part in (("gzip", 0), ("none", 1)):
+        some = lines.filter(F.pmod(F.xxhash64("value"), F.lit(2)) == part)
+        some.write.option("compression", codec).mode("append").text(path)
+    return typed(formats.parse(formats.read_texts(spark, path, but="_*")))
+
+
+add("compressed_files", _by_type, compressed_files)
+
+
+def monitor_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of errors under each comparison."""
+    view = find(views.events(spark, sf_dir), ERRORS)
+    found = [
+        monitors.replay(view, c, 60, DAY, T0, T1).withColumn("comparison", F.lit(c)) for c in ("gt", "gte", "lt", "lte", "eq", "neq")
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
+_daily = (
+    f"(select g.b as w, coalesce(c.n, 0) as n from (select unnest(range({T0}, {T1} + 1, {DAY})) as b) g left join "
+    f"(select ms - ms % {DAY} as b, count(*) as n from {EV} where event_type = 'error' group by 1) c using (b))"
+)
+add(
+    "monitor_comparisons",
+    " union all ".join(
+        f"select w as window_ms, n, n {op} 60 as breached, n {op} 60 and not coalesce(lag(n {op} 60) over (order by w), false) as alert, "
+        f"'{name}' as comparison from {_daily}"
+        for name, op in (("gt", ">"), ("gte", ">="), ("lt", "<"), ("lte", "<="), ("eq", "="), ("neq", "<>"))
+    ),
+    monitor_comparisons,
+)
+
+
+def alert_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an alert on the last five days' errors says, and the hits it shows."""
+    told = monitors.check(find(views.events(spark, sf_dir), ERRORS), "gt", 1, T1, 5 * DAY)
+    rows = [(told["count"], told["title"], told["alert"], r["timestamp"], r["source"]) for r in told["evidence"]]
+    return spark.createDataFrame(rows, "count long, title string, alert boolean, timestamp string, source string")
+
+
+add(
+    "alert_content",
+    f"select (select count(*) from {EV} where event_type = 'error' and ms between {T1 - 5 * DAY} and {T1}) as count, 'count gt 1' as title, "
+    "true as alert, strftime(make_timestamp(ms * 1000), '%Y-%m-%dT%H:%M:%S.%g+00:00') as timestamp, event_type as source "
+    f"from {EV} where event_type = 'error' and ms <= {T1} order by ms desc limit 5",
+    alert_content,
+)

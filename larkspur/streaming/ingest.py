@@ -128,7 +128,12 @@ def alerts_of(spark: SparkSession, alerts: str) -> DataFrame:
 
 
 def tail(view: View, since_ms: int, seen: set[tuple[int, str]], limit: int = 500) -> list:
-    """Rows from since_ms on that weren't seen before, oldest first; the cursor is inclusive, so equal times aren't lost."""
+    """Rows from since_ms on that weren't seen before, oldest first; the cursor is inclusive, so equal times aren't lost.
+
+    What was seen before the cursor is forgotten, so `seen` stays as small as what lies behind the cursor. For a tail that
+    goes on see live.LiveTail.
+    """
+    seen -= {x for x in seen if x[0] < since_ms}
     rows = view.df.filter(F.col("ts_ms") >= since_ms).orderBy("ts_ms", "seq").limit(limit + len(seen)).collect()
     new = [r for r in rows if (r["ts_ms"], r["raw"]) not in seen][:limit]
     seen |= {(r["ts_ms"], r["raw"]) for r in new}
