@@ -14,8 +14,8 @@ from larkspur.operators.fields import View
 from larkspur.operators.stats import Agg, stats, timechart
 from larkspur.plans.filters import Filter, compare, find, newest_page, phrase, word
 from larkspur.queries import (
-    BY_LANG, COUNT, DAY, DEAR, DOCS, ERRORS, EV, HOUR, T0, T1, _by_type, add, bodies, counted, day_of, files_of, get,
-    json_events, json_line, lines_folder, r4, record, entry, stored, stream_rows, table, typed, what, work_path,
+    BY_LANG, COUNT, DAY, DEAR, DOCS, ERRORS, EV, HOUR, T0, T1, _by_type, add, bodies, csv, counted, day_of, files_of, get,
+    json_events, json_line, lines_folder, r4, record, entry, stored, stream_rows, table, trace, typed, w3c, what, work_path,
 )
 from larkspur.sources import envelopes, formats, store, telemetry, views
 from larkspur.sources import events as shredded
@@ -476,3 +476,50 @@ add(
     f"from {EV} where event_type = 'error' and ms <= {T1} order by ms desc limit 5",
     alert_content,
 )
+
+
+# files in splits: the same input as files that several tasks read
+
+
+def in_splits(spark: SparkSession, sf_dir: str, line: Column, head: str = "") -> DataFrame:
+    """Lines of large files: many users' texts in each, read in the splits that Spark makes."""
+    path = work_path(spark, "large")
+    files_of(spark, sf_dir, line, head).select("value").coalesce(2).write.text(path)
+    return formats.split_lines(spark, path)
+
+
+add(
+    "multiline_splits",
+    "select event_type || chr(10) || '  at one.' || user_id || chr(10) || '  at two' as rest, count(*) as n from events group by 1",
+    lambda s, d: counted(
+        formats.multiline_of_splits(in_splits(s, d, trace()), r"^\d{4}-\d\d-\d\dT"), rest=F.regexp_replace(get("message"), r"^\S+ ", "")
+    ),
+)
+add(
+    "w3c_splits",
+    "select strftime(make_timestamp(ms // 1000 * 1000000), '%Y-%m-%dT%H:%M:%SZ') as timestamp, event_type as what, "
+    f"case when user_id % 2 = 1 then 'odd' end as side, count(*) as n from {EV} group by 1, 2, 3",
+    lambda s, d: counted(
+        formats.w3c_of_splits(in_splits(s, d, w3c(), "#Version: 1.0\n#Fields: date time what side\n")),
+        timestamp=get("timestamp"),
+        what=get("what"),
+        side=get("side"),
+    ),
+)
+
+
+def csv_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two files of one header each, with the cells of half of the users below it."""
+    path = work_path(spark, "csv")
+    part = F.pmod(F.xxhash64("file"), F.lit(2))
+    texts = files_of(spark, sf_dir, csv()).groupBy(part.alias("part")).agg(F.array_join(F.collect_list("value"), "\n").alias("value"))
+    texts.select("part", F.concat(F.lit("event_id,what,side\n"), "value")).write.partitionBy("part").text(path)
+    events = formats.cells_of_splits(formats.split_lines(spark, path), ",").groupBy(get("what").alias("what"), get("side").alias("side"))
+    return events.agg(F.sum(get("event_id", "long")).alias("ids"))
+
+
+add(
+    "csv_splits",
+    "select event_type || ', \"quoted\"' as what, case when user_id % 2 = 0 then 'even' end as side, sum(event_id) as ids from events group by 1, 2",
+    csv_splits,
+)

@@ -1,7 +1,10 @@
 """Wire formats to a column `event` of JSON texts, in DataFrame functions.
 
 Readers of lines take a DataFrame with the column `value` (spark.read.text, readStream or any other); formats whose
-lines depend on each other take whole texts with a column `file` and are ordered within each file only.
+lines depend on each other take whole texts with a column `file` and are ordered within each file only. For files that
+are larger than a task, `split_lines` reads them in splits, and `multiline_of_splits`, `w3c_of_splits` and
+`cells_of_splits` give what the readers of whole texts give: each split tells in a few numbers what it leaves open, a
+pass over these tells each split what it begins with, and only then its lines are read as records.
 """
 
 from __future__ import annotations
@@ -247,12 +250,17 @@ def delimited(spark: SparkSession, path: str, sep: str | None = None) -> DataFra
     return df.select(F.to_json(F.struct(*filled)).alias("event"))
 
 
-def cells(texts: DataFrame, sep: str) -> DataFrame:
-    """CSV or TSV of whole texts, each with a header of its own; cells may be quoted but not broken over lines."""
+def _cells(sep: str):
+    """A function of a line's column that gives its cells."""
     raw = rf'{sep}("(?:[^"]|"")*"|[^{sep}]*)'
     inside = lambda x: F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))
     bare = lambda x: F.when(x.startswith('"'), inside(x)).otherwise(x)
-    row = lambda x: F.transform(F.regexp_extract_all(F.concat(F.lit(sep), x), F.lit(raw), F.lit(1)), bare)
+    return lambda x: F.transform(F.regexp_extract_all(F.concat(F.lit(sep), x), F.lit(raw), F.lit(1)), bare)
+
+
+def cells(texts: DataFrame, sep: str) -> DataFrame:
+    """CSV or TSV of whole texts, each with a header of its own; cells may be quoted but not broken over lines."""
+    row = _cells(sep)
     some = texts.withColumn("l", F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != ""))
     named = some.withColumn("names", row(F.get("l", F.lit(0))))
     rows = named.select("names", F.explode(F.slice("l", 2, 1 << 30)).alias("x")).withColumn("cells", row(F.col("x")))
@@ -313,10 +321,71 @@ def w3c(texts: DataFrame) -> DataFrame:
     before = Window.partitionBy("file").orderBy("line")
     fields = F.split(F.trim(F.substring("value", 9, 1 << 20)), r"\s+")
     header = F.last(F.when(F.col("value").startswith("#Fields:"), fields), ignorenulls=True).over(before)
-    rows = _numbered(texts).withColumn("names", header).filter(~F.col("value").startswith("#") & F.col("names").isNotNull())
+    return _w3c_rows(_numbered(texts).withColumn("names", header))
+
+
+def _w3c_rows(rows: DataFrame) -> DataFrame:
+    """Events of lines (value) under their header (names)."""
+    rows = rows.filter(~F.col("value").startswith("#") & F.col("names").isNotNull())
     rows = rows.withColumn("values", F.transform(F.split("value", r"\s+"), lambda x: F.when(x != "-", x)))
     of = lambda n: F.get("values", F.array_position("names", n).cast("int") - 1)
     both = (F.array_position("names", "date") > 0) & (F.array_position("names", "time") > 0)
     stamp = F.when(both, F.concat(of("date"), F.lit("T"), of("time"), F.lit("Z")))
     values = F.concat(F.slice("values", 1, F.size("names")), F.array(stamp))
     return rows.select(_map_json(F.concat("names", F.array(F.lit("timestamp"))), values).alias("event"))
+
+
+# files in splits
+
+
+def split_lines(spark: SparkSession, path: str, only: str | None = None) -> DataFrame:
+    """file, block, id, value: the lines of files, in the splits that Spark makes of them; id ascends within a split."""
+    read = spark.read.option("pathGlobFilter", only) if only else spark.read
+    columns = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    return read.text(path).select(*columns, F.monotonically_increasing_id().alias("id"), F.rtrim(F.col("value"), F.lit("\r")).alias("value"))
+
+
+def _carried(lines: DataFrame, **last: Column) -> DataFrame:
+    """Lines with `line`, their number in the file, and for each of `last` its last value in the file up to them, or null."""
+    split, before = Window.partitionBy("file", "block").orderBy("id"), Window.partitionBy("file").orderBy("block")
+    marked = lines.withColumns({f"own_{n}": c for n, c in last.items()})
+    ends = [F.max_by(f"own_{n}", F.when(F.col(f"own_{n}").isNotNull(), F.col("id"))).alias(f"end_{n}") for n in last]
+    splits = marked.groupBy("file", "block").agg(F.count("*").alias("lines"), *ends)  # one row a split
+    earlier = before.rowsBetween(Window.unboundedPreceding, -1)
+    carried = [F.last(f"end_{n}", ignorenulls=True).over(earlier).alias(f"then_{n}") for n in last]
+    splits = splits.select("file", "block", F.coalesce(F.sum("lines").over(earlier), F.lit(0)).alias("first"), *carried)
+    out = marked.join(splits, ["file", "block"]).withColumn("line", F.col("first") + F.row_number().over(split))
+    found = {n: F.coalesce(F.last(f"own_{n}", ignorenulls=True).over(split), f"then_{n}") for n in last}
+    return out.select("file", "line", "value", *(c.alias(n) for n, c in found.items()))
+
+
+def multiline_of_splits(lines: DataFrame, start: str, max_lines: int = MAX_LINES) -> DataFrame:
+    """multiline() of split_lines(). A record is put together from its lines, at most max_lines of them."""
+    opens = F.col("value").rlike("^(?:" + start.lstrip("^") + ")")
+    some = lines.filter(F.trim("value") != "")
+    place = F.struct("block", "id")  # tells lines of a file apart, in order
+    numbered = _carried(some, opened=F.when(opens, place))
+    starts = numbered.filter("opened is not null").groupBy("file", "opened").agg(F.min("line").alias("from"))
+    within = numbered.filter("opened is not null").join(starts, ["file", "opened"])
+    run = F.floor((F.col("line") - F.col("from")) / max_lines)
+    parts = F.array_sort(F.collect_list(F.struct("line", "value")))
+    records = within.groupBy("file", "opened", run.alias("run")).agg(parts.alias("parts"))
+    whole = records.select(F.array_join("parts.value", "\n").alias("m"))
+    alone = numbered.filter("opened is null").select(F.col("value").alias("m"))
+    return whole.unionByName(alone).select(_json({"message": F.col("m")}).alias("event"))
+
+
+def w3c_of_splits(lines: DataFrame) -> DataFrame:
+    """w3c() of split_lines()."""
+    fields = F.when(F.col("value").startswith("#Fields:"), F.split(F.trim(F.substring("value", 9, 1 << 20)), r"\s+"))
+    return _w3c_rows(_carried(lines.filter(F.trim("value") != ""), names=fields))
+
+
+def cells_of_splits(lines: DataFrame, sep: str) -> DataFrame:
+    """cells() of split_lines(): a file's first line that isn't blank is its header."""
+    some = lines.filter(F.trim("value") != "")
+    heads = some.groupBy("file").agg(F.min(F.struct("block", "id", "value")).alias("head"))
+    rows = some.join(heads, "file").filter((F.col("block") != F.col("head.block")) | (F.col("id") != F.col("head.id")))
+    row = _cells(sep)
+    cut = rows.select(row(F.col("head.value")).alias("names"), row(F.col("value")).alias("cells"))
+    return cut.select(_map_json(F.col("names"), F.slice("cells", 1, F.size("names"))).alias("event"))
