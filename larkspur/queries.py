@@ -564,7 +564,9 @@ def stamp() -> Column:
 def json_events(spark: SparkSession, sf_dir: str, **more: Column) -> DataFrame:
     fields = [stamp().alias("timestamp"), F.col("event_type").alias("source"), "event_type", "user_id", "value"]
     fields += [F.from_json("props", "k long").alias("props"), *(c.alias(n) for n, c in more.items())]
-    return events_table(spark, sf_dir).select(F.to_json(F.struct(*fields)).alias("event"))
+    # the table is one small file; its events are dealt out, as Python works on them
+    dealt = events_table(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism)
+    return dealt.select(F.to_json(F.struct(*fields)).alias("event"))
 
 
 def stored(spark: SparkSession, events: DataFrame, appends: int = 1, path: str | None = None, **options) -> str:

@@ -41,6 +41,10 @@ FIRST_MS, LAST_MS = -62_135_596_800_000, 253_402_300_799_999
 _HALVES = re.compile("[\ud800-\udfff]")
 
 
+_compact = json.JSONEncoder(separators=(",", ":"), sort_keys=True).encode
+_encoded = json.JSONEncoder(separators=(",", ":"), sort_keys=True, ensure_ascii=False).encode
+
+
 def epoch_ms(value: object) -> int | None:
     """Milliseconds of a time given as a number of seconds, ms, us or ns, or as text in a usual layout."""
     if isinstance(value, bool) or value is None:
@@ -83,22 +87,32 @@ def leaves(event: dict) -> list[tuple]:
     numbered per type."""
     out: list[tuple] = []
     seen: dict[tuple[str, str], int] = {}
-    todo: list[tuple[str, object, int]] = [(k.lower(), v, 1) for k, v in reversed(event.items())]
-    while todo:
-        path, value, depth = todo.pop()
-        if isinstance(value, (dict, list)) and depth > DEPTH:
-            value = json.dumps(value, separators=(",", ":"), sort_keys=True)
-        if isinstance(value, dict):
-            todo += [(f"{path}.{k.lower()}", v, depth + 1) for k, v in reversed(value.items())]
-        elif isinstance(value, list):
-            todo += [(path, v, depth + 1) for v in reversed(value[:ELEMENTS])]
-        elif value is not None:
-            whole = isinstance(value, int) and -(1 << 63) <= value < 1 << 63
-            kind = "b" if isinstance(value, bool) else "s" if isinstance(value, str) else "i" if whole else "d"
-            n = seen[path, kind] = seen.get((path, kind), -1) + 1
-            typed = [None, None, None, None]
-            typed["idbs".index(kind)] = _double(value) if kind == "d" else value
-            out.append((path, n, *typed))
+
+    def walk(path: str, value: object, depth: int) -> None:
+        kind = type(value)
+        if depth > DEPTH and (kind is dict or kind is list):
+            value, kind = _compact(value), str
+        if kind is str:
+            n = seen[path, "s"] = seen.get((path, "s"), -1) + 1
+            out.append((path, n, None, None, None, value))
+        elif kind is int and -(1 << 63) <= value < 1 << 63:
+            n = seen[path, "i"] = seen.get((path, "i"), -1) + 1
+            out.append((path, n, value, None, None, None))
+        elif kind is float or kind is int:
+            n = seen[path, "d"] = seen.get((path, "d"), -1) + 1
+            out.append((path, n, None, _double(value), None, None))
+        elif kind is bool:
+            n = seen[path, "b"] = seen.get((path, "b"), -1) + 1
+            out.append((path, n, None, None, value, None))
+        elif kind is dict:
+            for k, v in value.items():
+                walk(f"{path}.{k.lower()}", v, depth + 1)
+        elif kind is list:
+            for v in value[:ELEMENTS]:
+                walk(path, v, depth + 1)
+
+    for k, v in event.items():
+        walk(k.lower(), v, 1)
     return out
 
 
@@ -122,7 +136,7 @@ def index_name(template: str, event: dict) -> str:
 
 
 def row(event: dict, default_source: str | None, template: str) -> dict:
-    raw = json.dumps(event, separators=(",", ":"), sort_keys=True, ensure_ascii=False)
+    raw = _encoded(event)
     target = index_name(template, event)
     rest = dict(event)
     for name in CONTAINERS:
@@ -160,15 +174,22 @@ def _whole(text: str | None) -> str | None:
     return _HALVES.sub("\ufffd", text) if text is not None and not text.isascii() else text
 
 
+def _texts(values: list) -> pa.Array:
+    try:
+        return pa.array(values, pa.string())
+    except UnicodeEncodeError:
+        return pa.array(list(map(_whole, values)), pa.string())
+
+
 def _batch(found: list[dict]) -> pa.RecordBatch:
     columns = [pa.array([r["ts_ms"] for r in found], pa.int64()), pa.array([r["timed"] for r in found], pa.bool_())]
-    columns += [pa.array([_whole(r[t]) for r in found], pa.string()) for t in TEXTS]
+    columns += [_texts([r[t] for r in found]) for t in TEXTS]
     ends = [0]
     for r in found:
         ends.append(ends[-1] + len(r["leaves"]))
     flat = list(zip(*(x for r in found for x in r["leaves"]))) or [()] * len(_LEAF)
-    flat[0], flat[5] = map(_whole, flat[0]), map(_whole, flat[5])
-    leaf = pa.StructArray.from_arrays([pa.array(list(c), t) for c, (_, t) in zip(flat, _LEAF)], names=[n for n, _ in _LEAF])
+    parts = [_texts(list(c)) if n in ("path", "s") else pa.array(c, t) for c, (n, t) in zip(flat, _LEAF)]
+    leaf = pa.StructArray.from_arrays(parts, names=[n for n, _ in _LEAF])
     columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), leaf))
     return pa.RecordBatch.from_arrays(columns, names=["ts_ms", "timed", *TEXTS, "leaves"])
 
