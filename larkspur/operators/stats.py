@@ -162,31 +162,44 @@ def stats(
     return Table(grouped.select(*(F.col(f"`{c}`") for c in columns)), tuple((c, c) for c in columns), order)
 
 
-def _bin(x: Column) -> Column:
-    """A coarse order-preserving number of a double: 64 bins for each doubling."""
-    size = F.when(F.abs(x) == float("inf"), 1_000_000).otherwise(F.floor(F.log2(F.abs(x)) * 64) + 100_000)
-    return F.when(F.isnan(x), 2_000_000).when(x == 0, 0).otherwise(F.signum(x) * size).cast("long")
+BINS = (64, 64 << 20)  # bins for each doubling of a value, coarse ones first
+
+
+def _bin(x: Column, bins: int) -> Column:
+    """A coarse order-preserving number of a double."""
+    size = F.when(F.abs(x) == float("inf"), 2000 * bins).otherwise(F.floor(F.log2(F.abs(x)) * bins) + 1100 * bins)
+    return F.when(F.isnan(x), 4000 * bins).when(x == 0, 0).otherwise(F.signum(x) * size).cast("long")
 
 
 def _nearest_ranks(values: DataFrame, keys: int, quantiles: dict[str, float]) -> DataFrame:
-    """Exact nearest ranks of __x by __k0, __k1, ...: counts of bins say in which bin a rank lies; only its values are ordered.
+    """Exact nearest ranks of __x by __k0, __k1, ...: counts of bins say in which bin a rank lies, counts of finer ones
+    where in it; only the values of those are ordered.
 
-    Counts combine before the shuffle and no group is ordered as a whole, so one large group isn't one task's work.
+    Counts combine before the shuffle and no group is ordered as a whole, so neither one large group nor a measure with
+    any number of different values is one task's work.
     """
-    names = [f"__k{i}" for i in range(keys)]
+    by = [f"__k{i}" for i in range(keys)]
     at = {n: F.floor((F.col("__all") - 1) * q + 0.5) for n, q in quantiles.items()}
-    counts = values.filter("__x is not null").groupBy(*names, "__x").agg(F.count("*").alias("__c"))
-    counts = counts.withColumn("__bin", _bin(F.col("__x")))
-    group = Window.partitionBy(*(names or [F.lit(0)]))
-    bins = counts.groupBy(*names, "__bin").agg(F.sum("__c").alias("__in"))
-    bins = bins.withColumn("__to", F.sum("__in").over(group.orderBy("__bin"))).withColumn("__all", F.sum("__in").over(group))
     hit = F.lit(False)
     for t in at.values():
-        hit = hit | ((t < F.col("__to")) & (t >= F.col("__to") - F.col("__in")))
-    chosen = bins.filter(hit).select(*names, "__bin", "__all", (F.col("__to") - F.col("__in")).alias("__before"))
-    inside = Window.partitionBy(*names, "__bin").orderBy("__x")
-    ranked = counts.join(chosen, [*names, "__bin"]).withColumn("__upto", F.col("__before") + F.sum("__c").over(inside))
-    return ranked.groupBy(*names).agg(*(round4(F.min(F.when(F.col("__upto") > t, F.col("__x")))).alias(n) for n, t in at.items()))
+        hit = hit | ((t < F.col("__to")) & (t >= F.col("__before")))
+    counts = values.filter("__x is not null").groupBy(*by, "__x").agg(F.count("*").alias("__c"))
+    names, found = by, []  # found: of the bins chosen so far, how many values the group has and how many come before
+    for level, width in enumerate(BINS):
+        name = f"__bin{level}"
+        counts = counts.withColumn(name, _bin(F.col("__x"), width))
+        bins = counts.groupBy(*names, *found, name).agg(F.sum("__c").alias("__in"))
+        group = Window.partitionBy(*(names or [F.lit(0)]))
+        if not found:
+            bins = bins.withColumns({"__all": F.sum("__in").over(group), "__before": F.lit(0)})
+        bins = bins.withColumn("__to", F.col("__before") + F.sum("__in").over(group.orderBy(name)))
+        chosen = bins.withColumn("__before", F.col("__to") - F.col("__in")).filter(hit)
+        names = [*names, name]
+        counts = counts.drop(*found).join(chosen.select(*names, "__all", "__before"), names)
+        found = ["__all", "__before"]
+    inside = Window.partitionBy(*names).orderBy("__x")
+    ranked = counts.withColumn("__upto", F.col("__before") + F.sum("__c").over(inside))
+    return ranked.groupBy(*by).agg(*(round4(F.min(F.when(F.col("__upto") > t, F.col("__x")))).alias(n) for n, t in at.items()))
 
 
 def timechart(

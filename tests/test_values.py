@@ -1,9 +1,11 @@
+import random
+
 import pytest
 
 from larkspur.functions.text import tokenize
-from larkspur.functions.values import auto_interval, default_span, interval_ms, time_bound
+from larkspur.functions.values import auto_interval, default_span, interval_ms, round4, time_bound
 from larkspur.operators.search import listed
-from larkspur.operators.stats import Agg
+from larkspur.operators.stats import Agg, _nearest_ranks
 from larkspur.plans.filters import compare, index, phrase, word
 
 
@@ -50,3 +52,22 @@ def test_listed_partitions():
     assert listed("default/web/2024-01-01, _ops/app/2024-01-02,") == [("default", "web", "2024-01-01"), ("_ops", "app", "2024-01-02")]
     with pytest.raises(ValueError):
         listed("default/web")
+
+
+def test_ranks_among_many_values_of_one_size(spark):
+    """Values that differ in late digits only, ties, signs, zeros and infinities: nearest ranks as if ordered as a whole."""
+    random.seed(9)
+    groups = {
+        "near": [1 + i * 1e-13 for i in range(3000)], "ties": [5.0] * 500 + [5.0000001] * 500, "one": [-3.25],
+        "mixed": [random.choice([-1, 1]) * 10 ** random.uniform(-300, 300) for _ in range(2000)] + [0.0, float("inf"), -float("inf")] * 20,
+    }
+    rows = [(k, x) for k, xs in groups.items() for x in xs] + [("one", None)]
+    df = spark.createDataFrame(random.sample(rows, len(rows)), "__k0 string, __x double")
+    shares = {f"q{i}": i / 20 for i in range(21)}
+    got = {r["__k0"]: r for r in _nearest_ranks(df, 1, shares).collect()}
+    rank = lambda xs, q: sorted(xs)[int((len(xs) - 1) * q + 0.5)]
+    rounded = df.sparkSession.createDataFrame([(k, n, rank(xs, q)) for k, xs in groups.items() for n, q in shares.items()], "k string, n string, x double")
+    for k, n, x in rounded.select("k", "n", round4(rounded["x"])).collect():
+        assert got[k][n] == x, (k, n)
+    whole = _nearest_ranks(df.drop("__k0"), 0, {"p": 0.5}).first()["p"]
+    assert whole == pytest.approx(rank([x for xs in groups.values() for x in xs], 0.5), abs=1e-4)
