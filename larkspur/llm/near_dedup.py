@@ -14,7 +14,9 @@ the other side of the join goes to each of these.
 
 Null or blank texts have an empty set, are linked with nothing and kept. Rows without a doc_id are linked with
 nothing: component_id is null and kept is true. Rows with equal doc_id are one document: what any of their texts is
-linked with is one component, and all of them are kept if one is. Further columns of the input are not read; an empty table gives no rows.
+linked with is one component, and all of them are kept if one is. A very long text is hashed whole within one task, in
+slices of its shingles; its set takes eight bytes a distinct shingle. Further columns of the input are not read; an empty
+table gives no rows.
 """
 
 from __future__ import annotations

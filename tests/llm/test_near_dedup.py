@@ -64,3 +64,10 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(20)] + [(50, 40), (40, 45), (45, 50), (7, 7), (None, 3)]
     got = {tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {(i, 0) for i in range(21)} | {(40, 40), (45, 40), (50, 40)}
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(400_000))
+    rows = [(1, long), (2, long + " more words at the end"), (3, "other " + long[1_000_000:]), (4, "x" * 3_000_000), (5, "x" * 3_000_000 + " ")]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == (399_996, 1) and got[2] == (400_001, 1) and got[3][1] == 3 and got[4] == (1, 4) and got[5] == (1, 4)
