@@ -1,7 +1,8 @@
 """Five stages that turn the documents table into packed training sequences.
 
 Each stage takes what the one before kept. The first four return the columns of `documents`; packing returns
-where each piece of each document goes.
+where each piece of each document goes. Further columns of the input are dropped by the first stage that reads it, under
+whatever names. An empty table goes through all stages and gives no rows.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told stay."""
+    """Documents whose language can be told stay; those without text or a letter go. Nothing is learned of an empty table,
+    which stays empty."""
     return language_id.identified(docs.select(*COLUMNS))
 
 
@@ -48,6 +50,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document goes; a null text is a piece of the end id alone, an empty table has no pieces."""
     return packing.pack(docs, TOKENIZER)
 
 
