@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import operator
+from collections import Counter
 from collections.abc import Iterable, Sequence
 from functools import reduce
 from math import ceil
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,25 +126,57 @@ def histogram(view: View, span_ms: int, start_ms: int | None = None, end_ms: int
     """Counts per epoch-aligned bucket; with both bounds every bucket of the window has a row."""
     rows = view.df.filter(in_window(view, start_ms, end_ms))
     counts = rows.groupBy(bucket(F.col("ts_ms"), span_ms).alias("bucket_ms")).agg(F.count("*").alias("n"))
+    return _filled(counts, span_ms, start_ms, end_ms)
+
+
+def _filled(counts: DataFrame, span_ms: int, start_ms: int | None, end_ms: int | None) -> DataFrame:
     if start_ms is None or end_ms is None:
         return counts.select("bucket_ms", label(F.col("bucket_ms"), span_ms).alias("bucket"), "n")
-    spark = view.df.sparkSession
-    every = spark.range(start_ms // span_ms * span_ms, end_ms + 1, span_ms).withColumnRenamed("id", "bucket_ms")
+    every = counts.sparkSession.range(start_ms // span_ms * span_ms, end_ms + 1, span_ms).withColumnRenamed("id", "bucket_ms")
     filled = every.join(counts, "bucket_ms", "left")
     return filled.select("bucket_ms", label(F.col("bucket_ms"), span_ms).alias("bucket"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+HIT = ["ts_ms", "seq", "env", "index", "day", "message", "source", "raw"]
+_OUT = pa.schema(
+    [("ts_ms", pa.int64()), ("seq", pa.int64()), ("env", pa.string()), ("index", pa.string()), ("day", pa.date32())]
+    + [(n, pa.string()) for n in HIT[5:]] + [("bucket_ms", pa.int64()), ("n", pa.int64())]
+)
+_FOUND = "ts_ms bigint, seq bigint, env string, index string, day date, message string, source string, raw string, bucket_ms bigint, n bigint"
+
+
+def _partly(span_ms: int, wanted: int):
+    """Of a task's rows the newest `wanted`, and how many lie in each bucket."""
+    newest = [("ts_ms", "descending"), ("seq", "ascending")]
+
+    def run(batches):
+        best, counts = None, Counter()
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            times = rows.column("ts_ms").to_numpy()
+            buckets, n = np.unique(times - times % span_ms, return_counts=True)
+            counts.update(dict(zip(buckets.tolist(), n.tolist())))
+            rows = rows if best is None else pa.concat_tables([best, rows])
+            best = rows.take(pc.select_k_unstable(rows, wanted, newest)) if len(rows) > wanted else rows
+        if best is not None:
+            own = [best.column(n).combine_chunks() for n in HIT]
+            yield pa.RecordBatch.from_arrays([*own, *[pa.nulls(len(best), pa.int64())] * 2], schema=_OUT)
+            sums = [pa.array(x, pa.int64()) for x in (list(counts), list(counts.values()))]
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(counts), f.type) for f in list(_OUT)[: len(HIT)]), *sums], schema=_OUT)
+
+    return run
+
+
 def search_histogram(
     view: View, span_ms: int, start_ms: int | None = None, end_ms: int | None = None, limit: int = 50, offset: int = 0
 ) -> tuple[DataFrame, DataFrame]:
-    """page() and histogram() of one search. The counts tell from which bucket on the hits lie, so the rows are read once
-    for the counts and only the newest buckets again for the hits."""
-    counts = histogram(view, span_ms, start_ms, end_ms)
-    newest = Window.partitionBy(F.lit(0)).orderBy(F.desc("bucket_ms"))  # one row a bucket
-    enough = counts.withColumn("upto", F.sum("n").over(newest)).filter(F.col("upto") >= offset + max(1, limit))
-    first = enough.agg(F.max("bucket_ms")).first()[0]
-    found = view.where(in_window(view, start_ms if first is None else first, end_ms))
-    return page(found, limit, offset), counts
+    """page() and histogram() of one search, from one pass over its rows: each task gives its newest offset + limit rows and
+    its counts by bucket, which are kept for both results and are few however many rows fit."""
+    rows = view.df.filter(in_window(view, start_ms, end_ms)).select(*HIT)
+    parts = rows.mapInArrow(_partly(span_ms, offset + max(1, limit)), _FOUND).persist()
+    hits = View(parts.filter("n is null").drop("bucket_ms", "n"), view.fields)
+    counts = parts.filter("n is not null").groupBy("bucket_ms").agg(F.sum("n").alias("n"))
+    return page(hits, limit, offset), _filled(counts, span_ms, start_ms, end_ms)
 
 
 def series(view: View, span_ms: int, named: dict[str, Column]) -> DataFrame:

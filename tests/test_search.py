@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -205,3 +206,19 @@ def test_views_as_sql_tables(spark):
     filters.register(view(spark, TRIPS), "t")
     assert spark.sql("FROM e |> WHERE event_type = 'click' |> AGGREGATE count(`props.k`) AS n").first()["n"] > 0
     assert spark.sql("SELECT count(*) AS n FROM t WHERE exists(leaves, x -> x.path = 'line' AND x.s = 'north')").first()["n"] == 2
+
+
+def test_hits_and_buckets_from_one_scan(spark, tmp_path):
+    random.seed(4)
+    rows = [(random.randrange(5000), i, random.choice("ab")) for i in range(3000)]
+    spark.createDataFrame(rows, "ts_ms long, seq long, source string").repartition(5).write.parquet(str(tmp_path / "t"))
+    none = F.lit(None).cast("string")
+    df = spark.read.parquet(str(tmp_path / "t")).withColumns({"env": F.lit("default"), "index": F.lit("i"), "day": F.to_date(F.timestamp_millis("ts_ms"))})
+    view = View(df.withColumns({"message": none, "raw": none}), LeafFields())
+    for what, limit, offset, window in ((None, 50, 0, (0, 4999)), (F.col("source") == "a", 7, 30, (900, 2100)), (F.lit(False), 5, 0, (0, 99)), (None, 5000, 3, (None, None))):
+        v = view if what is None else view.where(what)
+        hits, counts = search.search_histogram(v, 100, *window, limit=limit, offset=offset)
+        found = v.where(search.in_window(v, *window))
+        assert hits.collect() == search.page(found, limit, offset).collect()
+        assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, search.histogram(v, 100, *window).collect()))
+    assert hits._jdf.queryExecution().toString().count("FileScan") <= 3 and "InMemoryTableScan" in hits._jdf.queryExecution().toString()
