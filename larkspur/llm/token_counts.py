@@ -28,7 +28,7 @@ from larkspur.llm.encoding import encoder, shown
 from larkspur.llm.shared import clears, materialize, plain, worker_for
 
 LIMIT = 2048
-HEAD = 50_000
+HEAD = 200_000
 KEY = 48
 ROWS = 128
 CACHE_UNITS = 200_000

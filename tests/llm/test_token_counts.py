@@ -18,7 +18,7 @@ def plain(path, texts):
 
 
 @pytest.mark.parametrize("path", [WORD, BYTE])
-@pytest.mark.parametrize("head", [3, 50_000])
+@pytest.mark.parametrize("head", [3, 200_000])
 def test_counts_are_the_library_s(spark, path, head):
     ids = [None, None, 1, 1, *range(2, len(TEXTS) - 2)]
     rows = [(i, t, 7, "x", 0, "k") for i, t in zip(ids, TEXTS)] + [(1, "\n", 7, "x", 0, "k")]
