@@ -184,6 +184,14 @@ add(
     "and event_type = 'view' and value >= 100 group by 1, 2",
     lambda s, d: by_index(find(scoped(s, d), Filter(lambda v: F.lit(True), ("log-V*",)) & DEAR)),
 )
+add(
+    "scope_terms",
+    "select field, value, n from (select *, row_number() over (partition by field order by n desc, value) as r from ("
+    f"select 'index' as field, 'log-' || event_type as value, count(*) as n from (select *, {_env} from {EV}) where env <> '_own' group by 2 "
+    f"union all select 'source', event_type, count(*) from (select *, {_env} from {EV}) where env <> '_own' group by 2 "
+    f"union all select 'user_id', cast(user_id as varchar), count(*) from (select *, {_env} from {EV}) where env <> '_own' group by 2)) where r <= 3",
+    lambda s, d: search.terms(find(scoped(s, d)), ["index", "source", "user_id"], 3),
+)
 _stored_day = f"(select *, {_env}, {day_of} as day from {EV})"
 add(
     "store_partitions",
