@@ -6,8 +6,8 @@ has them, `pieces` runs the model once for each distinct one, and `count_tokens`
 inside a text are tokens of their own, as the library has it by default, and what stands beside them is cut apart there.
 
 A pre-token's key is the pre-token, or its sha256 if it is longer than KEY characters, so that no join carries long ones.
-The HEAD keys that most documents have are broadcast, at most HEAD short rows whatever the corpus; the others meet the
-documents by key, and none of those can be in more than a HEAD-th of all the frequency rows. Documents meet again by the
+The keys that most documents have are broadcast, at most HEAD short rows whatever the corpus; the others meet the
+documents by key, and none of those can be in much more than a HEAD-th of all the frequency rows. Documents meet again by the
 number that their row got when the frequencies were written, so repeated rows and repeated or missing doc_ids stay rows
 of their own.
 
@@ -118,6 +118,23 @@ def _key(token: Column) -> Column:
     return F.when(F.length(token) > KEY, F.sha2(token, 256)).otherwise(token)
 
 
+def _octave(rows: Column) -> Column:
+    """A coarse number of a frequency: eight for each doubling."""
+    return F.floor(F.log2(rows) * 8).cast("int")
+
+
+def _cut(counted: DataFrame, head: int) -> int:
+    """The coarse frequency from which on there are at most `head` keys; found from the counts of some hundred, unsorted."""
+    counts = counted.groupBy(_octave(F.col("rows")).alias("octave")).agg(F.count("*").alias("n")).collect()
+    cut, taken = 1 << 20, 0
+    for r in sorted(counts, key=lambda r: -r["octave"]):
+        taken += r["n"]
+        if taken > head:
+            break
+        cut = r["octave"]
+    return cut
+
+
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, head: int = HEAD) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every document."""
     numbered = frequencies(docs, path).withColumn("row", F.monotonically_increasing_id())
@@ -125,10 +142,10 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, head: int = HEA
     token = table.select(F.explode("tokens").alias("token"))
     distinct = token.groupBy("token").agg(F.count("*").alias("rows")).withColumn("key", _key(F.col("token")))
     counted = materialize(pieces(distinct, path), "pieces")
-    frequent = materialize(counted.orderBy(F.desc("rows"), "key").limit(head), "frequent")
+    frequent = counted.filter(_octave(F.col("rows")) >= _cut(counted, head))
     each = table.select("row", F.explode(F.arrays_zip("tokens", "times")).alias("x"))
     each = each.select("row", _key(F.col("x.tokens")).alias("key"), F.col("x.times").alias("times"))
-    few = F.broadcast(frequent.select("key", "pieces"))  # at most `head` rows of a short key and a number
+    few = F.broadcast(materialize(frequent.select("key", "pieces"), "frequent"))  # at most `head` rows of a short key and a number
     common = each.join(few, "key")
     rare = each.join(few.select("key"), "key", "left_anti")
     rare = rare.join(counted.join(few.select("key"), "key", "left_anti").select("key", "pieces").hint("merge"), "key")
