@@ -95,6 +95,23 @@ class UnitEncoder:
             self.pieces.clear()
             self.first.clear()
             self.rest.clear()
+        if self.words and (plain := [i for i, x in enumerate(texts) if _PLAIN_TEXT.fullmatch(x)]):
+            out = [b""] * len(texts)
+            for i in plain:
+                out[i] = self._words(_PLAIN_WORDS.findall(texts[i].lower()))
+            rest = sorted({*range(len(texts))}.difference(plain))
+            for i, ids in zip(rest, self._units([texts[i] for i in rest]) if rest else ()):
+                out[i] = ids
+            return out
+        return self._units(texts)
+
+    def _words(self, words: list[str]) -> bytes:
+        pieces = self.pieces
+        for w in set(words).difference(pieces):
+            self._piece(w)
+        return b"".join([pieces[w] for w in words])
+
+    def _units(self, texts: list[str]) -> list[bytes]:
         split = [self.units(x) for x in texts]
         self._learn(self.first, {x[0] for x in split}, "")
         self._learn(self.rest, {u for x in split for u in x[1:]}, self.lead)
