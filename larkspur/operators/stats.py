@@ -16,9 +16,6 @@ from larkspur.functions.values import MISSING, bucket, label, number_text, round
 from larkspur.operators.fields import View
 
 QUANTILES = {"p50": 0.5, "median": 0.5, "p95": 0.95, "p99": 0.99}
-GROUP_CAP = 50_000
-
-
 KINDS = {"mean": "avg", "median": "p50"}
 
 
@@ -203,9 +200,10 @@ def _nearest_ranks(values: DataFrame, keys: int, quantiles: dict[str, float]) ->
 
 
 def timechart(
-    view: View, span_ms: int, aggs: Sequence[Agg] = (Agg("count"),), by: Sequence[str] = (), cap: int | None = GROUP_CAP
+    view: View, span_ms: int, aggs: Sequence[Agg] = (Agg("count"),), by: Sequence[str] = (), cap: int | None = None
 ) -> Table:
-    """stats() with a time column; buckets without rows aren't filled in. cap: fail beyond so many groups."""
+    """stats() with a time column; buckets without rows aren't filled in. cap: fail beyond so many groups, as a caller that
+    takes the table to the driver may want; off by default, as groups are counted and ordered in many tasks."""
     table = stats(view, aggs, by, span_ms)
     if cap is not None and table.df.limit(cap + 1).count() > cap:
         raise ValueError(f"more than {cap} groups: take a longer span or fewer fields")

@@ -132,6 +132,12 @@ def test_timechart(spark):
         timechart(v, 60_000, cap=1)
 
 
+def test_timechart_of_many_groups(spark):
+    rows = spark.range(60_000).select((F.col("id") * 1000).alias("ts_ms"), F.lit("[]").alias("raw"))
+    counts = timechart(View(rows, LeafFields()), 1000).rows()
+    assert [tuple(r) for r in counts.groupBy("count").agg(F.count("*").alias("n")).collect()] == [(1, 60_000)]
+
+
 def test_page_histogram_terms(spark):
     v = view(spark, TRIPS)
     assert [r["message"] for r in search.page(v, 2, 1).collect()] == ["tram skipped two stops", "ferry moored late"]
