@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import gzip
 import re
+from collections.abc import Callable
 from functools import reduce
 
 import pyarrow as pa
@@ -81,6 +82,11 @@ PRESETS = {
 }
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value worked out once however often `then` names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _json(fields: dict[str, Column]) -> Column:
     return F.to_json(F.struct(*(v.alias(k) for k, v in fields.items())))
 
@@ -90,10 +96,14 @@ def _map_json(names: Column, values: Column) -> Column:
 
     Names are unlike as a rule, which one pass tells; only where some are alike is each pair held against the later ones.
     """
+
+    def last_ones(pairs: Column) -> Column:
+        fresh = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q.k == p.k))
+        unlike = F.size(F.array_distinct(F.transform(pairs, lambda p: p.k))) == F.size(pairs)
+        return F.map_from_entries(F.when(unlike, pairs).otherwise(fresh))
+
     pairs = F.filter(F.arrays_zip(names.alias("k"), values.alias("v")), lambda p: p.v.isNotNull() & (p.v != ""))
-    fresh = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q.k == p.k))
-    unlike = F.size(F.array_distinct(F.transform(pairs, lambda p: p.k))) == F.size(pairs)
-    return F.to_json(F.map_from_entries(F.when(unlike, pairs).otherwise(fresh)))
+    return F.to_json(_once(pairs, last_ones))
 
 
 def lines(df: DataFrame) -> DataFrame:
@@ -297,19 +307,25 @@ CEF_NAMES = ("cef_version", "device_vendor", "device_product", "device_version",
 def cef(df: DataFrame) -> DataFrame:
     r"""Seven header fields between unescaped bars, then key=value pairs whose values may hold blanks; rt is the time."""
     v = F.col("value")
-    bar = r"((?:\\.|[^|\\])*)\|"
+    # no choice within a value can be taken back with success, so that runs of plain characters are taken at once
+    bar = r"((?:[^|\\]++|\\.)*+)\|"
     shape = "^CEF:" + bar * 7 + "(.*)$"
     clear = lambda x: F.regexp_replace(x, r"\\([|\\=])", "$1")
-    extension = F.regexp_extract(v, shape, 8)
-    pair = r"([\w.\-]+)=((?:\\.|[^\\=])*?)(?=\s+[\w.\-]+=|$)"
-    names = F.regexp_extract_all(extension, F.lit(pair), F.lit(1))
-    values = F.transform(F.regexp_extract_all(extension, F.lit(pair), F.lit(2)), lambda x: F.trim(clear(x)))
-    rt = F.element_at(values, F.nullif(F.array_position(names, "rt"), F.lit(0)).cast("int"))
-    timed = lambda x: F.when(rt.isNotNull(), F.array(x)).otherwise(F.array().cast("array<string>"))
-    names = F.concat(F.array(*map(F.lit, CEF_NAMES)), timed(F.lit("timestamp")), names)
+    pair = r"([\w.\-]+)=((?:(?!$)(?:[^\\=\s]|\\.|\s(?!\s*+[\w.\-]++=)))*+)(?=\s+[\w.\-]+=|$)"
+    of = lambda i: F.regexp_extract_all(F.regexp_extract(v, shape, 8), F.lit(pair), F.lit(i))
+    given = F.arrays_zip(of(1).alias("k"), F.transform(of(2), lambda x: F.trim(clear(x))).alias("v"))
+
+    def timed(given: Column) -> Column:
+        """The pairs, and before them the time if one of them is it."""
+        rt = F.slice(F.filter(given, lambda p: p.k == "rt"), 1, 1)
+        return F.concat(F.transform(rt, lambda p: F.struct(F.lit("timestamp").alias("k"), p.v.alias("v"))), given)
+
     head = F.array(*(clear(F.regexp_extract(v, shape, i)) for i in range(1, 8)))
-    values = F.concat(head, timed(rt), values)
-    return lines(df).select(F.when(v.rlike(shape), _map_json(names, values)).otherwise(_json({"message": v})).alias("event"))
+    pairs = F.concat(F.arrays_zip(F.array(*map(F.lit, CEF_NAMES)).alias("k"), head.alias("v")), _once(given, timed))
+    fields = _once(pairs, lambda p: F.struct(F.transform(p, lambda x: x.k).alias("k"), F.transform(p, lambda x: x.v).alias("v")))
+    parts = lines(df).select("value", F.when(v.rlike(shape), fields).alias("fields"))
+    event = F.when(F.col("fields").isNotNull(), _map_json(F.col("fields.k"), F.col("fields.v"))).otherwise(_json({"message": v}))
+    return parts.select(event.alias("event"))
 
 
 def _numbered(texts: DataFrame) -> DataFrame:

@@ -391,3 +391,12 @@ def test_syslog_quotes_and_levels(spark):
     got = parsed(formats.syslog(lines(spark, *some), 2025))
     assert got[0]["message"] == "hello" and got[0]["priority"] == 165 and got[1] == {"message": "<192>1 - h a - - - m"}
     assert (got[2]["priority"], got[2]["severity"]) == (191, 7) and got[3]["priority"] == 7
+
+
+def test_cef_is_taken_apart_once(spark):
+    """The pattern of a line is tried a few times, not once for each use of what it gives."""
+    df = formats.cef(spark.createDataFrame([(r"CEF:0|v|p\|q|1|9|a b|5|src=1.2.3.4 note=two words rt=17 src=5.6.7.8",)], "value string"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") <= 9 and plan.count("regexp_extract_all(") == 2
+    event = json.loads(df.first()["event"])
+    assert (event["device_product"], event["src"], event["note"], event["timestamp"]) == ("p|q", "5.6.7.8", "two words", "17")
