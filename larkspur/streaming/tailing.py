@@ -29,18 +29,34 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 
 HEAD = 256
 SPLIT_BYTES = 32 << 20
+OPEN_BYTES = 64 << 10  # what opening a file counts as, when ranges are put together
+LINES_A_BATCH = 10_000
 BLOCK = 4 << 20
 LISTERS = 16
 SCHEMA = "value string, file string"
 
 
 @dataclass
-class Range(InputPartition):
-    """The lines of a file that start from byte `start` on and before byte `end`, at which a line has ended or a range does."""
+class Ranges(InputPartition):
+    """One task's (path, start, end): the lines of a file that start from byte `start` on and before byte `end`, at which a
+    line has ended or a range does."""
 
-    path: str
-    start: int
-    end: int
+    ranges: list[tuple[str, int, int]]
+
+
+def together(ranges: list[tuple[str, int, int]], most: int, tasks: int) -> list[Ranges]:
+    """Ranges dealt to tasks: many short ones to each, so that many small files aren't a task each."""
+    sizes = [OPEN_BYTES + end - start for _, start, end in ranges]
+    most = min(most, -(-sum(sizes) // max(1, tasks)))
+    out: list[list] = [[]]
+    filled = 0
+    for r, size in zip(ranges, sizes):
+        if out[-1] and filled + size > most:
+            out.append([])
+            filled = 0
+        out[-1].append(r)
+        filled += size
+    return [Ranges(x) for x in out]
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -65,20 +81,21 @@ def head_of(file: pa.NativeFile, n: int) -> int:
     return zlib.crc32(file.read(n))
 
 
-def begun(path: str, now: dict, before: dict, heads) -> int:
-    """From which byte a file is to be read, given the offsets of all files now and before.
+def begun(path: str, now: dict, before: dict, by_id: dict, heads) -> int:
+    """From which byte a file is to be read, given the offsets of all files now and before; by_id: names before by file.
 
-    heads(path, n) is the checksum of its first n bytes.
+    heads(path, n) is the checksum of its first n bytes, which is asked for where the offset now hasn't that one.
     """
     own = now[path]
     was = before.get(path)
     if was is None or was["id"] != own["id"]:
         # given this name since then
-        moved = (b for p, b in before.items() if b["id"] == own["id"] and now.get(p, {}).get("id") != b["id"])
+        moved = (before[p] for p in by_id.get(own["id"], ()) if now.get(p, {}).get("id") != own["id"])
         was = next(moved, None)
-    if was is None or was["byte"] > own["size"] or was["n"] > own["size"] or heads(path, was["n"]) != was["head"]:
+    if was is None or was["byte"] > own["size"] or was["n"] > own["size"]:
         return 0
-    return was["byte"]
+    head = own["head"] if was["n"] == own["n"] else heads(path, was["n"])
+    return was["byte"] if head == was["head"] else 0
 
 
 class _Reader(DataSourceStreamReader):
@@ -87,6 +104,7 @@ class _Reader(DataSourceStreamReader):
         self.only = [x for x in options.get("only", "*").split(",") if x]
         self.but = [x for x in options.get("but", "").split(",") if x]
         self.split = int(options.get("splitBytes", SPLIT_BYTES))
+        self.tasks = int(options.get("tasks", 1))
         self._seen: dict[str, dict] = {}
 
     def initialOffset(self) -> dict:
@@ -101,7 +119,8 @@ class _Reader(DataSourceStreamReader):
             id_ = "{0.st_dev}:{0.st_ino}".format(os.stat(info.path)) if local else info.path
             # what was there at the last look needn't be searched again
             old = self._seen.get(info.path)
-            same = old and old["id"] == id_ and old["n"] <= n and old["byte"] <= size and head_of(f, old["n"]) == old["head"]
+            same = old and old["id"] == id_ and old["n"] <= n and old["byte"] <= size
+            same = same and (head if old["n"] == n else head_of(f, old["n"])) == old["head"]
             return info.path, {"id": id_, "n": n, "head": head, "size": size, "byte": last_line_end(f, old["byte"] if same else 0, size)}
 
     def latestOffset(self) -> dict:
@@ -116,30 +135,44 @@ class _Reader(DataSourceStreamReader):
         hidden = name.startswith((".", "_"))
         return not hidden and any(fnmatch(name, x) for x in self.only) and not any(fnmatch(name, x) for x in self.but)
 
-    def partitions(self, start: dict, end: dict) -> list[Range]:
+    def partitions(self, start: dict, end: dict) -> list[Ranges]:
         before, now = json.loads(start["files"]), json.loads(end["files"])
         files, _ = opened(self.path)
+        by_id: dict[str, list[str]] = {}
+        for path, own in before.items():
+            by_id.setdefault(own["id"], []).append(path)
 
         def head(path: str, n: int) -> int:
             with files.open_input_file(path) as f:
                 return head_of(f, n)
 
+        changed = [p for p, own in sorted(now.items()) if before.get(p) != own]
+        with ThreadPoolExecutor(LISTERS) as pool:
+            starts = list(pool.map(lambda p: begun(p, now, before, by_id, head), changed))
         out = []
-        for path, own in sorted(now.items()):
-            if before.get(path) == own:
-                continue
-            a = begun(path, now, before, head)
-            out += [Range(path, x, min(x + self.split, own["byte"])) for x in range(a, own["byte"], self.split)]
-        return out or [Range("", 0, 0)]
-
-    def read(self, partition: Range):
-        if not partition.path:
-            return
+        for path, a in zip(changed, starts):
+            end_ = now[path]["byte"]
+            out += [(path, x, min(x + self.split, end_)) for x in range(a, end_, self.split)]
+        return together(out, self.split, self.tasks)
+
+    def read(self, partition: Ranges):
+        """Lines of many small files in one batch."""
+        values, paths = [], []
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(values, pa.string()), pa.array(paths, pa.string())], names=["value", "file"])
+
         root, _ = opened(self.path)
-        with root.open_input_file(partition.path) as f:
-            for lines in lines_of(f, partition.start, partition.end):
-                values = pa.array([x.decode("utf-8", "replace") for x in lines], pa.string())
-                yield pa.RecordBatch.from_arrays([values, pa.array([partition.path] * len(lines), pa.string())], names=["value", "file"])
+        for path, start, end in partition.ranges:
+            with root.open_input_file(path) as f:
+                for lines in lines_of(f, start, end):
+                    values += [x.decode("utf-8", "replace") for x in lines]
+                    paths += [path] * len(lines)
+                    if len(values) >= LINES_A_BATCH:
+                        yield batch()
+                        values, paths = [], []
+        if values:
+            yield batch()
 
     def commit(self, end: dict) -> None:
         pass
@@ -188,4 +221,5 @@ def growing_files(spark: SparkSession, path: str, only: str = "*", but: str = ""
     """value, file: lines of the files below a folder as they grow."""
     spark.dataSource.register(GrowingFiles)
     reader = spark.readStream.format("growing_files").option("path", path).option("only", only).option("but", but)
-    return reader.option("splitBytes", str(split_bytes)).load()
+    tasks = spark.sparkContext.defaultParallelism
+    return reader.option("splitBytes", str(split_bytes)).option("tasks", str(tasks)).load()

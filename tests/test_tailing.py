@@ -109,3 +109,20 @@ def test_many_appends_equal_one_batch(spark, tmp_path):
         ingest.ingest(tailing.growing_files(spark, str(src)).select("value"), out, str(tmp_path / "ck"), trigger=NOW).awaitTermination()
     table = stats(store.read(spark, out), [Agg("count")], ["k"]).rows()
     assert [tuple(r) for r in table.collect()] == [("0", 40), ("1", 40), ("2", 40)]
+
+
+def test_many_small_files_share_tasks(spark, tail, monkeypatch):
+    """Files of a few bytes aren't a task each, and what was read of them isn't read again."""
+    for i in range(300):
+        add(tail.src / f"{i}.log", "x" * 300 + f"{i}\n")
+    before, reader = {"files": "{}"}, tailing._Reader({"path": str(tail.src), "tasks": "4"})
+    now = reader.latestOffset()
+    parts = reader.partitions(before, now)
+    assert len(parts) <= 5 and sorted(p for x in parts for p, _, _ in x.ranges) == sorted(str(f) for f in tail.src.iterdir())
+    for i in range(300):
+        add(tail.src / f"{i}.log", f"more {i}\n")
+    then, looks = reader.latestOffset(), []
+    monkeypatch.setattr(tailing, "head_of", lambda f, n: looks.append(n))
+    parts = reader.partitions(now, then)
+    assert len(parts) <= 5 and not looks and all(start > 300 for x in parts for _, start, _ in x.ranges)
+    assert len(tail()) == 600
