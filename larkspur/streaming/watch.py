@@ -1,7 +1,9 @@
 """Monitors by group, with their state in Spark: a count for each open window of each group, and how the last one ended.
 
 A window of a group is over when the watermark passes its end, which a timer of that group tells; so a group that falls
-quiet is heard as well: the window after its last one counts 0, and further ones would end alike. State lies in Spark's
+quiet is heard as well: the window after its last one counts 0, and further ones would end alike. Each call to the state
+store is a round trip, so a group has one entry and one timer, for the next window to end, and a batch asks for a group's
+state once, however many windows it touches. State lies in Spark's
 state store, dealt by group and kept with the query's checkpoint, so nothing passes the driver, a lost executor's groups
 go on from the last batch, and a batch that is repeated starts from the state before it.
 """
@@ -10,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,46 +32,52 @@ class _Watch(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.counts = handle.getMapState("counts", "window long", "n long")
-        self.last = handle.getValueState("last", "window long, breached boolean")
+        self.state = handle.getValueState("state", "windows array<long>, counts array<long>, last long, heard boolean, breached boolean")
+
+    def _state(self) -> tuple[dict[int, int], int | None, bool, bool]:
+        """Counts of the open windows, the last window that is over, whether that one had rows, and how it ended."""
+        found = self.state.get()
+        if found is None:
+            return {}, None, False, False
+        windows, counts, last, heard, breached = found
+        return dict(zip(windows or (), counts or ())), last, heard, breached
+
+    def _due(self, counts: dict[int, int], last: int | None, heard: bool) -> int | None:
+        """The next window to end: the first open one, or the quiet one after the last that had rows."""
+        first = min(counts, default=None)
+        quiet = last + self.window_ms if heard else None
+        return quiet if first is None else first if quiet is None else min(first, quiet)
+
+    def _keep(self, counts: dict[int, int], last: int | None, heard: bool, breached: bool) -> None:
+        self.state.update((list(counts), list(counts.values()), last, heard, breached))
+        if (due := self._due(counts, last, heard)) is not None:
+            self.handle.registerTimer(due + self.window_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        counts, last, heard, breached = self._state()
         for part in rows:
-            found = part.groupby("window_ms")["fits"].sum()
-            for window, n in found.items():
-                at = (int(window),)
-                had = self.counts.getValue(at)[0] if self.counts.containsKey(at) else None
-                self.counts.updateValue(at, ((had or 0) + int(n),))
-                if had is None:
-                    self.handle.registerTimer(at[0] + self.window_ms)
-        yield self._rows(key, [])
+            windows, places = np.unique(part["window_ms"].to_numpy(), return_inverse=True)
+            for window, n in zip(windows.tolist(), np.bincount(places, part["fits"].to_numpy()).tolist()):
+                if last is None or window > last:  # else its end was told already
+                    counts[window] = counts.get(window, 0) + int(n)
+        self._keep(counts, last, heard, breached)
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        span = self.window_ms
-        window = expiredTimerInfo.getExpiryTimeInMs() - span
-        before, breached = self.last.get() if self.last.exists() else (None, False)
-        news, at = [], (window,)
-        if before is None or window > before:  # else a quiet window that a later one has told already
-            heard = self.counts.containsKey(at)
-            over = [(before + span, 0)] if before is not None and window > before + span else []  # the first of quiet ones
-            over.append((window, self.counts.getValue(at)[0] if heard else 0))
-            if heard:
-                self.counts.removeKey(at)
-                if not self.counts.containsKey((window + span,)):
-                    if timerValues.getCurrentWatermarkInMs() >= window + 2 * span:
-                        over.append((window + span, 0))
-                    else:
-                        self.handle.registerTimer(window + 2 * span)
-            for w, n in over:
-                now = bool(COMPARISONS[self.comparison](n, self.threshold))
-                if now and not breached:
-                    news.append((w, n))
-                breached = now
-            self.last.update((over[-1][0], breached))
-        yield self._rows(key, news)
-
-    def _rows(self, key, news: list[tuple[int, int]]) -> pd.DataFrame:
-        return pd.DataFrame([(*key, *x) for x in news], columns=[*self.keys, "window_ms", "n"])
+        """All windows that are over, in order, at the first timer that says so; others of the group then find nothing."""
+        counts, last, heard, breached = self._state()
+        watermark, news, told = timerValues.getCurrentWatermarkInMs(), [], False
+        while (window := self._due(counts, last, heard)) is not None and window + self.window_ms <= watermark:
+            last, heard, told = window, window in counts, True
+            n = counts.pop(window, 0)
+            now = bool(COMPARISONS[self.comparison](n, self.threshold))
+            if now and not breached:
+                news.append((*key, window, n))
+            breached = now
+        if told:
+            self._keep(counts, last, heard, breached)
+        if news:
+            yield pd.DataFrame(news, columns=[*self.keys, "window_ms", "n"])
 
     def close(self) -> None:
         pass
