@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -293,13 +294,14 @@ def otlp_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def encode(batches: Iterator) -> Iterator:
         for b in batches:
-            b["body"] = [one(x) for x in b.pop("records")]
-            yield b
+            for i in range(0, b.num_rows, 100):  # users
+                bodies = [one(x) for x in b.column(0).slice(i, 100).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(bodies, pa.binary())], names=["body"])
 
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
     records = F.collect_list(F.struct(F.col("event_type").alias("what"), (ms * 1_000_000).alias("at"))).alias("records")
     by_user = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").agg(records).select("records")
-    found = envelopes.unpack(by_user.mapInPandas(encode, "body binary"), "otlp_binary")
+    found = envelopes.unpack(by_user.mapInArrow(encode, "body binary"), "otlp_binary")
     return counted(found, index=F.col("index"), what=get("what"), at=get("timestamp", "long"))
 
 
@@ -440,7 +442,7 @@ def compressed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     for codec, part in (("gzip", 0), ("none", 1)):
         some = lines.filter(F.pmod(F.xxhash64("value"), F.lit(2)) == part)
         some.write.option("compression", codec).mode("append").text(path)
-    return typed(formats.parse(formats.read_texts(spark, path, but="_*")))
+    return typed(formats.parse(formats.read_pieces(spark, path, but="_*")))
 
 
 add("compressed_files", _by_type, compressed_files)

@@ -24,6 +24,7 @@ MESSAGE_NAMES = ("message", "msg", "Body", "body", "event", "Msg", "log.body", "
 SOURCE_NAMES = ("source", "log.source", "_source")
 CONTAINERS = ("Attributes", "Resource", "attributes", "resource")
 DEPTH, ELEMENTS = 16, 1000
+PIECE = 4 << 20  # characters of events that a Python worker takes apart at a time
 LAYOUTS = (
     "%d/%b/%Y:%H:%M:%S %z",
     "%Y-%m-%dT%H:%M:%S.%f",
@@ -204,7 +205,15 @@ def rows(
 
     def shred(batches):
         for batch in batches:
-            yield _batch([_shred(e, default_source, template) for e in batch.column(0).to_pylist()])
+            found, size = [], 0
+            for text in batch.column(0):
+                event = text.as_py()
+                found.append(_shred(event, default_source, template))
+                size += len(event or "")
+                if size >= PIECE:  # long texts don't wait for a whole batch of them
+                    yield _batch(found)
+                    found, size = [], 0
+            yield _batch(found)
 
     out = events.select("event").mapInArrow(shred, ROW)
     arrived = arrived_ms if isinstance(arrived_ms, Column) else F.lit(arrived_ms)

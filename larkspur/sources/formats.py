@@ -146,21 +146,79 @@ def _opened(data: bytes) -> str:
     return data.decode("utf-8", "replace")
 
 
-def read_texts(spark: SparkSession, path: str, only: str | None = None, but: str | None = None) -> DataFrame:
-    """file, value: whole files, unpacked by their first bytes, so each must fit in a task's memory and in 2 GB. Large files
-    of line formats are better read by spark.read.text, which splits them. only, but: globs of names to take and to leave."""
+def _binary(spark: SparkSession, path: str, only: str | None, but: str | None) -> DataFrame:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     files = (reader.option("pathGlobFilter", only) if only else reader).load(path)
     if but:
         name = F.element_at(F.split("path", "/"), -1)
         files = files.filter(~name.rlike("^" + ".*".join(re.escape(x) for x in but.split("*")) + "$"))
 
+    return files.select("path", "content")
+
+
+def read_texts(spark: SparkSession, path: str, only: str | None = None, but: str | None = None) -> DataFrame:
+    """file, value: whole files, unpacked by their first bytes, so each must fit in a task's memory and in 2 GB. Large files
+    of line formats are better read by read_pieces(), or by spark.read.text, which splits them. only, but: globs of names to
+    take and to leave."""
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):  # one text at a time
+                text = pa.array([_opened(b.column(1)[i].as_py())], pa.string())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), text], names=["file", "value"])
+
+    return _binary(spark, path, only, but).mapInArrow(run, "file string, value string")
+
+
+def _unpacked(data: pa.Buffer):
+    """A file that gives what _opened() decodes, a block at a time."""
+    start, file = data.slice(0, min(4, data.size)).to_pybytes(), pa.BufferReader(data)
+    if start[:2] == b"\x1f\x8b":
+        return gzip.GzipFile(fileobj=file)
+    if start == b"\x28\xb5\x2f\xfd":
+        import zstandard
+
+        return zstandard.ZstdDecompressor().stream_reader(file)
+    return file
+
+
+def _pieces(file, size: int):
+    """(format, text) of a file's pieces: of detect()'s formats of lines, cut behind the line end before `size` bytes or the
+    first one after; of others the whole file."""
+    rest, format = b"", None
+    while block := file.read(size):
+        rest += block
+        if format is None:
+            at = len(rest) - len(rest.lstrip())
+            if at == len(rest) or b"\n" not in rest[at:]:
+                continue  # the line that tells isn't there yet
+            format = detect(rest.decode("utf-8", "replace"))
+        at = rest.rfind(b"\n") + 1 if format in LINE_FORMATS else 0
+        if at:
+            yield format, rest[:at].decode("utf-8", "replace")
+            rest = rest[at:]
+    if rest:
+        text = rest.decode("utf-8", "replace")
+        yield format or detect(text), text
+
+
+LINE_FORMATS = ("ndjson", "syslog", "logfmt", "text")
+PIECE = 4 << 20
+
+
+def read_pieces(spark: SparkSession, path: str, only: str | None = None, but: str | None = None, size: int = PIECE) -> DataFrame:
+    """file, format, value, for parse(): files as read_texts() gives them, but those of line formats, packed or not, in
+    pieces of about `size` bytes that end with a line, of the format that the file begins with. A task then holds a file
+    as it is stored and one piece, however much it unpacks to."""
+
     def run(batches):
         for b in batches:
-            texts = pa.array([_opened(x) for x in b.column(1).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), texts], names=["file", "value"])
+            for name, content in zip(b.column(0).to_pylist(), b.column(1)):
+                for format, text in _pieces(_unpacked(content.as_buffer()), size):
+                    row = [pa.array([x], pa.string()) for x in (name, format, text)]
+                    yield pa.RecordBatch.from_arrays(row, names=["file", "format", "value"])
 
-    return files.select("path", "content").mapInArrow(run, "file string, value string")
+    return _binary(spark, path, only, but).mapInArrow(run, "file string, format string, value string")
 
 
 def _lines_of(texts: DataFrame) -> DataFrame:
@@ -168,8 +226,10 @@ def _lines_of(texts: DataFrame) -> DataFrame:
 
 
 def parse(texts: DataFrame, format: str = "auto", year: int = 1970, start: str | None = None, pattern: str = "") -> DataFrame:
-    """Events of whole texts (file, value) in a format, or each in the one that it looks like. year: of syslog lines
-    without one; start: what opens a record of several lines; pattern: of grok."""
+    """Events of whole texts (file, value) in a format, or each in the one that it looks like or, for read_pieces(), in its
+    `format`. year: of syslog lines without one; start: what opens a record of several lines, in whole texts; pattern: of grok."""
+    if start and "format" in texts.columns:
+        raise ValueError("records of several lines are not in pieces")
     by_line = {"ndjson": ndjson, "text": text, "logfmt": logfmt, "cef": cef, "syslog": lambda df: syslog(df, year)}
     by_line["grok"] = lambda df: grok(df, pattern)
     whole = {"json": json_document, "w3c": w3c, "csv": lambda df: cells(df, ","), "tsv": lambda df: cells(df, "\t")}
@@ -185,7 +245,7 @@ def parse(texts: DataFrame, format: str = "auto", year: int = 1970, start: str |
 
     if format != "auto":
         return one(format, texts)
-    marked = texts.withColumn("format", detected(F.col("value")))
+    marked = texts if "format" in texts.columns else texts.withColumn("format", detected(F.col("value")))
     found = [one(x, marked.filter(F.col("format") == x).drop("format")) for x in ("json", "ndjson", "syslog", "logfmt", "text")]
     return reduce(DataFrame.unionByName, found)
 

@@ -3,6 +3,7 @@ import json
 import struct
 from datetime import date
 
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -400,3 +401,41 @@ def test_cef_is_taken_apart_once(spark):
     assert plan.count("regexp_extract(") <= 9 and plan.count("regexp_extract_all(") == 2
     event = json.loads(df.first()["event"])
     assert (event["device_product"], event["src"], event["note"], event["timestamp"]) == ("p|q", "5.6.7.8", "two words", "17")
+
+
+class Taken:
+    """Stands for a DataFrame: keeps the function that its rows would go through."""
+
+    def __getattr__(self, name):
+        return lambda *args, **kw: self
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+
+def test_python_workers_hand_on_events_in_pieces(spark):
+    """A worker keeps a few MB of what it makes of a batch, however much that is."""
+    body = "".join('{"create":{}}\n' + json.dumps({"m": "x" * 1000, "n": i}) + "\n" for i in range(1500))
+    at = Taken()
+    envelopes.unpacked(at, "bulk")
+    out = list(at.run([pa.RecordBatch.from_pydict({"body": [body] * 8})]))
+    assert sum(b.num_rows for b in out) == 12_000 and max(b.nbytes for b in out) < 6 << 20
+    at, event = Taken(), json.dumps({"message": "x" * 100_000})
+    events.rows(at, 0)
+    out = list(at.run([pa.RecordBatch.from_pydict({"event": [event] * 300})]))
+    assert sum(b.num_rows for b in out) == 300 and max(b.nbytes for b in out) < 10 << 20
+
+
+@pytest.mark.parametrize("size", [7, 64, 1 << 20])
+def test_pieces_of_files_are_whole_files_of_lines(spark, tmp_path, size):
+    lines = "".join(json.dumps({"a": i, "b": "é" * (i % 9)}) + ("\r\n" if i % 3 else "\n") for i in range(300))
+    texts = {"a.log": "\n \n" + lines, "b.log": "plain\n" + lines, "c.log": '[{"a": 1},\n{"a": 2}]', "d.log": "", "e.log": "<1>x y\n{}\n" * 9 + "k=v"}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+        (tmp_path / f"{name}.z").write_bytes(gzip.compress(text.encode()))
+    (tmp_path / "f.log").write_bytes(b"\xff\xc3\n\xe2\x82\n" * 5)
+    pieces = formats.read_pieces(spark, str(tmp_path), size=size)
+    assert size > 64 or pieces.groupBy("file").count().filter("count > 5").count() >= 4
+    got, want = (sorted(r["event"] for r in formats.parse(x).collect()) for x in (pieces, formats.read_texts(spark, str(tmp_path))))
+    assert got == want and len(got) > 1200
