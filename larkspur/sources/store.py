@@ -30,7 +30,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import tokens
+from larkspur.functions.text import token_set
 from larkspur.operators.discovery import CARDINALITY_CAP, LEAST_COVERAGE
 from larkspur.operators.fields import PROMOTED, PROMOTED_N, LeafFields, PromotedFields, View, promoted_column
 from larkspur.sources.folder import Folder
@@ -349,10 +349,17 @@ def _named(df: DataFrame) -> DataFrame:
     return df.withColumn("file", F.concat(F.lit("data/"), F.regexp_extract("_metadata.file_path", _PATH, 1)))
 
 
-def _positions(word: Column, size: Column) -> Column:
-    """Where a word sets bits in a filter of 2**size bits: (number of the 64 bits, which of them)."""
+def _hashes(word: Column) -> Column:
+    """The two numbers that say where a word sets bits."""
     low = F.lit((1 << 40) - 1)
-    a, b = F.xxhash64(word).bitwiseAND(low), F.xxhash64(word, F.lit(1)).bitwiseAND(low).bitwiseOR(F.lit(1).cast("long"))
+    return F.struct(
+        F.xxhash64(word).bitwiseAND(low).alias("a"),
+        F.xxhash64(word, F.lit(1)).bitwiseAND(low).bitwiseOR(F.lit(1).cast("long")).alias("b"),
+    )
+
+
+def _positions(a: Column, b: Column, size: Column) -> Column:
+    """Where a word of these hashes sets bits in a filter of 2**size bits: (number of the 64 bits, which of them)."""
     mask = F.call_function("shiftleft", F.lit(1).cast("long"), size) - 1
 
     def probe(i: Column) -> Column:
@@ -364,10 +371,12 @@ def _positions(word: Column, size: Column) -> Column:
 
 
 def _words(rows: DataFrame) -> DataFrame:
-    """file, word: the words of message and raw, and sources as a whole."""
-    some = [F.coalesce(tokens(F.col(c)), F.array().cast("array<string>")) for c in ("message", "raw")]
+    """file, a, b: hashes of the words of message and raw, and of sources as a whole; those say all that a filter keeps of
+    a word, and are shorter."""
+    some = [F.coalesce(token_set(F.col(c)), F.array().cast("array<string>")) for c in ("message", "raw")]
     source = F.when(F.col("source").isNotNull(), F.array(F.lower("source"))).otherwise(F.array().cast("array<string>"))
-    return rows.select("file", F.explode(F.array_distinct(F.concat(*some, source))).alias("word")).distinct()
+    words = rows.select("file", F.explode(F.array_distinct(F.concat(*some, source))).alias("word"))
+    return words.select("file", _hashes(F.col("word")).alias("h")).select("file", "h.a", "h.b").distinct()
 
 
 def _filters(rows: DataFrame) -> DataFrame:
@@ -376,7 +385,7 @@ def _filters(rows: DataFrame) -> DataFrame:
     counts = words.groupBy("file").agg(F.count("*").alias("n"))
     size = F.least(F.lit(MOST_SIZE), F.greatest(F.lit(LEAST_SIZE), F.ceil(F.log2(F.col("n") * BITS_A_WORD)))).cast("int")
     sized = words.join(counts.select("file", size.alias("size")), "file")
-    each = sized.select("file", "size", F.explode(_positions(F.col("word"), F.col("size"))).alias("p"))
+    each = sized.select("file", "size", F.explode(_positions(F.col("a"), F.col("b"), F.col("size"))).alias("p"))
     return each.groupBy("file", "size", F.col("p.at").alias("at")).agg(F.bit_or("p.bits").alias("bits"))
 
 
@@ -419,7 +428,8 @@ def _without_words(spark: SparkSession, path: str, side: Sequence[str], needs: S
     filters = _side(spark, path, side, "words", FILTER)
     asked = spark.createDataFrame([(i, w) for i, some in enumerate(needs) for w in some], "need int, word string")
     sizes = F.sequence(F.lit(LEAST_SIZE), F.lit(MOST_SIZE))
-    asked = asked.withColumn("size", F.explode(sizes)).withColumn("p", F.explode(_positions(F.col("word"), F.col("size"))))
+    h = _hashes(F.col("word"))
+    asked = asked.withColumn("size", F.explode(sizes)).withColumn("p", F.explode(_positions(h["a"], h["b"], F.col("size"))))
     asked = asked.groupBy("need", "word", "size", F.col("p.at").alias("at")).agg(F.bit_or("p.bits").alias("want"))
     places = asked.groupBy("need", "word", "size").agg(F.count("*").alias("places"))
     spots = [r["at"] for r in asked.select("at").distinct().collect()]  # PROBES a word and size
