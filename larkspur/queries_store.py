@@ -145,10 +145,9 @@ def scoped(spark: SparkSession, sf_dir: str) -> View:
     known = _made.get(sf_dir)
     if known and Folder(spark, known).files("_log"):
         return store.read(spark, known)
-    events = json_events(spark, sf_dir).withColumn("user", F.get_json_object("event", "$.user_id").cast("long"))
-    path = work_path(spark, "store")
-    for env, part in (("default", F.col("user") % 3 == 0), ("test", F.col("user") % 3 == 1), ("_own", F.col("user") % 3 == 2)):
-        stored(spark, events.filter(part).drop("user"), path=path, template="log-{{event_type}}", env=env)
+    third = F.get_json_object("raw", "$.user_id").cast("long") % 3
+    env = F.when(third == 0, "default").when(third == 1, "test").otherwise("_own")
+    path = stored(spark, json_events(spark, sf_dir), template="log-{{event_type}}", env=env)
     _made[sf_dir] = path
     return store.read(spark, path)
 

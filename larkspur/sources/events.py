@@ -196,11 +196,12 @@ def _batch(found: list[dict]) -> pa.RecordBatch:
 
 
 def rows(
-    events: DataFrame, arrived_ms: int | Column, default_source: str | None = None, template: str = "main", env: str = "default"
+    events: DataFrame, arrived_ms: int | Column, default_source: str | None = None, template: str = "main", env: str | Column = "default"
 ) -> DataFrame:
     """Rows of a log view from a column `event` of JSON texts, and `bad` for those that aren't events.
 
-    arrived_ms decides the day of events without a time; a stream gives each batch its own.
+    arrived_ms decides the day of events without a time; a stream gives each batch its own. env: of all events, or an
+    expression of the row's own columns, so that events of several environments are stored by one append.
     """
 
     def shred(batches):
@@ -219,7 +220,7 @@ def rows(
     arrived = arrived_ms if isinstance(arrived_ms, Column) else F.lit(arrived_ms)
     day = F.to_date(F.timestamp_millis(F.when(F.col("timed"), F.col("ts_ms")).otherwise(arrived)))
     index = F.when(F.col("bad").isNull(), F.col("target")).alias("index")
-    core = [F.lit(env).alias("env"), index, day.alias("day"), "ts_ms", "message", "source", "raw", F.xxhash64("raw").alias("seq")]
+    core = [(env if isinstance(env, Column) else F.lit(env)).alias("env"), index, day.alias("day"), "ts_ms", "message", "source", "raw", F.xxhash64("raw").alias("seq")]
     return out.select(*core, "leaves", "bad")
 
 

@@ -22,6 +22,7 @@ from __future__ import annotations
 import time
 import uuid
 from collections.abc import Callable, Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import date, timedelta
 from functools import cached_property
@@ -47,6 +48,7 @@ LOG_FILES = 50  # after so many versions the list of files is written anew
 GRACE_S = 3600.0
 NAME = "^[A-Za-z0-9_-]+$"
 TRIES = 1000
+MOVES = 16  # folders that a write moves at a time
 BITS_A_WORD, PROBES, LEAST_SIZE, MOST_SIZE = 10, 7, 10, 30  # of a file's Bloom filter: 1 % of absent words pass
 SKETCH_K = 10  # 2**10 registers: cardinalities within 3 % two times of three
 
@@ -197,8 +199,8 @@ def _write(rows: DataFrame, at: Folder, promoted: Sequence[str]) -> list[dict]:
         if folder and file.endswith(".parquet"):
             sizes[f"{folder}/{write}/{file}"] = n
             folders.add(folder)
-    for folder in folders:  # one for each partition that has rows
-        at.move(f"{staging}/{folder}", f"data/{folder}/{write}")
+    with ThreadPoolExecutor(MOVES) as pool:  # one move for each partition that has rows; each waits for the file system
+        list(pool.map(lambda folder: at.move(f"{staging}/{folder}", f"data/{folder}/{write}"), folders))
     at.delete(staging)
     if not sizes:
         return []
