@@ -14,7 +14,9 @@ import re
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -421,40 +423,120 @@ def split_lines(spark: SparkSession, path: str, only: str | None = None) -> Data
     return read.text(path).select(*columns, F.monotonically_increasing_id().alias("id"), F.rtrim(F.col("value"), F.lit("\r")).alias("value"))
 
 
-def _carried(lines: DataFrame, **last: Column) -> DataFrame:
-    """Lines with `line`, their number in the file, and for each of `last` its last value in the file up to them, or null."""
-    split, before = Window.partitionBy("file", "block").orderBy("id"), Window.partitionBy("file").orderBy("block")
-    marked = lines.withColumns({f"own_{n}": c for n, c in last.items()})
-    ends = [F.max_by(f"own_{n}", F.when(F.col(f"own_{n}").isNotNull(), F.col("id"))).alias(f"end_{n}") for n in last]
-    splits = marked.groupBy("file", "block").agg(F.count("*").alias("lines"), *ends)  # one row a split
-    earlier = before.rowsBetween(Window.unboundedPreceding, -1)
-    carried = [F.last(f"end_{n}", ignorenulls=True).over(earlier).alias(f"then_{n}") for n in last]
-    splits = splits.select("file", "block", F.coalesce(F.sum("lines").over(earlier), F.lit(0)).alias("first"), *carried)
-    out = marked.join(splits, ["file", "block"]).withColumn("line", F.col("first") + F.row_number().over(split))
-    found = {n: F.coalesce(F.last(f"own_{n}", ignorenulls=True).over(split), f"then_{n}") for n in last}
-    return out.select("file", "line", "value", *(c.alias(n) for n, c in found.items()))
+def _with_carried(lines: DataFrame, splits: DataFrame, *names: str) -> DataFrame:
+    """Lines, in their order, with what `splits` says of their split; null for splits that it hasn't. It has a row for some
+    splits of files that have several, so it is sent to all tasks and lines stay where they were read."""
+    return lines.join(F.broadcast(splits.select("file", "block", *names)), ["file", "block"], "left")
+
+
+def _first_lines(batch: pa.RecordBatch, split: tuple | None, last: int) -> tuple[list[int], tuple | None, int]:
+    """Which lines of a batch (file, block, id, ...) are the first of their split; the split and the id that it ends with."""
+    n = batch.num_rows
+    if not n:
+        return [], split, last
+    file, block, id_ = (batch.column(i) for i in range(3))
+    new = np.ones(n, bool)
+    new[1:] = pc.or_(pc.not_equal(file[1:], file[:-1]), pc.not_equal(block[1:], block[:-1])).to_numpy(zero_copy_only=False)
+    new[0] = (file[0].as_py(), block[0].as_py()) != split
+    ids = id_.to_numpy()
+    if (~new & (np.diff(ids, prepend=last) <= 0)).any():
+        raise ValueError("lines of splits that are not in the order they were read in")
+    return np.flatnonzero(new).tolist(), (file[n - 1].as_py(), block[n - 1].as_py()), int(ids[-1])
+
+
+_RUN = "file string, start long, block long, whole boolean, m string"
+_RUNS = [("file", pa.string()), ("start", pa.int64()), ("block", pa.int64()), ("whole", pa.bool_()), ("m", pa.string())]
+
+
+def _runs(max_lines: int):
+    """Lines (file, block, id, value, opens, first, opened) in their order to runs of max_lines lines of a record and the
+    lines before any. A run that may go on in another split isn't whole. Of the lines, a task holds a batch and a run."""
+
+    def run(batches):
+        split, last, parts, at, opened, out = None, -1, [], 0, None, []
+
+        def give(ended: bool) -> None:
+            if parts:
+                begin = at - len(parts)
+                start = opened + (begin - opened) // max_lines * max_lines
+                out.append((*split, start, start == begin and (ended or len(parts) == max_lines), "\n".join(parts)))
+                parts.clear()
+
+        def given() -> pa.RecordBatch:
+            file, block, start, whole, m = zip(*out)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip((file, start, block, whole, m), _RUNS)], names=[n for n, _ in _RUNS])
+
+        for batch in batches:
+            firsts, ends, last = _first_lines(batch, split, last)
+            firsts = set(firsts)
+            for i, (value, opens) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())):
+                if i in firsts:
+                    give(False)
+                    split = (batch.column(0)[i].as_py(), batch.column(1)[i].as_py())
+                    at, opened = batch.column(5)[i].as_py() or 0, batch.column(6)[i].as_py()
+                if opens:
+                    give(True)
+                    opened = at
+                if opened is None:
+                    out.append((*split, at, True, value))
+                else:
+                    if (at - opened) % max_lines == 0:
+                        give(True)
+                    parts.append(value)
+                at += 1
+            split = ends
+            if out:
+                yield given()
+        give(False)
+        if out:
+            yield given()
+
+    return run
 
 
 def multiline_of_splits(lines: DataFrame, start: str, max_lines: int = MAX_LINES) -> DataFrame:
-    """multiline() of split_lines(). A record is put together from its lines, at most max_lines of them."""
-    opens = F.col("value").rlike("^(?:" + start.lstrip("^") + ")")
-    some = lines.filter(F.trim("value") != "")
-    place = F.struct("block", "id")  # tells lines of a file apart, in order
-    numbered = _carried(some, opened=F.when(opens, place))
-    starts = numbered.filter("opened is not null").groupBy("file", "opened").agg(F.min("line").alias("from"))
-    within = numbered.filter("opened is not null").join(starts, ["file", "opened"])
-    run = F.floor((F.col("line") - F.col("from")) / max_lines)
-    parts = F.array_sort(F.collect_list(F.struct("line", "value")))
-    records = within.groupBy("file", "opened", run.alias("run")).agg(parts.alias("parts"))
-    whole = records.select(F.array_join("parts.value", "\n").alias("m"))
-    alone = numbered.filter("opened is null").select(F.col("value").alias("m"))
-    return whole.unionByName(alone).select(_json({"message": F.col("m")}).alias("event"))
+    """multiline() of split_lines(), in the order that these are read in. Only the runs of lines at the ends of splits meet."""
+    some = lines.filter(F.trim("value") != "").withColumn("opens", F.col("value").rlike("^(?:" + start.lstrip("^") + ")"))
+    n = F.col("n")
+    counted = some.withColumn("n", F.monotonically_increasing_id()).groupBy("file", "block")  # without gaps within a split
+    splits = counted.agg(F.count("*").alias("lines"), (F.max(n) - F.max(F.when(F.col("opens"), n)) + 1).alias("tail"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row a split
+    splits = splits.withColumn("first", F.coalesce(F.sum("lines").over(earlier), F.lit(0)))
+    opened = F.last(F.col("first") + F.col("lines") - F.col("tail"), ignorenulls=True).over(earlier)
+    carried = _with_carried(some, splits.withColumn("opened", opened).filter("first > 0"), "first", "opened")
+    runs = carried.select("file", "block", "id", "value", "opens", "first", "opened").mapInArrow(_runs(max_lines), _RUN)
+    pieces = runs.filter(~F.col("whole")).groupBy("file", "start").agg(F.array_sort(F.collect_list(F.struct("block", "m"))).alias("p"))
+    whole = runs.filter("whole").select("m").unionByName(pieces.select(F.array_join("p.m", "\n").alias("m")))
+    return whole.select(_json({"message": F.col("m")}).alias("event"))
+
+
+def _under_headers(batches):
+    """Lines (file, block, id, value, own, then) in their order to (value, names): the last header in the split, or the one
+    from before it."""
+    split, last, names = None, -1, None
+    for batch in batches:
+        firsts, split, last = _first_lines(batch, split, last)
+        own, found, which = batch.column(4), [names], np.zeros(batch.num_rows, np.int64)
+        changes = sorted({*firsts, *np.flatnonzero(own.is_valid().to_numpy(zero_copy_only=False)).tolist()})
+        for i in changes:
+            found.append((own[i] if own[i].is_valid else batch.column(5)[i]).as_py())
+            which[i] = 1
+        names = found[-1]
+        headers = pa.array(found, pa.list_(pa.string())).take(pa.array(np.cumsum(which)))
+        yield pa.RecordBatch.from_arrays([batch.column(3), headers], names=["value", "names"])
 
 
 def w3c_of_splits(lines: DataFrame) -> DataFrame:
-    """w3c() of split_lines()."""
-    fields = F.when(F.col("value").startswith("#Fields:"), F.split(F.trim(F.substring("value", 9, 1 << 20)), r"\s+"))
-    return _w3c_rows(_carried(lines.filter(F.trim("value") != ""), names=fields))
+    """w3c() of split_lines(), in the order that these are read in."""
+    own = F.when(F.col("value").startswith("#Fields:"), F.split(F.trim(F.substring("value", 9, 1 << 20)), r"\s+"))
+    some = lines.filter(F.trim("value") != "").withColumn("own", own)
+    end = F.max_by("own", F.when(F.col("own").isNotNull(), F.col("id")))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row a split
+    splits = some.groupBy("file", "block").agg(end.alias("end")).withColumn("then", F.last("end", ignorenulls=True).over(earlier))
+    carried = _with_carried(some, splits.filter("then is not null"), "then")
+    rows = carried.select("file", "block", "id", "value", "own", "then").mapInArrow(_under_headers, "value string, names array<string>")
+    return _w3c_rows(rows)
 
 
 def cells_of_splits(lines: DataFrame, sep: str) -> DataFrame:
