@@ -13,6 +13,7 @@ import json
 import math
 import re
 from datetime import datetime, timezone
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -40,6 +41,8 @@ TEXTS = ("message", "source", "raw", "target", "bad")
 _LEAF = [("path", pa.string()), ("pos", pa.int32()), ("i", pa.int64()), ("d", pa.float64()), ("b", pa.bool_()), ("s", pa.string())]
 FIRST_MS, LAST_MS = -62_135_596_800_000, 253_402_300_799_999
 _HALVES = re.compile("[\ud800-\udfff]")
+_FIELD = re.compile(r"\{\{(.+?)\}\}")
+_CONTAINERS, _EPOCH, _MS = frozenset(CONTAINERS), datetime(1970, 1, 1, tzinfo=timezone.utc), datetime.resolution * 1000
 
 
 _compact = json.JSONEncoder(separators=(",", ":"), sort_keys=True).encode
@@ -73,7 +76,7 @@ def epoch_ms(value: object) -> int | None:
     if at is None:
         return None
     at = at if at.tzinfo else at.replace(tzinfo=timezone.utc)
-    return (at - datetime(1970, 1, 1, tzinfo=timezone.utc)) // (datetime.resolution * 1000)
+    return (at - _EPOCH) // _MS
 
 
 def _double(value: float) -> float:
@@ -117,8 +120,15 @@ def leaves(event: dict) -> list[tuple]:
     return out
 
 
+@lru_cache(4096)
+def _name_part(text: str) -> str:
+    return re.sub(r"[^a-z0-9_-]", "-", text.lower()).strip("-")[:64] or "unknown"
+
+
 def index_name(template: str, event: dict) -> str:
     """`app-{{field}}` with the event's values, cleaned for use in a path; `unknown` for missing ones."""
+    if "{{" not in template:
+        return template
 
     def value(m: re.Match) -> str:
         at: object = event
@@ -131,25 +141,33 @@ def index_name(template: str, event: dict) -> str:
         if at is None or isinstance(at, (dict, list)):
             return "unknown"
         text = json.dumps(at) if not isinstance(at, str) else at
-        return re.sub(r"[^a-z0-9_-]", "-", text.lower()).strip("-")[:64] or "unknown"
+        return _name_part(text) if len(text) < 256 else _name_part.__wrapped__(text)  # long texts aren't kept
+
+    return _FIELD.sub(value, template)
+
 
-    return re.sub(r"\{\{(.+?)\}\}", value, template)
+def _first_text(names: tuple[str, ...], event: dict) -> str | None:
+    """The first of the names that is a text with something in it."""
+    for n in names:
+        if n in event and isinstance(event[n], str) and event[n]:
+            return n
+    return None
 
 
 def row(event: dict, default_source: str | None, template: str) -> dict:
     raw = _encoded(event)
     target = index_name(template, event)
     rest = dict(event)
-    for name in CONTAINERS:
-        if isinstance(rest.get(name), dict):
-            rest = {**rest.pop(name), **rest}
+    if not _CONTAINERS.isdisjoint(rest):
+        for name in CONTAINERS:
+            if isinstance(rest.get(name), dict):
+                rest = {**rest.pop(name), **rest}
     ts = None
     for name in TIME_NAMES:
         if name in rest and (ts := epoch_ms(rest[name])) is not None:
             del rest[name]
             break
-    message = next((n for n in MESSAGE_NAMES if isinstance(rest.get(n), str) and rest[n]), None)
-    source = next((n for n in SOURCE_NAMES if isinstance(rest.get(n), str) and rest[n]), None)
+    message, source = _first_text(MESSAGE_NAMES, rest), _first_text(SOURCE_NAMES, rest)
     return {
         "ts_ms": ts or 0, "timed": ts is not None, "message": rest.pop(message) if message else None,
         "source": rest.pop(source) if source else default_source, "raw": raw, "target": target, "bad": None, "leaves": leaves(rest),
