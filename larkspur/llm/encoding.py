@@ -2,7 +2,8 @@
 
 Both public BPE files split a text before a blank that is followed by a visible character, so a text's
 ids are its units' ids joined. Units are therefore looked up in a bounded cache and only unknown ones
-reach the tokenizers library. Most unknown units are plain words with punctuation or a line end between:
+reach the tokenizers library. A full cache becomes the former one, which a new one takes over from what is used again: words
+that come back stay, those seen once go, and a worker never holds more than two caches and one slice of text. Most unknown units are plain words with punctuation or a line end between:
 their words, which the pre-tokenizers split off anyhow, have a cache of their own and go straight to the
 library's BPE model.
 
@@ -21,8 +22,10 @@ import numpy as np
 from larkspur.llm.shared import clears
 
 END_ID = 2
-CACHE_UNITS = 1_000_000
-SLICE_CHARS = 2_000_000
+CACHE_UNITS = 100_000
+CACHE_PIECES = 200_000  # a piece costs a call of the model, a plain unit two look-ups
+SLICE_CHARS = 500_000
+_BORDER = re.compile(r" (?=\S)")
 _ODD = re.compile(r" (?=\s|$)")
 _WORD = r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)"
 _PLAIN = re.compile(rf"{_WORD}(?:\n{_WORD})?")
@@ -58,9 +61,9 @@ class UnitEncoder:
         self.cut = re.compile("(" + ("|".join(map(re.escape, longest)) or "(?!)") + ")")
         self.model = self.tokenizer.model
         self.line_end = np.array(self.tokenizer.encode("\n", add_special_tokens=False).ids, "<u4").tobytes()
-        self.pieces: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {} if self.lead else self.first
+        self.pieces, self.first, self.rest = {}, {}, {}
+        self._renew_units()
+        self._renew_pieces()
 
     def units(self, text: str) -> list[str]:
         """Parts before the blanks; a blank that no visible character follows stays within the part before it."""
@@ -89,12 +92,24 @@ class UnitEncoder:
         normal = self.tokenizer.normalizer
         return tuple([t for t, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal.normalize_str(unit) if normal else unit)])
 
+    def _renew_units(self) -> None:
+        """Begin new caches of units and keep those so far as the former ones."""
+        self.former_first, self.former_rest = self.first, self.rest
+        self.first: dict[str, bytes] = {}
+        self.rest: dict[str, bytes] = {} if self.lead else self.first
+        self.held_units = 0  # a long one counts as several
+
+    def _renew_pieces(self) -> None:
+        self.former_pieces = self.pieces
+        self.pieces: dict[str, bytes] = {}
+        self.held_pieces = 0
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.first) + len(self.rest) + len(self.pieces) > CACHE_UNITS:
-            self.pieces.clear()
-            self.first.clear()
-            self.rest.clear()
+        if self.held_units > CACHE_UNITS:
+            self._renew_units()
+        if self.held_pieces > CACHE_PIECES:
+            self._renew_pieces()
         if self.words and (plain := [i for i, x in enumerate(texts) if _PLAIN_TEXT.fullmatch(x)]):
             out = [b""] * len(texts)
             for i in plain:
@@ -113,16 +128,19 @@ class UnitEncoder:
 
     def _units(self, texts: list[str]) -> list[bytes]:
         split = [self.units(x) for x in texts]
-        self._learn(self.first, {x[0] for x in split}, "")
-        self._learn(self.rest, {u for x in split for u in x[1:]}, self.lead)
+        self._learn(self.first, self.former_first, {x[0] for x in split}, "")
+        self._learn(self.rest, self.former_rest, {u for x in split for u in x[1:]}, self.lead)
         first, rest = self.first, self.rest
         return [first[x[0]] + b"".join([rest[u] for u in x[1:]]) for x in split]
 
-    def _learn(self, cache: dict[str, bytes], units: set[str], lead: str) -> None:
+    def _learn(self, cache: dict[str, bytes], former: dict[str, bytes], units: set[str], lead: str) -> None:
         odd, piece = [], self._piece
         for u in units:
             if u not in cache:
-                if m := _PLAIN.fullmatch(u):
+                self.held_units += 1 + (len(u) >> 6)
+                if (ids := former.get(u)) is not None:
+                    cache[u] = ids
+                elif m := _PLAIN.fullmatch(u):
                     a, b, c, d = m.groups()
                     ids = piece(lead + a) + piece(b) if b else piece(lead + a)
                     if c:
@@ -130,8 +148,8 @@ class UnitEncoder:
                     cache[u] = ids
                 else:
                     odd.append(u)
-        for at in range(0, len(odd), 20_000):
-            part = odd[at : at + 20_000]
+        for at in range(0, len(odd), 5_000):
+            part = odd[at : at + 5_000]
             for u, e in zip(part, self.tokenizer.encode_batch_fast([lead + u for u in part], add_special_tokens=False)):
                 cache[u] = np.array(e.ids, "<u4").tobytes()
 
@@ -141,8 +159,11 @@ class UnitEncoder:
             x = x.lower()
         ids = self.pieces.get(x)
         if ids is None:
-            ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown(x))])
+            ids = self.former_pieces.get(x)
+            if ids is None:
+                ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown(x))])
             self.pieces[x] = ids
+            self.held_pieces += 1 + (len(x) >> 6)
         return ids
 
 
@@ -169,7 +190,20 @@ def encoded(path: str, texts: list[str | None]) -> "list[bytes]":
     return out + _with_special(enc, part) if part else out
 
 
+def _slices(text: str):
+    """Parts of a long text, cut before a blank that a visible character follows."""
+    at = 0
+    while len(text) - at > SLICE_CHARS and (border := _BORDER.search(text, at + SLICE_CHARS)):
+        yield text[at : border.start()]
+        at = border.start()
+    yield text[at:]
+
+
 def _with_special(enc: UnitEncoder, texts: list[str]) -> list[bytes]:
     cut = [enc.cut.split(x) for x in texts]  # text, special token, text, ...
-    ids = iter(enc.encode([x for parts in cut for x in parts[::2]]))
+    plain = [x for parts in cut for x in parts[::2]]
+    if len(texts[-1]) > SLICE_CHARS:
+        ids = iter([b"".join([enc.encode([x])[0] for x in _slices(text)]) for text in plain])
+    else:
+        ids = iter(enc.encode(plain))
     return [next(ids) + b"".join([enc.special[x] + next(ids) for x in parts[1::2]]) for parts in cut]

@@ -8,7 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
-from larkspur.llm import shared, token_output
+from larkspur.llm import encoding, shared, token_output
 from larkspur.llm.encoding import encoded, encoder
 
 BYTE, WORD = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -82,3 +82,34 @@ def test_files_are_delta_packed_and_indexed(spark):
     t = Tokenizer.from_file(WORD)
     got = {r["doc_id"]: r["ids"] for r in some.collect()}
     assert got == {i: [*t.encode(x, add_special_tokens=False).ids, 2] for i, x in texts.items()}
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_caches_are_bounded_and_keep_what_comes_back(path, monkeypatch):
+    monkeypatch.setattr(encoding, "CACHE_UNITS", 400)
+    monkeypatch.setattr(encoding, "CACHE_PIECES", 400)
+    enc, t = encoding.UnitEncoder(path), Tokenizer.from_file(path)
+    random.seed(5)
+    for i in range(60):
+        texts = [" ".join(["often", "seen", *("".join(random.choices("abcdefgh", k=8)) for _ in range(20)), f"é{i}日 ", "z" * 900]) for _ in range(4)]
+        for text, ids in zip(texts, enc.encode(texts), strict=True):
+            assert ids == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert len(enc.pieces) + len(enc.former_pieces) < 2 * 600 and len(enc.first) + len(enc.rest) + len(enc.former_first) + len(enc.former_rest) < 4 * 600
+        assert "seen" in {**enc.rest, **enc.former_rest} or "seen" in {**enc.pieces, **enc.former_pieces}
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_a_long_text_goes_slice_by_slice(path, monkeypatch):
+    monkeypatch.setattr(encoding, "SLICE_CHARS", 50)
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = False
+    random.seed(6)
+    texts = ["".join(random.choice(["<|endoftext|>", " ", "  ", "\n", "a", "it's", "Éa ", " 1", "\t", " \n ", " word", "日"]) for _ in range(random.randint(1, 300))) for _ in range(300)]
+    texts += ["x" * 400, " " * 400, "", "one " * 100]
+    sizes, encode = [], encoding.UnitEncoder.encode
+    monkeypatch.setattr(encoding.UnitEncoder, "encode", lambda self, x: sizes.append(sum(map(len, x))) or encode(self, x))
+    for text, ids in zip(texts, encoded(path, texts), strict=True):
+        assert ids == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+    sizes.clear()
+    encoded(path, ["one two " * 1000])
+    assert max(sizes) < 120
