@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.components import components
 from larkspur.llm.hashing import ODD, mix, shingle_hashes, slices
-from larkspur.llm.shared import materialize, plain, release, worker_for
+from larkspur.llm.shared import giving_back, materialize, plain, release, worker_for
 
 SLOTS = 360
 ROWS = 6
@@ -93,7 +93,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_hash", "bands"])
 
     read = plain(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    return read.mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, bands array<long>")
+    return read.mapInArrow(giving_back(run), "doc_id long, n_shingles long, set_hash binary, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -109,7 +109,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(x, y - x), lists], names=["doc_id", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
+    return docs.select("doc_id", "text").mapInArrow(giving_back(run), "doc_id long, shingles array<long>")
 
 
 def _by_part(test) -> Column:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.encoding import END_ID, encoded
-from larkspur.llm.shared import materialize, plain, worker_for
+from larkspur.llm.shared import giving_back, materialize, plain, worker_for
 
 CAPACITY = 1024
 GROUPS = (32, 256)
@@ -65,7 +65,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _PIECE)], schema=_PIECE)
 
     rows = plain(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(cut, PIECE + ", part int, local_rank long")
+    return rows.mapInArrow(giving_back(cut), PIECE + ", part int, local_rank long")
 
 
 def _fullest(counts: dict[int, int], capacity: int) -> dict[int, int]:

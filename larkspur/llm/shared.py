@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
@@ -93,6 +94,33 @@ def worker_for(operator: str) -> None:
         for clear in _caches:
             clear()
         gc.collect()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc; elsewhere the allocator decides
-        if trim:
-            trim(0)
+        give_back()
+
+
+def give_back() -> None:
+    """Freed memory goes from this Python worker's allocators to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc; elsewhere the allocator decides
+    if trim:
+        trim(0)
+
+
+def giving_back(run: Callable) -> Callable:
+    """A function of mapInArrow or applyInArrow whose arrays' memory is given back after the partition or each group: a worker
+    that waits holds none of it while other workers and the JVM of its executor go on."""
+
+    def partition(batches):
+        yield from run(batches)
+        give_back()
+
+    def group(key, table):
+        out = run(key, table)
+        give_back()
+        return out
+
+    def cogroup(key, left, right):
+        out = run(key, left, right)
+        give_back()
+        return out
+
+    return {1: partition, 2: group, 3: cogroup}[run.__code__.co_argcount]

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.hashing import BYTE, ODD, mix, prefix, run_hash
-from larkspur.llm.shared import partitions, plain, worker_for
+from larkspur.llm.shared import giving_back, partitions, plain, worker_for
 from larkspur.llm.suffix_array import suffix_arrays
 
 LENGTH = 50
@@ -505,12 +505,12 @@ def remove_repeats(
     def dealt(rows: DataFrame):
         return rows.repartition(n, "dest").groupBy("dest")
 
-    anchors = by_block.applyInArrow(_send_anchors(length, gram, buckets), PASSED)
-    judged = dealt(anchors).applyInArrow(_judge_anchors(problem), PASSED)
-    segments = by_block.cogroup(dealt(judged)).applyInArrow(_send_segments(length, gram, buckets), PASSED)
-    sorted_ = dealt(segments).applyInArrow(_sort_segments(length, buckets), PASSED)
-    told = dealt(sorted_).applyInArrow(_meet_strings(length), PASSED)
+    anchors = by_block.applyInArrow(giving_back(_send_anchors(length, gram, buckets)), PASSED)
+    judged = dealt(anchors).applyInArrow(giving_back(_judge_anchors(problem)), PASSED)
+    segments = by_block.cogroup(dealt(judged)).applyInArrow(giving_back(_send_segments(length, gram, buckets)), PASSED)
+    sorted_ = dealt(segments).applyInArrow(giving_back(_sort_segments(length, buckets)), PASSED)
+    told = dealt(sorted_).applyInArrow(giving_back(_meet_strings(length)), PASSED)
     schema = RESULT + ", kept_text string" * with_text
     if carry:
         schema += f", carried {docs.schema['carried'].dataType.simpleString()}"
-    return by_block.cogroup(dealt(told)).applyInArrow(_take_out(with_text, bool(carry)), schema)
+    return by_block.cogroup(dealt(told)).applyInArrow(giving_back(_take_out(with_text, bool(carry))), schema)

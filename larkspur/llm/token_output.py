@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.encoding import END_ID, encoded
-from larkspur.llm.shared import partitions, plain, worker_for
+from larkspur.llm.shared import giving_back, partitions, plain, worker_for
 
 FORMAT = {
     "compression": "zstd",
@@ -63,7 +63,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, files: int | None =
     keyed = plain(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").withColumn("tie", F.xxhash64("text"))
     order = [F.col("doc_id").asc_nulls_last(), F.col("tie")]
     dealt = keyed.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    dealt.select("doc_id", "text").mapInArrow(encode, SCHEMA).write.options(**FORMAT).parquet(path)
+    dealt.select("doc_id", "text").mapInArrow(giving_back(encode), SCHEMA).write.options(**FORMAT).parquet(path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
