@@ -26,13 +26,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.encoding import END_ID, encoded
+from larkspur.llm.encoding import END_ID, encoded, text_slices
 from larkspur.llm.shared import giving_back, materialize, plain, worker_for
 
 CAPACITY = 1024
 GROUPS = (32, 256)
 SMALL_SHARES = (0.25, 0.375, 0.5)
-ROWS = 256
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PIECE = pa.schema(
     [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
@@ -48,8 +47,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
         worker_for("tokens")
         seen, part = np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                rows = batch.slice(at, ROWS)
+            for rows in text_slices(batch, 1):
                 out = []
                 for doc_id, ids in zip(rows.column(0).to_pylist(), encoded(tokenizer, rows.column(1).to_pylist())):
                     data = memoryview(ids + end)

@@ -1,9 +1,11 @@
 import random
+import sys
 import zlib
 from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
@@ -113,3 +115,43 @@ def test_a_long_text_goes_slice_by_slice(path, monkeypatch):
     sizes.clear()
     encoded(path, ["one two " * 1000])
     assert max(sizes) < 120
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_plain_texts_equal_the_library(path):
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    random.seed(7)
+    parts = ["a", "Éß", "'s", "'S", "'", "'ll", "n't", "12", "3.5", "(", ").", "_", "-", "x×", "\n", "\r\n", "\n\n", "\t", "\x0b", "THE", "<|endoftext|>", "日", "\u212a", "«"]
+    for kinds in (20, len(parts)):  # without others and with them
+        texts = [" ".join("".join(random.choices(parts[:kinds], k=random.randint(1, 5))) for _ in range(random.randint(1, 12))) for _ in range(1500)]
+        texts += ["".join(random.choices([*parts[:kinds], " "], k=9)) for _ in range(300)]
+        for some in (texts[:1500], texts):  # units that begin with blanks go another way
+            for text, ids in zip(some, encoder(path).encode(some), strict=True):
+                assert ids == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+        solid = [x for x in texts if not encoding._ODD.search(x)]
+        for text, ids in zip(solid, encoder(path).encode(solid), strict=True):
+            assert ids == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_distinct_units_of_known_pieces_cost_no_calls(path):
+    enc, t, calls = encoding.UnitEncoder(path), Tokenizer.from_file(path), []
+    words = ["one", "Two", "thrée", "four", "five", "six", "seven", "eight", "nine", "ten"]
+    texts = [" ".join(["it", *(f"{a}{s}\n{b}{e}" for a in words for b in words for s in ".,;:!?" for e in ".,;:!?")])]
+    sys.setprofile(lambda frame, event, arg: calls.append(event) if event in ("call", "c_call") else None)
+    try:
+        ids = enc.encode(texts)
+    finally:
+        sys.setprofile(None)
+    assert ids == [np.array(t.encode(texts[0], add_special_tokens=False).ids, "<u4").tobytes()]
+    assert len(set(texts[0].split(" "))) == 3601 and calls.count("call") < 400  # one a unit at least before
+
+
+def test_rows_are_taken_by_their_texts_sizes(monkeypatch):
+    monkeypatch.setattr(encoding, "SLICE_CHARS", 1000)
+    texts = ["x" * 300, None, "y" * 5000, "", *["z" * 100] * 20, "é" * 3000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"]).slice(1)
+    got = list(encoding.text_slices(batch, 1))
+    assert [i for b in got for i in b.column(0).to_pylist()] == list(range(1, len(texts)))
+    assert all(b.num_rows == 1 or sum(len((x or "").encode()) for x in b.column(1).to_pylist()) <= 1000 for b in got) and len(got) < 8
