@@ -1,5 +1,7 @@
+import gc
 import random
 import sys
+import tracemalloc
 import zlib
 from pathlib import Path
 
@@ -155,3 +157,16 @@ def test_rows_are_taken_by_their_texts_sizes(monkeypatch):
     got = list(encoding.text_slices(batch, 1))
     assert [i for b in got for i in b.column(0).to_pylist()] == list(range(1, len(texts)))
     assert all(b.num_rows == 1 or sum(len((x or "").encode()) for x in b.column(1).to_pylist()) <= 1000 for b in got) and len(got) < 8
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_running_words_are_no_python_objects(path):
+    enc, t, text = encoding.UnitEncoder(path), Tokenizer.from_file(path), " ".join(f"{a}{b}," for a in "stone wood water fire".split() for b in "abcdefgh")
+    once = enc.encode([text])[0]
+    assert once == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    gc.collect()
+    tracemalloc.start()
+    ids = enc.encode([" ".join([text] * 5000)])[0]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(ids) >= 5000 * len(once) - 40_000 and most < 5000 * 32 * 40 + 2 * len(ids)  # a string a word took more
