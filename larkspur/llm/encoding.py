@@ -27,8 +27,8 @@ from larkspur.llm.shared import clears
 
 END_ID = 2
 CACHE_UNITS = 100_000
-CACHE_PIECES = 200_000  # a piece costs a call of the model, a plain unit two look-ups
-SLICE_CHARS = 2_000_000  # the more, the fewer times a unit is looked at
+CACHE_PIECES = 300_000  # a piece costs a call of the model, a plain unit two look-ups
+SLICE_CHARS = 4_000_000  # the more, the fewer times a unit is looked at
 _BORDER = re.compile(r" (?=\S)")
 _ODD = re.compile(r" (?=\s|$)")
 _WORD = r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)"
@@ -155,7 +155,8 @@ class UnitEncoder:
         values = list(map(self.pieces.get, found))
         if None in values:
             self._learn_pieces({x for x, ids in zip(found, values) if ids is None})
-            values = list(map(self.pieces.get, found))
+            held = self.pieces
+            values = [held[x] if ids is None else ids for x, ids in zip(found, values)]
         ids = np.frombuffer(b"".join(values), "<u4")
         marks = np.flatnonzero(ids == 0xFFFFFFFF)
         if len(marks) != len(units) - (0 if odd is None else odd.sum()):
