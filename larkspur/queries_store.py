@@ -321,7 +321,7 @@ add(
 
 def stream_growing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that end in the middle of a line when the stream first reads them, and have grown when it reads them again."""
-    folder, path, progress = (work_path(spark, x) for x in ("growing", "store", "progress"))
+    folder, path, progress, state = (work_path(spark, x) for x in ("growing", "store", "progress", "state"))
     texts = files_of(spark, sf_dir, json_line(), tail="\n")
 
     def write(share: float):
@@ -337,7 +337,7 @@ def stream_growing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     for share in (0.4, 0.4, 1.0):
         texts.foreachPartition(write(share))
-        lines = tailing.growing_files(spark, folder).select("value")
+        lines = tailing.growing_files(spark, folder, state=state).select("value")
         ingest.ingest(lines, path, progress, trigger={"availableNow": True}, template="events").awaitTermination()
     return typed(store.read(spark, path).df.select(F.col("raw").alias("event")))
 

@@ -126,3 +126,112 @@ def test_many_small_files_share_tasks(spark, tail, monkeypatch):
     parts = reader.partitions(now, then)
     assert len(parts) <= 5 and not looks and all(start > 300 for x in parts for _, start, _ in x.ranges)
     assert len(tail()) == 600
+
+
+def reader_of(tail, **options):
+    return tailing._Reader({"path": str(tail.src), "tasks": "4", **options})
+
+
+def test_offsets_of_many_files_stay_small(tail, tmp_path, monkeypatch):
+    """With a folder for what is known of the files, no more of them than a part has are held at a time or in an offset."""
+    for i in range(600):
+        add(tail.src / f"a-file-{i:04d}.log", f"line {i}\n")
+    reader, held, files = reader_of(tail, state=str(tmp_path / "state"), filesAPart="32"), [], tailing._Reader._files
+    monkeypatch.setattr(tailing._Reader, "_files", lambda *a: [held.append(len(x := files(*a))), x][1])
+    first = reader.latestOffset()
+    assert len(json.dumps(first)) < 2000 < len(json.dumps(reader_of(tail).latestOffset())) and reader.latestOffset() == first
+    parts = reader.partitions(reader.initialOffset(), first)
+    assert len(parts) <= 5 and sum(len(x.ranges) for x in parts) == 600 and 0 < max(held[:-1]) <= 64
+    add(tail.src / "a-file-0007.log", "more\n")
+    held.clear()
+    then = reader.latestOffset()
+    assert sum(a != b for a, b in zip(first["parts"].split(","), then["parts"].split(","))) == 1
+    held.clear()
+    assert [r[1:] for x in reader.partitions(first, then) for r in x.ranges] == [(7, 12)] and len(held) == 2
+
+
+def test_offsets_in_parts_say_what_whole_ones_do(tail, tmp_path, monkeypatch):
+    """Files added, grown, cut, renamed and deleted by chance, as many as make more parts or fewer."""
+    random.seed(4)
+    monkeypatch.setattr(tailing, "KEPT", 3)
+    options = {"state": str(tmp_path / "state"), "filesAPart": "8"}
+    whole, parts = reader_of(tail), reader_of(tail, **options)
+    a, b = whole.initialOffset(), parts.initialOffset()
+    for step in range(25):
+        there = sorted(tail.src.iterdir())
+        for i in range(random.choice([3, 40])):
+            add(tail.src / f"{step}-{i}.log", "x" * random.choice([3, 300]) + random.choice(["", "\n"]))
+        for f in random.sample(there, len(there) * 2 // 3):
+            what = random.randrange(6)
+            if what < 2:
+                add(f, "y" * random.randrange(300) + "\n")
+            elif what == 2:
+                f.write_text("z" * random.randrange(400) + "\n")
+            elif what == 3:
+                f.rename(tail.src / f"{f.stem}-{step}.log")
+            else:
+                f.unlink()
+        if step % 6 == 5:
+            for f in random.sample(there, len(there) * 3 // 4):
+                f.unlink(missing_ok=True)
+            parts = reader_of(tail, **options)  # a restart
+        then = whole.latestOffset(), parts.latestOffset()
+        want, got = (sorted(r for x in p.partitions(s, t) for r in x.ranges) for p, s, t in ((whole, a, then[0]), (parts, b, then[1])))
+        assert got == want, step
+        a, b = then
+        parts.commit(b)
+    assert {len(x.split(",")) for x in (b["parts"], parts._state._committed[0])} != {1}
+    left = {f.name for f in (tmp_path / "state").iterdir()}
+    assert set(b["parts"].split(",")) - {"{}"} <= left and not any(f.startswith("draft-") for f in left)
+
+
+def test_parts_that_no_offset_names_are_deleted(tail, tmp_path, monkeypatch):
+    monkeypatch.setattr(tailing, "KEPT", 2)
+    reader, state = reader_of(tail, state=str(tmp_path / "state")), tmp_path / "state"
+    for i in range(6):
+        add(tail.src / "a.log", f"{i}\n")
+        now = reader.latestOffset()
+        reader.commit(now)
+        assert now["parts"] in {f.name for f in state.iterdir()}
+    assert len(list(state.iterdir())) == 2
+    os.utime(next(f for f in state.iterdir() if f.name != now["parts"]), (0, 0))
+    again = reader_of(tail, state=str(state))
+    assert again.latestOffset() == now
+    again.commit(now)
+    assert [f.name for f in state.iterdir()] == [now["parts"]]
+
+
+def test_files_renamed_while_they_are_listed(tail, monkeypatch):
+    """What is renamed between the list and the look goes on where it was, and its new name is found at the next look."""
+    a, b = tail.src / "a.log", tail.src / "b.log"
+    add(a, "one\n")
+    reader, below = reader_of(tail), tailing.files_below
+    first = reader.latestOffset()
+
+    def rotated(*args):
+        found = list(below(*args))
+        a.rename(b)
+        add(a, "another file\n")
+        return found
+
+    monkeypatch.setattr(tailing, "files_below", rotated)
+    add(a, "two\n")
+    second = reader.latestOffset()
+    assert [r for x in reader.partitions(first, second) for r in x.ranges] == []
+    monkeypatch.setattr(tailing, "files_below", below)
+    third = reader.latestOffset()
+    assert sorted(r for x in reader.partitions(second, third) for r in x.ranges) == [(str(a), 0, 13), (str(b), 4, 8)]
+
+
+def test_a_stream_with_its_state_in_a_folder(tail, tmp_path):
+    """Restarts go on from the folder, also of a stream that began without one."""
+    add(tail.src / "a.log", "one\ntw")
+    assert tail() == ["one"]
+    state = str(tmp_path / "state")
+    add(tail.src / "b.log", "four\n")
+    assert tail(state=state) == ["four", "one"]
+    add(tail.src / "a.log", "o\n")
+    assert tail(state=state) == ["four", "one", "two"]
+    assert tail(state=state) == ["four", "one", "two"]
+    last = max((tmp_path / "ck" / "offsets").glob("[0-9]*"), key=lambda f: int(f.name)).read_text()
+    assert '"parts"' in last and "a.log" not in last
