@@ -15,6 +15,7 @@ from larkspur.llm import decontamination, language_id, near_dedup, packing, suff
 from larkspur.llm.shared import Temporary, materialize, release
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+SHARE = 0.33  # of packing's usual slices and caches: the JVM of an executor has grown in the stages before
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -51,7 +52,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document goes; a null text is a piece of the end id alone, an empty table has no pieces."""
-    return packing.pack(docs, TOKENIZER)
+    return packing.pack(docs, TOKENIZER, share=SHARE)
 
 
 STAGES = [

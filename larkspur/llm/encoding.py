@@ -7,7 +7,8 @@ that gives is looked up in a bounded cache; only unknown pieces reach the librar
 with further blanks beside a blank, have caches of their own and reach the library as they are.
 
 A full cache becomes the former one, which a new one takes over from what is used again: words
-that come back stay, those seen once go, and a worker never holds more than two caches and one slice of text.
+that come back stay, those seen once go, and a worker never holds more than two caches and one slice of text. `share` makes
+both smaller, for workers beside which an executor holds much else; ids are the same.
 
 `encoded` gives what the library gives by default: a special token's text within a text becomes that token, and
 what stands before and after it is encoded as texts of their own. `UnitEncoder` takes such a text literally.
@@ -73,6 +74,7 @@ class UnitEncoder:
         self.model = self.tokenizer.model
         self.id_bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.line_end = np.array(self.tokenizer.encode("\n", add_special_tokens=False).ids, "<u4").tobytes()
+        self.share = 1.0
         self.pieces, self.first, self.rest = {}, {}, {}
         self._renew_units()
         self._renew_pieces()
@@ -118,9 +120,9 @@ class UnitEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        if self.held_units > CACHE_UNITS:
+        if self.held_units > self.share * CACHE_UNITS:
             self._renew_units()
-        if self.held_pieces > CACHE_PIECES:
+        if self.held_pieces > self.share * CACHE_PIECES:
             self._renew_pieces()
         if not (self.words or self.bytewise):
             return self._units(texts)
@@ -234,32 +236,34 @@ def encoder(path: str) -> UnitEncoder:
     return _encoders[path]
 
 
-def text_slices(batch: pa.RecordBatch, column: int):
-    """Rows of a batch, as many at a time as hold SLICE_CHARS bytes of text, one at least."""
+def text_slices(batch: pa.RecordBatch, column: int, share: float = 1.0):
+    """Rows of a batch, as many at a time as hold `share` of SLICE_CHARS bytes of text, one at least."""
+    most = int(share * SLICE_CHARS)
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     ends, at = np.cumsum(sizes.astype(np.int64) + 64), 0  # an empty text is a row, too
     while at < batch.num_rows:
-        upto = int(np.searchsorted(ends, SLICE_CHARS + (ends[at - 1] if at else 0), side="right"))
+        upto = int(np.searchsorted(ends, most + (ends[at - 1] if at else 0), side="right"))
         yield batch.slice(at, max(1, upto - at))
         at = max(upto, at + 1)
 
 
-def encoded(path: str, texts: list[str | None]) -> "list[bytes]":
+def encoded(path: str, texts: list[str | None], share: float = 1.0) -> "list[bytes]":
     """encode() over bounded slices, so that the split units of few texts are in memory at once."""
     out, part, size, enc = [], [], 0, encoder(path)
+    enc.share, most = share, int(share * SLICE_CHARS)
     for x in texts:
         part.append(x or "")
         size += len(part[-1])
-        if size > SLICE_CHARS:
+        if size > most:
             out += _with_special(enc, part)
             part, size = [], 0
     return out + _with_special(enc, part) if part else out
 
 
-def _slices(text: str):
+def _slices(text: str, most: int):
     """Parts of a long text, cut before a blank that a visible character follows."""
     at = 0
-    while len(text) - at > SLICE_CHARS and (border := _BORDER.search(text, at + SLICE_CHARS)):
+    while len(text) - at > most and (border := _BORDER.search(text, at + most)):
         yield text[at : border.start()]
         at = border.start()
     yield text[at:]
@@ -267,9 +271,9 @@ def _slices(text: str):
 
 def _with_special(enc: UnitEncoder, texts: list[str]) -> list[bytes]:
     cut = [enc.cut.split(x) for x in texts]  # text, special token, text, ...
-    plain = [x for parts in cut for x in parts[::2]]
-    if len(texts[-1]) > SLICE_CHARS:
-        ids = iter([b"".join([enc.encode([x])[0] for x in _slices(text)]) for text in plain])
+    plain, most = [x for parts in cut for x in parts[::2]], int(enc.share * SLICE_CHARS)
+    if len(texts[-1]) > most:
+        ids = iter([b"".join([enc.encode([x])[0] for x in _slices(text, most)]) for text in plain])
     else:
         ids = iter(enc.encode(plain))
     return [next(ids) + b"".join([enc.special[x] + next(ids) for x in parts[1::2]]) for parts in cut]

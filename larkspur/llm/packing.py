@@ -39,17 +39,20 @@ _PIECE = pa.schema(
 )
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece; local_rank numbers the pieces of one length within a partition. Only the first piece may be short."""
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, share: float = 1.0) -> DataFrame:
+    """One row per piece; local_rank numbers the pieces of one length within a partition. Only the first piece may be short.
+
+    share: of the slices and caches that a worker holds by default.
+    """
     end = END_ID.to_bytes(4, "little")
 
     def cut(batches):
         worker_for("tokens")
         seen, part = np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
-            for rows in text_slices(batch, 1):
+            for rows in text_slices(batch, 1, share):
                 out = []
-                for doc_id, ids in zip(rows.column(0).to_pylist(), encoded(tokenizer, rows.column(1).to_pylist())):
+                for doc_id, ids in zip(rows.column(0).to_pylist(), encoded(tokenizer, rows.column(1).to_pylist(), share)):
                     data = memoryview(ids + end)
                     n = len(data) // 4
                     start, k = 0, 0
@@ -199,9 +202,9 @@ def grouped(histogram: dict[int, int], capacity: int, groups: int, small: int) -
     return rows, sequence
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, share: float = 1.0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: where each piece of each document goes."""
-    cut = materialize(pieces(docs, tokenizer, capacity), "pieces")
+    cut = materialize(pieces(docs, tokenizer, capacity, share), "pieces")
     counts = cut.groupBy("part", "length").count()
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
     rows, _ = plan(histogram, capacity)

@@ -12,6 +12,7 @@ import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from larkspur.llm import encoding, shared, token_output
 from larkspur.llm.encoding import encoded, encoder
 
@@ -170,3 +171,21 @@ def test_running_words_are_no_python_objects(path):
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(ids) >= 5000 * len(once) - 40_000 and most < 5000 * 32 * 40 + 2 * len(ids)  # a string a word took more
+
+
+def test_the_pipelines_share_takes_less_memory_and_gives_the_same_ids():
+    random.seed(6)
+    words = ["".join(random.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(400_000)]
+    texts = [" ".join(words[i : i + 1000]) for i in range(0, len(words), 1000)] + ["x " * 3_000_000]
+
+    def run(share):
+        enc = encoding._encoders[BYTE] = encoding.UnitEncoder(BYTE)
+        tracemalloc.start()
+        crc = [zlib.crc32(x) for t in range(0, len(texts), 40) for x in encoded(BYTE, texts[t : t + 40], share)]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return crc, peak, len(enc.pieces) + len(enc.former_pieces)
+
+    whole, less = run(1.0), run(corpus_pipeline.SHARE)
+    del encoding._encoders[BYTE]
+    assert less[0] == whole[0] and less[1] < 0.7 * whole[1] and less[2] < 0.6 * whole[2], (whole[1:], less[1:])
